@@ -26,8 +26,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import pieces
+
 #: Words in a generation of a Python worker's cache; the two latest are kept.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 assert sys.byteorder == "little" and array("I").itemsize == 4
 NEVER = np.int64(1 << 40)
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \xa0\p{L}\p{N}]+")
@@ -35,6 +37,18 @@ _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \xa0\
 _PLAIN = regex.compile(r"[\x00-\x1b\x20-\x84\x86-įĲ-ſ‐-‧‰-⁞₠-₿]*")
 
 
+class _Known(dict):
+    """Ids by chunk; chunks asked for in vain are noted, and stand as empty."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.asked: list[str] = []
+
+    def __missing__(self, chunk: str) -> bytes:
+        self.asked.append(chunk)
+        return b""
+
+
 class Codec:
     """Encoder and decoder for one vocabulary file, given as its bytes."""
 
@@ -77,7 +91,7 @@ class Codec:
         self._reachable = self._reach()
         self._proposals = self._automaton()
         self._cache: dict[str, bytes] = {}
-        self._chunk_ids: dict[str, bytes] = {}
+        self._chunk_ids = _Known()
         self._old: dict[str, bytes] = {}
 
     # -- building ---------------------------------------------------------
@@ -218,28 +232,32 @@ class Codec:
 
     def _encode_chunks(self, chunks: set[str]) -> None:
         """Adds the chunks' ids to the cache; a chunk may hold several words."""
-        old = self._old
+        old, known, words = self._old, self._cache, self._chunk_ids
         again = chunks & old.keys()
-        self._chunk_ids.update(zip(again, map(old.__getitem__, again), strict=True))
-        words = {c: _PIECES.findall(c) for c in chunks - again}
-        missing = set().union(*words.values()) - self._cache.keys()
+        words.update(zip(again, map(old.__getitem__, again), strict=True))
+        new = chunks - again
+        single = set(filter(str.isalpha, new))
+        several = {c: _PIECES.findall(c) for c in new - single}
+        missing = single.union(*several.values()) - known.keys()
         if missing:
             self._encode_words(list(missing))
-        get = self._cache.__getitem__
-        self._chunk_ids.update({c: b"".join(map(get, w)) for c, w in words.items()})
+        get = known.__getitem__
+        words.update(zip(single, map(get, single), strict=True))
+        words.update({c: b"".join(map(get, w)) for c, w in several.items()})
 
     def _age(self) -> None:
         if len(self._chunk_ids) > CACHE_WORDS:
-            self._old, self._chunk_ids = self._chunk_ids, {}
+            self._old, self._chunk_ids = self._chunk_ids, _Known()
         if len(self._cache) > CACHE_WORDS:
             self._cache.clear()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[list[bytes | None]] = []
-        wanted: list[tuple[list, int, list[str]]] = []
+        known = self._chunk_ids
+        out: list[list[bytes]] = []
+        wanted: list[tuple[list, int, list[str], int]] = []
         for text in texts:
-            parts: list[bytes | None] = []
+            parts: list[bytes] = []
             spans = [text] if text else []
             if text and self._by_special and "<|" in text:
                 spans = self._by_special.split(text)
@@ -247,18 +265,20 @@ class Codec:
                 if i % 2:
                     parts.append(self.special[span].to_bytes(4, "little"))
                 elif span:
-                    chunks = self._chunks(span)
-                    found = list(map(self._chunk_ids.get, chunks))
-                    if None in found:
-                        wanted.append((parts, len(parts), chunks))
+                    chunks, before = self._chunks(span), len(known.asked)
+                    found = list(map(known.__getitem__, chunks))
+                    if len(known.asked) > before:
+                        wanted.append((parts, len(parts), chunks, len(known.asked) - before))
                     parts += found
             out.append(parts)
         if wanted:
-            missing = {c for parts, at, chunks in wanted for c, x in zip(chunks, parts[at : at + len(chunks)], strict=True) if x is None}
-            self._encode_chunks(missing)
-            get = self._chunk_ids.__getitem__
-            for parts, at, chunks in wanted:
-                parts[at : at + len(chunks)] = [get(c) if x is None else x for c, x in zip(chunks, parts[at : at + len(chunks)], strict=True)]
+            self._encode_chunks(set(known.asked))
+            known.asked.clear()
+            for parts, at, chunks, n in wanted:
+                i = at - 1
+                for _ in range(n):
+                    i = parts.index(b"", i + 1)
+                    parts[i] = known[chunks[i - at]]
         self._age()
         return list(map(b"".join, out))
 
@@ -299,17 +319,6 @@ def read_spec(path: str) -> bytes:
         return f.read()
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of a batch whose texts hold about ``most`` characters, with these."""
-    texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most or i + 1 == len(texts):
-            yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-            start, size = i + 1, 0
-
-
 def encode(df: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` with ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens``."""
     spec = df.sparkSession.sparkContext.broadcast(read_spec(vocabulary))
@@ -318,7 +327,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(spec.value)
         for batch in batches:
-            for part, texts in slices(batch, text):
+            for part, texts in pieces(batch, text):
                 ids = own.encode_batch(texts)
                 cols = [part.column(part.schema.get_field_index(k)) for k in keep]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], [*keep, "ids", "n_tokens"])
@@ -351,7 +360,7 @@ def digests(df: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(spec.value)
         for batch in batches:
-            for part, texts in slices(batch, "text"):
+            for part, texts in pieces(batch, "text"):
                 ids = own.encode_batch(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
