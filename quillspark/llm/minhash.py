@@ -27,6 +27,8 @@ CHANCE = 0.169919487159739 / 2**MANTISSA_BITS
 MARGIN = 0.25
 #: (key, id) pairs that a task holds before it hands them on.
 HELD_PAIRS = 1 << 21
+#: Members of one key, and values of their sets, that are compared in one block.
+BLOCK_MEMBERS, BLOCK_VALUES = 2_000, 1_500_000
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -188,33 +190,71 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def linked(dealt: DataFrame, parts: int, sets_of: Callable[[DataFrame], DataFrame], percent: int, name: str) -> DataFrame | None:
+def _across(key: tuple, table: pa.Table) -> pa.Table:
+    """Links between the components that meet in a block of one key's members.
+
+    Each member outside the largest component counts, by one look-up of its values
+    among all members' values, what it shares with every other member. A link of
+    each pair of components is enough, so few rows leave the block.
+    """
+    ids, comps = table["id"].to_numpy(), table["c"].to_numpy()
+    percent = table["percent"][0].as_py()
+    sets = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    parent = {c: c for c in comps.tolist()}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    names, count = np.unique(comps, return_counts=True)
+    largest, a, b = names[count.argmax()], [], []
+    for i in np.flatnonzero(comps != largest):
+        first, last = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+        many = last - first
+        at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+        shared = np.bincount(owner[at], minlength=len(sets))
+        near = np.flatnonzero((100 * shared >= percent * (sizes + sizes[i] - shared)) & (comps != comps[i]))
+        for c, k in zip(*np.unique(comps[near], return_index=True), strict=True):
+            x, y = root(int(comps[i])), root(int(c))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                a.append(max(ids[i], ids[near[k]]))
+                b.append(min(ids[i], ids[near[k]]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def linked(dealt: DataFrame, parts: int, sets_of: Callable[[DataFrame], DataFrame], percent: int, name: str) -> DataFrame:
     """(node, component) of every id that has a link, from packed band pairs.
 
     First each id is verified against one other, the smallest it shares a key
     with; that settles groups of copies with one pair a member. Then, wherever a
-    key still holds several components, every pair across components is verified,
-    so no link that banding finds is lost. ``sets_of`` gives the sets of ids.
+    key still holds several components, their members are verified against each
+    other in blocks of bounded size, which give only the links that join
+    components; so no link that banding finds is lost. ``sets_of`` gives (id, n,
+    regs, hashes) of ids.
     """
     found = materialise(members(dealt, parts), f"{name}-members")
     pairs = materialise(found.filter("id <> lo").groupBy("id").agg(F.min("lo").alias("b")).select(F.col("id").alias("a"), "b"), f"{name}-pairs")
-    edges, known = _verified(pairs, sets_of, percent, name), None
+    sets = materialise(sets_of(found.select("id").distinct()), f"{name}-sets")
+    edges = materialise(verify(pairs, sets, percent), f"{name}-edges")
     groups = components(edges, f"{name}-groups")
     of = found.join(small(groups, 16), found["id"] == groups["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = of.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("key")
-    across = materialise(of.join(mixed, "key"), f"{name}-across")
-    other = across.select("key", F.col("id").alias("b"), F.col("c").alias("d"))
-    rest = across.join(other, "key").filter("c < d").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-    rest = materialise(rest.join(pairs, ["a", "b"], "left_anti"), f"{name}-rest")
-    more = _verified(rest, sets_of, percent, name)
-    known = components(edges.union(more), f"{name}-groups")
-    release(found, across, pairs, rest)
-    return known
-
-
-def _verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, name: str) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = materialise(sets_of(ids), f"{name}-sets")
-    edges = materialise(verify(pairs, sets, percent), f"{name}-edges")
-    release(sets)
-    return edges
+    of = of.join(sets.select("id", "n"), "id")
+    per_key = of.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m"), F.sum("n").alias("total"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("total") / BLOCK_VALUES)).cast("int")
+    mixed = per_key.filter("x < y").select("key", blocks.alias("blocks"))
+    rest = of.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = materialise(rest.select("key", "id", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), f"{name}-rest")
+    rows = rest.join(sets.select("id", "hashes"), "id").withColumn("percent", F.lit(percent))
+    more = materialise(rows.groupBy("key", "i", "j").applyInArrow(_across, "a long, b long"), f"{name}-more")
+    out = components(edges.union(more), f"{name}-groups")
+    release(found, pairs, sets, rest)
+    return out
+
+

@@ -104,11 +104,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
                         continue
                     regs = registers(np.concatenate(sets), sizes[some], BANDS * ROWS)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(some)), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([sets[i].tobytes() for i in some], pa.binary())],
-                        ["id", "regs", "hashes"],
+                        [part.column(0).take(pa.array(some)), pa.array(sizes[some]), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([sets[i].tobytes() for i in some], pa.binary())],
+                        ["id", "n", "regs", "hashes"],
                     )
 
-        return docs.join(small(ids, 16), "id", "left_semi").mapInArrow(run, "id long, regs binary, hashes binary")
+        return docs.join(small(ids, 16), "id", "left_semi").mapInArrow(run, "id long, n long, regs binary, hashes binary")
 
     groups = linked(dealt, parts, sets_of, percent, "near")
     rep = nodes.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
