@@ -28,11 +28,14 @@ from pyspark.sql import DataFrame
 
 from .common import pieces
 
-#: Words in a generation of a Python worker's cache; the two latest are kept.
-CACHE_WORDS = 700_000
+#: A run of characters without white space: bytes if it is Latin-1, else a string.
+Chunk = bytes | str
+#: Chunks in a generation of a Python worker's cache; the two latest are kept.
+CACHE_CHUNKS = 800_000
 assert sys.byteorder == "little" and array("I").itemsize == 4
 NEVER = np.int64(1 << 40)
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \xa0\p{L}\p{N}]+")
+_LATIN_LOWER = bytes(0x20 if i in (0x85, 0xA0) else ord(chr(i).lower()) for i in range(256))
 #: Texts within these ranges are normalised here; others by the library's own rules.
 _PLAIN = regex.compile(r"[\x00-\x1b\x20-\x84\x86-įĲ-ſ‐-‧‰-⁞₠-₿]*")
 
@@ -42,9 +45,9 @@ class _Known(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.asked: list[str] = []
+        self.asked: list[Chunk] = []
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, chunk: Chunk) -> bytes:
         self.asked.append(chunk)
         return b""
 
@@ -90,9 +93,8 @@ class Codec:
                 self._length[z] = self._length[self._left[z]] + self._length[self._right[z]]
         self._reachable = self._reach()
         self._proposals = self._automaton()
-        self._cache: dict[str, bytes] = {}
-        self._chunk_ids = _Known()
-        self._old: dict[str, bytes] = {}
+        self._known = _Known()
+        self._old: dict[Chunk, bytes] = {}
 
     # -- building ---------------------------------------------------------
 
@@ -192,9 +194,9 @@ class Codec:
             offer(i)
         return [i for i in ids if i >= 0]
 
-    def _encode_words(self, words: list[str]) -> None:
-        """Adds the words (none of them empty) to the cache."""
-        spelled = [w.encode() for w in words]
+    def _encode_words(self, words: list[Chunk]) -> None:
+        """Adds the words (none of them empty) to those known."""
+        spelled = [(w.decode("latin-1") if isinstance(w, bytes) else w).encode() for w in words]
         ends = np.cumsum(np.fromiter(map(len, spelled), np.int64, len(words)))
         raw = np.frombuffer(b"".join(spelled), np.uint8)
         symbols = self._inner[raw]
@@ -213,7 +215,7 @@ class Codec:
         good = self._compatible(pairs >> 20, pairs & 0xFFFFF)
         failed[of[inside[~good[back]]]] = True
         first = np.searchsorted(of, np.arange(len(words) + 1)).tolist()
-        packed, cache = ids.astype("<u4").tobytes(), self._cache
+        packed, cache = ids.astype("<u4").tobytes(), self._known
         for i, w in enumerate(words):
             cache[w] = packed[4 * first[i] : 4 * first[i + 1]]
         for i in np.flatnonzero(failed).tolist():
@@ -222,40 +224,55 @@ class Codec:
 
     # -- the interface ----------------------------------------------------
 
-    def _chunks(self, text: str) -> list[str]:
-        """The text, normalised, split where white space or the library splits it."""
-        if not any(c in text for c in "\x1c\x1d\x1e\x1f") and (text.isascii() or _PLAIN.fullmatch(text := unicodedata.normalize("NFC", text))):
+    def _chunks(self, text: str) -> list[Chunk]:
+        """The text, normalised, split where white space or the library splits it.
+
+        Latin-1 texts are their own NFC and stay bytes of that code.
+        """
+        try:
+            return text.encode("latin-1").translate(_LATIN_LOWER).split()
+        except UnicodeEncodeError:
+            pass
+        if _PLAIN.fullmatch(text := unicodedata.normalize("NFC", text)):
             return text.lower().split()
         back = _letter_bytes()
         raw = self._pre.pre_tokenize_str(self._normal.normalize_str(text))
         return [bytes(back[c] for c in w).decode() for w, _ in raw]
 
-    def _encode_chunks(self, chunks: set[str]) -> None:
-        """Adds the chunks' ids to the cache; a chunk may hold several words."""
-        old, known, words = self._old, self._cache, self._chunk_ids
-        again = chunks & old.keys()
-        words.update(zip(again, map(old.__getitem__, again), strict=True))
-        new = chunks - again
-        single = set(filter(str.isalpha, new))
-        several = {c: _PIECES.findall(c) for c in new - single}
-        missing = single.union(*several.values()) - known.keys()
-        if missing:
-            self._encode_words(list(missing))
-        get = known.__getitem__
-        words.update(zip(single, map(get, single), strict=True))
-        words.update({c: b"".join(map(get, w)) for c, w in several.items()})
+    def _promote(self, chunks: set[Chunk]) -> set[Chunk]:
+        """Takes up what the older generation knows; gives the rest."""
+        again = chunks & self._old.keys()
+        self._known.update(zip(again, map(self._old.__getitem__, again), strict=True))
+        return chunks - again
+
+    def _encode_chunks(self, chunks: set[Chunk]) -> None:
+        """Adds the chunks' ids to those known; a chunk may hold several words."""
+        words: set[Chunk] = set()
+        several: dict[Chunk, list[Chunk]] = {}
+        for c in self._promote(chunks):
+            if isinstance(c, bytes):
+                text = c.decode("latin-1")
+                if text.isalpha():
+                    words.add(c)
+                else:
+                    several[c] = [w.encode("latin-1") for w in _PIECES.findall(text)]
+            else:
+                several[c] = _PIECES.findall(c)
+        words |= self._promote(set().union(*several.values()) - self._known.keys() - words)
+        if words:
+            self._encode_words(list(words))
+        get = self._known.__getitem__
+        self._known.update({c: b"".join(map(get, w)) for c, w in several.items()})
 
     def _age(self) -> None:
-        if len(self._chunk_ids) > CACHE_WORDS:
-            self._old, self._chunk_ids = self._chunk_ids, _Known()
-        if len(self._cache) > CACHE_WORDS:
-            self._cache.clear()
+        if len(self._known) > CACHE_CHUNKS:
+            self._old, self._known = self._known, _Known()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        known = self._chunk_ids
+        known = self._known
         out: list[list[bytes]] = []
-        wanted: list[tuple[list, int, list[str], int]] = []
+        wanted: list[tuple[list, int, list[Chunk], int]] = []
         for text in texts:
             parts: list[bytes] = []
             spans = [text] if text else []
