@@ -75,17 +75,25 @@ def _deal(parts: int):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
-        low = [x.lower() for x in batch.column(1).to_pylist()]
-        for a in range(0, len(low), 256):
-            part = low[a : a + 256]
-            values, number = shingle_values(part)
-            regs = registers(values, number, BANDS * ROWS)
-            sets = [np.unique(v) for v in np.split(values, np.cumsum(number)[:-1])]
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["id", "n", "regs", "hashes"],
-            )
+        lines = batch.column(1).to_pylist()
+        for a in range(0, len(lines), 512):
+            keep = [i for i in range(a, min(a + 512, len(lines))) if len(lines[i].lower()) >= SHINGLE]
+            if keep:
+                part = [lines[i].lower() for i in keep]
+                values, number = shingle_values(part)
+                regs = registers(values, number, BANDS * ROWS)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(keep)), pa.array(number), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([x.encode() for x in part], pa.binary())],
+                    ["id", "n", "regs", "item"],
+                )
+
+
+def _values(items: list[bytes]) -> list[np.ndarray]:
+    """The sets of lines, all of SHINGLE or more characters."""
+    if not items:
+        return []
+    values, number = shingle_values([x.decode() for x in items])
+    return [np.unique(v) for v in np.split(values, np.cumsum(number)[:-1])]
 
 
 def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -100,9 +108,9 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     def sets_of(ids: DataFrame) -> DataFrame:
         hit = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line").alias("id"), "line")
         hit = hit.filter(F.length("line") >= SHINGLE).join(small(ids, 8), "id", "left_semi")
-        return hit.groupBy("id").agg(F.first("line").alias("line")).mapInArrow(_sets, "id long, n long, regs binary, hashes binary")
+        return hit.groupBy("id").agg(F.first("line").alias("line")).mapInArrow(_sets, "id long, n long, regs binary, item binary")
 
-    groups = linked(dealt, parts, sets_of, percent, "line")
+    groups = linked(dealt, parts, sets_of, _values, percent, "line")
     place = F.struct(F.col("doc").isNotNull().alias("known"), F.col("doc").alias("doc"), F.col("pos").alias("pos"))
     firsts = lines.groupBy("id").agg(F.count("*").alias("copies"), F.min(place).alias("first"))
     grouped = firsts.join(groups, firsts["id"] == groups["node"], "left").filter("copies > 1 or node is not null")

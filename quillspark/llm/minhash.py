@@ -158,77 +158,83 @@ def members(dealt: DataFrame, parts: int) -> DataFrame:
     return dealt.repartition(parts, "part").mapInArrow(run, "key long, id long, lo long")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+Values = Callable[[list[bytes]], list[np.ndarray]]
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, values: Values) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union.
 
-    ``sets`` has id, regs and hashes (sorted distinct 64-bit values). Pairs whose
-    corrected estimate is far below the threshold are left out first.
+    ``sets`` has id, regs and item, of which ``values`` makes sorted distinct 64-bit
+    values. Pairs whose corrected estimate is far below the threshold are left out
+    first.
     """
     least = percent / 100 - MARGIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, ra, rb, sa, sb = (batch.column(i).to_pylist() for i in range(6))
-            keep = []
-            for i in range(len(a)):
-                near = estimate(np.frombuffer(ra[i], np.uint16), np.frombuffer(rb[i], np.uint16))
-                if near < least:
-                    continue
-                x, y = np.frombuffer(sa[i], np.uint64), np.frombuffer(sb[i], np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(x) + len(y) - shared):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
-
-    left = sets.select(F.col("id").alias("a"), F.col("regs").alias("ra"), F.col("hashes").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("regs").alias("rb"), F.col("hashes").alias("sb"))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                near = np.array([float(estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16))) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
+                batch = batch.take(pa.array(np.flatnonzero(near >= least)))
+                keep = []
+                for i, (x, y) in enumerate(zip(values(batch.column(4).to_pylist()), values(batch.column(5).to_pylist()), strict=True)):
+                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                        continue
+                    both = np.concatenate([x, y])
+                    both.sort()
+                    shared = int((both[1:] == both[:-1]).sum())
+                    if 100 * shared >= percent * (len(x) + len(y) - shared):
+                        keep.append(i)
+                yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    left = sets.select(F.col("id").alias("a"), F.col("regs").alias("ra"), F.col("item").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("regs").alias("rb"), F.col("item").alias("sb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "sa", "sb")
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _across(key: tuple, table: pa.Table) -> pa.Table:
+def _across(percent: int, values: Values):
     """Links between the components that meet in a block of one key's members.
 
     Each member outside the largest component counts, by one look-up of its values
     among all members' values, what it shares with every other member. A link of
     each pair of components is enough, so few rows leave the block.
     """
-    ids, comps = table["id"].to_numpy(), table["c"].to_numpy()
-    percent = table["percent"][0].as_py()
-    sets = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
-    sizes = np.array([len(x) for x in sets], np.int64)
-    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    parent = {c: c for c in comps.tolist()}
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    names, count = np.unique(comps, return_counts=True)
-    largest, a, b = names[count.argmax()], [], []
-    for i in np.flatnonzero(comps != largest):
-        first, last = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
-        many = last - first
-        at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
-        shared = np.bincount(owner[at], minlength=len(sets))
-        near = np.flatnonzero((100 * shared >= percent * (sizes + sizes[i] - shared)) & (comps != comps[i]))
-        for c, k in zip(*np.unique(comps[near], return_index=True), strict=True):
-            x, y = root(int(comps[i])), root(int(c))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                a.append(max(ids[i], ids[near[k]]))
-                b.append(min(ids[i], ids[near[k]]))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def linked(dealt: DataFrame, parts: int, sets_of: Callable[[DataFrame], DataFrame], percent: int, name: str) -> DataFrame:
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ids, comps = table["id"].to_numpy(), table["c"].to_numpy()
+        sets = values(table["item"].to_pylist())
+        sizes = np.array([len(x) for x in sets], np.int64)
+        known, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(known, kind="stable")
+        known, owner = known[order], owner[order]
+        parent = {c: c for c in comps.tolist()}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        names, count = np.unique(comps, return_counts=True)
+        largest, a, b = names[count.argmax()], [], []
+        for i in np.flatnonzero(comps != largest):
+            first, last = np.searchsorted(known, sets[i], "left"), np.searchsorted(known, sets[i], "right")
+            many = last - first
+            at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+            shared = np.bincount(owner[at], minlength=len(sets))
+            near = np.flatnonzero((100 * shared >= percent * (sizes + sizes[i] - shared)) & (comps != comps[i]))
+            for c, k in zip(*np.unique(comps[near], return_index=True), strict=True):
+                x, y = root(int(comps[i])), root(int(c))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    a.append(max(ids[i], ids[near[k]]))
+                    b.append(min(ids[i], ids[near[k]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def linked(dealt: DataFrame, parts: int, sets_of: Callable[[DataFrame], DataFrame], values: Values, percent: int, name: str) -> DataFrame:
     """(node, component) of every id that has a link, from packed band pairs.
 
     First each id is verified against one other, the smallest it shares a key
@@ -236,12 +242,12 @@ def linked(dealt: DataFrame, parts: int, sets_of: Callable[[DataFrame], DataFram
     key still holds several components, their members are verified against each
     other in blocks of bounded size, which give only the links that join
     components; so no link that banding finds is lost. ``sets_of`` gives (id, n,
-    regs, hashes) of ids.
+    regs, item) of ids: a set's size, sketch, and what ``values`` makes its values of.
     """
     found = materialise(members(dealt, parts), f"{name}-members")
     pairs = materialise(found.filter("id <> lo").groupBy("id").agg(F.min("lo").alias("b")).select(F.col("id").alias("a"), "b"), f"{name}-pairs")
     sets = materialise(sets_of(found.select("id").distinct()), f"{name}-sets")
-    edges = materialise(verify(pairs, sets, percent), f"{name}-edges")
+    edges = materialise(verify(pairs, sets, percent, values), f"{name}-edges")
     groups = components(edges, f"{name}-groups")
     of = found.join(small(groups, 16), found["id"] == groups["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     of = of.join(sets.select("id", "n"), "id")
@@ -251,10 +257,8 @@ def linked(dealt: DataFrame, parts: int, sets_of: Callable[[DataFrame], DataFram
     rest = of.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = materialise(rest.select("key", "id", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), f"{name}-rest")
-    rows = rest.join(sets.select("id", "hashes"), "id").withColumn("percent", F.lit(percent))
-    more = materialise(rows.groupBy("key", "i", "j").applyInArrow(_across, "a long, b long"), f"{name}-more")
+    rows = rest.join(sets.select("id", "item"), "id")
+    more = materialise(rows.groupBy("key", "i", "j").applyInArrow(_across(percent, values), "a long, b long"), f"{name}-more")
     out = components(edges.union(more), f"{name}-groups")
     release(found, pairs, sets, rest)
     return out
-
-

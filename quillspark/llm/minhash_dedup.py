@@ -83,6 +83,10 @@ def _deal(parts: int):
     return run
 
 
+def _values(items: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in items]
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``df``."""
     spark = df.sparkSession
@@ -105,12 +109,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
                     regs = registers(np.concatenate(sets), sizes[some], BANDS * ROWS)
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(pa.array(some)), pa.array(sizes[some]), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([sets[i].tobytes() for i in some], pa.binary())],
-                        ["id", "n", "regs", "hashes"],
+                        ["id", "n", "regs", "item"],
                     )
 
-        return docs.join(small(ids, 16), "id", "left_semi").mapInArrow(run, "id long, n long, regs binary, hashes binary")
+        return docs.join(small(ids, 16), "id", "left_semi").mapInArrow(run, "id long, n long, regs binary, item binary")
 
-    groups = linked(dealt, parts, sets_of, percent, "near")
+    groups = linked(dealt, parts, sets_of, _values, percent, "near")
     rep = nodes.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     rows = sketches.select("id", "n", "d1", "d2").join(rep, ["d1", "d2"], "left")
     rows = rows.join(groups, rows["rep"] == groups["node"], "left")

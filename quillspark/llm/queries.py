@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, minhash_dedup, packing, quality_rules, substring_dedup
+from . import bpe, html_main_text, line_dedup, minhash_dedup, packing, quality_rules, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), vocabulary(), room=4096, end_id=1)
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
@@ -51,5 +55,6 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_html_main_text": op8_html_main_text,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
