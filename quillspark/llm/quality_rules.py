@@ -145,11 +145,13 @@ def cascade_order(df: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) ->
 def judge(df: DataFrame, text: str = "text", order: list[str] | None = None) -> DataFrame:
     """``df`` with all measures, base_failed, rejected_by (the first rule that rejects) and kept."""
     order = order or [name for name, _, _ in cascade_order(df, text)]
-    failure = F.lit(None).cast("string")
-    for name in reversed(order):
-        failure = F.when(F.expr(RULES[name][1]), name).otherwise(failure)
+    # As in ``keep``, the marker stops a later filter from moving below the measures.
+    failure = F.when(F.col("q_mark") < 0, "unmarked")
+    for name in order:
+        failure = failure.when(F.expr(RULES[name][1]), name)
     base = " OR ".join(f"({RULES[name][1]})" for name in BASE)
-    return measures(df, text).withColumns({"base_failed": F.expr(base), "rejected_by": failure}).withColumn("kept", F.col("rejected_by").isNull())
+    marked = measures(df, text).withColumn("q_mark", F.monotonically_increasing_id())
+    return marked.withColumns({"base_failed": F.expr(base), "rejected_by": failure}).withColumn("kept", F.col("rejected_by").isNull()).drop("q_mark")
 
 
 def keep(df: DataFrame, text: str = "text", order: list[str] | None = None) -> DataFrame:
@@ -157,11 +159,12 @@ def keep(df: DataFrame, text: str = "text", order: list[str] | None = None) -> D
 
     One filter per rule, in the cascade's order. A rule's measures are computed
     above the filters of earlier rules, so rejected texts cost nothing more; the
-    row marker keeps the optimizer from moving a filter below them.
+    row marker, which the filter must read, keeps the optimizer from moving a filter
+    below them and working everything out anew for each mention.
     """
     order = order or [name for name, _, _ in cascade_order(df, text)]
     out, have = df.select(F.struct(*df.columns).alias("q_row"), F.col(text).alias("q_source")), set()
     for name in order:
         needs, rejects = RULES[name]
-        out = _with(out, needs, "q_source", have).withColumn("q_mark", F.monotonically_increasing_id()).filter(f"NOT ({rejects})")
+        out = _with(out, needs, "q_source", have).withColumn("q_mark", F.monotonically_increasing_id()).filter(f"q_mark >= 0 AND NOT ({rejects})")
     return out.select("q_row.*")
