@@ -112,14 +112,16 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
 
     groups = linked(dealt, parts, sets_of, _values, percent, "line")
     place = F.struct(F.col("doc").isNotNull().alias("known"), F.col("doc").alias("doc"), F.col("pos").alias("pos"))
-    firsts = lines.groupBy("id").agg(F.count("*").alias("copies"), F.min(place).alias("first"))
-    grouped = firsts.join(groups, firsts["id"] == groups["node"], "left").filter("copies > 1 or node is not null")
+    copied = lines.groupBy("id").count().filter("count > 1").select("id")
+    wanted = materialise(copied.union(groups.select("node")).distinct(), "line-wanted")
+    firsts = lines.join(small(wanted, 8), "id", "left_semi").groupBy("id").agg(F.min(place).alias("first"))
+    grouped = firsts.join(groups, firsts["id"] == groups["node"], "left")
     grouped = materialise(grouped.select("id", F.coalesce("component", "id").alias("c"), "first"), "line-firsts")
     keeper = grouped.groupBy("c").agg(F.min("first").alias("keeper"))
     plan = materialise(grouped.join(keeper, "c").select("id", F.col("keeper.doc").alias("kept_doc"), F.col("keeper.pos").alias("kept_pos")), "line-keepers")
     hits = lines.join(small(plan, 32), "id").filter("NOT (doc <=> kept_doc AND pos = kept_pos)")
     out = materialise(hits.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "line-gone")
-    release(lines, grouped, plan)
+    release(lines, wanted, grouped, plan)
     return out
 
 

@@ -234,12 +234,19 @@ def _across(percent: int, values: Values):
     return run
 
 
+def _component(df: DataFrame, of: str, groups: DataFrame, name: str) -> DataFrame:
+    """``df`` with the component of column ``of``, itself if it has none."""
+    named = groups.select(F.col("node").alias(of), F.col("component").alias(name))
+    return df.join(small(named, 16), of, "left").withColumn(name, F.coalesce(name, of))
+
+
 def linked(dealt: DataFrame, parts: int, sets_of: Callable[[DataFrame], DataFrame], values: Values, percent: int, name: str) -> DataFrame:
     """(node, component) of every id that has a link, from packed band pairs.
 
     First each id is verified against one other, the smallest it shares a key
-    with; that settles groups of copies with one pair a member. Then, wherever a
-    key still holds several components, their members are verified against each
+    with; that settles groups of copies with one pair a member. Next come the
+    smallest ids of its other keys, where they are of another component. Then,
+    wherever a key still holds several components, their members are verified against each
     other in blocks of bounded size, which give only the links that join
     components; so no link that banding finds is lost. ``sets_of`` gives (id, n,
     regs, item) of ids: a set's size, sketch, and what ``values`` makes its values of.
@@ -249,7 +256,11 @@ def linked(dealt: DataFrame, parts: int, sets_of: Callable[[DataFrame], DataFram
     sets = materialise(sets_of(found.select("id").distinct()), f"{name}-sets")
     edges = materialise(verify(pairs, sets, percent, values), f"{name}-edges")
     groups = components(edges, f"{name}-groups")
-    of = found.join(small(groups, 16), found["id"] == groups["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    star = _component(_component(found.filter("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b")).distinct(), "a", groups, "c"), "b", groups, "d")
+    star = star.filter("c <> d").select("a", "b").join(pairs, ["a", "b"], "left_anti")
+    edges = edges.union(materialise(verify(star, sets, percent, values), f"{name}-star"))
+    groups = components(edges, f"{name}-groups")
+    of = _component(found.select("key", "id"), "id", groups, "c")
     of = of.join(sets.select("id", "n"), "id")
     per_key = of.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m"), F.sum("n").alias("total"))
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("total") / BLOCK_VALUES)).cast("int")
