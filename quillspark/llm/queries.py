@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, html_main_text, line_dedup, minhash_dedup, packing, quality_rules, substring_dedup, toxicity
+from . import ann, bpe, html_main_text, license_scan, line_dedup, minhash_dedup, packing, quality_rules, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +38,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -53,13 +58,19 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_html_main_text": op8_html_main_text,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_license_scan": op10_license_scan,
 }
