@@ -26,7 +26,7 @@ CHANCE = 0.169919487159739 / 2**MANTISSA_BITS
 #: five standard deviations of the estimate with 100 registers.
 MARGIN = 0.25
 #: (key, id) pairs that a task holds before it hands them on.
-HELD_PAIRS = 1 << 21
+HELD_PAIRS = 1 << 19
 #: Members of one key, and values of their sets, that are compared in one block.
 BLOCK_MEMBERS, BLOCK_VALUES = 2_000, 1_500_000
 _EMPTY = np.uint32(0xFFFFFFFF)
