@@ -34,6 +34,8 @@ SAMPLE, BRANCHES, LEAF = 20_000, 16, 64
 CALIBRATION, RECALL = 100, 0.97
 #: Vectors in a packed block of a leaf.
 BLOCK = 2_000
+#: Answers that a task holds before it cuts them to each query's nearest.
+HELD_ANSWERS = 200_000
 
 
 class Tree(NamedTuple):
@@ -150,18 +152,35 @@ def _best(query: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, k: int) -
     return ids[keep], d[keep]
 
 
-def _answers(queries: list[tuple[int, np.ndarray]], leaf: int, ids: bytes, vectors: bytes, dim: int, k: int) -> Iterator[tuple[int, int, float, int]]:
-    own, x = np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<f8").reshape(-1, dim)
-    for q, v in queries:
-        for i, d in zip(*(a.tolist() for a in _best(v, q, own, x, k)), strict=True):
-            yield q, i, d, leaf
+class _Answers:
+    """What a task's blocks answer, cut to each query's k nearest again and again."""
 
+    def __init__(self, dim: int, k: int):
+        self.dim, self.k, self.held, self.n = dim, k, [], 0
 
-_ANSWER = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("leaf", pa.int64())])
+    def add(self, queries: list[tuple[int, np.ndarray]], leaf: int, ids: bytes, vectors: bytes) -> None:
+        own, x = np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<f8").reshape(-1, self.dim)
+        for q, v in queries:
+            found, d = _best(v, q, own, x, self.k)
+            self.held.append((np.full(len(found), q), found, d, np.full(len(found), leaf)))
+            self.n += len(found)
+        if self.n > HELD_ANSWERS:
+            self._cut()
 
+    def _cut(self) -> None:
+        query, ids, d, leaf = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        order = np.lexsort((ids, d, query))
+        query, ids, d, leaf = query[order], ids[order], d[order], leaf[order]
+        first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+        keep = rank < self.k
+        self.held = [(query[keep], ids[keep], d[keep], leaf[keep])]
+        self.n = int(keep.sum())
 
-def _rows(found: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(_ANSWER)], schema=_ANSWER)
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            self._cut()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(self.held[0], (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["query_id", "vec_id", "score", "leaf"])
 
 
 def _top(answers: DataFrame, k: int) -> DataFrame:
@@ -197,10 +216,11 @@ def search(df: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id",
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in packed], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["leaf", "queries", "places"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Answers(dim, k)
         for batch in batches:
             for leaf, q, p, ids, x in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                own = list(zip(np.frombuffer(q, "<i8").tolist(), np.frombuffer(p, "<f8").reshape(-1, dim), strict=True))
-                yield _rows(list(_answers(own, leaf, ids, x, dim, k)))
+                held.add(list(zip(np.frombuffer(q, "<i8").tolist(), np.frombuffer(p, "<f8").reshape(-1, dim), strict=True)), leaf, ids, x)
+        yield from held.rows()
 
     plan = asked.mapInArrow(visit, "leaf long, queries binary, places binary")
     joined = plan.join(index, "leaf").select("leaf", "queries", "places", "ids", "vectors")
@@ -212,9 +232,11 @@ def _calibrated(index: DataFrame, tree: Tree, sample: list[tuple[int, np.ndarray
     """The number of leaves to visit for the recall, from the sample's true neighbours."""
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Answers(dim, k)
         for batch in batches:
             for leaf, ids, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                yield _rows(list(_answers(sample, leaf, ids, x, dim, k)))
+                held.add(sample, leaf, ids, x)
+        yield from held.rows()
 
     if not sample:
         return 1
