@@ -31,6 +31,8 @@ MASK_BITS, LEAST, MOST, WINDOW = 3, 4, 32, 4
 #: Words of a run of repeated chunks that is removed. A repeated passage of over 50
 #: words loses fewer than MOST of them to chunks that reach over its ends.
 MIN_WORDS = 20
+#: Chunks that a task holds before it hands them on.
+HELD_CHUNKS = 1 << 17
 _WORD = regex.compile(rb"[^ \t-\r]+")
 
 
@@ -104,7 +106,7 @@ def _chunks(parts: int):
                         numbers.append(k)
                         last = e
                     at += 1
-                if len(digests) > 1 << 20:
+                if len(digests) > HELD_CHUNKS:
                     yield from flush()
         yield from flush()
 
