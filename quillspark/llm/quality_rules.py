@@ -63,7 +63,7 @@ def _made(name: str, text: str) -> Column:
         return F.transform("q_words", lambda w: F.xxhash64(w))
     if name == "q_windows":
         starts = F.sequence(F.lit(1), F.greatest(F.size("q_hashes") - (WINDOW - 1), F.lit(1)))
-        return F.when(F.size("q_hashes") > WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice("q_hashes", i, WINDOW))))
+        return F.when(F.size("q_hashes") > WINDOW, F.transform(starts, lambda i: F.xxhash64(*[F.get("q_hashes", i + (k - 1)) for k in range(WINDOW)])))
     if name == "q_repeats":
         return F.coalesce(F.size(F.array_distinct("q_windows")) < F.size("q_windows"), F.lit(False))
     if name == "q_sorted":
