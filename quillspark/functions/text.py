@@ -49,18 +49,26 @@ def without_stopwords(words: Column, stop: Sequence[str] = STOPWORDS, kept: Sequ
 def ngrams(words: Column, n: int) -> Column:
     """All runs of n words, joined by blanks."""
     starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - F.lit(n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + (k - 1)) for k in range(n)]))
 
 
-def ngrams_up_to(words: Column, most: int) -> Column:
-    """n-grams of 1 to ``most`` words, of words with two or more characters."""
-    kept = F.filter(words, lambda w: F.length(w) >= 2)
-    return F.concat(*[ngrams(kept, n) for n in range(1, most + 1)])
+def with_ngrams(df: DataFrame, words: str, most: int, name: str = "terms") -> DataFrame:
+    """``df`` with the n-grams of 1 to ``most`` words, of words with two or more characters.
+
+    The words are a column of their own first: an expression inside the functions
+    over arrays would be worked out anew for each of their elements.
+    """
+    kept = df.withColumn("_kept", F.filter(words, lambda w: F.length(w) >= 2))
+    return kept.withColumn(name, F.concat(*[ngrams(F.col("_kept"), n) for n in range(1, most + 1)])).drop("_kept")
 
 
 def term_counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(key, term, n): how often a row has a term."""
-    return df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    """(key, term, n): how often a row has a term.
+
+    The outer explode keeps the optimizer from putting a filter on the size of the
+    terms, with all that they are made of, below everything else.
+    """
+    return df.select(key, F.explode_outer(terms).alias("term")).filter("term IS NOT NULL").groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
 def top_terms(counts: DataFrame, size: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries over the test tables, and their SQL."""
 
-from . import relational
+from . import evaluation, features, relational, textual
 
-QUERIES = {**relational.QUERIES}
-ORACLE_SQL = {**relational.SQL}
+QUERIES = {**relational.QUERIES, **textual.QUERIES, **features.QUERIES, **evaluation.QUERIES}
+ORACLE_SQL = {**relational.SQL, **textual.SQL, **features.SQL, **evaluation.SQL}
