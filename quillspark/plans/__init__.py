@@ -1,6 +1,6 @@
 """Registered queries over the test tables, and their SQL."""
 
-from . import evaluation, features, relational, textual
+from . import evaluation, features, modelling, relational, textual
 
-QUERIES = {**relational.QUERIES, **textual.QUERIES, **features.QUERIES, **evaluation.QUERIES}
+QUERIES = {**relational.QUERIES, **textual.QUERIES, **features.QUERIES, **evaluation.QUERIES, **modelling.QUERIES}
 ORACLE_SQL = {**relational.SQL, **textual.SQL, **features.SQL, **evaluation.SQL}
