@@ -120,7 +120,7 @@ def region(lengths: list[int]) -> tuple[int, int]:
     sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
     best, start, most = (0, 0), None, 0
     for i in range(n + 1):
-        if start is None and i < n and sums[i] >= SURGE and lengths[i]:
+        if start is None and i < n and sums[i] >= SURGE and lengths[i] >= SURGE // WINDOW:
             start = i
         elif start is not None and (i == n or sums[i] < SURGE and lengths[i] < SURGE // WINDOW):
             total = sum(lengths[start:i])

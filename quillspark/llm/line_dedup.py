@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, pieces, release, small
+from .common import BROADCAST_BYTES, materialise, mix, pieces, release, small
 from .minhash import Dealer, band_keys, linked, registers
 
 SHINGLE = 8
@@ -129,12 +129,12 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", perce
     """``df`` with ``text`` freed of repeated lines, and n_lines and n_removed_lines."""
     gone = removals(df, doc_id, text, percent)
     size = gone.agg(F.count("*") * 24 + F.coalesce(F.sum(F.size("gone")), F.lit(0)) * 4).first()[0]
-    gone = gone.withColumnRenamed("doc", "gone_doc")
-    joined = df.join(F.broadcast(gone) if size <= 32 << 20 else gone, df[doc_id].eqNullSafe(F.col("gone_doc")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    gone = gone.select(F.col("doc").alias("quill_doc"), F.col("gone").alias("quill_gone"))
+    joined = df.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, df[doc_id].eqNullSafe(F.col("quill_doc")), "left")
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("quill_gone", i)), "\n")
     columns = {
         "n_lines": F.coalesce(F.size(F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(WORDS_LINE))), F.lit(0)).cast("long"),
-        "n_removed_lines": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
-        text: F.when(F.col("gone").isNull(), F.col(text)).otherwise(kept),
+        "n_removed_lines": F.coalesce(F.size("quill_gone"), F.lit(0)).cast("long"),
+        text: F.when(F.col("quill_gone").isNull(), F.col(text)).otherwise(kept),
     }
     return joined.select(*[c for c in df.columns if c not in columns], *[v.alias(k) for k, v in columns.items()])

@@ -125,6 +125,6 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df`` of the smallest id of each group of near-duplicates."""
-    gone = near_duplicates(df, doc_id, text, shingle, percent).filter("NOT kept").select(F.col(doc_id).alias("gone")).distinct()
+    gone = near_duplicates(df, doc_id, text, shingle, percent).filter("NOT kept").select(F.col(doc_id).alias("quill_gone")).distinct()
     gone = small(materialise(gone, "gone"), 8)
-    return df.join(gone, df[doc_id] == F.col("gone"), "left_anti")
+    return df.join(gone, df[doc_id] == F.col("quill_gone"), "left_anti")

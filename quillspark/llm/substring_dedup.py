@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, pieces
+from .common import BROADCAST_BYTES, materialise, mix, pieces
 
 #: A border falls after a word with probability 1 / 2**MASK_BITS; chunks have these
 #: numbers of words. The gear hash forgets a word after WINDOW words.
@@ -193,7 +193,7 @@ def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # A document's lists of numbers, one from each task at most.
     marks = materialise(repeated.groupBy("doc").agg(F.collect_list("numbers").alias("numbers")), "chunk-marks")
     size = marks.agg(F.count("*") * 32 + F.coalesce(F.sum(F.aggregate("numbers", F.lit(0), lambda a, x: a + F.length(x))), F.lit(0))).first()[0]
-    marks = F.broadcast(marks) if size <= 32 << 20 else marks
+    marks = F.broadcast(marks) if size <= BROADCAST_BYTES else marks
     others = [c for c in df.columns if c not in (text, "n_chunks", "n_removed_words")]
     keyed = df.select(F.struct(*[F.col(c) for c in others]).alias("row"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL)).alias("key"))
     joined = keyed.join(marks, keyed["key"] == marks["doc"], "left").select("row", "text", "numbers")
