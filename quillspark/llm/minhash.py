@@ -29,6 +29,8 @@ MARGIN = 0.25
 HELD_PAIRS = 1 << 19
 #: Members of one key, and values of their sets, that are compared in one block.
 BLOCK_MEMBERS, BLOCK_VALUES = 2_000, 1_500_000
+#: Values of a key's members that are few enough to be packed in one row.
+SMALL_VALUES = 3_000
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -178,12 +180,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, values: Values) -> D
                 batch = batch.take(pa.array(np.flatnonzero(near >= least)))
                 keep = []
                 for i, (x, y) in enumerate(zip(values(batch.column(4).to_pylist()), values(batch.column(5).to_pylist()), strict=True)):
-                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                        continue
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    shared = int((both[1:] == both[:-1]).sum())
-                    if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    if _similar(x, y, percent):
                         keep.append(i)
                 yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -234,6 +231,43 @@ def _across(percent: int, values: Values):
     return run
 
 
+def _across_small(percent: int, values: Values):
+    """The same for many small groups: rows hold a key's members as lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_024):
+                lists = whole.column(0).slice(at, 1_024)
+                flat = lists.flatten()
+                ids, comps = flat.field(0).to_pylist(), flat.field(1).to_pylist()
+                sets = values(flat.field(2).to_pylist())
+                ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+                a, b, first = [], [], 0
+                for last in ends:
+                    same = {c: c for c in comps[first:last]}
+                    for i in range(first, last):
+                        for j in range(first, i):
+                            if same[comps[i]] == same[comps[j]] or not _similar(sets[i], sets[j], percent):
+                                continue
+                            x, y = same[comps[i]], same[comps[j]]
+                            same = {c: min(x, y) if r in (x, y) else r for c, r in same.items()}
+                            a.append(max(ids[i], ids[j]))
+                            b.append(min(ids[i], ids[j]))
+                    first = last
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def _component(df: DataFrame, of: str, groups: DataFrame, name: str) -> DataFrame:
     """``df`` with the component of column ``of``, itself if it has none."""
     named = groups.select(F.col("node").alias(of), F.col("component").alias(name))
@@ -264,12 +298,14 @@ def linked(dealt: DataFrame, parts: int, sets_of: Callable[[DataFrame], DataFram
     of = of.join(sets.select("id", "n"), "id")
     per_key = of.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m"), F.sum("n").alias("total"))
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("total") / BLOCK_VALUES)).cast("int")
-    mixed = per_key.filter("x < y").select("key", blocks.alias("blocks"))
+    mixed = per_key.filter("x < y").select("key", blocks.alias("blocks"), (F.col("total") <= SMALL_VALUES).alias("small"))
     rest = of.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = materialise(rest.select("key", "id", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), f"{name}-rest")
+    rest = materialise(rest.select("key", "id", "c", "small", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), f"{name}-rest")
     rows = rest.join(sets.select("id", "item"), "id")
-    more = materialise(rows.groupBy("key", "i", "j").applyInArrow(_across(percent, values), "a long, b long"), f"{name}-more")
-    out = components(edges.union(more), f"{name}-groups")
+    packed = rows.filter("small").groupBy("key").agg(F.collect_list(F.struct("id", "c", "item")).alias("members")).select("members")
+    edges = edges.union(materialise(packed.mapInArrow(_across_small(percent, values), "a long, b long"), f"{name}-small"))
+    large = rows.filter("NOT small").groupBy("key", "i", "j").applyInArrow(_across(percent, values), "a long, b long")
+    out = components(edges.union(materialise(large, f"{name}-large")), f"{name}-groups")
     release(found, pairs, sets, rest)
     return out
