@@ -31,7 +31,7 @@ from .common import pieces
 #: A run of characters without white space: bytes if it is Latin-1, else a string.
 Chunk = bytes | str
 #: Chunks in a generation of a Python worker's cache; the two latest are kept.
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 600_000
 assert sys.byteorder == "little" and array("I").itemsize == 4
 NEVER = np.int64(1 << 40)
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \xa0\p{L}\p{N}]+")
@@ -268,6 +268,10 @@ class Codec:
         if len(self._known) > CACHE_CHUNKS:
             self._old, self._known = self._known, _Known()
 
+    def rest(self) -> None:
+        """At a task's end: lets go of the older generation, for the tasks of other operators."""
+        self._old = {}
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         known = self._known
@@ -348,6 +352,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str,
                 ids = own.encode_batch(texts)
                 cols = [part.column(part.schema.get_field_index(k)) for k in keep]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], [*keep, "ids", "n_tokens"])
+        own.rest()
 
     from pyspark.sql.types import BinaryType, LongType
 
@@ -388,5 +393,6 @@ def digests(df: DataFrame, vocabulary: str) -> DataFrame:
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        own.rest()
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -59,6 +59,7 @@ def cut(df: DataFrame, vocabulary: str, room: int, end_id: int = 1) -> DataFrame
                     [part.column(0).take(pa.array(of, pa.int64())), pa.array(k), pa.array(k.astype(np.int64) * room), pa.array(n), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        own.rest()
 
     found = df.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
     # The marker tells equal rows apart, so that copies spread over the islands.
