@@ -31,7 +31,8 @@ from .common import mix, pieces
 #: Rows that the model is fitted on, at most.
 POSITIVES, UNLABELLED = 1_500, 4_000
 GRAM, BITS = 5, 18
-LEAST_TEXTS, STEPS, RATE, DECAY = 8, 120, 0.05, 3e-4
+#: Chosen by folds of the teaching rows alone (toxicity_settings.py).
+LEAST_TEXTS, STEPS, RATE, DECAY = 16, 120, 0.05, 3e-4
 _SPACE = np.array([c if chr(c).isalpha() else 0x20 for c in range(0x250)], np.uint32)
 
 
@@ -55,11 +56,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
+def train(
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least_texts: int = LEAST_TEXTS, steps: int = STEPS, decay: float = DECAY
+) -> tuple[np.ndarray, float]:
     """Weights of all buckets, and the bias."""
     texts = positive + unlabelled
     count = np.bincount(np.concatenate(texts), minlength=1 << BITS)
-    kept = np.flatnonzero(count >= LEAST_TEXTS)
+    kept = np.flatnonzero(count >= least_texts)
     place = np.full(1 << BITS, -1, np.int64)
     place[kept] = np.arange(len(kept))
     row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
@@ -69,7 +72,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     n_p, n_u = len(positive), len(unlabelled)
     w, bias = np.zeros(len(kept)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
-    for step in range(1, STEPS + 1):
+    for step in range(1, steps + 1):
         z = np.bincount(row, w[col], len(texts)) + bias
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         loss_neg = np.logaddexp(0, z)
@@ -77,7 +80,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         pull = np.where(is_p, -prior * (1 - s) / n_p, 0.0)
         push = np.where(is_p, -prior * s / n_p, s / n_u)
         g = pull + push if negative >= 0 else -push
-        grad = np.r_[np.bincount(col, g[row], len(kept)) + DECAY * w, g.sum()]
+        grad = np.r_[np.bincount(col, g[row], len(kept)) + decay * w, g.sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w -= move[:-1]
