@@ -34,6 +34,8 @@ Chunk = bytes | str
 CACHE_CHUNKS = 600_000
 assert sys.byteorder == "little" and array("I").itemsize == 4
 NEVER = np.int64(1 << 40)
+#: Failing words of fewer symbols are merged many at a time.
+MATRIX_SYMBOLS = 32
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \xa0\p{L}\p{N}]+")
 _LATIN_LOWER = bytes(0x20 if i in (0x85, 0xA0) else ord(chr(i).lower()) for i in range(256))
 #: Texts within these ranges are normalised here; others by the library's own rules.
@@ -165,6 +167,38 @@ class Codec:
                 ranks[i] = get((ids[i], ids[i + 1]), never)
         return ids
 
+    def _merged_many(self, symbols: np.ndarray, ends: np.ndarray, size: np.ndarray) -> list[bytes]:
+        """The same for many short words at once, one word a row; each step merges one pair of every row."""
+        wide = int(size.max())
+        col = np.arange(wide + 1)
+        inside = col < size[:, None]
+        ids = np.where(inside, symbols[np.where(inside, (ends - size)[:, None] + col, 0)], -1)
+        rank = np.full(ids.shape, NEVER)
+        pairs = np.nonzero(inside[:, 1:])
+        rank[pairs] = self._pair_rank(ids[pairs], ids[pairs[0], pairs[1] + 1])
+        made, out, row = np.array(self._made, np.int64), [b""] * len(ids), np.arange(len(ids))
+        while len(row):
+            i = rank.argmin(axis=1)
+            best = rank[np.arange(len(row)), i]
+            ended = best == NEVER
+            if ended.any():
+                own = ids[ended].astype("<u4")
+                left = (ids[ended] >= 0).sum(axis=1).tolist()
+                for k, x, n in zip(row[ended].tolist(), own, left, strict=True):
+                    out[k] = x[:n].tobytes()
+                go = ~ended
+                ids, rank, row, i, best = ids[go], rank[go], row[go], i[go], best[go]
+            every = np.arange(len(row))
+            ids[every, i] = made[best - 1]
+            later = col[None, :-1]
+            ids[:, :-1] = np.take_along_axis(ids, later + (later > i[:, None]), 1)
+            rank[:, :-1] = np.take_along_axis(rank, later + (later >= i[:, None]), 1)
+            ids[:, -1], rank[:, -1] = -1, NEVER
+            rank[every, i] = self._pair_rank(ids[every, i], ids[every, i + 1])
+            left = i > 0
+            rank[every[left], i[left] - 1] = self._pair_rank(ids[every[left], i[left] - 1], ids[every[left], i[left]])
+        return out
+
     def _merged_long(self, symbols: list[int]) -> list[int]:
         """The same for long words, by a heap over a linked list."""
         import heapq
@@ -218,9 +252,17 @@ class Codec:
         packed, cache = ids.astype("<u4").tobytes(), self._known
         for i, w in enumerate(words):
             cache[w] = packed[4 * first[i] : 4 * first[i + 1]]
-        for i in np.flatnonzero(failed).tolist():
+        at = np.flatnonzero(failed)
+        size = np.diff(ends, prepend=0)[at]
+        for i in at[size >= MATRIX_SYMBOLS].tolist():
             own = symbols[(ends[i - 1] if i else 0) : ends[i]].tolist()
             cache[words[i]] = array("I", (self._merged if len(own) < 64 else self._merged_long)(own)).tobytes()
+        at = at[size < MATRIX_SYMBOLS]
+        at = at[np.argsort(size[size < MATRIX_SYMBOLS], kind="stable")]
+        for a in range(0, len(at), 1024):
+            part = at[a : a + 1024]
+            for i, ids in zip(part.tolist(), self._merged_many(symbols, ends[part], np.diff(ends, prepend=0)[part]), strict=True):
+                cache[words[i]] = ids
 
     # -- the interface ----------------------------------------------------
 
