@@ -104,7 +104,7 @@ def band_keys(regs: np.ndarray, bands: int) -> np.ndarray:
 
 
 class Dealer:
-    """Gathers (key, id) pairs and deals them out in packed, distinct rows by key."""
+    """Gathers (key, id) pairs and deals them out in packed rows by key, most repeats dropped."""
 
     def __init__(self, parts: int):
         self.parts, self.keys, self.ids, self.n = parts, [], [], 0
@@ -120,12 +120,12 @@ class Dealer:
         if not self.n:
             return
         keys, ids = np.concatenate(self.keys), np.concatenate(self.ids)
-        part = (keys.view(np.uint64) % np.uint64(self.parts)).astype(np.int32)
-        order = np.lexsort((ids, keys, part))
-        keys, ids, part = keys[order], ids[order], part[order]
+        # Ordered by their bits without sign, keys are ordered by task as well.
+        order = np.argsort(keys.view(np.uint64))
+        keys, ids = keys[order], ids[order]
         new = np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]
-        keys, ids, part = keys[new], ids[new], part[new]
-        part, first, last = _runs(part)
+        keys, ids = keys[new], ids[new]
+        part, first, last = _runs((((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(self.parts)) >> np.uint64(32)).astype(np.int32))
         packed = [np.concatenate([keys[a:b], ids[a:b]]).astype("<i8").tobytes() for a, b in zip(first, last, strict=True)]
         self.keys, self.ids, self.n = [], [], 0
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(packed, pa.binary())], ["part", "pairs"])
@@ -144,8 +144,15 @@ def members(dealt: DataFrame, parts: int) -> DataFrame:
         if not keys:
             return
         key, own = np.concatenate(keys), np.concatenate(ids)
+        order = np.argsort(key)
+        key, own = key[order], own[order]
+        again = key[1:] == key[:-1]
+        met = np.r_[again, False] | np.r_[False, again]
+        key, own = key[met], own[met]
         order = np.lexsort((own, key))
         key, own = key[order], own[order]
+        if not len(key):
+            return
         new_key = np.r_[True, key[1:] != key[:-1]]
         once = new_key | np.r_[True, own[1:] != own[:-1]]
         key, own, new_key = key[once], own[once], new_key[once]
