@@ -1,11 +1,19 @@
 """Substring deduplication by content-defined chunking.
 
-A gear rolling hash over the words of a text sets the borders of chunks, which so
-depend on the content nearby and not on the place: an insertion shifts no border
-but those beside it. Chunks are deduplicated by digest over all documents. A run
-of chunks that each occurred before, in another document or earlier in the same
-one, is removed if it has ``min_words`` words or more; the first occurrence, in
-order of document id (null first) and chunk number, stays.
+A gear rolling hash over the words of a text sets the borders of chunks: one falls
+behind the least hash, the last on ties, of every SPAN neighbouring words. Borders
+so depend on the content nearby and not on the place: an insertion shifts no border
+but those beside it. Stretches of JOINED neighbouring chunks are deduplicated by
+digest over all documents. A run of chunks of stretches that occurred before, in
+another document or earlier in the same one, is removed if it has ``min_words``
+words or more; the first occurrence, in order of document id (null first) and chunk
+number, stays.
+
+A repeated passage of n words is surely cut alike in all its copies but for its
+first WINDOW + SPAN - 2 and its last SPAN words, at most: from the border of its
+first SPAN hashes to that of its last. Of more than 50 words that are 34 or more,
+over ``min_words`` and over the length of any stretch, so that they are surely
+removed; only the words at the two ends may stay.
 
 Defined results: a null text stays null; a text without words is unchanged; words
 are kept as they stand, with the white space in front of them; rows that share an
@@ -25,88 +33,89 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, materialise, mix, pieces
 
-#: A border falls after a word with probability 1 / 2**MASK_BITS; chunks have these
-#: numbers of words. The gear hash forgets a word after WINDOW words.
-MASK_BITS, LEAST, MOST, WINDOW = 3, 4, 32, 4
-#: Words of a run of repeated chunks that is removed. A repeated passage of over 50
-#: words loses fewer than MOST of them to chunks that reach over its ends.
+#: A border falls behind the least of SPAN gear hashes, so a chunk has SPAN words at
+#: most; the hash forgets a word after WINDOW words. Chunks of a stretch.
+SPAN, WINDOW, JOINED = 8, 3, 4
+#: Words of a run of repeated chunks that is removed.
 MIN_WORDS = 20
 #: Chunks that a task holds before it hands them on.
 HELD_CHUNKS = 1 << 17
 _WORD = regex.compile(rb"[^ \t-\r]+")
 
 
-def _gear(words: list[bytes]) -> np.ndarray:
-    """The gear hash behind each word: of it and the WINDOW - 1 words before."""
-    g = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _gear(g: np.ndarray) -> np.ndarray:
+    """The gear hash behind each word, by the words' hashes: of it and the WINDOW - 1 words before."""
     rolled = g.copy()
     for k in range(1, WINDOW):
         rolled[k:] += g[:-k] << np.uint64(64 // WINDOW * k)
     return mix(rolled)
 
 
+def _ends(g: np.ndarray) -> np.ndarray:
+    n = len(g)
+    if n < SPAN:
+        return np.array([n] if n else [], np.int64)
+    # The least of each window, the last of equal ones, so that they never step back.
+    least = np.arange(SPAN, n + 1) - np.lib.stride_tricks.sliding_window_view(_gear(g), SPAN)[:, ::-1].argmin(axis=1)
+    return np.append(least[np.r_[True, least[1:] != least[:-1]] & (least < n)], n)
+
+
 def chunk_ends(words: list[bytes]) -> list[int]:
     """Numbers of words before each border, the end included."""
-    n = len(words)
-    if not n:
-        return []
-    cut = (np.flatnonzero((_gear(words) & np.uint64((1 << MASK_BITS) - 1)) == 0) + 1).tolist()
-    ends, last = [], 0
-    for c in cut:
-        while c - last > MOST:
-            last += MOST
-            ends.append(last)
-        if c - last >= LEAST:
-            ends.append(c)
-            last = c
-    while n - last > MOST:
-        last += MOST
-        ends.append(last)
-    if n > last:
-        ends.append(n)
-    return ends
-
-
-def _digest(chunk: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(chunk)) - (1 << 63)
+    return _ends(_hashes(words)).tolist()
+
+
+def _digests(words: list[bytes]) -> np.ndarray:
+    """A digest of the stretch from each chunk on, of JOINED chunks; of all chunks if they are fewer."""
+    g = _hashes(words)
+    ends = _ends(g)
+    if not len(ends):
+        return np.empty(0, np.int64)
+    starts = np.r_[0, ends[:-1]]
+    place = np.arange(len(g)) - np.repeat(starts, ends - starts)
+    chunks = mix(np.add.reduceat(mix(g + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts))
+    size = min(JOINED, len(chunks))
+    stretch = chunks[: len(chunks) - size + 1].copy()
+    for k in range(1, size):
+        stretch = mix(stretch) + chunks[k : len(chunks) - size + 1 + k]
+    return mix(stretch).view(np.int64)
 
 
 def _chunks(parts: int):
-    """Packs (digest, document, chunk number) of all chunks by digest."""
+    """Packs (digest, document, chunk number) of all stretches by digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests: list[int] = []
+        digests: list[np.ndarray] = []
         docs: list[int] = []
-        numbers: list[int] = []
+        held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if not digests:
+            nonlocal held
+            if not held:
                 return
-            table = np.array([digests, docs, numbers], np.int64)
+            sizes = [len(d) for d in digests]
+            table = np.array([np.concatenate(digests), np.repeat(np.array(docs, np.int64), sizes), np.concatenate([np.arange(n) for n in sizes])], np.int64)
             part = ((table[0].view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-            table = table[:, np.lexsort((table[2], table[1], table[0], part))]
-            part = np.sort(part, kind="stable")
-            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            blobs = [np.ascontiguousarray(x).tobytes() for x in np.split(table, first[1:], axis=1)]
+            order = np.lexsort((table[2], table[1], table[0], part))
             digests.clear()
             docs.clear()
-            numbers.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.array(blobs, pa.binary())], ["part", "rows"])
+            held = 0
+            yield _packed(table[:, order], part[order])
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
             at = 0
             for part, texts in pieces(batch, "text"):
                 for t in texts:
-                    words = (t or "").encode().split()
-                    last = 0
-                    for k, e in enumerate(chunk_ends(words)):
-                        digests.append(_digest(words[last:e]))
-                        docs.append(_NULL if ids[at] is None else ids[at])
-                        numbers.append(k)
-                        last = e
+                    digests.append(_digests((t or "").encode().split()))
+                    docs.append(_NULL if ids[at] is None else ids[at])
+                    held += len(digests[-1])
                     at += 1
-                if len(digests) > HELD_CHUNKS:
+                if held > HELD_CHUNKS:
                     yield from flush()
         yield from flush()
 
@@ -116,28 +125,53 @@ def _chunks(parts: int):
 _NULL = -(1 << 63)
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document the numbers of chunks that are not the first with their digest."""
-    tables = [np.frombuffer(x, np.int64).reshape(3, -1) for b in batches for x in b.column(1).to_pylist()]
-    if not tables:
-        return
-    digest, doc, number = np.concatenate(tables, axis=1)
-    order = np.lexsort((number, doc, digest))
-    digest, doc, number = digest[order], doc[order], number[order]
-    again = np.r_[False, digest[1:] == digest[:-1]]
-    doc, number = doc[again], number[again]
+def _packed(table: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    """The columns of a table ordered by part, in one row for each part."""
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    blobs = [np.ascontiguousarray(x).tobytes() for x in np.split(table, first[1:], axis=1)]
+    return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.array(blobs, pa.binary())], ["part", "rows"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], height: int) -> np.ndarray:
+    tables = [np.frombuffer(x, np.int64).reshape(height, -1) for b in batches for x in b.column(1).to_pylist()]
+    return np.concatenate(tables, axis=1) if tables else np.empty((height, 0), np.int64)
+
+
+def _repeats(parts: int):
+    """Packs (document, chunk number) of all stretches that are not the first with their digest by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, doc, number = _unpacked(batches, 3)
+        order = np.lexsort((number, doc, digest))
+        digest, doc, number = digest[order], doc[order], number[order]
+        again = np.r_[False, digest[1:] == digest[:-1]][: len(digest)]
+        if again.any():
+            table = np.array([doc[again], number[again]])
+            part = ((mix(table[0].view(np.uint64)) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            yield _packed(table[:, order], part[order])
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document the runs of chunks of repeated stretches: the first of each and the one behind it."""
+    doc, number = _unpacked(batches, 2)
     order = np.lexsort((number, doc))
     doc, number = doc[order], number[order]
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])[: len(doc)]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (number[1:] > number[:-1] + JOINED)][: len(doc)]
+    runs = np.stack([number[new], number[np.r_[new[1:], True][: len(doc)]] + JOINED], axis=1).astype("<i4")
+    doc = doc[new]
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)])
+    stops = np.append(first[1:], len(doc))
     for a in range(0, len(first), 4096):
         cut = first[a : a + 4096]
-        stops = [*first[a + 1 : a + 4097].tolist(), len(doc)][: len(cut)]
-        lists = [number[x:y].astype("<i4").tobytes() for x, y in zip(cut.tolist(), stops, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(lists, pa.binary())], ["doc", "numbers"])
+        lists = [runs[x:y].tobytes() for x, y in zip(cut.tolist(), stops[a : a + 4096].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(lists, pa.binary())], ["doc", "runs"])
 
 
 def without(text: str, repeated: set[int], min_words: int) -> tuple[str, int, int]:
-    """The text without long runs of repeated chunks, and its numbers of chunks and of words removed."""
+    """The text without long runs of chunks of repeated stretches, and its numbers of chunks and of words removed."""
     raw = text.encode()
     spans = [m.span() for m in _WORD.finditer(raw)]
     words = [raw[a:b] for a, b in spans]
@@ -173,7 +207,7 @@ def _rewrite(min_words: int):
                     elif not m:
                         got = (t, len(chunk_ends(t.encode().split())), 0)
                     else:
-                        got = without(t, set(np.concatenate([np.frombuffer(x, "<i4") for x in m]).tolist()), min_words)
+                        got = without(t, {k for a, b in np.frombuffer(m, "<i4").reshape(-1, 2).tolist() for k in range(a, b)}, min_words)
                     new.append(got[0])
                     chunks.append(got[1])
                     removed.append(got[2])
@@ -186,16 +220,15 @@ def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``df`` with ``text`` freed of repeated passages, and n_chunks and n_removed_words."""
     spark = df.sparkSession
     rows = df.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 20_000 + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 8_000 + 1)
     docs = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     dealt = docs.mapInArrow(_chunks(parts), "part int, rows binary")
-    repeated = dealt.repartition(parts, "part").mapInArrow(_repeats, "doc long, numbers binary")
-    # A document's lists of numbers, one from each task at most.
-    marks = materialise(repeated.groupBy("doc").agg(F.collect_list("numbers").alias("numbers")), "chunk-marks")
-    size = marks.agg(F.count("*") * 32 + F.coalesce(F.sum(F.aggregate("numbers", F.lit(0), lambda a, x: a + F.length(x))), F.lit(0))).first()[0]
+    repeated = dealt.repartition(parts, "part").mapInArrow(_repeats(parts), "part int, rows binary")
+    marks = materialise(repeated.repartition(parts, "part").mapInArrow(_runs, "doc long, runs binary"), "chunk-marks")
+    size = marks.agg(F.count("*") * 32 + F.coalesce(F.sum(F.length("runs")), F.lit(0))).first()[0]
     marks = F.broadcast(marks) if size <= BROADCAST_BYTES else marks
     others = [c for c in df.columns if c not in (text, "n_chunks", "n_removed_words")]
     keyed = df.select(F.struct(*[F.col(c) for c in others]).alias("row"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL)).alias("key"))
-    joined = keyed.join(marks, keyed["key"] == marks["doc"], "left").select("row", "text", "numbers")
+    joined = keyed.join(marks, keyed["key"] == marks["doc"], "left").select("row", "text", "runs")
     out = joined.mapInArrow(_rewrite(min_words), joined.select("row", "text").schema.add("n_chunks", "long").add("n_removed_words", "long"))
     return out.select("row.*", F.col("text").alias(text), "n_chunks", "n_removed_words")

@@ -158,6 +158,36 @@ def test_repeated_passages_go_once(spark):
     assert all(35 <= got[i].n_removed_words <= 60 for i in (3, 5, 7, 9))
 
 
+def test_every_repeated_passage_of_51_words_goes(spark):
+    rng = np.random.default_rng(51)
+    word = lambda n: [f"{x:x}" for x in rng.integers(0, 1 << 40, n).tolist()]
+    rows = []
+    for p in range(400):
+        passage = word(51)
+        for copy in range(3):
+            rows.append((3 * p + copy, " ".join([*word(int(rng.integers(0, 60))), *passage, *word(int(rng.integers(0, 60)))]), passage))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(docs).collect()}
+    for i, text, passage in rows:
+        words, own = text.split(), got[i].text.split()
+        if i % 3 == 0:
+            assert got[i].text == text
+        else:
+            assert 34 <= got[i].n_removed_words == len(words) - len(own) <= 51
+            # What went is in the passage: all words around it stay.
+            gone = set(words) - set(own)
+            assert gone <= set(passage) and len(gone) == got[i].n_removed_words
+
+
+def test_chunks_that_only_occurred_apart_stay(spark):
+    rng = np.random.default_rng(52)
+    word = lambda n: [f"{x:x}" for x in rng.integers(0, 1 << 40, n).tolist()]
+    phrases = [word(14) for _ in range(6)]
+    rows = [(i, " ".join([*word(20), *p, *word(20)])) for i, p in enumerate(phrases)] + [(6, " ".join(w for p in phrases for w in p))]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == dict(rows)
+
+
 def test_substrings_of_odd_rows(odd):
     got = substring_dedup.dedup_substrings(odd)
     assert set(odd.columns) <= set(got.columns) and got.count() == odd.count()
