@@ -292,6 +292,16 @@ def test_licenses(spark, odd):
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(odd.limit(0)).count() == 0
 
 
+def names_of(text):
+    return sorted((line, name) for line, name, *_ in license_scan.scan_text(text))
+
+
+def test_notices_in_prose():
+    prose = "The parser that this chapter describes was first written by two students in a summer. Released under the MIT License."
+    longer = "We thank everyone who sent corrections over the years, most of all the readers of the first edition. Licensed under the Apache License, Version 2.0. The figures were drawn anew for this edition by hand."
+    assert names_of(prose) == [(0, "MIT")] and names_of(longer) == [(0, "Apache-2.0")]
+
+
 def test_every_document_with_a_planted_notice_is_found(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     notice = F.col("text").rlike("MIT License|Apache License|General Public License|CC BY-NC|All rights reserved")
