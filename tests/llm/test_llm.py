@@ -302,6 +302,22 @@ def test_notices_in_prose():
     assert names_of(prose) == [(0, "MIT")] and names_of(longer) == [(0, "Apache-2.0")]
 
 
+def test_notices_over_lines_and_several_of_a_line():
+    mit = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files, to deal in it\n"
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n"
+    mpl = "x\n// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed"
+    two = "Licensed under the MIT License. or Licensed under the Apache License, Version 2.0."
+    assert names_of(mit) == [(0, "MIT")] and names_of(bsd) == [(0, "BSD-3-Clause")] and names_of(mpl) == [(1, "MPL-2.0")]
+    assert names_of(two) == [(0, "Apache-2.0"), (0, "MIT")]
+    assert names_of("a license to err, under the MIT\n\nLicense. We like the MIT License") == []
+    for name, notices in license_scan.TEMPLATES.items():
+        for notice, _ in notices:
+            words = notice.split(" ")
+            for k in range(1, len(words)):
+                text = "some words before it\n" + " ".join(words[:k]) + "\n# " + " ".join(words[k:]) + "\nand after it"
+                assert (1, name) in names_of(text), (name, k)
+
+
 def test_every_document_with_a_planted_notice_is_found(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     notice = F.col("text").rlike("MIT License|Apache License|General Public License|CC BY-NC|All rights reserved")
