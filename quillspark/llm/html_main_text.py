@@ -2,11 +2,12 @@
 
 Markup is stripped, with scripts, styles, menus, forms and other matter that is
 never article text, and what is left forms lines, one for each block. The text
-lengths are summed over sliding windows of lines; the region between the surge
-point, where the sum rises over a threshold, and the dive point, where it falls to
-nothing, holds the main text. It widens to all lines of the article or main element
-that it lies in, or else of the innermost elements, so that short paragraphs at its
-ends stay.
+lengths are summed over sliding windows of lines; the regions between a surge
+point, where the sum rises over a threshold, and a dive point, where it falls to
+nothing, hold the main text. If the one of the most text lies in an article or main
+element, the regions widen to all lines of such elements that hold one; or else to
+all lines of the innermost element around all regions, so that short paragraphs and
+lists at their ends and between them stay.
 
 Defined results: a null or empty html gives an empty text; broken or unclosed
 markup is read as far as it goes; repeated rows give repeated results; an empty
@@ -15,6 +16,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections.abc import Iterator
@@ -57,13 +59,15 @@ def _is_matter(name: str, attributes: str, stack: list[tuple[str, bool, int]]) -
     return False
 
 
-def lines(page: str) -> list[tuple[str, int]]:
-    """The lines of a page that may be text, each with the number of its element.
+def lines(page: str) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """The lines of a page that may be text, each with the number of its element, and the elements' parents.
 
     The number is that of the article or main element around the line, and over 0;
-    elsewhere it is that of the innermost element, and not over 0.
+    elsewhere it is that of the innermost element, and not over 0. Parents are by
+    numbers without sign; 0 is the page.
     """
     out: list[tuple[str, int]] = []
+    parents: dict[int, int] = {}
     stack: list[tuple[str, bool, int]] = []
     buffer: list[str] = []
     elements, at, n = 0, 0, len(page)
@@ -99,6 +103,7 @@ def lines(page: str) -> list[tuple[str, int]]:
             stack.append((name, matter, inside))
             skipping += matter
             elements += 1
+            parents[elements] = abs(inside)
             if name in CONTENT and not skipping and not (name == "main" and inside > 0):
                 inside = elements
             elif inside <= 0:
@@ -111,36 +116,49 @@ def lines(page: str) -> list[tuple[str, int]]:
                 if last == name:
                     break
     end_line()
-    return out
+    return out, parents
 
 
-def region(lengths: list[int]) -> tuple[int, int]:
-    """First and last line, exclusive, from the surge to the dive around the most text."""
+def regions(lengths: list[int]) -> list[tuple[int, int]]:
+    """First and last line, exclusive, of every region from a surge to its dive."""
     n = len(lengths)
     sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
-    best, start, most = (0, 0), None, 0
+    found, start = [], None
     for i in range(n + 1):
         if start is None and i < n and sums[i] >= SURGE and lengths[i] >= SURGE // WINDOW:
             start = i
         elif start is not None and (i == n or sums[i] < SURGE and lengths[i] < SURGE // WINDOW):
-            total = sum(lengths[start:i])
-            if total > most:
-                best, most = (start, i), total
+            found.append((start, i))
             start = None
-    return best
+    return found
+
+
+def _within(held: set[int], parents: dict[int, int]) -> set[int]:
+    """The innermost element around all of ``held``, with all elements in it."""
+    # Elements are numbered as they open: the last of several holds none of the others.
+    last = [-element for element in held]
+    heapq.heapify(last)
+    while len(last) > 1:
+        element = heapq.heappop(last)
+        if element != last[0]:
+            heapq.heappush(last, -parents[-element])
+    inside = {-last[0] if last else 0}
+    for element, parent in parents.items():
+        if parent in inside:
+            inside.add(element)
+    return inside
 
 
 def main_text(page: str | None) -> str:
     """The main text, its blocks in page order joined by line feeds."""
-    found = lines(page or "")
-    first, last = region([len(text) for text, _ in found])
-    if first == last:
-        first, last = 0, len(found)
-    held = {element for _, element in found[first:last]}
-    if max(held, default=0) > 0:
-        held = {element for element in held if element > 0}
-        return "\n".join(text for text, element in found if element in held)
-    return "\n".join(text for i, (text, element) in enumerate(found) if first <= i < last or element in held)
+    found, parents = lines(page or "")
+    kept = regions([len(text) for text, _ in found]) or [(0, len(found))]
+    first, last = max(kept, key=lambda r: sum(len(text) for text, _ in found[r[0] : r[1]]))
+    held = {element for a, b in kept for _, element in found[a:b]}
+    if max((element for _, element in found[first:last]), default=0) > 0:
+        return "\n".join(text for text, element in found if element > 0 and element in held)
+    inside = _within({abs(element) for element in held}, parents)
+    return "\n".join(text for text, element in found if abs(element) in inside)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

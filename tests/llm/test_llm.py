@@ -292,6 +292,21 @@ def test_licenses(spark, odd):
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(odd.limit(0)).count() == 0
 
 
+def test_main_text_keeps_all_regions_and_what_lies_between():
+    long = [f"{w} {'plain words here ' * 8}".strip() for w in ("one", "two", "three", "four", "five")]
+    items = ["flour", "eggs", "milk", "salt", "a pan"]
+    part = lambda texts: "<div>" + "".join(f"<p>{x}</p>" for x in texts) + "</div>"
+    listed = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+    post = f"<div class=post>{part(long[:3])}{listed}{part(long[3:])}</div>"
+    page = f"<body><nav>Home</nav><div class=teaser>More</div>{post}<div class=comments>{part(long)}</div><footer>f</footer></body>"
+    assert html_main_text.main_text(page).split("\n") == long[:3] + items + long[3:]
+    # Regions whose only common element is the body keep all that isn't matter.
+    assert html_main_text.main_text(f"<body><nav>Home</nav>{part(long[:1])}{listed}{part(long[1:])}<footer>f</footer>").split("\n") == long[:1] + items + long[1:]
+    # An article that holds a region of its own stays beside that of the most text.
+    both = f"<article>{part(long[:3])}</article><p>a</p><p>b</p><p>c</p><article>{listed}{part(long[3:])}</article>"
+    assert html_main_text.main_text(both).split("\n") == long[:3] + items + long[3:]
+
+
 def names_of(text):
     return sorted((line, name) for line, name, *_ in license_scan.scan_text(text))
 
