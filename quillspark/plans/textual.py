@@ -99,6 +99,35 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("top_weight"), F.round(F.sum("weight"), 6).alias("total_weight"))
 
 
+# The whole job, beyond the samples of it above that have SQL: n-grams of 1 to NGRAMS
+# words, all their counts, the VOCABULARY most frequent, and their weights.
+NGRAMS, VOCABULARY = 5, 10_000
+
+
+def _all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.term_counts(T.with_ngrams(_words(spark, sf_dir), "words", NGRAMS), "doc_id", F.col("terms"))
+
+
+def ngram_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, term, n) of every n-gram, single ones included."""
+    return _all_counts(spark, sf_dir)
+
+
+def vocab_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(term, n) of the most frequent n-grams."""
+    return T.top_terms(_all_counts(spark, sf_dir), VOCABULARY)
+
+
+def tfidf_weights_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, term, weight) over the most frequent n-grams; rows of length 1."""
+    counts = _all_counts(spark, sf_dir)
+    kept = counts.join(F.broadcast(T.top_terms(counts, VOCABULARY).select("term")), "term", "left_semi")
+    return T.tfidf(kept, "doc_id", read(spark, sf_dir, "documents").count())
+
+
+QUERIES |= {f.__name__: f for f in (ngram_counts_all, vocab_topk_all, tfidf_weights_all)}
+
+
 _WRAP = """CASE turn % 4 WHEN 0 THEN concat('Sure. <JSON>{"a": ', turn, '}</JSON> bye') WHEN 1 THEN concat('x ```json', chr(10), '{"a": ', turn, '} ``` y')
  WHEN 2 THEN concat('z ``` [', turn, '] ``` ') ELSE 'no json here' END"""
 

@@ -1,13 +1,15 @@
 """Small hand-made cases, one for each quirk."""
 
 import datetime as dt
+import math
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.functions import grades, text
 from quillspark.operators import cohort, extract, folds, metrics, models, permutation, preprocess, specs
-from quillspark.plans import modelling
+from quillspark.plans import modelling, textual
 from quillspark.sources import tables
 from quillspark.streaming import incremental
 
@@ -189,3 +191,27 @@ def test_model_queries_use_every_row(spark, tmp_path):
         own = x[:, : 5 if r.variant == "5" else 12]
         areas = [models.rank_auc(y[split == r.fold], plain_predictions(own, y, split, r.fold, "median", m)) for m in grid[r.model]]
         assert any(abs(r.auc - a) < 1e-9 for a in areas)
+
+
+def test_ngrams_to_five_words_with_all_counts_and_weights(spark, tmp_path):
+    texts = ["The cat sat on the mat, a cat!", "the cat sat on the mat", "x y z", None, "dogs run far"]
+    rng = np.random.default_rng(6)
+    texts += [" ".join(f"w{i}" for i in rng.integers(0, 3000, 200)) for _ in range(20)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for i, t in enumerate(texts):
+        w = [x for x in "".join(c for c in (t or "").lower() if c.isalnum() or c.isspace()).split() if len(x) > 1]
+        want[i] = Counter(" ".join(w[a : a + n]) for n in range(1, 6) for a in range(len(w) - n + 1))
+    got = textual.QUERIES["ngram_counts_all"](spark, str(tmp_path)).collect()
+    assert Counter(tuple(r) for r in got) == Counter((i, t, n) for i, c in want.items() for t, n in c.items())
+    total = sum(want.values(), Counter())
+    top = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:10_000]
+    assert len(total) > 10_000 and [tuple(r) for r in textual.QUERIES["vocab_topk_all"](spark, str(tmp_path)).collect()] == top
+    df = Counter(t for c in want.values() for t in c)
+    weights = {}
+    for i, c in want.items():
+        raw = {t: c[t] * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, _ in top if t in c}
+        length = math.sqrt(sum(x * x for x in raw.values()))
+        weights |= {(i, t): x / length for t, x in raw.items()}
+    found = {(r.doc_id, r.term): r.weight for r in textual.QUERIES["tfidf_weights_all"](spark, str(tmp_path)).collect()}
+    assert found.keys() == weights.keys() and all(abs(found[k] - x) < 1e-9 for k, x in weights.items())
