@@ -7,9 +7,9 @@ How many leaves a query visits is calibrated: queries of a sample are answered b
 brute force over all vectors, and visits widen until their recall is reached.
 Distances are Euclidean, in double precision, on the vectors as they are.
 
-Defined results: vectors that are null, empty, zero, of another length than the
-first sampled one, or that hold null or non-finite components take no part, nor do
-rows without id; rows that share a query's id are its own; with fewer candidates
+Defined results: vectors that are null, empty or zero, or that hold null or
+non-finite components take no part, nor do rows without id; vectors of each length
+are indexed on their own, and a query's neighbours are those of its length; rows that share a query's id are its own; with fewer candidates
 than ``k`` a query gets all of them; an empty table gives an empty result.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -191,14 +192,17 @@ def _top(answers: DataFrame, k: int) -> DataFrame:
 
 def search(df: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row that ``queries`` selects."""
-    spark = df.sparkSession
     rows = df.filter(F.col(vec_id).isNotNull() & valid(vector)).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), queries.alias("is_query"))
+    lengths = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())
+    if not lengths:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, [_search(rows.filter(F.size("v") == dim), dim, k) for dim in lengths])
+
+
+def _search(rows: DataFrame, dim: int, k: int) -> DataFrame:
+    """What ``search`` gives, over rows (id, v, is_query) with vectors of one length."""
     drawn = rows.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).collect()
-    if not drawn:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = len(drawn[0][0])
-    tree = grow(np.array([r[0] for r in drawn if len(r[0]) == dim]))
-    rows = rows.filter(F.size("v") == dim)
+    tree = grow(np.array([r[0] for r in drawn]))
     index = materialise(rows.select("id", "v").mapInArrow(_index(tree, dim), "leaf long, n long, ids binary, vectors binary"), "ann-index")
     counts = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
     asked = rows.filter("is_query").select("id", "v")

@@ -259,6 +259,17 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_of_every_length(spark):
+    rng = np.random.default_rng(8)
+    x = {5: rng.standard_normal((12, 5)), 8: rng.standard_normal((60, 8)), 3: rng.standard_normal((2, 3)), 4: rng.standard_normal((1, 4))}
+    rows = [(100 * n + i, v.tolist()) for n, own in x.items() for i, v in enumerate(own)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, 10).collect()
+    for n, own in x.items():
+        d = np.sqrt(((own - own[0]) ** 2).sum(axis=1))
+        want = [100 * n + i for i in np.argsort(d).tolist() if i][:10]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == 100 * n), key=lambda r: r.rank)] == want
+
+
 def test_toxicity(spark, odd):
     docs = [(i, ("you utter nincompoop " if i % 4 == 0 else "a kind and gentle ") + " ".join(f"w{(i * 31 + k * 7) % 300}" for k in range(20))) for i in range(600)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
