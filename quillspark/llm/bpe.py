@@ -34,26 +34,17 @@ Chunk = bytes | str
 CACHE_CHUNKS = 600_000
 assert sys.byteorder == "little" and array("I").itemsize == 4
 NEVER = np.int64(1 << 40)
+#: Places in the hashed table of rules, in bits.
+SLOT_BITS = 18
 #: Failing words of fewer symbols are merged many at a time.
 MATRIX_SYMBOLS = 32
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \xa0\p{L}\p{N}]+")
+_STOPS = frozenset(b".,;:!?")
 _LATIN_LOWER = bytes(0x20 if i in (0x85, 0xA0) else ord(chr(i).lower()) for i in range(256))
 #: Texts within these ranges are normalised here; others by the library's own rules.
 _PLAIN = regex.compile(r"[\x00-\x1b\x20-\x84\x86-įĲ-ſ‐-‧‰-⁞₠-₿]*")
 
 
-class _Known(dict):
-    """Ids by chunk; chunks asked for in vain are noted, and stand as empty."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.asked: list[Chunk] = []
-
-    def __missing__(self, chunk: Chunk) -> bytes:
-        self.asked.append(chunk)
-        return b""
-
-
 class Codec:
     """Encoder and decoder for one vocabulary file, given as its bytes."""
 
@@ -84,22 +75,31 @@ class Codec:
             self._left[z], self._right[z], ranks[z] = x, y, rank + 1
             self._rule[x, y] = rank
             self._made.append(z)
-        self._rank = ranks
+        self._rank, self._made_ids = ranks, np.array(self._made, np.int64)
         keys = np.array([(x << 20) | y for x, y in self._rule], np.int64)
-        order = np.argsort(keys)
-        self._pair_keys = keys[order]
-        self._pair_ranks = np.array(list(self._rule.values()), np.int64)[order] + 1
+        self._pair_slots(keys, np.array(list(self._rule.values()), np.int64) + 1)
         self._length = np.ones(len(self.tokens), np.int64)
         for z in np.argsort(ranks, kind="stable"):
             if ranks[z]:
                 self._length[z] = self._length[self._left[z]] + self._length[self._right[z]]
         self._reachable = self._reach()
         self._proposals = self._automaton()
-        self._known = _Known()
+        self._known: dict[Chunk, bytes] = {}
         self._old: dict[Chunk, bytes] = {}
 
     # -- building ---------------------------------------------------------
 
+    def _pair_slots(self, keys: np.ndarray, ranks: np.ndarray) -> None:
+        """A hashed table of the rules' ranks; pairs that lost their slot to another are sorted aside."""
+        self._slot_key, self._slot_rank = np.full(1 << SLOT_BITS, -1, np.int64), np.full(1 << SLOT_BITS, NEVER)
+        slot = _slot(keys)
+        self._slot_key[slot], self._slot_rank[slot] = keys, ranks
+        lost = self._slot_key[slot] != keys
+        self._shared = np.zeros(1 << SLOT_BITS, bool)
+        self._shared[slot[lost]] = True
+        order = np.argsort(keys[lost])
+        self._pair_keys, self._pair_ranks = np.r_[keys[lost][order], NEVER], np.r_[ranks[lost][order], NEVER]
+
     def _reach(self) -> np.ndarray:
         made = np.flatnonzero(self._rank)
         ok = np.ones(len(self.tokens), bool)
@@ -126,8 +126,15 @@ class Codec:
 
     def _pair_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         keys = (x << 20) | y
-        at = np.minimum(np.searchsorted(self._pair_keys, keys), len(self._pair_keys) - 1)
-        return np.where(self._pair_keys[at] == keys, self._pair_ranks[at], NEVER)
+        slot = _slot(keys)
+        out = self._slot_rank[slot]
+        other = self._slot_key[slot] != keys
+        out[other] = NEVER
+        left = np.flatnonzero(other & self._shared[slot])
+        if len(left):
+            at = np.searchsorted(self._pair_keys, keys[left])
+            out[left] = np.where(self._pair_keys[at] == keys[left], self._pair_ranks[at], NEVER)
+        return out
 
     def _compatible(self, x: np.ndarray, y: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
         """Whether no merge crosses the border of x and y (before rule ``until``).
@@ -176,7 +183,7 @@ class Codec:
         rank = np.full(ids.shape, NEVER)
         pairs = np.nonzero(inside[:, 1:])
         rank[pairs] = self._pair_rank(ids[pairs], ids[pairs[0], pairs[1] + 1])
-        made, out, row = np.array(self._made, np.int64), [b""] * len(ids), np.arange(len(ids))
+        made, out, row = self._made_ids, [b""] * len(ids), np.arange(len(ids))
         while len(row):
             i = rank.argmin(axis=1)
             best = rank[np.arange(len(row)), i]
@@ -230,7 +237,7 @@ class Codec:
 
     def _encode_words(self, words: list[Chunk]) -> None:
         """Adds the words (none of them empty) to those known."""
-        spelled = [(w.decode("latin-1") if isinstance(w, bytes) else w).encode() for w in words]
+        spelled = [w if w.isascii() and isinstance(w, bytes) else (w.decode("latin-1") if isinstance(w, bytes) else w).encode() for w in words]
         ends = np.cumsum(np.fromiter(map(len, spelled), np.int64, len(words)))
         raw = np.frombuffer(b"".join(spelled), np.uint8)
         symbols = self._inner[raw]
@@ -241,9 +248,7 @@ class Codec:
         start = stop - self._length[ids]
         of = np.searchsorted(ends, start, side="right")
         failed = np.zeros(len(words), bool)
-        covered = np.zeros(len(words), np.int64)
-        np.add.at(covered, of, self._length[ids])
-        failed |= covered != np.diff(ends, prepend=0)
+        failed |= np.bincount(of, self._length[ids], len(words)) != np.diff(ends, prepend=0)
         inside = np.flatnonzero(of[1:] == of[:-1])
         pairs, back = np.unique((ids[inside] << 20) | ids[inside + 1], return_inverse=True)
         good = self._compatible(pairs >> 20, pairs & 0xFFFFF)
@@ -293,57 +298,49 @@ class Codec:
         several: dict[Chunk, list[Chunk]] = {}
         for c in self._promote(chunks):
             if isinstance(c, bytes):
-                text = c.decode("latin-1")
-                if text.isalpha():
+                if c.isalpha():
+                    words.add(c)
+                elif c[-1] in _STOPS and c[:-1].isalpha():
+                    several[c] = [c[:-1], c[-1:]]
+                elif (text := c.decode("latin-1")).isalpha():
                     words.add(c)
                 else:
                     several[c] = [w.encode("latin-1") for w in _PIECES.findall(text)]
             else:
                 several[c] = _PIECES.findall(c)
-        words |= self._promote(set().union(*several.values()) - self._known.keys() - words)
+        known = self._known
+        words |= self._promote(set(chain.from_iterable(several.values())).difference(known, words))
         if words:
             self._encode_words(list(words))
-        get = self._known.__getitem__
-        self._known.update({c: b"".join(map(get, w)) for c, w in several.items()})
+        get = known.__getitem__
+        for c, w in several.items():
+            known[c] = b"".join(map(get, w))
 
     def _age(self) -> None:
         if len(self._known) > CACHE_CHUNKS:
-            self._old, self._known = self._known, _Known()
+            self._old, self._known = self._known, {}
 
     def rest(self) -> None:
         """At a task's end: lets go of the older generation, for the tasks of other operators."""
         self._old = {}
 
+    def _spans(self, text: str) -> list[list[Chunk] | bytes]:
+        """The text's chunks; ids stand for special tokens between them."""
+        if not self._by_special or "<|" not in text:
+            return [self._chunks(text)]
+        spans = self._by_special.split(text)
+        return [self.special[span].to_bytes(4, "little") if i % 2 else self._chunks(span) for i, span in enumerate(spans)]
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        known = self._known
-        out: list[list[bytes]] = []
-        wanted: list[tuple[list, int, list[Chunk], int]] = []
-        for text in texts:
-            parts: list[bytes] = []
-            spans = [text] if text else []
-            if text and self._by_special and "<|" in text:
-                spans = self._by_special.split(text)
-            for i, span in enumerate(spans):
-                if i % 2:
-                    parts.append(self.special[span].to_bytes(4, "little"))
-                elif span:
-                    chunks, before = self._chunks(span), len(known.asked)
-                    found = list(map(known.__getitem__, chunks))
-                    if len(known.asked) > before:
-                        wanted.append((parts, len(parts), chunks, len(known.asked) - before))
-                    parts += found
-            out.append(parts)
-        if wanted:
-            self._encode_chunks(set(known.asked))
-            known.asked.clear()
-            for parts, at, chunks, n in wanted:
-                i = at - 1
-                for _ in range(n):
-                    i = parts.index(b"", i + 1)
-                    parts[i] = known[chunks[i - at]]
+        """The ids of each text as little-endian unsigned 32-bit integers; equal texts are encoded once."""
+        spans = {text: self._spans(text) for text in set(texts) if text}
+        chunks = [x for s in spans.values() for x in s if isinstance(x, list)]
+        # Only the chunks asked for stay in use: what is not known yet is encoded at once.
+        self._encode_chunks(set(chain.from_iterable(chunks)).difference(self._known))
+        get = self._known.__getitem__
+        ids = {text: b"".join(b"".join(map(get, x)) if isinstance(x, list) else x for x in s) for text, s in spans.items()}
         self._age()
-        return list(map(b"".join, out))
+        return [ids[text] if text else b"" for text in texts]
 
     def decode(self, ids: bytes) -> bytes:
         """The decoded text, in UTF-8, of ids as ``encode_batch`` gives them.
@@ -353,6 +350,10 @@ class Codec:
         return b" ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def _byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level models."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
