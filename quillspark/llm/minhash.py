@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, mix, release, small
+from .common import components, materialise, mix, release, rows_of, small, tidy
 
 MANTISSA_BITS = 10
 #: Probability that two unrelated registers agree: a fixed value of the published
@@ -25,10 +25,13 @@ CHANCE = 0.169919487159739 / 2**MANTISSA_BITS
 #: Pairs whose estimate is this far below the threshold aren't verified. It is over
 #: five standard deviations of the estimate with 100 registers.
 MARGIN = 0.25
-#: (key, id) pairs that a task holds before it hands them on.
-HELD_PAIRS = 1 << 19
+#: (key, id) pairs that a task holds before it hands them on, and that a packed part
+#: holds, about.
+HELD_PAIRS, PART_PAIRS = 1 << 19, 1 << 20
+#: Members of one key that a task hands on to meet those of other tasks.
+SENT = 3
 #: Members of one key, and values of their sets, that are compared in one block.
-BLOCK_MEMBERS, BLOCK_VALUES = 2_000, 1_500_000
+BLOCK_MEMBERS, BLOCK_VALUES = 2_000, 400_000
 #: Values of a key's members that are few enough to be packed in one row.
 SMALL_VALUES = 3_000
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -44,8 +47,8 @@ def _orders(buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, place
 
 
-def registers(values: np.ndarray, sizes: np.ndarray, buckets: int) -> np.ndarray:
-    """Registers (uint16) of sets that lie one after another in ``values``, none empty."""
+def least_in_buckets(values: np.ndarray, sizes: np.ndarray, buckets: int) -> np.ndarray:
+    """The smallest upper half of the values in each bucket of each set; sets lie one after another, none empty."""
     n = len(sizes)
     low = values & np.uint64(0xFFFFFFFF)
     low *= np.uint64(buckets)
@@ -54,6 +57,16 @@ def registers(values: np.ndarray, sizes: np.ndarray, buckets: int) -> np.ndarray
     at += np.repeat(np.arange(n, dtype=np.int64) * buckets, sizes)
     least = np.full(n * buckets, _EMPTY, np.uint32)
     np.minimum.at(least, at, (values >> np.uint64(32)).astype(np.uint32))
+    return least
+
+
+def registers(values: np.ndarray, sizes: np.ndarray, buckets: int) -> np.ndarray:
+    """Registers (uint16) of sets that lie one after another in ``values``, none empty."""
+    return filled(least_in_buckets(values, sizes, buckets), buckets)
+
+
+def filled(least: np.ndarray, buckets: int) -> np.ndarray:
+    """Registers from the least values of buckets: empty ones borrow, and all are compressed."""
     order, place = _orders(buckets)
     full = least.copy()
     empty = np.flatnonzero(least == _EMPTY)
@@ -67,10 +80,10 @@ def registers(values: np.ndarray, sizes: np.ndarray, buckets: int) -> np.ndarray
         empty, row, own = empty[left], row[left], own[left]
     if len(empty):
         for r, first, last in zip(*_runs(row), strict=True):
-            filled = np.flatnonzero(least[r * buckets : (r + 1) * buckets] != _EMPTY)
-            pick = filled[place[own[first:last]][:, filled].argmin(axis=1)]
+            some = np.flatnonzero(least[r * buckets : (r + 1) * buckets] != _EMPTY)
+            pick = some[place[own[first:last]][:, some].argmin(axis=1)]
             full[empty[first:last]] = least[r * buckets + pick]
-    return _compressed(full).reshape(n, buckets)
+    return _compressed(full).reshape(-1, buckets)
 
 
 def _runs(a: np.ndarray) -> tuple[list[int], list[int], list[int]]:
@@ -104,10 +117,16 @@ def band_keys(regs: np.ndarray, bands: int) -> np.ndarray:
 
 
 class Dealer:
-    """Gathers (key, id) pairs and deals them out in packed rows by key, most repeats dropped."""
+    """Gathers (key, id) pairs and deals them out in packed rows (part, own, pairs) by key.
+
+    Of the ids that a key has in one task's share, only SENT go on to meet those of
+    other tasks; the rest are tied to the smallest of them here and go out as
+    finished members (own), to parts in turn. So a key that very many ids share sends
+    a bounded number of rows from each share to the part of the key.
+    """
 
     def __init__(self, parts: int):
-        self.parts, self.keys, self.ids, self.n = parts, [], [], 0
+        self.parts, self.keys, self.ids, self.n, self.turn = parts, [], [], 0, 0
 
     def add(self, keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.keys.append(keys.ravel())
@@ -120,49 +139,74 @@ class Dealer:
         if not self.n:
             return
         keys, ids = np.concatenate(self.keys), np.concatenate(self.ids)
-        # Ordered by their bits without sign, keys are ordered by task as well.
+        self.keys, self.ids, self.n = [], [], 0
+        # Ordered by their bits without sign, keys are ordered by part as well.
+        order = np.argsort(keys.view(np.uint64))
+        keys, ids = keys[order], ids[order]
+        again = keys[1:] == keys[:-1]
+        met = np.r_[again, False] | np.r_[False, again]
+        key, own, rank, lo, _ = _ranked(keys[met], ids[met])
+        sent = rank < SENT
+        keys, ids = np.r_[keys[~met], key[sent]], np.r_[ids[~met], own[sent]]
         order = np.argsort(keys.view(np.uint64))
         keys, ids = keys[order], ids[order]
-        new = np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]
-        keys, ids = keys[new], ids[new]
         part, first, last = _runs((((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(self.parts)) >> np.uint64(32)).astype(np.int32))
         packed = [np.concatenate([keys[a:b], ids[a:b]]).astype("<i8").tobytes() for a, b in zip(first, last, strict=True)]
-        self.keys, self.ids, self.n = [], [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(packed, pa.binary())], ["part", "pairs"])
+        flags = [False] * len(part)
+        if not sent.all():
+            self.turn += 1
+            part.append(int((int(key[0]) + self.turn) % self.parts))
+            packed.append(np.concatenate([key[~sent], own[~sent], lo[~sent]]).astype("<i8").tobytes())
+            flags.append(True)
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(flags), pa.array(packed, pa.binary())], ["part", "own", "pairs"])
+
+
+def _ranked(key: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (key, id) pairs in order, each with its rank in its key, the key's smallest id and number of ids."""
+    order = np.lexsort((own, key))
+    key, own = key[order], own[order]
+    once = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])][: len(key)]
+    key, own = key[once], own[once]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    count = np.diff(np.r_[first, len(key)])
+    return key, own, np.arange(len(key)) - np.repeat(first, count), np.repeat(own[first], count), np.repeat(count, count)
+
+
+DEALT = "part int, own boolean, pairs binary"
 
 
 def members(dealt: DataFrame, parts: int) -> DataFrame:
-    """(key, id, lo) for every id of a key that two or more ids share; lo is the key's smallest id."""
+    """(key, id, lo): ties of each id of a key to a smaller id of it, so that they join all ids of the key.
+
+    A key of two ids has one tie, and nothing else to compare; its key is null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids = [], []
         for batch in batches:
-            for blob in batch.column(1).to_pylist():
-                both = np.frombuffer(blob, "<i8")
-                keys.append(both[: len(both) // 2])
-                ids.append(both[len(both) // 2 :])
+            for own, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                table = np.frombuffer(blob.as_buffer(), "<i8").reshape(3 if own else 2, -1)
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in table], ["key", "id", "lo"])
+                else:
+                    keys.append(table[0])
+                    ids.append(table[1])
         if not keys:
             return
         key, own = np.concatenate(keys), np.concatenate(ids)
+        keys.clear()
+        ids.clear()
         order = np.argsort(key)
         key, own = key[order], own[order]
         again = key[1:] == key[:-1]
         met = np.r_[again, False] | np.r_[False, again]
-        key, own = key[met], own[met]
-        order = np.lexsort((own, key))
-        key, own = key[order], own[order]
-        if not len(key):
-            return
-        new_key = np.r_[True, key[1:] != key[:-1]]
-        once = new_key | np.r_[True, own[1:] != own[:-1]]
-        key, own, new_key = key[once], own[once], new_key[once]
-        first = np.flatnonzero(new_key)
-        count = np.diff(np.r_[first, len(key)])
-        lo = np.repeat(own[first], count)
-        shared = np.repeat(count > 1, count)
-        for a in range(0, int(shared.sum()), 1 << 16):
+        key, own, rank, lo, count = _ranked(key[met], own[met])
+        tied = rank > 0
+        key, own, lo, count = key[tied], own[tied], lo[tied], count[tied]
+        for a in range(0, len(key), 1 << 16):
             cut = slice(a, a + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(x[shared][cut], pa.int64()) for x in (key, own, lo)], ["key", "id", "lo"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[cut], pa.int64(), mask=count[cut] == 2), pa.array(own[cut], pa.int64()), pa.array(lo[cut], pa.int64())], ["key", "id", "lo"])
+        tidy()
 
     return dealt.repartition(parts, "part").mapInArrow(run, "key long, id long, lo long")
 
@@ -175,7 +219,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, values: Values) -> D
 
     ``sets`` has id, regs and item, of which ``values`` makes sorted distinct 64-bit
     values. Pairs whose corrected estimate is far below the threshold are left out
-    first.
+    first; regs may be null, which leaves none out.
     """
     least = percent / 100 - MARGIN
 
@@ -183,13 +227,12 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, values: Values) -> D
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                near = np.array([float(estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16))) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
-                batch = batch.take(pa.array(np.flatnonzero(near >= least)))
-                keep = []
-                for i, (x, y) in enumerate(zip(values(batch.column(4).to_pylist()), values(batch.column(5).to_pylist()), strict=True)):
-                    if _similar(x, y, percent):
-                        keep.append(i)
-                yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                if not batch.column(2).null_count:
+                    left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
+                    batch = batch.take(pa.array(np.flatnonzero(estimate(left, right) >= least)))
+                near = [_similar(x, y, percent) for x, y in zip(values(batch.column(4).to_pylist()), values(batch.column(5).to_pylist()), strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+        tidy()
 
     left = sets.select(F.col("id").alias("a"), F.col("regs").alias("ra"), F.col("item").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("regs").alias("rb"), F.col("item").alias("sb"))
@@ -198,41 +241,42 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, values: Values) -> D
 
 
 def _across(percent: int, values: Values):
-    """Links between the components that meet in a block of one key's members.
+    """Links between two blocks of one key's members that join components.
 
-    Each member outside the largest component counts, by one look-up of its values
-    among all members' values, what it shares with every other member. A link of
-    each pair of components is enough, so few rows leave the block.
+    Each member of the first block counts, by one look-up of its values among the
+    second's, what it shares with every member of that. A link of each pair of
+    components is enough, so few rows leave the block.
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids, comps = table["id"].to_numpy(), table["c"].to_numpy()
-        sets = values(table["item"].to_pylist())
-        sizes = np.array([len(x) for x in sets], np.int64)
-        known, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        order = np.argsort(known, kind="stable")
-        known, owner = known[order], owner[order]
-        parent = {c: c for c in comps.tolist()}
+        side = table["side"].to_numpy()
+        of = table.filter(pa.array(side == 0)), table.filter(pa.array(side == (1 if (side == 1).any() else 0)))
+        (ids, comps, sets), (others, their, known) = ((t["id"].to_numpy(), t["c"].to_numpy(), values(t["item"].to_pylist())) for t in of)
+        sizes = np.array([len(x) for x in known], np.int64)
+        owner = np.repeat(np.arange(len(known), dtype=np.int32), sizes)
+        flat = np.concatenate(known)
+        order = np.argsort(flat)
+        flat, owner = flat[order], owner[order]
+        parent = {c: c for c in [*comps.tolist(), *their.tolist()]}
 
         def root(x: int) -> int:
             while parent[x] != x:
                 x = parent[x]
             return x
 
-        names, count = np.unique(comps, return_counts=True)
-        largest, a, b = names[count.argmax()], [], []
-        for i in np.flatnonzero(comps != largest):
-            first, last = np.searchsorted(known, sets[i], "left"), np.searchsorted(known, sets[i], "right")
+        a, b = [], []
+        for i, own in enumerate(sets):
+            first, last = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
             many = last - first
             at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
-            shared = np.bincount(owner[at], minlength=len(sets))
-            near = np.flatnonzero((100 * shared >= percent * (sizes + sizes[i] - shared)) & (comps != comps[i]))
-            for c, k in zip(*np.unique(comps[near], return_index=True), strict=True):
+            shared = np.bincount(owner[at], minlength=len(known))
+            near = np.flatnonzero((100 * shared >= percent * (sizes + len(own) - shared)) & (their != comps[i]))
+            for c, k in zip(*np.unique(their[near], return_index=True), strict=True):
                 x, y = root(int(comps[i])), root(int(c))
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-                    a.append(max(ids[i], ids[near[k]]))
-                    b.append(min(ids[i], ids[near[k]]))
+                    a.append(max(ids[i], others[near[k]]))
+                    b.append(min(ids[i], others[near[k]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -277,42 +321,89 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _component(df: DataFrame, of: str, groups: DataFrame, name: str) -> DataFrame:
     """``df`` with the component of column ``of``, itself if it has none."""
-    named = groups.select(F.col("node").alias(of), F.col("component").alias(name))
-    return df.join(small(named, 16), of, "left").withColumn(name, F.coalesce(name, of))
+    named = small(groups).select(F.col("node").alias(of), F.col("component").alias(name))
+    return df.join(named, of, "left").withColumn(name, F.coalesce(name, of))
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) of two components."""
+    return _component(_component(pairs, "a", groups, "c"), "b", groups, "d").filter("c <> d").select("a", "b")
+
+
+def _blocks(rest: DataFrame) -> DataFrame:
+    """(key, i, j, side, id, c): which members of a key are compared in which pair of blocks.
+
+    The members of a key's largest component, which need no comparison with one
+    another, lie in blocks of one kind, all others in blocks of the other kind; each
+    block of others meets each block of the largest, and each block of others.
+    """
+    per = rest.groupBy("key", "c").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    key = per.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("m"), F.sum("total").alias("total"), F.sum(F.lit(1)).alias("comps"), F.max_by("total", F.struct("m", "c")).alias("top_total"))
+
+    def number(m, total):
+        return F.greatest(F.ceil(m / BLOCK_MEMBERS), F.ceil(total / BLOCK_VALUES), F.lit(1)).cast("int")
+
+    wide = number(F.col("top.m"), F.col("top_total")).alias("wide")
+    others = number(F.col("m") - F.col("top.m"), F.col("total") - F.col("top_total")).alias("others")
+    keys = key.filter("comps > 1 AND m > 2").select("key", F.col("top.c").alias("top"), wide, others, (F.col("total") <= SMALL_VALUES).alias("small"))
+    rows = rest.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("c") == F.col("top"), F.col("wide")).otherwise(F.col("others"))).cast("int"))
+    # Blocks of others are numbered from 0, those of the largest component from -1 down.
+    every = F.sequence(F.lit(0), F.col("others") - 1)
+    least, greatest = F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j")
+    top = rows.filter("NOT small AND c = top").select("key", "id", "c", F.explode(every).alias("i"), (-1 - F.col("own")).alias("j"), F.lit(1).alias("side"))
+    to_top = rows.filter("NOT small AND c <> top").select("key", "id", "c", F.col("own").alias("i"), F.explode(F.sequence(F.lit(-1), -F.col("wide"))).alias("j"), F.lit(0).alias("side"))
+    among = rows.filter("NOT small AND c <> top").withColumn("x", F.explode(every)).select("key", "id", "c", least, greatest, (F.col("own") > F.col("x")).cast("int").alias("side"))
+    few = rows.filter("small").select("key", "id", "c", F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("j"), F.lit(0).alias("side"))
+    return top.union(to_top).union(among).union(few)
 
 
 def linked(dealt: DataFrame, parts: int, sets_of: Callable[[DataFrame], DataFrame], values: Values, percent: int, name: str) -> DataFrame:
     """(node, component) of every id that has a link, from packed band pairs.
 
-    First each id is verified against one other, the smallest it shares a key
-    with; that settles groups of copies with one pair a member. Next come the
-    smallest ids of its other keys, where they are of another component. Then,
-    wherever a key still holds several components, their members are verified against each
-    other in blocks of bounded size, which give only the links that join
-    components; so no link that banding finds is lost. ``sets_of`` gives (id, n,
-    regs, item) of ids: a set's size, sketch, and what ``values`` makes its values of.
+    First each id is verified against one other, the smallest it is tied to; that
+    settles groups of copies with one pair a member. Next come its other ties, where
+    they are of another component. Then, wherever a key still holds several
+    components, the members of these are verified against each other in blocks of
+    bounded size, which give only the links that join components; so no link that
+    banding finds is lost. ``sets_of`` gives (id, n, regs, item) of ids: a bound of a
+    set's size, its sketch, and what ``values`` makes its values of.
     """
     found = materialise(members(dealt, parts), f"{name}-members")
-    pairs = materialise(found.filter("id <> lo").groupBy("id").agg(F.min("lo").alias("b")).select(F.col("id").alias("a"), "b"), f"{name}-pairs")
-    sets = materialise(sets_of(found.select("id").distinct()), f"{name}-sets")
+    # At most a tie for each band and share of a task that an id is in.
+    ties = materialise(found.groupBy(F.col("id").alias("a")).agg(F.array_sort(F.collect_set("lo")).alias("los")), f"{name}-ties")
+    pairs = ties.select("a", F.col("los")[0].alias("b"))
+    every = ties.select("a", F.explode("los").alias("b"))
+    ids = materialise(ties.select("a").union(every.select("b").distinct()).distinct().toDF("id"), f"{name}-ids")
+    sets = materialise(sets_of(ids), f"{name}-sets")
     edges = materialise(verify(pairs, sets, percent, values), f"{name}-edges")
     groups = components(edges, f"{name}-groups")
-    star = _component(_component(found.filter("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b")).distinct(), "a", groups, "c"), "b", groups, "d")
-    star = star.filter("c <> d").select("a", "b").join(pairs, ["a", "b"], "left_anti")
-    edges = edges.union(materialise(verify(star, sets, percent, values), f"{name}-star"))
-    groups = components(edges, f"{name}-groups")
-    of = _component(found.select("key", "id"), "id", groups, "c")
-    of = of.join(sets.select("id", "n"), "id")
-    per_key = of.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m"), F.sum("n").alias("total"))
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("total") / BLOCK_VALUES)).cast("int")
-    mixed = per_key.filter("x < y").select("key", blocks.alias("blocks"), (F.col("total") <= SMALL_VALUES).alias("small"))
-    rest = of.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = materialise(rest.select("key", "id", "c", "small", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), f"{name}-rest")
-    rows = rest.join(sets.select("id", "item"), "id")
-    packed = rows.filter("small").groupBy("key").agg(F.collect_list(F.struct("id", "c", "item")).alias("members")).select("members")
-    edges = edges.union(materialise(packed.mapInArrow(_across_small(percent, values), "a long, b long"), f"{name}-small"))
-    large = rows.filter("NOT small").groupBy("key", "i", "j").applyInArrow(_across(percent, values), "a long, b long")
-    out = components(edges.union(materialise(large, f"{name}-large")), f"{name}-groups")
-    release(found, pairs, sets, rest)
-    return out
+
+    def joined(more: DataFrame, groups: DataFrame) -> DataFrame:
+        if not rows_of(more):
+            return groups
+        both = materialise(groups.filter("node <> component").toDF("a", "b").union(more), f"{name}-edges")
+        out = components(both, f"{name}-groups")
+        release(both, groups)
+        return out
+
+    others = ties.filter("size(los) > 1").select("a", F.explode(F.slice("los", 2, 1 << 30)).alias("b"))
+    more = materialise(verify(_apart(others, groups), sets, percent, values), f"{name}-more")
+    release(edges)
+    groups = joined(more, groups)
+    release(more)
+    failed = materialise(_apart(every, groups), f"{name}-failed")
+    if rows_of(failed):
+        keyed = found.filter("key IS NOT NULL").withColumnsRenamed({"id": "a", "lo": "b"})
+        mixed = materialise(keyed.join(small(failed), ["a", "b"], "left_semi").select("key").distinct(), f"{name}-mixed")
+        ends = keyed.join(small(mixed), "key", "left_semi")
+        rest = ends.select("key", F.col("a").alias("id")).union(ends.select("key", F.col("b").alias("id"))).distinct()
+        rest = materialise(_component(rest, "id", groups, "c").join(sets.select("id", "n"), "id"), f"{name}-rest")
+        blocks = materialise(_blocks(rest), f"{name}-blocks")
+        rows = blocks.join(sets.select("id", "item"), "id")
+        packed = rows.filter("i IS NULL").groupBy("key").agg(F.collect_list(F.struct("id", "c", "item")).alias("members")).select("members")
+        large = rows.filter("i IS NOT NULL").groupBy("key", "i", "j").applyInArrow(_across(percent, values), "a long, b long")
+        across = materialise(packed.mapInArrow(_across_small(percent, values), "a long, b long").union(large), f"{name}-across")
+        groups = joined(across, groups)
+        release(mixed, rest, blocks, across)
+    release(found, ties, ids, sets, failed)
+    return groups

@@ -21,11 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, pieces, release, small
-from .minhash import Dealer, band_keys, linked, registers
+from .common import materialise, mix, pieces, release, rows_of, small, tidy
+from .minhash import DEALT, PART_PAIRS, Dealer, band_keys, linked, registers
 
-#: With 40 bands of 6 registers a pair of similarity 0.8 shares no key once in 190,000.
-BANDS, ROWS = 40, 6
+#: With 48 bands of 5 registers a pair of similarity 0.8 shares no key once in 190 million.
+BANDS, ROWS = 48, 5
 _STEP = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -66,6 +66,7 @@ def _sketches(df: DataFrame, shingle: int) -> DataFrame:
                     [part.column(0), pa.array(sizes), pa.array(digest[:, 0], mask=none), pa.array(digest[:, 1], mask=none), pa.array(regs, pa.binary())],
                     ["id", "n", "d1", "d2", "regs"],
                 )
+        tidy()
 
     return df.mapInArrow(run, "id long, n long, d1 long, d2 long, regs binary")
 
@@ -79,6 +80,7 @@ def _deal(parts: int):
             for i in range(0, len(ids), 4096):
                 yield from dealer.add(band_keys(regs[i : i + 4096], BANDS), ids[i : i + 4096])
         yield from dealer.flush()
+        tidy()
 
     return run
 
@@ -93,9 +95,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sketches = materialise(_sketches(docs, shingle), "sketches")
     filled = sketches.filter("d1 is not null and id is not null")
-    nodes = materialise(filled.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("regs").alias("regs")), "nodes")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() * BANDS // (1 << 22) + 1)
-    dealt = nodes.select("id", "regs").mapInArrow(_deal(parts), "part int, pairs binary")
+    nodes = materialise(filled.groupBy("d1", "d2").agg(F.min("id").alias("id")), "nodes")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows_of(nodes) * BANDS // PART_PAIRS + 1)
+    dealt = filled.join(small(nodes), ["id", "d1", "d2"], "left_semi").select("id", "regs").mapInArrow(_deal(parts), DEALT)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +113,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
                         [part.column(0).take(pa.array(some)), pa.array(sizes[some]), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([sets[i].tobytes() for i in some], pa.binary())],
                         ["id", "n", "regs", "item"],
                     )
+            tidy()
 
-        return docs.join(small(ids, 16), "id", "left_semi").mapInArrow(run, "id long, n long, regs binary, item binary")
+        return docs.join(small(ids), "id", "left_semi").mapInArrow(run, "id long, n long, regs binary, item binary")
 
     groups = linked(dealt, parts, sets_of, _values, percent, "near")
-    rep = nodes.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
+    rep = small(nodes).select("d1", "d2", F.col("id").alias("rep"))
     rows = sketches.select("id", "n", "d1", "d2").join(rep, ["d1", "d2"], "left")
-    rows = rows.join(groups, rows["rep"] == groups["node"], "left")
+    rows = rows.join(small(groups), F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     out = rows.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(True)))
@@ -125,6 +128,6 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df`` of the smallest id of each group of near-duplicates."""
-    gone = near_duplicates(df, doc_id, text, shingle, percent).filter("NOT kept").select(F.col(doc_id).alias("quill_gone")).distinct()
-    gone = small(materialise(gone, "gone"), 8)
-    return df.join(gone, df[doc_id] == F.col("quill_gone"), "left_anti")
+    gone = near_duplicates(df, doc_id, text, shingle, percent).filter("NOT kept").select(F.col(doc_id).alias("gone")).distinct()
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("q"), F.col(doc_id).cast("long").alias("own"))
+    return rows.join(small(materialise(gone, "gone")), F.col("own") == F.col("gone"), "left_anti").select("q.*")

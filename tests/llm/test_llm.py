@@ -122,19 +122,62 @@ def test_components(spark):
     assert common.components(edges.limit(0)).count() == 0
 
 
-def test_lines_equal_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    lines = [(i, k, x) for i in sorted(texts) for k, x in enumerate(texts[i].split("\n")) if x.strip(" \t\n\r\v\f")]
-    sets = {x: frozenset(x.lower()[a : a + 8] for a in range(len(x.lower()) - 7)) for _, _, x in lines}
+def test_components_over_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(common, "TASK_EDGES", 40)
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 300, (2, 200))
+    chain = np.arange(1000, 1080)
+    a, b = np.r_[a, chain[1:], 2000 + chain], np.r_[b, chain[:-1], np.full(80, 2000)]
+    nodes, least = common.least_of_component(a, b)
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a long, b long")).collect()}
+    alone = set(a[a == b].tolist()) - set(a[a != b].tolist()) - set(b[a != b].tolist())
+    assert got == {n: c for n, c in zip(nodes.tolist(), least.tolist(), strict=True) if n not in alone} and got[1079] == 1000
+
+
+def lines_kept(docs):
+    """What is left of each distinct (id, text), by brute force."""
+    ids = F.xxhash64("text").alias("h")
+    rows = sorted({(r.doc_id is not None, r.doc_id or 0, r.h, r.text) for r in docs.select("doc_id", "text", ids).filter("text IS NOT NULL").collect()})
+    lines = [x for *_, t in rows for x in t.split("\n") if x.strip(" \t\n\r\v\f")]
+    sets = {x: frozenset(x.lower()[a : a + 8] for a in range(len(x.lower()) - 7)) for x in lines}
     names = {x: n for n, x in enumerate(sets)}
     group = jaccard_groups({names[x]: s for x, s in sets.items()})
-    seen, removed = set(), Counter()
-    for i, _, x in lines:
-        removed[i] += group[names[x]] in seen
-        seen.add(group[names[x]])
-    got = {r.doc_id: r.n_removed_lines for r in line_dedup.dedup_lines(docs).collect()}
-    assert got == {i: removed[i] for i in texts}
+    seen, out = set(), {}
+    for known, i, _, t in rows:
+        left = []
+        for x in t.split("\n"):
+            if not x.strip(" \t\n\r\v\f") or group[names[x]] not in seen:
+                left.append(x)
+            if x.strip(" \t\n\r\v\f"):
+                seen.add(group[names[x]])
+        out[i if known else None, t] = "\n".join(left)
+    return out
+
+
+def test_lines_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    near = ["alpha beta gamma delta epsilon zeta eta theta", "alpha beta gamma delta epsilon zeta eta thetas", "own words of this one row only, and no other"]
+    # Repeated rows, shared ids and null ids, with unique lines of their own.
+    more = [(0, near[0] + "\n" + near[2]), (0, near[0] + "\n" + near[2]), (0, near[1] + "\nthe second text of a shared id"), (None, near[0]), (None, near[0]), (None, near[1] + "\nanother row without id"), (70_000, None), (70_000, near[0])]
+    docs = docs.limit(60).union(spark.createDataFrame(more, "doc_id long, text string"))
+    before = docs.collect()
+    want = lines_kept(docs)
+    got = line_dedup.dedup_lines(docs).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, want.get((r.doc_id, r.text))) for r in before)
+    removed = sum(len(t.split("\n")) - len(want[i, t].split("\n")) for i, t in ((r.doc_id, r.text) for r in before) if t is not None and want[i, t])
+    assert sum(r.n_removed_lines for r in got) >= removed > 0
+
+
+def test_lines_of_any_names(spark):
+    df = spark.createDataFrame([(1, "one line here\none line here", "g", 5, "r")], "doc_id long, text string, gone string, pos int, quill_gone string")
+    got = line_dedup.dedup_lines(df).collect()[0]
+    assert (got.text, got.gone, got.pos, got.quill_gone, got.n_lines, got.n_removed_lines) == ("one line here", "g", 5, "r", 2, 1)
+
+
+def test_long_lines_are_sketched_in_parts():
+    line = "".join(f"{i * 7919 % 99991:x}" for i in range(80_000))
+    values, number = line_dedup.shingle_values([line])
+    assert len(line) > 2 * line_dedup.AT_ONCE and (line_dedup.sketches(["short enough", line])[1] == minhash.registers(values, number, 100)[0]).all()
 
 
 def test_lines_of_odd_rows(odd):
