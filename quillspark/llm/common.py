@@ -80,6 +80,33 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
         start = stop
 
 
+def dealt_by_part(df: DataFrame, parts: int) -> DataFrame:
+    """Packed rows by their column part, of ``parts`` in all, which a task gets one after another.
+
+    There are as many tasks as the session has shuffle partitions, however many parts;
+    Spark sorts them, on disk if need be, so a worker holds one part at a time.
+    """
+    tasks = min(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, "part").sortWithinPartitions("part")
+
+
+def each_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The batches of each part (the first column) in rows that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        part = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if held and held[0].column(0)[0].as_py() != part[a]:
+                yield held
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held
+
+
 def tidy() -> None:
     """Hands freed memory back to the system, which a reused Python worker would else hold."""
     pa.default_memory_pool().release_unused()

@@ -130,12 +130,12 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     alike = lines.join(small(groups), lines["id"] == F.col("node"), "left_semi").groupBy("id", "id2").agg(first)
     firsts = copied.union(alike).distinct().join(small(groups), F.col("id") == F.col("node"), "left")
     firsts = materialise(firsts.select("id", "id2", "component", "first"), "line-firsts")
-    keeper = firsts.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("kept"))
-    plan = firsts.join(keeper, "component", "left").select("id", "id2", F.coalesce("kept", "first").alias("kept"))
+    keeper = materialise(firsts.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("kept")), "line-kept")
+    plan = firsts.join(small(keeper), "component", "left").select("id", "id2", F.coalesce("kept", "first").alias("kept"))
     plan = materialise(plan, "line-keepers")
     hits = lines.join(small(plan), ["id", "id2"]).filter(~place.eqNullSafe(F.col("kept")))
     out = materialise(hits.groupBy("doc", "row").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "line-gone")
-    release(lines, groups, firsts, plan)
+    release(lines, groups, firsts, keeper, plan)
     return out
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, mix, release, rows_of, small, tidy
+from .common import components, dealt_by_part, each_part, materialise, mix, release, rows_of, small, tidy
 
 MANTISSA_BITS = 10
 #: Probability that two unrelated registers agree: a fixed value of the published
@@ -182,33 +182,34 @@ def members(dealt: DataFrame, parts: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = [], []
-        for batch in batches:
-            for own, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                table = np.frombuffer(blob.as_buffer(), "<i8").reshape(3 if own else 2, -1)
-                if own:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in table], ["key", "id", "lo"])
-                else:
-                    keys.append(table[0])
-                    ids.append(table[1])
-        if not keys:
-            return
-        key, own = np.concatenate(keys), np.concatenate(ids)
-        keys.clear()
-        ids.clear()
-        order = np.argsort(key)
-        key, own = key[order], own[order]
-        again = key[1:] == key[:-1]
-        met = np.r_[again, False] | np.r_[False, again]
-        key, own, rank, lo, count = _ranked(key[met], own[met])
-        tied = rank > 0
-        key, own, lo, count = key[tied], own[tied], lo[tied], count[tied]
-        for a in range(0, len(key), 1 << 16):
-            cut = slice(a, a + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(key[cut], pa.int64(), mask=count[cut] == 2), pa.array(own[cut], pa.int64()), pa.array(lo[cut], pa.int64())], ["key", "id", "lo"])
+        for part in each_part(batches):
+            keys, ids = [], []
+            for batch in part:
+                for own, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    table = np.frombuffer(blob.as_buffer(), "<i8").reshape(3 if own else 2, -1)
+                    if own:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in table], ["key", "id", "lo"])
+                    else:
+                        keys.append(table[0])
+                        ids.append(table[1])
+            if keys:
+                yield from _ties(np.concatenate(keys), np.concatenate(ids))
         tidy()
 
-    return dealt.repartition(parts, "part").mapInArrow(run, "key long, id long, lo long")
+    return dealt_by_part(dealt, parts).mapInArrow(run, "key long, id long, lo long")
+
+
+def _ties(key: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(key)
+    key, own = key[order], own[order]
+    again = key[1:] == key[:-1]
+    met = np.r_[again, False] | np.r_[False, again]
+    key, own, rank, lo, count = _ranked(key[met], own[met])
+    tied = rank > 0
+    key, own, lo, count = key[tied], own[tied], lo[tied], count[tied]
+    for a in range(0, len(key), 1 << 16):
+        cut = slice(a, a + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(key[cut], pa.int64(), mask=count[cut] == 2), pa.array(own[cut], pa.int64()), pa.array(lo[cut], pa.int64())], ["key", "id", "lo"])
 
 
 Values = Callable[[list[bytes]], list[np.ndarray]]
@@ -283,33 +284,49 @@ def _across(percent: int, values: Values):
 
 
 def _across_small(percent: int, values: Values):
-    """The same for many small groups: rows hold a key's members as lists."""
+    """The same for many small groups: rows hold a key's members as lists.
+
+    What two members share is a product of the group's table of members by values.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1_024):
                 lists = whole.column(0).slice(at, 1_024)
                 flat = lists.flatten()
-                ids, comps = flat.field(0).to_pylist(), flat.field(1).to_pylist()
+                ids, comps = flat.field(0).to_numpy(), flat.field(1).to_numpy()
                 sets = values(flat.field(2).to_pylist())
                 ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
                 a, b, first = [], [], 0
                 for last in ends:
-                    same = {c: c for c in comps[first:last]}
-                    for i in range(first, last):
-                        for j in range(first, i):
-                            if same[comps[i]] == same[comps[j]] or not _similar(sets[i], sets[j], percent):
-                                continue
-                            x, y = same[comps[i]], same[comps[j]]
-                            same = {c: min(x, y) if r in (x, y) else r for c, r in same.items()}
-                            a.append(max(ids[i], ids[j]))
-                            b.append(min(ids[i], ids[j]))
+                    for i, j in _links(sets[first:last], comps[first:last], percent):
+                        x, y = int(ids[first + i]), int(ids[first + j])
+                        a.append(max(x, y))
+                        b.append(min(x, y))
                     first = last
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        tidy()
 
     return run
 
 
+def _links(sets: list[np.ndarray], comps: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links of members of different components, as many as join these."""
+    sizes = np.array([len(x) for x in sets])
+    _, value = np.unique(np.concatenate(sets), return_inverse=True)
+    table = np.zeros((len(sets), value.max() + 1), np.float32)
+    table[np.repeat(np.arange(len(sets)), sizes), value] = 1
+    shared = (table @ table.T).astype(np.int64)
+    near = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+    near &= comps[:, None] != comps[None, :]
+    out, label = [], comps.copy()
+    for i, j in zip(*np.nonzero(np.triu(near)), strict=True):
+        if label[i] != label[j]:
+            label[label == label[i]] = label[j]
+            out.append((int(i), int(j)))
+    return out
+
+
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False

@@ -7,17 +7,21 @@ but those beside it. Stretches of JOINED neighbouring chunks are deduplicated by
 digest over all documents. A run of chunks of stretches that occurred before, in
 another document or earlier in the same one, is removed if it has ``min_words``
 words or more; the first occurrence, in order of document id (null first) and chunk
-number, stays.
+number, stays; documents of one id come in the order of the hash of their texts.
 
 A repeated passage of n words is surely cut alike in all its copies but for its
 first WINDOW + SPAN - 2 and its last SPAN words, at most: from the border of its
 first SPAN hashes to that of its last. Of more than 50 words that are 34 or more,
-over ``min_words`` and over the length of any stretch, so that they are surely
-removed; only the words at the two ends may stay.
+no less than ``min_words`` and over the length of any stretch, so that they are
+surely removed; only the words at the two ends may stay.
+
+A document is known by its id and a hash of its text, a stretch by 128 bits.
 
 Defined results: a null text stays null; a text without words is unchanged; words
-are kept as they stand, with the white space in front of them; rows that share an
-id are one document; an empty table gives an empty result.
+are kept as they stand, with the white space in front of them; ids are cast to long;
+rows that share an id, or have none, are judged each by their own text; rows equal in
+both are one document and get one result, so the first copies of its passages stay;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,15 +35,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialise, mix, pieces
+from .common import BROADCAST_BYTES, dealt_by_part, each_part, materialise, mix, pieces, rows_of, tidy
 
 #: A border falls behind the least of SPAN gear hashes, so a chunk has SPAN words at
 #: most; the hash forgets a word after WINDOW words. Chunks of a stretch.
 SPAN, WINDOW, JOINED = 8, 3, 4
-#: Words of a run of repeated chunks that is removed.
-MIN_WORDS = 20
+#: Words of a run of repeated chunks that is removed: those that any passage of over
+#: 50 words surely has between borders.
+MIN_WORDS = 51 - (WINDOW + SPAN - 2) - SPAN
 #: Chunks that a task holds before it hands them on.
 HELD_CHUNKS = 1 << 17
+#: Documents of a packed part, about.
+DOCUMENTS_OF_PART = 8_000
 _WORD = regex.compile(rb"[^ \t-\r]+")
 
 
@@ -70,104 +77,127 @@ def chunk_ends(words: list[bytes]) -> list[int]:
 
 
 def _digests(words: list[bytes]) -> np.ndarray:
-    """A digest of the stretch from each chunk on, of JOINED chunks; of all chunks if they are fewer."""
+    """Two digests of the stretch from each chunk on, of JOINED chunks; of all chunks if they are fewer."""
     g = _hashes(words)
     ends = _ends(g)
     if not len(ends):
-        return np.empty(0, np.int64)
+        return np.empty((2, 0), np.int64)
     starts = np.r_[0, ends[:-1]]
     place = np.arange(len(g)) - np.repeat(starts, ends - starts)
-    chunks = mix(np.add.reduceat(mix(g + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts))
-    size = min(JOINED, len(chunks))
-    stretch = chunks[: len(chunks) - size + 1].copy()
-    for k in range(1, size):
-        stretch = mix(stretch) + chunks[k : len(chunks) - size + 1 + k]
-    return mix(stretch).view(np.int64)
+    out = []
+    for seed in (0, 1):
+        chunks = mix(np.add.reduceat(mix(g + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), seed), starts), seed)
+        size = min(JOINED, len(chunks))
+        stretch = chunks[: len(chunks) - size + 1].copy()
+        for k in range(1, size):
+            stretch = mix(stretch, seed) + chunks[k : len(chunks) - size + 1 + k]
+        out.append(mix(stretch, seed).view(np.int64))
+    return np.array(out)
+
+
+PACKED = "part int, own boolean, rows binary"
+#: Stands for a null id, and comes first.
+_NULL = -(1 << 63)
+
+
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(keys.view(np.uint64)) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+
+
+def _packed(table: np.ndarray, part: np.ndarray, own: bool) -> pa.RecordBatch:
+    """The columns of a table, in one row for each part."""
+    order = np.argsort(part, kind="stable")
+    table, part = table[:, order], part[order]
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+    blobs = [np.ascontiguousarray(x).tobytes() for x in np.split(table, first[1:], axis=1)] if len(part) else []
+    return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.array([own] * len(first)), pa.array(blobs, pa.binary())], ["part", "own", "rows"])
+
+
+def _first_and_again(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a table (digest, digest, doc, row, number): the first place of each digest, and (doc, row, number) of all others."""
+    table = table[:, np.lexsort(table[::-1])]
+    new = np.r_[True, (table[:2, 1:] != table[:2, :-1]).any(axis=0)][: table.shape[1]]
+    firsts = table[:, new]
+    its = np.repeat(np.arange(firsts.shape[1]), np.diff(np.r_[np.flatnonzero(new), len(new)]))
+    # A repeated row has the very place of its copy; that is no repetition.
+    return firsts, table[2:, (table[2:] != firsts[2:, its]).any(axis=0)]
 
 
 def _chunks(parts: int):
-    """Packs (digest, document, chunk number) of all stretches by digest."""
+    """Deals the stretches out by digest.
+
+    Of a digest's places in one task's share only the first goes on to meet those of
+    other tasks; the others can't be first anywhere, and go out as marks (own), to
+    parts in turn. So a digest of very many documents sends one place from each share.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests: list[np.ndarray] = []
-        docs: list[int] = []
-        held = 0
+        held: list[tuple[np.ndarray, int, int]] = []
+        size = turn = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            if not held:
-                return
-            sizes = [len(d) for d in digests]
-            table = np.array([np.concatenate(digests), np.repeat(np.array(docs, np.int64), sizes), np.concatenate([np.arange(n) for n in sizes])], np.int64)
-            part = ((table[0].view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((table[2], table[1], table[0], part))
-            digests.clear()
-            docs.clear()
-            held = 0
-            yield _packed(table[:, order], part[order])
+            nonlocal size, turn
+            sizes = [d.shape[1] for d, _, _ in held]
+            places = [np.repeat(np.array([x[k] for x in held], np.int64), sizes) for k in (1, 2)]
+            table = np.vstack([np.concatenate([d for d, _, _ in held], axis=1), *places, np.concatenate([np.arange(n) for n in sizes])])
+            held.clear()
+            size, turn = 0, turn + 1
+            firsts, again = _first_and_again(table)
+            yield _packed(firsts, _part_of(firsts[0], parts), False)
+            if again.shape[1]:
+                yield _packed(again, np.full(again.shape[1], (int(again[1, 0]) + turn) % parts), True)
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            at = 0
             for part, texts in pieces(batch, "text"):
-                for t in texts:
-                    digests.append(_digests((t or "").encode().split()))
-                    docs.append(_NULL if ids[at] is None else ids[at])
-                    held += len(digests[-1])
-                    at += 1
-                if held > HELD_CHUNKS:
+                docs, rows = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for doc, row, t in zip(docs, rows, texts, strict=True):
+                    if t:
+                        held.append((_digests(t.encode().split()), _NULL if doc is None else doc, row))
+                        size += held[-1][0].shape[1]
+                if size > HELD_CHUNKS:
                     yield from flush()
-        yield from flush()
+        if size:
+            yield from flush()
+        tidy()
 
     return run
 
 
-_NULL = -(1 << 63)
-
-
-def _packed(table: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-    """The columns of a table ordered by part, in one row for each part."""
-    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    blobs = [np.ascontiguousarray(x).tobytes() for x in np.split(table, first[1:], axis=1)]
-    return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.array(blobs, pa.binary())], ["part", "rows"])
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch], height: int) -> np.ndarray:
-    tables = [np.frombuffer(x, np.int64).reshape(height, -1) for b in batches for x in b.column(1).to_pylist()]
+def _table(part: list[pa.RecordBatch], height: int, own: bool) -> np.ndarray:
+    tables = [np.frombuffer(x.as_buffer(), np.int64).reshape(height, -1) for b in part for o, x in zip(b.column(1).to_pylist(), b.column(2), strict=True) if o is own]
     return np.concatenate(tables, axis=1) if tables else np.empty((height, 0), np.int64)
 
 
 def _repeats(parts: int):
-    """Packs (document, chunk number) of all stretches that are not the first with their digest by document."""
+    """Deals out by document (doc, row, number) of all stretches that are not the first with their digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, doc, number = _unpacked(batches, 3)
-        order = np.lexsort((number, doc, digest))
-        digest, doc, number = digest[order], doc[order], number[order]
-        again = np.r_[False, digest[1:] == digest[:-1]][: len(digest)]
-        if again.any():
-            table = np.array([doc[again], number[again]])
-            part = ((mix(table[0].view(np.uint64)) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            yield _packed(table[:, order], part[order])
+        for part in each_part(batches):
+            _, again = _first_and_again(_table(part, 5, False))
+            again = np.concatenate([again, _table(part, 3, True)], axis=1)
+            if again.shape[1]:
+                yield _packed(again, _part_of(again[0] ^ again[1], parts), True)
+        tidy()
 
     return run
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document the runs of chunks of repeated stretches: the first of each and the one behind it."""
-    doc, number = _unpacked(batches, 2)
-    order = np.lexsort((number, doc))
-    doc, number = doc[order], number[order]
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (number[1:] > number[:-1] + JOINED)][: len(doc)]
-    runs = np.stack([number[new], number[np.r_[new[1:], True][: len(doc)]] + JOINED], axis=1).astype("<i4")
-    doc = doc[new]
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)])
-    stops = np.append(first[1:], len(doc))
-    for a in range(0, len(first), 4096):
-        cut = first[a : a + 4096]
-        lists = [runs[x:y].tobytes() for x, y in zip(cut.tolist(), stops[a : a + 4096].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(lists, pa.binary())], ["doc", "runs"])
+    for part in each_part(batches):
+        table = _table(part, 3, True)
+        doc, row, number = table[:, np.lexsort(table[::-1])]
+        other = np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])][: len(doc)]
+        new = other | np.r_[True, number[1:] > number[:-1] + JOINED][: len(doc)]
+        runs = np.stack([number[new], number[np.r_[new[1:], True][: len(doc)]] + JOINED], axis=1).astype("<i4")
+        first = np.flatnonzero(other[new])
+        doc, row = doc[new][first], row[new][first]
+        stops = np.append(first[1:], len(runs))
+        for a in range(0, len(first), 4096):
+            cut = slice(a, a + 4096)
+            lists = [runs[x:y].tobytes() for x, y in zip(first[cut].tolist(), stops[cut].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[cut], mask=doc[cut] == _NULL), pa.array(row[cut]), pa.array(lists, pa.binary())], ["doc", "row", "runs"])
+    tidy()
 
 
 def without(text: str, repeated: set[int], min_words: int) -> tuple[str, int, int]:
@@ -211,24 +241,25 @@ def _rewrite(min_words: int):
                     new.append(got[0])
                     chunks.append(got[1])
                     removed.append(got[2])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(new, pa.string()), pa.array(chunks, pa.int64()), pa.array(removed, pa.int64())], ["row", "text", "n_chunks", "n_removed_words"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(new, pa.string()), pa.array(chunks, pa.int64()), pa.array(removed, pa.int64())], ["own", "text", "n_chunks", "n_removed_words"])
+        tidy()
 
     return run
 
 
 def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``df`` with ``text`` freed of repeated passages, and n_chunks and n_removed_words."""
+    """``df`` with ``text`` freed of repeated passages, and n_chunks and n_removed_words (columns so named are replaced)."""
     spark = df.sparkSession
-    rows = df.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 8_000 + 1)
-    docs = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    dealt = docs.mapInArrow(_chunks(parts), "part int, rows binary")
-    repeated = dealt.repartition(parts, "part").mapInArrow(_repeats(parts), "part int, rows binary")
-    marks = materialise(repeated.repartition(parts, "part").mapInArrow(_runs, "doc long, runs binary"), "chunk-marks")
-    size = marks.agg(F.count("*") * 32 + F.coalesce(F.sum(F.length("runs")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows_of(df) // DOCUMENTS_OF_PART + 1)
+    docs = df.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    repeated = dealt_by_part(docs.mapInArrow(_chunks(parts), PACKED), parts).mapInArrow(_repeats(parts), PACKED)
+    marks = materialise(dealt_by_part(repeated, parts).mapInArrow(_runs, "doc long, row long, runs binary"), "chunk-marks")
+    size = marks.agg(F.count("*") * 96 + F.coalesce(F.sum(F.length("runs")), F.lit(0))).first()[0]
     marks = F.broadcast(marks) if size <= BROADCAST_BYTES else marks
     others = [c for c in df.columns if c not in (text, "n_chunks", "n_removed_words")]
-    keyed = df.select(F.struct(*[F.col(c) for c in others]).alias("row"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL)).alias("key"))
-    joined = keyed.join(marks, keyed["key"] == marks["doc"], "left").select("row", "text", "runs")
-    out = joined.mapInArrow(_rewrite(min_words), joined.select("row", "text").schema.add("n_chunks", "long").add("n_removed_words", "long"))
-    return out.select("row.*", F.col("text").alias(text), "n_chunks", "n_removed_words")
+    keyed = df.select(F.struct(*[F.col(c) for c in others]).alias("own"), F.col(text).alias("text"), F.col(doc_id).cast("long").alias("own_doc"))
+    met = F.col("own_doc").eqNullSafe(F.col("doc")) & (F.xxhash64("text") == F.col("row"))
+    joined = keyed.join(marks, met, "left").select("own", "text", "runs")
+    out = joined.mapInArrow(_rewrite(min_words), joined.select("own", "text").schema.add("n_chunks", "long").add("n_removed_words", "long"))
+    made = F.struct(F.col("text").alias(text), "n_chunks", "n_removed_words").alias("made")
+    return out.select("own", made).select("own.*", "made.*")

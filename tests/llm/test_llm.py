@@ -231,6 +231,21 @@ def test_chunks_that_only_occurred_apart_stay(spark):
     assert {r.doc_id: r.text for r in got} == dict(rows)
 
 
+def test_substrings_of_repeated_rows_shared_and_null_ids(spark):
+    rng = np.random.default_rng(53)
+    text = lambda n: " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, n).tolist())
+    x, y, z, n = text(120), text(120), text(120), text(120)
+    rows = [(0, x), (1, x), (1, y), (2, z), (2, z), (None, n), (None, n), (3, n), (4, z)]
+    df = spark.createDataFrame([(*r, "own", 5) for r in rows], "doc_id long, text string, doc string, row int")
+    got = Counter((r.doc_id, r.text, r.doc, r.row) for r in substring_dedup.dedup_substrings(df).collect())
+    left = Counter()
+    for (i, t, *_), k in got.items():
+        left[i, len(t.split()) > 100] += k
+        assert t in (x, y, z, n) or len(t.split()) <= 18
+    # Rows equal in id and text are one document; the first place of every passage stays.
+    assert left == Counter({(0, True): 1, (1, True): 1, (1, False): 1, (2, True): 2, (None, True): 2, (3, False): 1, (4, False): 1})
+
+
 def test_substrings_of_odd_rows(odd):
     got = substring_dedup.dedup_substrings(odd)
     assert set(odd.columns) <= set(got.columns) and got.count() == odd.count()
