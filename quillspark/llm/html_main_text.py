@@ -1,13 +1,24 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped, with scripts, styles, menus, forms and other matter that is
-never article text, and what is left forms lines, one for each block. The text
-lengths are summed over sliding windows of lines; the regions between a surge
-point, where the sum rises over a threshold, and a dive point, where it falls to
-nothing, hold the main text. If the one of the most text lies in an article or main
-element, the regions widen to all lines of such elements that hold one; or else to
-all lines of the innermost element around all regions, so that short paragraphs and
-lists at their ends and between them stay.
+Markup is stripped, and what is left forms lines, one for each block. The lengths of
+the lines' text outside links are summed over sliding windows of lines; the regions
+between a surge point, where the sum rises over a threshold, and a dive point, where
+it falls to nothing, hold the main text. The element around the regions gives its
+edges, so that titles, short paragraphs and lists beside long ones stay:
+
+- A region ends where its element does. Regions of a tenth or more of the largest one's text count, and those beside one
+  in the same element, article or main. The main text's element is the innermost
+  around all of them; if each lies in an article or main, these are.
+- All lines of that element belong to the text, but for parts that hold links alone
+  and lie before the first or behind the last region. If the element is the page's
+  body, lines outside the regions belong to it only if they stand in an element of a
+  region's own lines. A heading right before the text belongs to it.
+- A page without any region gives the lines of the element that holds most text.
+
+Elements that by name, role or class are no article text (menus, headers, footers,
+sidebars, notices, adverts, forms, comments) are left out of all this. A class counts
+if one of its names is such a word, or begins or ends with one; the latter is no more
+than a hint, and is passed over if the page has no region without such elements.
 
 Defined results: a null or empty html gives an empty text; broken or unclosed
 markup is read as far as it goes; repeated rows give repeated results; an empty
@@ -16,18 +27,21 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import pieces
 
-#: Lines of a window, and the characters in it that make a surge.
+#: Lines of a window, and the characters in it that make a surge, as the
+#: method was published.
 WINDOW, SURGE = 3, 86
+#: Share of the largest region's text that makes another region count by itself.
+COUNTS = 0.1
 #: Names of elements and words in class, id and role attributes.
 RAW = frozenset({"script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp", "svg", "canvas", "object", "select"})
 NEVER_TEXT = frozenset({"head", "nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "fieldset"})
@@ -36,9 +50,12 @@ BLOCKS = frozenset(
 )
 NESTING = frozenset("article aside body button center details dialog div dl fieldset figure footer form head header main menu nav ol section table ul blockquote".split())
 CONTENT = frozenset({"article", "main"})
+HEADINGS = frozenset({"h1", "h2"})
 HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar comment comments commentlist respond reply replies disqus cookie cookies consent gdpr notice notices notification alert menu nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended newsletter subscribe popup modal overlay widget toolbar login signup pagination pager skip".split()
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar comment comments commentlist respond replies disqus cookie cookies consent gdpr notice notices notification alert menu nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended newsletter subscribe popup modal toolbar login signup pagination pager".split()
 )
+#: Words that make a class no hint beside one of the above, as in has-sidebar or post-header.
+NO_HINTS = frozenset("has no with without post entry article content story main text body".split())
 ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"})
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
@@ -46,43 +63,64 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _WORD = re.compile(r"[a-z]+")
 
 
-def _is_matter(name: str, attributes: str, stack: list[tuple[str, bool, int]]) -> bool:
-    """Whether an element holds no article text."""
-    if name in CONTENT and not any(x[0] == "article" for x in stack) or name in ("body", "html"):
-        return False
+class Line(NamedTuple):
+    """A block's text, the characters of it in links, its innermost element, and whether it is a heading."""
+
+    text: str
+    linked: int
+    element: int
+    heading: bool
+
+
+class Element(NamedTuple):
+    """An element's name, the number of the one around it, and the outermost element around both that is hinted at (0: none)."""
+
+    name: str
+    parent: int
+    hinted: int
+
+
+def _matter(name: str, attributes: str, inside: list[str]) -> int:
+    """2 if an element holds no article text, 1 if a class hints at that, else 0."""
+    if name in CONTENT or name in ("body", "html"):
+        return 0
     if name in NEVER_TEXT:
-        return not (name == "header" and any(x[0] in CONTENT for x in stack))
+        return 0 if name == "header" and not CONTENT.isdisjoint(inside) else 2
+    found = 0
     for kind, *values in _ATTRIBUTE.findall(attributes):
-        words = _WORD.findall("".join(values).lower())
-        if not (ROLES if kind.lower() == "role" else HINTS).isdisjoint(words):
-            return True
-    return False
-
-
-def lines(page: str) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """The lines of a page that may be text, each with the number of its element, and the elements' parents.
-
-    The number is that of the article or main element around the line, and over 0;
-    elsewhere it is that of the innermost element, and not over 0. Parents are by
-    numbers without sign; 0 is the page.
-    """
-    out: list[tuple[str, int]] = []
-    parents: dict[int, int] = {}
-    stack: list[tuple[str, bool, int]] = []
+        for token in "".join(values).lower().split():
+            words = _WORD.findall(token)
+            if kind.lower() == "role":
+                found = max(found, 2 * (token in ROLES))
+            elif words and not (words[0] not in HINTS and words[-1] not in HINTS) and NO_HINTS.isdisjoint(words):
+                found = max(found, 2 if len(words) == 1 else 1)
+    return found
+
+
+def lines(page: str) -> tuple[list[Line], list[Element]]:
+    """The lines of a page that may be text, and its elements; the page itself is element 0."""
+    out: list[Line] = []
+    elements = [Element("", 0, 0)]
+    stack: list[tuple[str, int, int]] = []
     buffer: list[str] = []
-    elements, at, n = 0, 0, len(page)
-    skipping, inside = 0, 0
+    linked: list[str] = []
+    at, n = 0, len(page)
+    skipping = inside = links = 0
+    heading = False
 
     def end_line() -> None:
         text = " ".join(html.unescape("".join(buffer)).split())
-        buffer.clear()
         if text:
-            out.append((text, inside))
+            out.append(Line(text, len(" ".join(html.unescape("".join(linked)).split())), inside, heading))
+        buffer.clear()
+        linked.clear()
 
     while at < n:
         m = _TAG.search(page, at)
         if not skipping:
             buffer.append(page[at : m.start() if m else n])
+            if links:
+                linked.append(buffer[-1])
         if not m:
             break
         at = m.end()
@@ -94,29 +132,29 @@ def lines(page: str) -> tuple[list[tuple[str, int]], dict[int, int]]:
                 stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else n
             continue
+        if name == "a":
+            links = 0 if closing else 1
         if name in BLOCKS:
             end_line()
+            heading = name in HEADINGS and not closing
         if name not in NESTING:
             continue
         if not closing:
-            matter = _is_matter(name, attributes, stack)
-            stack.append((name, matter, inside))
-            skipping += matter
-            elements += 1
-            parents[elements] = abs(inside)
-            if name in CONTENT and not skipping and not (name == "main" and inside > 0):
-                inside = elements
-            elif inside <= 0:
-                inside = -elements
+            matter = _matter(name, attributes, [x[0] for x in stack])
+            stack.append((name, matter == 2, inside))
+            skipping += matter == 2
+            hinted = elements[inside].hinted or (len(elements) if matter == 1 else 0)
+            elements.append(Element(name, inside, hinted))
+            inside = len(elements) - 1
         elif any(x[0] == name for x in stack):
             while True:
-                last, matter, before = stack.pop()
-                skipping -= matter
+                last, never, before = stack.pop()
+                skipping -= never
                 inside = before
                 if last == name:
                     break
     end_line()
-    return out, parents
+    return out, elements
 
 
 def regions(lengths: list[int]) -> list[tuple[int, int]]:
@@ -133,32 +171,81 @@ def regions(lengths: list[int]) -> list[tuple[int, int]]:
     return found
 
 
-def _within(held: set[int], parents: dict[int, int]) -> set[int]:
-    """The innermost element around all of ``held``, with all elements in it."""
+def _around(element: int, elements: list[Element]) -> list[int]:
+    """The element and all around it, the page last."""
+    out = [element]
+    while out[-1]:
+        out.append(elements[out[-1]].parent)
+    return out
+
+
+def _common(held: set[int], elements: list[Element]) -> int:
+    """The innermost element around all of these."""
     # Elements are numbered as they open: the last of several holds none of the others.
-    last = [-element for element in held]
-    heapq.heapify(last)
-    while len(last) > 1:
-        element = heapq.heappop(last)
-        if element != last[0]:
-            heapq.heappush(last, -parents[-element])
-    inside = {-last[0] if last else 0}
-    for element, parent in parents.items():
-        if parent in inside:
-            inside.add(element)
-    return inside
+    held = set(held)
+    while len(held) > 1:
+        last = max(held)
+        held.remove(last)
+        held.add(elements[last].parent)
+    return held.pop()
+
+
+def _same(elements: list[int], start: int) -> list[tuple[int, int]]:
+    """First and last, exclusive, of each run of equal elements, counted from ``start``."""
+    cuts = [0, *(i for i in range(1, len(elements)) if elements[i] != elements[i - 1]), len(elements)]
+    return [(start + a, start + b) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def choose(found: list[Line], elements: list[Element]) -> list[int]:
+    """The numbers of the lines that are main text."""
+    lengths = [len(x.text) - x.linked for x in found]
+    kept = regions(lengths)
+    if not kept:
+        held: dict[int, int] = {}
+        for x, size in zip(found, lengths, strict=True):
+            held[x.element] = held.get(x.element, 0) + size
+        most = max(held, key=lambda e: (held[e], -e), default=None)
+        return [i for i, x in enumerate(found) if x.element == most and held[most]]
+    # What follows on one another in different elements are regions of their own.
+    kept = [(a, b) for start, stop in kept for a, b in _same([x.element for x in found[start:stop]], start)]
+    size = [sum(lengths[a:b]) for a, b in kept]
+    main = max(range(len(kept)), key=size.__getitem__)
+    homes = [found[a].element for a, _ in kept]
+
+    def beside(r: int) -> bool:
+        own, other = _around(homes[r], elements), _around(homes[main], elements)
+        near = set(own[:2]) & set(other[:2])
+        return any(elements[e].name not in ("", "html", "body") for e in near) or any(elements[e].name in CONTENT for e in set(own) & set(other))
+
+    counted = [r for r in range(len(kept)) if size[r] >= COUNTS * size[main] or beside(r)]
+    first, last = kept[counted[0]][0], kept[counted[-1]][1]
+    articles = {next((e for e in reversed(_around(homes[r], elements)) if elements[e].name in CONTENT), 0) for r in counted}
+    inside = {_common({homes[r] for r in counted}, elements)} if 0 in articles else articles
+    loose = 0 in articles and elements[min(inside)].name in ("", "html", "body")
+    for e in range(min(inside) + 1, len(elements)):
+        if elements[e].parent in inside:
+            inside.add(e)
+    own = {x.element for r in counted for x in found[slice(*kept[r])]}
+    # Whether an element holds links alone, with all elements in it.
+    text = dict.fromkeys(inside, 0)
+    for x, n in zip(found, lengths, strict=True):
+        for e in _around(x.element, elements) if x.element in inside else ():
+            if e in text:
+                text[e] += n
+    out = [i for i, x in enumerate(found) if x.element in inside and (first <= i < last or (x.element in own if loose else x.element in own or text[x.element]))]
+    for i in range(out[0] - 1, max(out[0] - 3, -1), -1) if out else ():
+        if found[i].heading and not loose and not any(found[k].heading for k in out[:1]):
+            return [*range(i, out[0]), *out]
+    return out
 
 
 def main_text(page: str | None) -> str:
     """The main text, its blocks in page order joined by line feeds."""
-    found, parents = lines(page or "")
-    kept = regions([len(text) for text, _ in found]) or [(0, len(found))]
-    first, last = max(kept, key=lambda r: sum(len(text) for text, _ in found[r[0] : r[1]]))
-    held = {element for a, b in kept for _, element in found[a:b]}
-    if max((element for _, element in found[first:last]), default=0) > 0:
-        return "\n".join(text for text, element in found if element > 0 and element in held)
-    inside = _within({abs(element) for element in held}, parents)
-    return "\n".join(text for text, element in found if abs(element) in inside)
+    found, elements = lines(page or "")
+    plain = [x for x in found if not elements[x.element].hinted]
+    if not regions([len(x.text) - x.linked for x in plain]) and regions([len(x.text) - x.linked for x in found]):
+        plain = found
+    return "\n".join(plain[i].text for i in choose(plain, elements))
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

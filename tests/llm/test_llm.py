@@ -376,6 +376,68 @@ def test_main_text_keeps_all_regions_and_what_lies_between():
     assert html_main_text.main_text(both).split("\n") == long[:3] + items + long[3:]
 
 
+def prose(n, size=12):
+    return [f"{w} {'plain words here ' * size}".strip() for w in ("one", "two", "three", "four", "five", "six")[:n]]
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{x}</p>" for x in texts)
+
+
+def test_main_text_where_names_say_nothing():
+    """Neither tags nor classes tell the article from the rest: line blocks do."""
+    menu = "<div class=x1><ul>" + "".join(f"<li><a href=/{i}>Item {i} of the long menu of this page</a></li>" for i in range(8)) + "</ul></div>"
+    body = paragraphs([*prose(2), "Short.", *prose(4)[2:]])
+    page = f"<body><div class=x0>The Daily Page</div>{menu}<div class=x2><h1>Title</h1><div class=x3>{body}<p>End.</p></div></div><div class=x4>Imprint, all kinds of small print</div></body>"
+    want = ["Title", *prose(2), "Short.", *prose(4)[2:], "End."]
+    assert html_main_text.main_text(page).split("\n") == want
+    found, elements = html_main_text.lines(page)
+    assert len(found) > len(want) + 8 and not any(e.hinted for e in elements)
+    # Right in the body, with the rest in boxes of its own.
+    flat = f"<body><div class=x0>The Daily Page</div>{menu}<h1>Title</h1>{body}<p>End.</p><div class=x4>Imprint, all kinds of small print</div></body>"
+    assert html_main_text.main_text(flat).split("\n") == want
+
+
+def test_main_text_under_misleading_names():
+    body = paragraphs(prose(3))
+    assert html_main_text.main_text(f"<body><div class='entry-content has-sidebar'>{body}</div><div class='sidebar'>More</div></body>").split("\n") == prose(3)
+    assert html_main_text.main_text(f"<body><article><div class='post-header'><h1>Head</h1></div>{body}</article></body>").split("\n") == ["Head", *prose(3)]
+    assert html_main_text.main_text(f"<body><article><div class='widget'>{body}</div></article></body>").split("\n") == prose(3)
+    # A hint is passed over where nothing else holds a region, a plain name isn't.
+    assert html_main_text.main_text(f"<body><p>x</p><div class='newsletter-layout'>{body}</div></body>").split("\n") == prose(3)
+    assert html_main_text.main_text(f"<body><p>Few words.</p><div class='comments'>{body}</div></body>") == "Few words."
+
+
+def test_long_and_repeated_pages(spark):
+    page = f"<article>{paragraphs(prose(6, 4000))}</article>"
+    got = html_main_text.extract(spark.createDataFrame([(1, "u", page), (1, "u", page), (None, None, page)], "page_id long, url string, html string")).collect()
+    assert [(r.text, r.n_chars) for r in got] == [("\n".join(prose(6, 4000)), sum(map(len, prose(6, 4000))) + 5)] * 3
+    assert html_main_text.main_text("<div>" * 30_000 + "deep" + "<p>x") == "deep\nx"
+
+
+def test_pages_equal_the_article_blocks(spark):
+    """The test pages hold one article; its blocks, cut out by plain patterns, are the truth."""
+    import html
+    import re
+
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = re.split(r"</?(?:p|h1|br)\b[^>]*>", inner)
+        texts = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in blocks)
+        assert html_main_text.main_text(r.html) == "\n".join(t for t in texts if t)
+
+
+def test_line_blocks_alone_find_most_articles(spark, monkeypatch):
+    """Without any knowledge of names, most pages give the same text: the blocks decide."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = [html_main_text.main_text(p) for p in pages]
+    for name in ("NEVER_TEXT", "HINTS", "ROLES", "CONTENT"):
+        monkeypatch.setattr(html_main_text, name, frozenset({"head"}) if name == "NEVER_TEXT" else frozenset())
+    lines = ["\n".join(x.text for x in html_main_text.lines(p)[0]) for p in pages]
+    assert not any(a == b for a, b in zip(lines, want, strict=True))
+    assert sum(html_main_text.main_text(p) == w for p, w in zip(pages, want, strict=True)) >= 0.75 * len(pages)
+
+
 def names_of(text):
     return sorted((line, name) for line, name, *_ in license_scan.scan_text(text))
 
