@@ -1,26 +1,32 @@
 """Quality rules as a short-circuit cascade of SQL expressions.
 
 Every rule is a column expression over a text. Their cost and their selectivity
-are estimated on a bounded sample; the cascade then tests them in the order of
-rejections per cost, and stops at a document's first failure. Only DataFrame and
-SQL functions are used.
+are estimated on a random sample of bounded size; the cascade then tests them in the
+order of rejections per cost, and stops at a document's first failure. ``keep``
+computes a rule's measures only for what the earlier rules left; ``judge`` does so
+with all measures but those that it is asked to report. Only DataFrame and SQL
+functions are used.
 
 Words are runs of characters other than blank and \\t to \\r. A null text has no
 words and fails the base rule; an empty table gives an empty result; other
-columns are carried; repeated rows are judged each on its own.
+columns, whatever their names, are carried, but for those of a reported measure or of
+base_failed, rejected_by and kept, which are replaced; repeated rows are judged each
+on its own.
 """
 
 from __future__ import annotations
 
+import math
 import time
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from .common import materialise, release, rows_of
 
-#: Rows that the estimates are made on, at most; they decide only the order.
-SAMPLE_ROWS = 2_000
+#: Rows that the estimates are made on, about, and the runs of which the fastest
+#: counts; they decide only the order.
+SAMPLE_ROWS, RUNS = 2_000, 2
 MIN_WORDS = 20
 WINDOW = 8
 #: Limits of the rules beyond the base rule.
@@ -105,13 +111,20 @@ def _with(df: DataFrame, names: tuple[str, ...], text: str, have: set[str]) -> D
     return df
 
 
-def _without_helpers(df: DataFrame) -> DataFrame:
-    return df.drop(*(k for k in _NEEDS if k.startswith("q_")))
+def _wrapped(df: DataFrame, text: str) -> DataFrame:
+    """The caller's row as a struct, so that no name of its own meets one of ours, and the text."""
+    return df.select(F.struct(*[F.col(c) for c in df.columns]).alias("q_row"), F.col(text).alias("q_source"))
+
+
+def _unwrapped(df: DataFrame, columns: list[str], names: tuple[str, ...]) -> DataFrame:
+    """The caller's columns but for those of ``names``, and these."""
+    made = df.select("q_row", F.struct(*names).alias("q_made"))
+    return made.select(*[F.col("q_row").getField(c).alias(c) for c in columns if c not in names], *[F.col("q_made").getField(c).alias(c) for c in names])
 
 
 def measures(df: DataFrame, text: str = "text", names: tuple[str, ...] = MEASURES) -> DataFrame:
     """``df`` with the named measures (long) of every text; columns so named are replaced."""
-    return _without_helpers(_with(df, names, text, set()))
+    return _unwrapped(_with(_wrapped(df, text), names, "q_source", set()), df.columns, names)
 
 
 #: Each rule's measures and rejecting condition.
@@ -127,31 +140,57 @@ BASE = ("too_short", "repeats_itself")
 
 
 def cascade_order(df: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """Rules with their estimated seconds and rejected share, best ratio first.
+    """Rules with their estimated cost and rejected share, best ratio first.
 
-    Each rule runs alone over a bounded sample, so that its plan computes only the
-    measures it needs. An empty sample keeps the order in which rules are stated.
+    A random sample, written once without a shuffle, is read by each rule alone, so
+    that its plan computes only the measures it needs. The time over that of a plain
+    reading is the cost, in powers of two of the reading's time, so that small
+    differences of two runs change no order. Rules of equal ratio, and an empty
+    sample's, keep the order in which they are stated.
     """
-    held = materialise(df.select(F.col(text).alias("text")).limit(rows), "rules-sample")
+    n = rows_of(df)
+    held = materialise(df.select(F.col(text).alias("text")).sample(min(1.0, rows / max(n, 1)), 20240229), "rules-sample")
+
+    def timed(of: DataFrame) -> tuple[float, float]:
+        took = []
+        for _ in range(RUNS):
+            began = time.perf_counter()
+            share = of.first()[0] or 0.0
+            took.append(time.perf_counter() - began)
+        return min(took), share
+
+    plain, _ = timed(held.agg(F.avg(F.length("text"))))
     found = []
     for name, (needs, rejects) in RULES.items():
-        began = time.perf_counter()
-        share = measures(held, "text", needs).agg(F.avg(F.expr(rejects).cast("double"))).first()[0] or 0.0
-        found.append((name, max(time.perf_counter() - began, 1e-6), share))
+        took, share = timed(measures(held, "text", needs).agg(F.avg(F.expr(rejects).cast("double"))))
+        found.append((name, 2.0 ** round(math.log2(max(took / plain - 1, 1 / 16))), share))
     release(held)
     return sorted(found, key=lambda r: -r[2] / r[1])
 
 
-def judge(df: DataFrame, text: str = "text", order: list[str] | None = None) -> DataFrame:
-    """``df`` with all measures, base_failed, rejected_by (the first rule that rejects) and kept."""
+def judge(df: DataFrame, text: str = "text", order: list[str] | None = None, report: tuple[str, ...] = MEASURES) -> DataFrame:
+    """``df`` with the measures of ``report``, base_failed, rejected_by (the first rule that rejects) and kept.
+
+    Measures that aren't reported are null, and cost nothing, where an earlier rule
+    of the cascade rejects.
+    """
     order = order or [name for name, _, _ in cascade_order(df, text)]
+    base_needs = tuple(m for name in BASE for m in RULES[name][0])
+    have: set[str] = set()
+    out = _with(_wrapped(df, text), (*report, *base_needs), "q_source", have)
     # As in ``keep``, the marker stops a later filter from moving below the measures.
+    out = out.withColumn("q_mark", F.monotonically_increasing_id())
     failure = F.when(F.col("q_mark") < 0, "unmarked")
     for name in order:
-        failure = failure.when(F.expr(RULES[name][1]), name)
+        needs, rejects = RULES[name]
+        for m in _closure(needs):
+            if m not in have:
+                out = out.withColumn(m, F.when(failure.isNull(), _made(m, "q_source")))
+                have.add(m)
+        failure = failure.when(F.expr(rejects), name)
     base = " OR ".join(f"({RULES[name][1]})" for name in BASE)
-    marked = measures(df, text).withColumn("q_mark", F.monotonically_increasing_id())
-    return marked.withColumns({"base_failed": F.expr(base), "rejected_by": failure}).withColumn("kept", F.col("rejected_by").isNull()).drop("q_mark")
+    out = out.withColumns({"base_failed": F.expr(base), "rejected_by": failure}).withColumn("kept", F.col("rejected_by").isNull())
+    return _unwrapped(out, df.columns, (*report, "base_failed", "rejected_by", "kept"))
 
 
 def keep(df: DataFrame, text: str = "text", order: list[str] | None = None) -> DataFrame:
@@ -163,7 +202,7 @@ def keep(df: DataFrame, text: str = "text", order: list[str] | None = None) -> D
     below them and working everything out anew for each mention.
     """
     order = order or [name for name, _, _ in cascade_order(df, text)]
-    out, have = df.select(F.struct(*df.columns).alias("q_row"), F.col(text).alias("q_source")), set()
+    out, have = _wrapped(df, text), set()
     for name in order:
         needs, rejects = RULES[name]
         out = _with(out, needs, "q_source", have).withColumn("q_mark", F.monotonically_increasing_id()).filter(f"q_mark >= 0 AND NOT ({rejects})")

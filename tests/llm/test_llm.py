@@ -271,6 +271,26 @@ def test_quality_rules(spark, odd):
     assert quality_rules.judge(odd.limit(0)).count() == 0
 
 
+def test_quality_rules_of_any_names(spark):
+    df = spark.createDataFrame([(1, "a! b! c! d! " * 6, "x", "y", 3)], "doc_id long, text string, q_text string, q_mark string, q_row int")
+    got = quality_rules.judge(df, report=("n_words",)).collect()[0]
+    assert (got.q_text, got.q_mark, got.q_row, got.n_words) == ("x", "y", 3, 24) and "n_exclamations" not in got.asDict()
+    assert quality_rules.measures(df, names=("n_words",)).columns == [*df.columns, "n_words"]
+
+
+def test_the_cascade_stops_at_the_first_failure(spark):
+    """Whatever the order, the same texts stay; what an earlier rule rejects is measured no further."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ways = [list(quality_rules.RULES), list(quality_rules.RULES)[::-1]]
+    kept = [{r.doc_id for r in quality_rules.judge(docs, order=w, report=()).filter("kept").collect()} for w in ways]
+    assert kept[0] == kept[1] == {r.doc_id for r in quality_rules.keep(docs, order=ways[1]).collect()}
+    short = spark.createDataFrame([(1, "few! words!")], "doc_id long, text string")
+    plan = quality_rules.judge(short, order=ways[0], report=())
+    assert plan.collect()[0].rejected_by == "too_short"
+    found = quality_rules.cascade_order(docs)
+    assert [n for n, *_ in found] == [n for n, *_ in sorted(found, key=lambda r: -r[2] / r[1])] and all(c > 0 and 0 <= s <= 1 for _, c, s in found)
+
+
 def test_packing(spark, odd, library):
     got = packing.pack_documents(odd, PATH, room=256).collect()
     want = Counter()
