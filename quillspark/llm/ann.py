@@ -16,6 +16,7 @@ than ``k`` a query gets all of them; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -28,13 +29,15 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: Vectors that the tree is fitted on, at most; children of a node; vectors of a
-#: leaf, about, in the sample.
-SAMPLE, BRANCHES, LEAF = 20_000, 16, 64
+#: leaf, at most, in the sample.
+SAMPLE, BRANCHES, LEAF = 20_000, 32, 16
 #: Queries that visits are calibrated on, and the recall that they must reach. It is
 #: above the 0.9 that all queries are to reach, as a margin for those not sampled.
-CALIBRATION, RECALL = 100, 0.97
-#: Vectors in a packed block of a leaf.
-BLOCK = 2_000
+CALIBRATION, RECALL = 200, 0.94
+#: Vectors in a packed block of a leaf, and of a leaf that meet queries in one place.
+BLOCK, PLACE = 2_000, 20_000
+#: Components of differences that are held at once.
+AT_ONCE = 1 << 21
 #: Answers that a task holds before it cuts them to each query's nearest.
 HELD_ANSWERS = 200_000
 
@@ -119,11 +122,13 @@ def valid(vector: str) -> Column:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
     return np.array(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
 
 
 def _index(tree: Tree, dim: int):
-    """Packs a task's vectors into blocks by leaf."""
+    """Packs a task's vectors into blocks by leaf, each with a place by a hash of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,36 +142,32 @@ def _index(tree: Tree, dim: int):
             for own in np.split(order, starts[1:]):
                 for a in range(0, len(own), BLOCK):
                     part = own[a : a + BLOCK]
-                    rows.append((int(leaf[part[0]]), len(part), ids[part].astype("<i8").tobytes(), x[part].astype("<f8").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["leaf", "n", "ids", "vectors"])
+                    raw = ids[part].astype("<i8").tobytes()
+                    rows.append((int(leaf[part[0]]), zlib.crc32(raw) >> 1, len(part), raw, x[part].astype("<f8").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["leaf", "place", "n", "ids", "vectors"])
 
     return run
 
 
-def _best(query: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    d = np.sqrt(((x - query) ** 2).sum(axis=1))
-    keep = np.flatnonzero(ids != own)
-    if len(keep) > k:
-        edge = np.partition(d[keep], k - 1)[k - 1]
-        keep = keep[d[keep] <= edge]
-    keep = keep[np.lexsort((ids[keep], d[keep]))][:k]
-    return ids[keep], d[keep]
-
-
 class _Answers:
     """What a task's blocks answer, cut to each query's k nearest again and again."""
 
     def __init__(self, dim: int, k: int):
         self.dim, self.k, self.held, self.n = dim, k, [], 0
 
-    def add(self, queries: list[tuple[int, np.ndarray]], leaf: int, ids: bytes, vectors: bytes) -> None:
+    def add(self, queries: np.ndarray, places: np.ndarray, leaf: int, ids: bytes, vectors: bytes) -> None:
         own, x = np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<f8").reshape(-1, self.dim)
-        for q, v in queries:
-            found, d = _best(v, q, own, x, self.k)
-            self.held.append((np.full(len(found), q), found, d, np.full(len(found), leaf)))
-            self.n += len(found)
-        if self.n > HELD_ANSWERS:
-            self._cut()
+        step = max(1, AT_ONCE // max(1, x.size))
+        for a in range(0, len(queries), step):
+            q = queries[a : a + step]
+            d = np.sqrt(((x[None] - places[a : a + step, None]) ** 2).sum(axis=2))
+            d[q[:, None] == own[None]] = np.inf
+            edge = np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k] if len(own) > self.k else np.inf
+            row, col = np.nonzero((d <= edge) & (d < np.inf))
+            self.held.append((q[row], own[col], d[row, col], np.full(len(row), leaf)))
+            self.n += len(row)
+            if self.n > HELD_ANSWERS:
+                self._cut()
 
     def _cut(self) -> None:
         query, ids, d, leaf = (np.concatenate(c) for c in zip(*self.held, strict=True))
@@ -201,10 +202,14 @@ def search(df: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id",
 
 def _search(rows: DataFrame, dim: int, k: int) -> DataFrame:
     """What ``search`` gives, over rows (id, v, is_query) with vectors of one length."""
-    drawn = rows.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).collect()
-    tree = grow(np.array([r[0] for r in drawn]))
-    index = materialise(rows.select("id", "v").mapInArrow(_index(tree, dim), "leaf long, n long, ids binary, vectors binary"), "ann-index")
+    # Rows are drawn at random, so a vector of very many rows is drawn in proportion.
+    drawn = rows.select("v").sample(min(1.0, 0.95 * SAMPLE / max(rows.count(), 1)), 20240229).limit(SAMPLE).toArrow()
+    tree = grow(_matrix(drawn.column(0).combine_chunks(), dim))
+    del drawn
+    index = materialise(rows.select("id", "v").mapInArrow(_index(tree, dim), "leaf long, place int, n long, ids binary, vectors binary"), "ann-index")
     counts = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
+    # A leaf of very many vectors lies in several places, all of which its queries visit.
+    places = {leaf: n // PLACE + 1 for leaf, n in counts.items()}
     asked = rows.filter("is_query").select("id", "v")
     sample = [(r["id"], np.array(r["v"])) for r in asked.orderBy(F.xxhash64("id")).limit(CALIBRATION).collect()]
     leaves = _calibrated(index, tree, sample, counts, dim, k)
@@ -216,22 +221,33 @@ def _search(rows: DataFrame, dim: int, k: int) -> DataFrame:
             for q, v in zip(batch.column(0).to_pylist(), _matrix(batch.column(1), dim), strict=True):
                 for leaf in tree.visits(v, counts, leaves, enough):
                     found.setdefault(leaf, []).append((q, v.tobytes()))
-            packed = [(leaf, np.array([q for q, _ in own], "<i8").tobytes(), b"".join(v for _, v in own)) for leaf, own in found.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in packed], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["leaf", "queries", "places"])
+            for leaf, own in found.items():
+                q, v = np.array([q for q, _ in own], "<i8").tobytes(), b"".join(v for _, v in own)
+                n = places[leaf]
+                yield pa.RecordBatch.from_arrays([pa.array([leaf] * n), pa.array(range(n), pa.int32()), pa.array([q] * n, pa.binary()), pa.array([v] * n, pa.binary())], ["leaf", "place", "queries", "places"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Answers(dim, k)
         for batch in batches:
             for leaf, q, p, ids, x in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                held.add(list(zip(np.frombuffer(q, "<i8").tolist(), np.frombuffer(p, "<f8").reshape(-1, dim), strict=True)), leaf, ids, x)
+                held.add(np.frombuffer(q, "<i8"), np.frombuffer(p, "<f8").reshape(-1, dim), leaf, ids, x)
         yield from held.rows()
 
-    plan = asked.mapInArrow(visit, "leaf long, queries binary, places binary")
-    joined = plan.join(index, "leaf").select("leaf", "queries", "places", "ids", "vectors")
+    plan = asked.mapInArrow(visit, "leaf long, place int, queries binary, places binary")
+    joined = plan.join(_placed(index, places), ["leaf", "place"]).select("leaf", "queries", "places", "ids", "vectors")
     answers = joined.mapInArrow(answer, "query_id long, vec_id long, score double, leaf long")
     return _top(answers, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _placed(index: DataFrame, places: dict[int, int]) -> DataFrame:
+    """The index, its blocks' random places taken within those of their leaves (few of which have several)."""
+    several = {leaf: n for leaf, n in places.items() if n > 1}
+    if not several:
+        return index.withColumn("place", F.lit(0))
+    number = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in several.items() for x in pair]), F.col("leaf")), F.lit(1))
+    return index.withColumn("place", F.pmod(F.col("place"), number).cast("int"))
+
+
 def _calibrated(index: DataFrame, tree: Tree, sample: list[tuple[int, np.ndarray]], counts: dict[int, int], dim: int, k: int) -> int:
     """The number of leaves to visit for the recall, from the sample's true neighbours."""
 
@@ -239,11 +255,12 @@ def _calibrated(index: DataFrame, tree: Tree, sample: list[tuple[int, np.ndarray
         held = _Answers(dim, k)
         for batch in batches:
             for leaf, ids, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                held.add(sample, leaf, ids, x)
+                held.add(queries, vectors, leaf, ids, x)
         yield from held.rows()
 
     if not sample:
         return 1
+    queries, vectors = np.array([q for q, _ in sample]), np.array([v for _, v in sample])
     answers = index.select("leaf", "ids", "vectors").mapInArrow(brute, "query_id long, vec_id long, score double, leaf long")
     needed = []
     order = {q: {leaf: i for i, leaf in enumerate(tree.visits(v, counts, len(counts), 0))} for q, v in sample}
