@@ -95,12 +95,9 @@ def _deal(parts: int):
     return run
 
 
-def _values(items: list[bytes]) -> list[np.ndarray]:
-    """The sets of lines, all of SHINGLE or more characters, lower-cased as their sketches were."""
-    if not items:
-        return []
-    values, number = shingle_values([x.decode().lower() for x in items])
-    return [np.unique(v) for v in np.split(values, np.cumsum(number)[:-1])]
+def _values(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lines, all of SHINGLE or more characters, lower-cased as their sketches were."""
+    return shingle_values([x.decode().lower() for x in items]) if items else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:

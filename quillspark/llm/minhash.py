@@ -32,8 +32,9 @@ HELD_PAIRS, PART_PAIRS = 1 << 19, 1 << 20
 SENT = 3
 #: Members of one key, and values of their sets, that are compared in one block.
 BLOCK_MEMBERS, BLOCK_VALUES = 2_000, 400_000
-#: Values of a key's members that are few enough to be packed in one row.
-SMALL_VALUES = 3_000
+#: Members of a key, and their values, that are few enough to be packed in one row;
+#: values that are compared at once.
+SMALL_MEMBERS, SMALL_VALUES, AT_ONCE = 256, 30_000, 1 << 19
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -212,35 +213,70 @@ def _ties(key: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[cut], pa.int64(), mask=count[cut] == 2), pa.array(own[cut], pa.int64()), pa.array(lo[cut], pa.int64())], ["key", "id", "lo"])
 
 
-Values = Callable[[list[bytes]], list[np.ndarray]]
+#: Makes the values of sets, one after another and perhaps repeated, and their numbers,
+#: of the items that stand for them.
+Values = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+
+
+def similar(x: np.ndarray, sizes_x: np.ndarray, y: np.ndarray, sizes_y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each pair of up to 512 sets has 100 * intersection >= percent * union.
+
+    One sort brings together what is equal: a value's upper 54 bits, then the pair,
+    then its side.
+    """
+    n = len(sizes_x)
+    side = np.r_[np.repeat(np.arange(n) * 2, sizes_x), np.repeat(np.arange(n) * 2 + 1, sizes_y)].astype(np.uint64)
+    w = (np.concatenate([x, y]) & ~np.uint64(1023)) | side
+    w.sort()
+    w = w[np.r_[True, w[1:] != w[:-1]][: len(w)]]
+    side = (w & np.uint64(1023)).astype(np.int64)
+    w >>= np.uint64(1)
+    sizes = np.bincount(side, minlength=2 * n)
+    shared = np.bincount(side[:-1][w[1:] == w[:-1]] >> 1, minlength=n)
+    return 100 * shared >= percent * (sizes[::2] + sizes[1::2] - shared)
+
+
+def _slices(sizes: np.ndarray, most: int, rows: int) -> Iterator[tuple[int, int]]:
+    """First and last row, exclusive, of slices that hold about ``most`` and ``rows`` rows at most."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        before = int(ends[start - 1]) if start else 0
+        stop = min(max(start + 1, int(np.searchsorted(ends, before + most, "right"))), start + rows, len(sizes))
+        yield start, stop
+        start = stop
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int, values: Values) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union.
 
-    ``sets`` has id, regs and item, of which ``values`` makes sorted distinct 64-bit
-    values. Pairs whose corrected estimate is far below the threshold are left out
+    ``sets`` has id, n, regs and item, of which ``values`` makes 64-bit values, n at
+    most. Pairs whose corrected estimate is far below the threshold are left out
     first; regs may be null, which leaves none out.
     """
     least = percent / 100 - MARGIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                if not batch.column(2).null_count:
-                    left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
+            for first, last in _slices(whole.column(2).to_numpy(), AT_ONCE, 512):
+                batch = whole.slice(first, last - first)
+                if not batch.column(3).null_count:
+                    left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (3, 4))
                     batch = batch.take(pa.array(np.flatnonzero(estimate(left, right) >= least)))
-                near = [_similar(x, y, percent) for x, y in zip(values(batch.column(4).to_pylist()), values(batch.column(5).to_pylist()), strict=True)]
+                near = similar(*values(batch.column(5).to_pylist()), *values(batch.column(6).to_pylist()), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
         tidy()
 
-    left = sets.select(F.col("id").alias("a"), F.col("regs").alias("ra"), F.col("item").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("regs").alias("rb"), F.col("item").alias("sb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "sa", "sb")
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"), F.col("item").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"), F.col("item").alias("sb"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "ra", "rb", "sa", "sb")
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _sets(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct values of each set."""
+    return [np.unique(x) for x in np.split(flat, np.cumsum(sizes)[:-1])] if len(sizes) else []
+
+
 def _across(percent: int, values: Values):
     """Links between two blocks of one key's members that join components.
 
@@ -252,10 +288,10 @@ def _across(percent: int, values: Values):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
         of = table.filter(pa.array(side == 0)), table.filter(pa.array(side == (1 if (side == 1).any() else 0)))
-        (ids, comps, sets), (others, their, known) = ((t["id"].to_numpy(), t["c"].to_numpy(), values(t["item"].to_pylist())) for t in of)
+        (ids, comps, sets), (others, their, known) = ((t["id"].to_numpy(), t["c"].to_numpy(), _sets(*values(t["item"].to_pylist()))) for t in of)
         sizes = np.array([len(x) for x in known], np.int64)
         owner = np.repeat(np.arange(len(known), dtype=np.int32), sizes)
-        flat = np.concatenate(known)
+        flat = np.concatenate([np.empty(0, np.uint64), *known])
         order = np.argsort(flat)
         flat, owner = flat[order], owner[order]
         parent = {c: c for c in [*comps.tolist(), *their.tolist()]}
@@ -291,33 +327,32 @@ def _across_small(percent: int, values: Values):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1_024):
-                lists = whole.column(0).slice(at, 1_024)
+            for first, last in _slices(whole.column(0).to_numpy(), AT_ONCE, 1 << 30):
+                lists = whole.column(1).slice(first, last - first)
                 flat = lists.flatten()
                 ids, comps = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-                sets = values(flat.field(2).to_pylist())
-                ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
-                a, b, first = [], [], 0
-                for last in ends:
-                    for i, j in _links(sets[first:last], comps[first:last], percent):
-                        x, y = int(ids[first + i]), int(ids[first + j])
-                        a.append(max(x, y))
-                        b.append(min(x, y))
-                    first = last
+                found, sizes = values(flat.field(2).to_pylist())
+                ends, at = np.r_[0, np.cumsum(sizes)], np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+                a, b = [], []
+                for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    for i, j in _links(found[ends[x] : ends[y]], sizes[x:y], comps[x:y], percent):
+                        a.append(max(ids[x + i], ids[x + j]))
+                        b.append(min(ids[x + i], ids[x + j]))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         tidy()
 
     return run
 
 
-def _links(sets: list[np.ndarray], comps: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def _links(flat: np.ndarray, sizes: np.ndarray, comps: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links of members of different components, as many as join these."""
-    sizes = np.array([len(x) for x in sets])
-    _, value = np.unique(np.concatenate(sets), return_inverse=True)
-    table = np.zeros((len(sets), value.max() + 1), np.float32)
-    table[np.repeat(np.arange(len(sets)), sizes), value] = 1
+    n = len(sizes)
+    _, value = np.unique(flat, return_inverse=True)
+    table = np.zeros((n, value.max() + 1), np.float32)
+    table[np.repeat(np.arange(n), sizes), value] = 1
     shared = (table @ table.T).astype(np.int64)
-    near = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+    size = np.diag(shared)
+    near = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
     near &= comps[:, None] != comps[None, :]
     out, label = [], comps.copy()
     for i, j in zip(*np.nonzero(np.triu(near)), strict=True):
@@ -327,15 +362,6 @@ def _links(sets: list[np.ndarray], comps: np.ndarray, percent: int) -> list[tupl
     return out
 
 
-def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False
-    both = np.concatenate([x, y])
-    both.sort()
-    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * shared >= percent * (len(x) + len(y) - shared)
-
-
 def _component(df: DataFrame, of: str, groups: DataFrame, name: str) -> DataFrame:
     """``df`` with the component of column ``of``, itself if it has none."""
     named = small(groups).select(F.col("node").alias(of), F.col("component").alias(name))
@@ -362,7 +388,7 @@ def _blocks(rest: DataFrame) -> DataFrame:
 
     wide = number(F.col("top.m"), F.col("top_total")).alias("wide")
     others = number(F.col("m") - F.col("top.m"), F.col("total") - F.col("top_total")).alias("others")
-    keys = key.filter("comps > 1 AND m > 2").select("key", F.col("top.c").alias("top"), wide, others, (F.col("total") <= SMALL_VALUES).alias("small"))
+    keys = key.filter("comps > 1 AND m > 2").select("key", F.col("top.c").alias("top"), wide, others, ((F.col("total") <= SMALL_VALUES) & (F.col("m") <= SMALL_MEMBERS)).alias("small"))
     rows = rest.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("c") == F.col("top"), F.col("wide")).otherwise(F.col("others"))).cast("int"))
     # Blocks of others are numbered from 0, those of the largest component from -1 down.
     every = F.sequence(F.lit(0), F.col("others") - 1)
@@ -370,7 +396,10 @@ def _blocks(rest: DataFrame) -> DataFrame:
     top = rows.filter("NOT small AND c = top").select("key", "id", "c", F.explode(every).alias("i"), (-1 - F.col("own")).alias("j"), F.lit(1).alias("side"))
     to_top = rows.filter("NOT small AND c <> top").select("key", "id", "c", F.col("own").alias("i"), F.explode(F.sequence(F.lit(-1), -F.col("wide"))).alias("j"), F.lit(0).alias("side"))
     among = rows.filter("NOT small AND c <> top").withColumn("x", F.explode(every)).select("key", "id", "c", least, greatest, (F.col("own") > F.col("x")).cast("int").alias("side"))
-    few = rows.filter("small").select("key", "id", "c", F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("j"), F.lit(0).alias("side"))
+    # Small groups are known by their members: the same under many keys are compared once.
+    each = rows.filter("small").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "c"))).alias("all")).select("all").distinct()
+    each = each.select(F.xxhash64("all").alias("key"), F.explode("all").alias("x"))
+    few = each.select("key", "x.id", "x.c", F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("j"), F.lit(0).alias("side"))
     return top.union(to_top).union(among).union(few)
 
 
@@ -416,8 +445,8 @@ def linked(dealt: DataFrame, parts: int, sets_of: Callable[[DataFrame], DataFram
         rest = ends.select("key", F.col("a").alias("id")).union(ends.select("key", F.col("b").alias("id"))).distinct()
         rest = materialise(_component(rest, "id", groups, "c").join(sets.select("id", "n"), "id"), f"{name}-rest")
         blocks = materialise(_blocks(rest), f"{name}-blocks")
-        rows = blocks.join(sets.select("id", "item"), "id")
-        packed = rows.filter("i IS NULL").groupBy("key").agg(F.collect_list(F.struct("id", "c", "item")).alias("members")).select("members")
+        rows = blocks.join(sets.select("id", "n", "item"), "id")
+        packed = rows.filter("i IS NULL").groupBy("key").agg(F.sum("n").alias("n"), F.collect_list(F.struct("id", "c", "item")).alias("members")).select("n", "members")
         large = rows.filter("i IS NOT NULL").groupBy("key", "i", "j").applyInArrow(_across(percent, values), "a long, b long")
         across = materialise(packed.mapInArrow(_across_small(percent, values), "a long, b long").union(large), f"{name}-across")
         groups = joined(across, groups)

@@ -85,8 +85,8 @@ def _deal(parts: int):
     return run
 
 
-def _values(items: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in items]
+def _values(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(items), np.uint64), np.array([len(x) // 8 for x in items], np.int64)
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

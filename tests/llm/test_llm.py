@@ -94,6 +94,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
 
 
+@pytest.mark.parametrize("small, block", [(256, 2_000), (2, 3)])
+def test_links_between_members_that_share_no_link_with_the_smallest(spark, monkeypatch, small, block):
+    """Families around a text that few of them are near to, compared in packed rows or in blocks."""
+    monkeypatch.setattr(minhash, "SMALL_MEMBERS", small)
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", block)
+    rng = np.random.default_rng(31)
+    rows = []
+    for f in range(12):
+        base = [f"f{f}w{i}" for i in range(90)]
+        for k in range(14):
+            words = list(base)
+            for i in rng.choice(90, int(rng.integers(1, 9)), replace=False):
+                words[i] = f"x{f}y{k}z{i}"
+            rows.append((1000 * f + k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = jaccard_groups({i: shingle_set(t, 4) for i, t in rows})
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs, shingle=4).collect()} == want
+    assert len(set(want.values())) > 12
+
+
 def test_near_duplicates_of_odd_rows(odd):
     got = minhash_dedup.near_duplicates(odd, shingle=4).collect()
     assert len(got) == odd.count()
