@@ -1,13 +1,19 @@
 """Best-fit packing of token sequences by a grouping genetic algorithm.
 
 A document's tokens and one end token form an item; an item longer than a
-sequence is cut into whole sequences and a rest. The rests are dealt to islands,
-tasks of bounded size. On an island a small population of packings evolves:
-crossover injects whole well-filled bins of one parent into another, removes the
-documents they repeat, dissolves what that broke, and best-fits the displaced
-documents. Between epochs the elite migrates: bins that are full enough are
-settled, and the documents of the others move on and meet those of other islands
-on fewer, equally bounded ones, until few enough remain.
+sequence is cut into whole sequences and a rest. The rests are dealt to groups of
+bounded size. A group's first packing is by best fit; where that has more sequences
+than its tokens need at least, the group evolves on several islands, tasks with
+populations of their own: crossover injects whole well-filled bins of one parent into
+another, removes the documents they repeat, dissolves what that broke, and best-fits
+the displaced documents, small ones of a bin giving way to larger ones that fill it
+better. After each epoch the elite of an island, its best packing, migrates to the
+next island, and its bins are injected there. The best packing of all islands counts.
+
+Of that, bins that are full enough are settled; the documents of the others are dealt
+anew with those of other groups, on fewer, equally bounded groups, until few enough
+remain. How long the search goes on is bounded by the constants below; a packing with
+as few sequences as its tokens need is the best there is, and ends it at once.
 
 Defined results: a null text counts as empty and gives a piece with the end token
 alone; rows with equal or null ids are packed each for itself; an empty table
@@ -19,20 +25,22 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec, read_spec
-from .common import materialise, pieces, release
-
-#: Items on an island, about; it bounds a task's work and memory.
-ISLAND_ITEMS = 1_500
-EPOCHS = 3
-POPULATION, GENERATIONS = 4, 12
-#: Share of the room that a bin must fill to be settled before the last epoch.
+from .common import materialise, pieces, release, rows_of, tidy
+
+#: Items of a group, about; it bounds a task's work and memory.
+GROUP_ITEMS = 1_500
+#: Times that documents are dealt to groups; islands of a group; epochs on them.
+ROUNDS, ISLANDS, EPOCHS = 3, 2, 2
+POPULATION, GENERATIONS = 4, 8
+#: Share of the room that a bin must fill to be settled before the last round.
 ELITE_FILL = 0.998
 
 
@@ -60,13 +68,14 @@ def cut(df: DataFrame, vocabulary: str, room: int, end_id: int = 1) -> DataFrame
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
         own.rest()
+        tidy()
 
     found = df.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    # The marker tells equal rows apart, so that copies spread over the islands.
+    # The marker tells equal rows apart, so that copies spread over the groups.
     return found.withColumn("salt", F.xxhash64(F.monotonically_increasing_id(), "ids_crc32"))
 
 
-# -- one island ---------------------------------------------------------------
+# -- one group ---------------------------------------------------------------
 
 Bins = list[list[int]]
 
@@ -93,6 +102,29 @@ def fitness(bins: Bins, length: list[int], room: int) -> tuple[int, float]:
     return -len(bins), sum((sum(length[i] for i in b) / room) ** 2 for b in bins)
 
 
+def refit(loose: list[int], length: list[int], room: int, bins: Bins) -> Bins:
+    """Best-fits loose items; before that, one that fills a bin better takes the place of one or two of it."""
+    bins, loose = [list(b) for b in bins], sorted(loose, key=lambda i: -length[i])
+    for b in bins:
+        free = room - sum(length[i] for i in b)
+        if not free or not loose:
+            continue
+        # Of all exchanges the one that leaves the bin fullest; what gives way is smaller.
+        sizes = [-length[i] for i in loose]
+        best = (0, None, ())
+        for out in [(i,) for i in b] + [(i, j) for n, i in enumerate(b) for j in b[:n] if len(b) <= 8]:
+            given = sum(length[i] for i in out)
+            k = bisect_left(sizes, -(free + given))
+            if k < len(loose) and length[loose[k]] - given > best[0]:
+                best = (length[loose[k]] - given, k, out)
+        if best[1] is not None:
+            taken = loose.pop(best[1])
+            b[:] = [i for i in b if i not in best[2]] + [taken]
+            for i in best[2]:
+                loose.insert(bisect_left([-length[x] for x in loose], -length[i]), i)
+    return best_fit(loose, length, room, bins)
+
+
 def crossover(a: Bins, b: Bins, length: list[int], room: int, rng: np.random.Generator) -> Bins:
     """Injects some of b's best-filled bins into a, and repairs a."""
     filled = sorted(b, key=lambda x: -sum(length[i] for i in x))
@@ -104,30 +136,30 @@ def crossover(a: Bins, b: Bins, length: list[int], room: int, rng: np.random.Gen
             whole.append(x)
         else:
             displaced += [i for i in x if i not in taken]
-    return best_fit(displaced, length, room, injected + whole)
+    return refit(displaced, length, room, injected + whole)
 
 
 def mutate(bins: Bins, length: list[int], room: int, rng: np.random.Generator) -> Bins:
-    """Dissolves the emptiest bins and a few others, and best-fits their items."""
+    """Dissolves the emptiest bins and a few others, and fits their items anew."""
     order = sorted(range(len(bins)), key=lambda k: sum(length[i] for i in bins[k]))
     gone = set(order[: max(1, len(bins) // 20)]) | set(rng.integers(0, len(bins), max(1, len(bins) // 20)).tolist())
     loose = [i for k in gone for i in bins[k]]
-    return best_fit(loose, length, room, [b for k, b in enumerate(bins) if k not in gone])
-
-
-def evolve(length: list[int], room: int, seed: int) -> Bins:
-    """The best packing found; it stops at once when no packing can have fewer bins."""
-    least = -(-sum(length) // room)
-    items = list(range(len(length)))
-    first = best_fit(items, length, room)
-    if len(first) <= least:
-        return first
-    rng = np.random.default_rng(seed)
-    people = [first]
+    return refit(loose, length, room, [b for k, b in enumerate(bins) if k not in gone])
+
+
+def fewest(length: list[int], room: int) -> int:
+    """No packing has fewer bins."""
+    return max(-(-sum(length) // room), sum(2 * n > room for n in length))
+
+
+def evolve(length: list[int], room: int, seed: int, elites: list[Bins], generations: int = GENERATIONS) -> Bins:
+    """The best packing found from ``elites``, which may be of other islands; no packing is worse than theirs."""
+    least, rng = fewest(length, room), np.random.default_rng(seed)
+    people = list(elites)
     while len(people) < POPULATION:
-        people.append(mutate(first, length, room, rng))
+        people.append(mutate(elites[0], length, room, rng))
     scored = sorted(((fitness(p, length, room), k, p) for k, p in enumerate(people)), key=lambda x: x[:2], reverse=True)
-    for g in range(GENERATIONS):
+    for g in range(generations):
         if -scored[0][0][0] <= least:
             break
         mother, father = scored[0][2], scored[int(rng.integers(1, len(scored)))][2]
@@ -137,59 +169,98 @@ def evolve(length: list[int], room: int, seed: int) -> Bins:
     return scored[0][2]
 
 
-def _island(room: int, settled: float):
-    """Packs an island's items; ``done`` marks the bins that are full enough."""
+def _ordered(table: pa.Table) -> tuple[pa.Table, list[int]]:
+    """A group's rows in an order of their own, and their lengths."""
+    table = table.take(pa.array(np.lexsort((table["salt"].to_numpy(), table["length"].to_numpy()))))
+    return table, table["length"].to_pylist()
+
+
+def _bins(numbers: np.ndarray) -> Bins:
+    order = np.argsort(numbers, kind="stable")
+    return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(numbers[order])) + 1)]
+
+
+def _numbers(bins: Bins, n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    for k, b in enumerate(bins):
+        out[b] = k
+    return out
+
+
+def _first(room: int):
+    """A group's packing by best fit, and by how many bins it may be too large."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table, length = _ordered(table)
+        bins = best_fit(list(range(len(length))), length, room)
+        excess = len(bins) - fewest(length, room)
+        return table.append_column("bin", pa.array(_numbers(bins, len(length)))).append_column("excess", pa.array([excess] * len(length), pa.int64()))
+
+    return run
+
+
+def _epoch(room: int, epoch: int):
+    """Evolves an island's packing (own) with that of another (guest)."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        order = np.lexsort((table["salt"].to_numpy(), table["length"].to_numpy()))
-        table = table.take(pa.array(order))
-        length = table["length"].to_pylist()
-        long = [i for i, n in enumerate(length) if n == room]
-        rest = [i for i, n in enumerate(length) if n < room]
-        bins = [[i] for i in long]
-        bins += [[rest[i] for i in b] for b in evolve([length[i] for i in rest], room, int(key[0].as_py()) & 0xFFFF)] if rest else []
-        number, offset, done = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), np.zeros(len(length), bool)
-        for k, b in enumerate(bins):
-            at = 0
-            for i in b:
-                number[i], offset[i] = k, at
-                at += length[i]
-            done[b] = at >= settled * room
-        table = table.select(["doc_id", "piece", "start", "length", "ids_crc32", "salt", "island"])
-        return table.append_column("bin", pa.array(number)).append_column("offset", pa.array(offset)).append_column("done", pa.array(done))
+        table, length = _ordered(table)
+        elites = [_bins(table["own"].to_numpy()), _bins(table["guest"].to_numpy())]
+        seed = (key[0].as_py() & 0xFFFFFFFF) * 1009 + key[1].as_py() * 101 + epoch
+        bins = evolve(length, room, seed, elites)
+        n = len(length)
+        few, full = fitness(bins, length, room)
+        columns = {"group": table["group"], "island": table["island"], "salt": table["salt"], "at": table["at"], "length": table["length"]}
+        return pa.table(columns | {"own": pa.array(_numbers(bins, n)), "few": pa.array([-few] * n, pa.int64()), "full": pa.array([full] * n)})
 
     return run
 
 
+def _evolved(packed: DataFrame, room: int) -> DataFrame:
+    """(salt, at, bin) of a better packing of each group, from several islands."""
+    schema = "group long, island int, salt long, at long, length long, own long, few long, full double"
+    island = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
+    people = packed.select("group", island, "salt", "at", "length", F.col("bin").alias("own"), F.col("bin").alias("guest"))
+    for epoch in range(EPOCHS):
+        evolved = materialise(people.groupBy("group", "island").applyInArrow(_epoch(room, epoch), schema), f"islands-{epoch}")
+        # The elite of each island migrates to the next.
+        guests = evolved.select("group", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "salt", "at", F.col("own").alias("guest"))
+        people = evolved.drop("few", "full").join(guests, ["group", "island", "salt", "at"])
+    best = evolved.groupBy("group").agg(F.max_by("island", F.struct(-F.col("few"), "full", -F.col("island"))).alias("island"))
+    return evolved.join(best, ["group", "island"], "left_semi").select("group", "salt", "at", F.col("own").alias("bin"))
+
+
 def pack(items: DataFrame, room: int) -> DataFrame:
     """``items`` with sequence_id and offset: as few sequences as the islands find."""
     spark = items.sparkSession
     columns = items.columns
-    schema = items.withColumn("island", F.lit(0).cast("long")).schema.add("bin", "long").add("offset", "long").add("done", "boolean")
-    settled, left = [], items
-    for epoch in range(EPOCHS):
-        n = left.count()
-        islands = max(1, round(n / ISLAND_ITEMS))
-        last = epoch == EPOCHS - 1 or islands == 1
-        dealt = left.withColumn("island", F.pmod(F.xxhash64("salt", F.lit(epoch)), F.lit(islands)))
-        tasks = max(1, min(islands, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        grouped = dealt.repartition(tasks, "island").groupBy("island").applyInArrow(_island(room, 0.0 if last else ELITE_FILL), schema)
-        # Ids of sequences: the epoch and the island above, the bin below.
-        number = F.lit(epoch << 60) + F.col("island") * (1 << 24) + F.col("bin")
-        out = materialise(grouped.withColumn("sequence_id", number), f"packed-{epoch}")
-        settled.append(out.filter("done").select(*columns, "sequence_id", "offset"))
+    whole = items.filter(F.col("length") == room).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    settled, left = [whole], items.filter(F.col("length") < room).withColumn("at", F.monotonically_increasing_id())
+    left = materialise(left, "items")
+    schema = left.withColumn("group", F.lit(0).cast("long")).schema.add("bin", "long").add("excess", "long")
+    for turn in range(ROUNDS):
+        groups = max(1, round(rows_of(left) / GROUP_ITEMS))
+        last = turn == ROUNDS - 1 or groups == 1
+        dealt = left.withColumn("group", F.pmod(F.xxhash64("salt", F.lit(turn)), F.lit(groups)))
+        tasks = max(1, min(groups, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        out = materialise(dealt.repartition(tasks, "group").groupBy("group").applyInArrow(_first(room), schema), f"packed-{turn}")
+        open_groups = out.filter("excess > 0")
+        if not open_groups.isEmpty():
+            better = _evolved(open_groups, room).withColumnRenamed("bin", "better")
+            out = out.join(better, ["group", "salt", "at"], "left").withColumn("bin", F.coalesce("better", "bin")).drop("better")
+        bin_order = Window.partitionBy("group", "bin").orderBy(F.desc("length"), "salt", "at")
+        placed = out.withColumn("offset", F.sum("length").over(bin_order.rowsBetween(Window.unboundedPreceding, -1)))
+        placed = placed.withColumn("fill", F.sum("length").over(Window.partitionBy("group", "bin"))).withColumn("offset", F.coalesce("offset", F.lit(0)))
+        # Ids of sequences: the round and the group above, the bin below.
+        placed = placed.withColumn("sequence_id", F.lit(turn << 60) + F.col("group") * (1 << 24) + F.col("bin"))
+        placed = materialise(placed, f"placed-{turn}")
+        done = F.lit(True) if last else F.col("fill") >= ELITE_FILL * room
+        settled.append(placed.filter(done).select(*columns, "sequence_id", "offset"))
         if last:
             break
-        left = out.filter("NOT done").select(*columns)
-    result = settled[0]
-    for more in settled[1:]:
-        result = result.union(more)
-    return result
+        left = materialise(placed.filter(~done).select(*columns, "at"), "items")
+    return reduce(DataFrame.union, settled)
 
 
 def pack_documents(df: DataFrame, vocabulary: str, room: int = 4096, end_id: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece."""
-    items = materialise(cut(df, vocabulary, room, end_id), "pieces")
-    out = pack(items, room).drop("salt")
-    release(items)
-    return out
+    return pack(materialise(cut(df, vocabulary, room, end_id), "pieces"), room).drop("salt")

@@ -331,9 +331,53 @@ def test_packing(spark, odd, library):
 def test_genetic_operators_keep_all_items():
     rng = np.random.default_rng(0)
     length = rng.integers(1, 100, 200).tolist()
-    a, b = packing.best_fit(list(range(200)), length, 128), packing.best_fit(list(range(199, -1, -1)), length[::-1][::-1], 128)
-    for bins in (packing.crossover(a, b, length, 128, rng), packing.mutate(a, length, 128, rng), packing.evolve(length, 128, 1)):
+    a = packing.best_fit(list(range(200)), length, 128)
+    b = packing.mutate(a, length, 128, rng)
+    for bins in (b, packing.crossover(a, b, length, 128, rng), packing.evolve(length, 128, 1, [a, b])):
         assert sorted(i for x in bins for i in x) == list(range(200)) and all(sum(length[i] for i in x) <= 128 for x in bins)
+    assert packing.fewest([65, 66, 1], 128) == 2
+
+
+def triplets(n, seed):
+    """Lengths of which three always fill 1,000, mixed up."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(250, (1000 - a) // 2))
+        out += [a, b, 1000 - a - b]
+    return rng.permutation(out).tolist()
+
+
+def test_evolution_beats_best_fit_where_this_is_not_the_best():
+    for seed in range(5):
+        length = triplets(30, seed)
+        first = packing.best_fit(list(range(90)), length, 1000)
+        assert len(first) >= 34 and len(packing.evolve(length, 1000, seed, [first], 100)) <= 31
+
+
+def test_the_elite_of_an_island_migrates(spark):
+    """A guest's bins enter the population: with the best packing as guest, no generation is needed to keep it."""
+    length = triplets(20, 7)
+    poor = [[i] for i in range(60)]
+    good = packing.evolve(length, 1000, 1, [packing.best_fit(list(range(60)), length, 1000)], 60)
+    assert packing.evolve(length, 1000, 2, [poor, good], 0) == good
+    rows = [(i, 0, 0, n, 0, i * 7919 % 61) for i, n in enumerate(length)]
+    items = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long")
+    got = packing.pack(items, 1000).collect()
+    used = Counter()
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == used[r.sequence_id]
+        used[r.sequence_id] += r.length
+    assert sorted(r.doc_id for r in got) == list(range(60)) and max(used.values()) <= 1000
+    assert 20 <= len(used) < len(packing.best_fit(list(range(60)), length, 1000))
+
+
+def test_sequences_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.pack_documents(docs, PATH).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+    assert all(r.n == r.end <= 4096 for r in got)
+    assert len(got) <= -(-sum(r.n for r in got) // 4096) + 1
 
 
 def test_neighbours(spark):
