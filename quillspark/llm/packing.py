@@ -29,7 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import codec, read_spec
@@ -180,11 +180,16 @@ def _bins(numbers: np.ndarray) -> Bins:
     return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(numbers[order])) + 1)]
 
 
-def _numbers(bins: Bins, n: int) -> np.ndarray:
-    out = np.zeros(n, np.int64)
+def _placed(bins: Bins, length: list[int]) -> dict[str, pa.Array]:
+    """For each item the number of its bin, its place there, and what the bin holds."""
+    out = np.zeros((3, len(length)), np.int64)
     for k, b in enumerate(bins):
-        out[b] = k
-    return out
+        at = 0
+        for i in b:
+            out[:2, i] = k, at
+            at += length[i]
+        out[2, b] = at
+    return dict(zip(("bin", "offset", "fill"), map(pa.array, out), strict=True))
 
 
 def _first(room: int):
@@ -193,66 +198,71 @@ def _first(room: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table, length = _ordered(table)
         bins = best_fit(list(range(len(length))), length, room)
-        excess = len(bins) - fewest(length, room)
-        return table.append_column("bin", pa.array(_numbers(bins, len(length)))).append_column("excess", pa.array([excess] * len(length), pa.int64()))
+        excess = pa.array(np.full(len(length), len(bins) - fewest(length, room)))
+        columns = dict(zip(table.column_names, table.columns, strict=True))
+        return pa.table(columns | {"excess": excess} | _placed(bins, length))
 
     return run
 
 
 def _epoch(room: int, epoch: int):
-    """Evolves an island's packing (own) with that of another (guest)."""
+    """Evolves an island's packing (bin) with that of another (guest)."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table, length = _ordered(table)
-        elites = [_bins(table["own"].to_numpy()), _bins(table["guest"].to_numpy())]
-        seed = (key[0].as_py() & 0xFFFFFFFF) * 1009 + key[1].as_py() * 101 + epoch
-        bins = evolve(length, room, seed, elites)
-        n = len(length)
+        elites = [_bins(table[c].to_numpy()) for c in ("bin", "guest")]
+        bins = evolve(length, room, derived(key[0].as_py(), key[1].as_py(), epoch), elites)
         few, full = fitness(bins, length, room)
-        columns = {"group": table["group"], "island": table["island"], "salt": table["salt"], "at": table["at"], "length": table["length"]}
-        return pa.table(columns | {"own": pa.array(_numbers(bins, n)), "few": pa.array([-few] * n, pa.int64()), "full": pa.array([full] * n)})
+        columns = {c: table[c] for c in ("group", "island", "salt", "at", "length")}
+        return pa.table(columns | {"few": pa.array([-few] * len(length), pa.int64()), "full": pa.array([full] * len(length))} | _placed(bins, length))
 
     return run
 
 
-def _evolved(packed: DataFrame, room: int) -> DataFrame:
-    """(salt, at, bin) of a better packing of each group, from several islands."""
-    schema = "group long, island int, salt long, at long, length long, own long, few long, full double"
+def derived(*parts: int) -> int:
+    """A seed for an island's epoch."""
+    return zlib.crc32("/".join(map(str, parts)).encode())
+
+
+def _evolved(packed: DataFrame, room: int, tasks: int) -> DataFrame:
+    """(group, salt, at, bin, offset, fill) of a better packing of each group, from several islands."""
+    schema = "group long, island int, salt long, at long, length long, few long, full double, bin long, offset long, fill long"
     island = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
-    people = packed.select("group", island, "salt", "at", "length", F.col("bin").alias("own"), F.col("bin").alias("guest"))
+    people = packed.select("group", island, "salt", "at", "length", "bin", F.col("bin").alias("guest"))
     for epoch in range(EPOCHS):
-        evolved = materialise(people.groupBy("group", "island").applyInArrow(_epoch(room, epoch), schema), f"islands-{epoch}")
+        # Few bytes but much work: the number of tasks is given, so that they aren't merged.
+        dealt = people.repartition(tasks, "group", "island").groupBy("group", "island")
+        evolved = materialise(dealt.applyInArrow(_epoch(room, epoch), schema), f"islands-{epoch}")
         # The elite of each island migrates to the next.
-        guests = evolved.select("group", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "salt", "at", F.col("own").alias("guest"))
-        people = evolved.drop("few", "full").join(guests, ["group", "island", "salt", "at"])
+        guests = evolved.select("group", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "salt", "at", F.col("bin").alias("guest"))
+        people = evolved.select("group", "island", "salt", "at", "length", "bin").join(guests, ["group", "island", "salt", "at"])
     best = evolved.groupBy("group").agg(F.max_by("island", F.struct(-F.col("few"), "full", -F.col("island"))).alias("island"))
-    return evolved.join(best, ["group", "island"], "left_semi").select("group", "salt", "at", F.col("own").alias("bin"))
+    return evolved.join(best, ["group", "island"], "left_semi").select("group", "salt", "at", "bin", "offset", "fill")
 
 
 def pack(items: DataFrame, room: int) -> DataFrame:
     """``items`` with sequence_id and offset: as few sequences as the islands find."""
     spark = items.sparkSession
     columns = items.columns
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = items.filter(F.col("length") == room).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    settled, left = [whole], items.filter(F.col("length") < room).withColumn("at", F.monotonically_increasing_id())
-    left = materialise(left, "items")
-    schema = left.withColumn("group", F.lit(0).cast("long")).schema.add("bin", "long").add("excess", "long")
+    left = materialise(items.filter(F.col("length") < room).withColumn("at", F.monotonically_increasing_id()), "items")
+    schema = left.withColumn("group", F.lit(0).cast("long")).schema
+    for name in ("excess", "bin", "offset", "fill"):
+        schema = schema.add(name, "long")
+    settled = [whole]
     for turn in range(ROUNDS):
         groups = max(1, round(rows_of(left) / GROUP_ITEMS))
         last = turn == ROUNDS - 1 or groups == 1
         dealt = left.withColumn("group", F.pmod(F.xxhash64("salt", F.lit(turn)), F.lit(groups)))
-        tasks = max(1, min(groups, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        tasks = max(1, min(groups, most))
         out = materialise(dealt.repartition(tasks, "group").groupBy("group").applyInArrow(_first(room), schema), f"packed-{turn}")
         open_groups = out.filter("excess > 0")
         if not open_groups.isEmpty():
-            better = _evolved(open_groups, room).withColumnRenamed("bin", "better")
-            out = out.join(better, ["group", "salt", "at"], "left").withColumn("bin", F.coalesce("better", "bin")).drop("better")
-        bin_order = Window.partitionBy("group", "bin").orderBy(F.desc("length"), "salt", "at")
-        placed = out.withColumn("offset", F.sum("length").over(bin_order.rowsBetween(Window.unboundedPreceding, -1)))
-        placed = placed.withColumn("fill", F.sum("length").over(Window.partitionBy("group", "bin"))).withColumn("offset", F.coalesce("offset", F.lit(0)))
+            better = _evolved(open_groups, room, tasks)
+            out = materialise(out.filter("excess = 0").drop("excess").unionByName(open_groups.drop("excess", "bin", "offset", "fill").join(better, ["group", "salt", "at"])), f"placed-{turn}")
         # Ids of sequences: the round and the group above, the bin below.
-        placed = placed.withColumn("sequence_id", F.lit(turn << 60) + F.col("group") * (1 << 24) + F.col("bin"))
-        placed = materialise(placed, f"placed-{turn}")
+        placed = out.withColumn("sequence_id", F.lit(turn << 60) + F.col("group") * (1 << 24) + F.col("bin"))
         done = F.lit(True) if last else F.col("fill") >= ELITE_FILL * room
         settled.append(placed.filter(done).select(*columns, "sequence_id", "offset"))
         if last:
