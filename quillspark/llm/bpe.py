@@ -26,12 +26,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import pieces
+from .common import pieces, tidy
+from .word_table import LONGEST, WordTable, halves
 
 #: A run of characters without white space: bytes if it is Latin-1, else a string.
 Chunk = bytes | str
-#: Chunks in a generation of a Python worker's cache; the two latest are kept.
-CACHE_CHUNKS = 600_000
+#: Chunks beyond Latin-1 in a generation of a Python worker's cache; the two latest are kept.
+CACHE_CHUNKS = 300_000
 assert sys.byteorder == "little" and array("I").itemsize == 4
 NEVER = np.int64(1 << 40)
 #: Places in the hashed table of rules, in bits.
@@ -39,6 +40,8 @@ SLOT_BITS = 18
 #: Failing words of fewer symbols are merged many at a time.
 MATRIX_SYMBOLS = 32
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \xa0\p{L}\p{N}]+")
+#: Latin-1 characters' kinds: 0 white space, 1 letter, 2 number, 3 other.
+_KINDS = np.array([0 if chr(i) in "\t\n\v\f\r \x85\xa0" else 1 if regex.match(r"\p{L}", chr(i)) else 2 if regex.match(r"\p{N}", chr(i)) else 3 for i in range(256)], np.uint8)
 _STOPS = frozenset(b".,;:!?")
 _LATIN_LOWER = bytes(0x20 if i in (0x85, 0xA0) else ord(chr(i).lower()) for i in range(256))
 #: Texts within these ranges are normalised here; others by the library's own rules.
@@ -86,6 +89,8 @@ class Codec:
         self._proposals = self._automaton()
         self._known: dict[Chunk, bytes] = {}
         self._old: dict[Chunk, bytes] = {}
+        self._table = WordTable()
+        self._long: dict[bytes, tuple[int, int]] = {}
 
     # -- building ---------------------------------------------------------
 
@@ -272,14 +277,7 @@ class Codec:
     # -- the interface ----------------------------------------------------
 
     def _chunks(self, text: str) -> list[Chunk]:
-        """The text, normalised, split where white space or the library splits it.
-
-        Latin-1 texts are their own NFC and stay bytes of that code.
-        """
-        try:
-            return text.encode("latin-1").translate(_LATIN_LOWER).split()
-        except UnicodeEncodeError:
-            pass
+        """A text beyond Latin-1, normalised, split where white space or the library splits it."""
         if _PLAIN.fullmatch(text := unicodedata.normalize("NFC", text)):
             return text.lower().split()
         back = _letter_bytes()
@@ -324,23 +322,92 @@ class Codec:
         """At a task's end: lets go of the older generation, for the tasks of other operators."""
         self._old = {}
 
-    def _spans(self, text: str) -> list[list[Chunk] | bytes]:
-        """The text's chunks; ids stand for special tokens between them."""
-        if not self._by_special or "<|" not in text:
-            return [self._chunks(text)]
-        spans = self._by_special.split(text)
-        return [self.special[span].to_bytes(4, "little") if i % 2 else self._chunks(span) for i, span in enumerate(spans)]
+    def _encode_latin(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of lower-case Latin-1 texts, all their words at once.
+
+        Words are runs of letters, single numbers and runs of other characters. What
+        holds an apostrophe, which may begin a word of its own kind, and what is over
+        LONGEST bytes is looked up by itself.
+        """
+        ends_of_texts = np.cumsum([len(t) + 1 for t in texts])
+        buffer = b" ".join(texts) + b" " + bytes(LONGEST)
+        x = np.frombuffer(buffer, np.uint8, len(buffer) - LONGEST)
+        kind = _KINDS[x]
+        before = np.r_[np.uint8(0), kind[:-1]]
+        start = (kind != 0) & ((kind != before) | (kind == 2))
+        if b"'" in buffer:
+            chunk = np.cumsum((kind != 0) & (before == 0))
+            marked = np.zeros(int(chunk[-1]) + 1, bool)
+            marked[chunk[x == 0x27]] = True
+            start &= ~marked[chunk] | (before == 0)
+        stop = kind != 0
+        stop[:-1] &= (kind[1:] == 0) | start[1:]
+        starts, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
+        sizes = ends - starts
+        first, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        short = np.flatnonzero(sizes <= LONGEST)
+        low, high = halves(buffer, starts[short], sizes[short])
+        width, table = sizes[short].astype(np.uint8), self._table
+        if table.full:
+            table.clear()
+            self._long.clear()
+        found = table.find(low, high, width)
+        new = np.flatnonzero(found < 0)
+        long = np.flatnonzero(sizes > LONGEST)
+        wide = [buffer[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        if len(new) or any(w not in self._long for w in wide):
+            at = short[new]
+            words = {buffer[a:b]: i for a, b, i in zip(starts[at].tolist(), ends[at].tolist(), new.tolist(), strict=True)}
+            more = list(set(wide).difference(self._long))
+            ids = self._learnt([*words, *more])
+            where, many = table.place(ids)
+            one = np.fromiter(words.values(), np.int64, len(words))
+            k, bits = len(one), table.bits
+            table.add(low[one], high[one], width[one], where[:k], many[:k])
+            self._long.update(zip(more, zip(where[k:].tolist(), many[k:].tolist(), strict=True), strict=True))
+            if table.bits != bits:  # all places have changed
+                new = np.arange(len(found))
+            found[new] = table.find(low[new], high[new], width[new])
+        first[short], count[short] = table.first[found], table.count[found]
+        if wide:
+            first[long], count[long] = np.array([self._long[w] for w in wide]).T
+        done = np.cumsum(count)
+        at = np.arange(int(done[-1]) if len(done) else 0) + np.repeat(first - done + count, count)
+        tokens = table.ids[at].astype("<u4")
+        cuts = np.r_[0, done][np.searchsorted(starts, ends_of_texts)]
+        return [tokens[a:b].tobytes() for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+
+    def _learnt(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words, which the caller keeps."""
+        self._encode_chunks(set(words))
+        return [self._known.pop(w) for w in words]
+
+    def _encode_plain(self, texts: list[str]) -> dict[str, bytes]:
+        """The ids of texts without special tokens."""
+        latin: dict[str, bytes] = {}
+        other: dict[str, list[Chunk]] = {}
+        for text in texts:
+            try:
+                latin[text] = text.encode("latin-1").translate(_LATIN_LOWER)
+            except UnicodeEncodeError:
+                other[text] = self._chunks(text)
+        out = dict(zip(latin, self._encode_latin(list(latin.values())), strict=True)) if latin else {}
+        if other:
+            self._encode_chunks(set(chain.from_iterable(other.values())).difference(self._known))
+            get = self._known.__getitem__
+            out |= {text: b"".join(map(get, chunks)) for text, chunks in other.items()}
+            self._age()
+        return out
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; equal texts are encoded once."""
-        spans = {text: self._spans(text) for text in set(texts) if text}
-        chunks = [x for s in spans.values() for x in s if isinstance(x, list)]
-        # Only the chunks asked for stay in use: what is not known yet is encoded at once.
-        self._encode_chunks(set(chain.from_iterable(chunks)).difference(self._known))
-        get = self._known.__getitem__
-        ids = {text: b"".join(b"".join(map(get, x)) if isinstance(x, list) else x for x in s) for text, s in spans.items()}
-        self._age()
-        return [ids[text] if text else b"" for text in texts]
+        spans: dict[str, list[str]] = {}
+        for text in set(texts):
+            if text:
+                spans[text] = self._by_special.split(text) if self._by_special and "<|" in text else [text]
+        plain = {s for own in spans.values() for s in own[::2] if s}
+        ids = self._encode_plain(list(plain)) | {s: i.to_bytes(4, "little") for s, i in self.special.items()} | {"": b""}
+        return [b"".join(map(ids.__getitem__, spans[text])) if text else b"" for text in texts]
 
     def decode(self, ids: bytes) -> bytes:
         """The decoded text, in UTF-8, of ids as ``encode_batch`` gives them.
@@ -396,6 +463,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str,
                 cols = [part.column(part.schema.get_field_index(k)) for k in keep]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], [*keep, "ids", "n_tokens"])
         own.rest()
+        tidy()
 
     from pyspark.sql.types import BinaryType, LongType
 
@@ -437,5 +505,6 @@ def digests(df: DataFrame, vocabulary: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
         own.rest()
+        tidy()
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
