@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Stop words, and those of them that clinical text needs.
-STOPWORDS = "a an and are as at be by for from has he in is it its of on that the to was were will with no not nor without against above below over under few more most all any same other both each".split()
+#: Common English stop words, and those words that clinical text needs
+#: (which are kept, stop word or not).
+STOPWORDS = """a about above after again against ain all am an and any are aren as at be because been before being below
+between both but by can couldn d did didn do does doesn doing don down during each few for from further had hadn has
+hasn have haven having he her here hers herself him himself his how i if in into is isn it its itself just ll m ma me
+mightn more most mustn my myself needn no nor not now o of off on once only or other our ours ourselves out over own re
+s same shan she should shouldn so some such t than that the their theirs them themselves then there these they this
+those through to too under until up ve very was wasn we were weren what when where which while who whom why will with
+without won wouldn y you your yours yourself yourselves""".split()
 KEPT_WORDS = "no not nor without against positive negative above below over under few more most all any same other both each".split()
 URL = r"http\S+|www\S+|https\S+"
 EMAIL = r"\S+@\S+"
+#: JSON in a fence, from behind its opening marks.
+FENCED = r"(?s)^(?:[^\n\[{][^\n]{0,18}\n)?\s*([\[{].*?)```"
 
 
 def clean_plain(text: Column) -> Column:
@@ -19,9 +30,19 @@ def clean_plain(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(text)), r"[^\p{L}\p{N}_\s]", "")
 
 
+def without_addresses(text: Column) -> Column:
+    """Without URLs and e-mail addresses.
+
+    The pattern of addresses tries every start of a run of characters, so it is used
+    only on texts with an @.
+    """
+    t = F.regexp_replace(text, URL, "")
+    return F.when(F.contains(t, F.lit("@")), F.regexp_replace(t, EMAIL, "")).otherwise(t)
+
+
 def clean_units(text: Column) -> Column:
     """Lower case without URLs and addresses; numbers parted from units; punctuation to blanks."""
-    t = F.regexp_replace(F.regexp_replace(F.lower(text), URL, ""), EMAIL, "")
+    t = without_addresses(F.lower(text))
     t = F.regexp_replace(t, r"(\d+\.?\d*)([a-z]{1,3})\b", "$1 $2")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}_\s]", " ")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
@@ -29,8 +50,7 @@ def clean_units(text: Column) -> Column:
 
 def clean_dense(text: Column) -> Column:
     """For dense embedders: case kept, no URLs and addresses, runs of .!? and of white space made one."""
-    t = F.regexp_replace(F.regexp_replace(text, URL, ""), EMAIL, "")
-    t = F.regexp_replace(t, r"\s+", " ")
+    t = F.regexp_replace(without_addresses(text), r"\s+", " ")
     for mark in (".", "!", "?"):
         t = F.regexp_replace(t, rf"[{mark}]{{2,}}", mark)
     return F.trim(t)
@@ -46,6 +66,85 @@ def without_stopwords(words: Column, stop: Sequence[str] = STOPWORDS, kept: Sequ
     return F.filter(words, lambda w: ~F.array_contains(gone, w))
 
 
+def stem(word: str) -> str:
+    """The stem of a lower-case word by Porter's published algorithm."""
+    return _porter(word) if len(word) > 2 and word.isascii() and word.isalpha() else word
+
+
+def stemmed(words: Column) -> Column:
+    """An array's words as stems; Arrow batches, each distinct word of a batch once."""
+
+    @F.pandas_udf("array<string>")
+    def run(column: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
+
+        def one(word: str) -> str:
+            if word not in known:
+                known[word] = stem(word)
+            return known[word]
+
+        return column.map(lambda ws: None if ws is None else [None if w is None else one(w) for w in ws])
+
+    return run(words)
+
+
+def _measure(stem: str) -> int:
+    """How often a vowel is followed by a consonant."""
+    kinds = "".join("v" if _is_vowel(stem, i) else "c" for i in range(len(stem)))
+    return len(re.findall("vc", re.sub(r"(.)\1+", r"\1", kinds)))
+
+
+def _is_vowel(word: str, i: int) -> bool:
+    return word[i] in "aeiou" or word[i] == "y" and i > 0 and not _is_vowel(word, i - 1)
+
+
+def _has_vowel(stem: str) -> bool:
+    return any(_is_vowel(stem, i) for i in range(len(stem)))
+
+
+def _short(word: str) -> bool:
+    """Ends in consonant, vowel, consonant, the last not w, x or y."""
+    n = len(word)
+    return n > 2 and not _is_vowel(word, n - 1) and _is_vowel(word, n - 2) and not _is_vowel(word, n - 3) and word[-1] not in "wxy"
+
+
+#: The suffixes of steps 2 to 4 of the published algorithm, and what replaces them.
+_STEP_2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
+_STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+_STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+
+
+def _replaced(word: str, table: dict[str, str]) -> str:
+    suffix = max((s for s in table if word.endswith(s)), key=len, default=None)
+    return word[: -len(suffix)] + table[suffix] if suffix and _measure(word[: -len(suffix)]) > 0 else word
+
+
+def _porter(w: str) -> str:
+    if w.endswith("sses") or w.endswith("ies"):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
+    if w.endswith("eed"):
+        w = w[:-1] if _measure(w[:-3]) > 0 else w
+    elif cut := next((s for s in ("ed", "ing") if w.endswith(s) and _has_vowel(w[: -len(s)])), None):
+        w = w[: -len(cut)]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif len(w) > 1 and w[-1] == w[-2] and not _is_vowel(w, len(w) - 1) and w[-1] not in "lsz":
+            w = w[:-1]
+        elif _measure(w) == 1 and _short(w):
+            w += "e"
+    if w.endswith("y") and _has_vowel(w[:-1]):
+        w = w[:-1] + "i"
+    w = _replaced(_replaced(w, _STEP_2), _STEP_3)
+    suffix = max((s for s in _STEP_4 if w.endswith(s)), key=len, default=None)
+    if suffix and _measure(w[: -len(suffix)]) > 1 and (suffix != "ion" or w[: -len(suffix)].endswith(("s", "t"))):
+        w = w[: -len(suffix)]
+    if w.endswith("e") and (_measure(w[:-1]) > 1 or _measure(w[:-1]) == 1 and not _short(w[:-1])):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and _measure(w[:-1]) > 1 else w
+
+
 def ngrams(words: Column, n: int) -> Column:
     """All runs of n words, joined by blanks."""
     starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - F.lit(n - 1))).otherwise(F.array().cast("array<int>"))
@@ -63,12 +162,13 @@ def with_ngrams(df: DataFrame, words: str, most: int, name: str = "terms") -> Da
 
 
 def term_counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(key, term, n): how often a row has a term.
+    """(key, term, n): how often a row has a term; the key is unique.
 
-    The outer explode keeps the optimizer from putting a filter on the size of the
+    Rows are dealt out by key before their terms become rows, which is all the
+    shuffle that the count needs. The outer explode keeps the optimizer from putting a filter on the size of the
     terms, with all that they are made of, below everything else.
     """
-    return df.select(key, F.explode_outer(terms).alias("term")).filter("term IS NOT NULL").groupBy(key, "term").agg(F.count("*").alias("n"))
+    return df.repartition(key).select(key, F.explode_outer(terms).alias("term")).filter("term IS NOT NULL").groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
 def top_terms(counts: DataFrame, size: int) -> DataFrame:
@@ -76,18 +176,28 @@ def top_terms(counts: DataFrame, size: int) -> DataFrame:
     return counts.groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(size)
 
 
-def tfidf(counts: DataFrame, key: str, documents: int) -> DataFrame:
-    """(key, term, weight): tf * (ln((1 + N) / (1 + df)) + 1), each row of Euclidean length 1."""
+def tfidf(counts: DataFrame, key: str, documents: DataFrame) -> DataFrame:
+    """(key, term, weight): tf * (ln((1 + N) / (1 + df)) + 1), each row of Euclidean length 1.
+
+    ``documents`` has the rows that N counts; the count is part of the plan.
+    """
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = counts.join(frequency, "term").withColumn("w", F.col("n") * (F.log((F.lit(1.0) + documents) / (F.col("df") + F.lit(1.0))) + 1.0))
-    length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return raw.join(length, key).select(key, "term", (F.col("w") / F.col("length")).alias("weight"))
+    total = documents.agg(F.count("*").alias("total"))
+    raw = counts.join(frequency, "term").crossJoin(F.broadcast(total))  # one row
+    raw = raw.withColumn("w", F.col("n") * (F.log((F.lit(1.0) + F.col("total")) / (F.col("df") + F.lit(1.0))) + 1.0))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
 def tagged_json(reply: Column) -> Column:
-    """What stands between JSON tags, else in a json fence, else in a fence that starts with { or [; null if nowhere."""
-    found = lambda pattern: F.nullif(F.trim(F.regexp_extract(reply, pattern, 1)), F.lit(""))
-    return F.coalesce(found(r"(?s)<JSON>(.*?)</JSON>"), found(r"(?s)```json\s*(.*?)```"), found(r"(?s)```\s*([\[{].*?)```"))
+    """What stands between JSON tags, else in a json fence, else in the first fence; null if nowhere.
+
+    In a fence without the word json, a short first line that is no JSON is stepped
+    over as the name of a language, and what follows must start with { or [.
+    """
+    found = lambda text, pattern: F.nullif(F.regexp_replace(F.regexp_extract(text, pattern, 1), r"^\s+|\s+$", ""), F.lit(""))
+    behind = F.when(F.contains(reply, F.lit("```")), F.substr(reply, F.instr(reply, "```") + F.lit(3)))
+    return F.coalesce(found(reply, r"(?s)<JSON>(.*?)</JSON>"), found(reply, r"(?s)```json\s*(.*?)```"), found(behind, FENCED))
 
 
 def brace_json(reply: Column) -> Column:

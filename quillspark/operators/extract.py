@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import FENCED
+
 #: Rounds of the loop; validations after which a feature isn't extracted again; tries of a call.
 MAX_ROUNDS, MAX_VALIDATIONS, TRIES = 6, 3, 3
 
@@ -54,8 +56,8 @@ class ReplayBackend:
 def parse_reply(reply: str | None) -> dict:
     """The object between JSON tags, in a fence, or from the first { to the last }; raises ValueError if none."""
     text = reply or ""
-    for pattern in (r"<JSON>(.*?)</JSON>", r"```json\s*(.*?)```", r"```\s*([\[{].*?)```", r"(\{.*\})"):
-        if m := re.search(pattern, text, re.S):
+    for pattern, part in ((r"<JSON>(.*?)</JSON>", text), (r"```json\s*(.*?)```", text), (FENCED, text.partition("```")[2]), (r"(\{.*\})", text)):
+        if m := re.search(pattern, part, re.S):
             return json.loads(m[1])
     raise ValueError("No JSON content found")
 

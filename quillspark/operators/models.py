@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import derived_seed
+
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
@@ -50,29 +52,59 @@ class SVDImputer(MeanImputer):
 
 
 class IterativeImputer(MeanImputer):
-    """Each incomplete column is regressed on the others (ridge), in turn, a few rounds."""
+    """Each incomplete column is regressed on the others, in turn, a few rounds.
+
+    The regression is a ridge of given strength, or one whose strength follows from
+    the data (``bayesian``); ``nearest`` keeps the columns that correlate most.
+    """
 
-    def __init__(self, rounds: int = 5, ridge: float = 1e-3):
-        self.rounds, self.ridge = rounds, ridge
+    def __init__(self, rounds: int = 5, ridge: float = 1e-3, bayesian: bool = False, nearest: int | None = None):
+        self.rounds, self.ridge, self.bayesian, self.nearest = rounds, ridge, bayesian, nearest
+
+    def _others(self, full: np.ndarray, j: int) -> np.ndarray:
+        others = np.delete(np.arange(full.shape[1]), j)
+        if self.nearest is None or self.nearest >= len(others):
+            return others
+        centred = full - full.mean(axis=0)
+        scale = np.sqrt((centred**2).sum(axis=0))
+        near = np.abs(centred[:, others].T @ centred[:, j]) / np.where(scale[others] > 0, scale[others], np.inf)
+        return np.sort(others[np.argsort(-near, kind="stable")[: self.nearest]])
+
+    def _weights(self, a: np.ndarray, y: np.ndarray) -> np.ndarray:
+        gram, moment = a.T @ a, a.T @ y
+        if not self.bayesian:
+            return np.linalg.solve(gram + self.ridge * np.eye(a.shape[1]), moment)
+        value, vector = np.linalg.eigh(gram)
+        value, noise, prior = np.maximum(value, 0), 1.0 / max(y.var(), 1e-12), 1.0
+        for _ in range(30):
+            w = vector @ ((noise / (prior + noise * value)) * (vector.T @ moment))
+            known = (noise * value / (prior + noise * value)).sum()
+            before = prior, noise
+            prior = known / max(w @ w, 1e-12)
+            noise = max(len(y) - known, 1e-9) / max(((y - a @ w) ** 2).sum(), 1e-12)
+            if np.allclose(before, (prior, noise), rtol=1e-4):
+                break
+        return w
 
     def fit(self, x: np.ndarray) -> IterativeImputer:
         super().fit(x)
         gone, full = np.isnan(x), super().transform(x)
-        self.steps: list[tuple[int, np.ndarray]] = []
+        self.steps: list[tuple[int, np.ndarray, np.ndarray]] = []
+        columns = np.flatnonzero(gone.any(axis=0) & ~gone.all(axis=0))
+        others = {j: self._others(full, j) for j in columns}
         for _ in range(self.rounds):
-            for j in np.flatnonzero(gone.any(axis=0)):
+            for j in columns:
                 known = ~gone[:, j]
-                a = np.c_[np.delete(full, j, axis=1), np.ones(len(full))]
-                w = np.linalg.solve(a[known].T @ a[known] + self.ridge * np.eye(a.shape[1]), a[known].T @ full[known, j])
+                a = np.c_[full[:, others[j]], np.ones(len(full))]
+                w = self._weights(a[known], full[known, j])
                 full[gone[:, j], j] = a[gone[:, j]] @ w
-                self.steps.append((int(j), w))
+                self.steps.append((int(j), others[j], w))
         return self
 
     def transform(self, x: np.ndarray) -> np.ndarray:
         gone, full = np.isnan(x), super().transform(x)
-        for j, w in self.steps:
-            a = np.c_[np.delete(full, j, axis=1), np.ones(len(full))]
-            full[gone[:, j], j] = a[gone[:, j]] @ w
+        for j, others, w in self.steps:
+            full[gone[:, j], j] = np.c_[full[:, others], np.ones(len(full))][gone[:, j]] @ w
         return full
 
 
@@ -172,8 +204,139 @@ class KNNClassifier:
         return out
 
 
+class Tree:
+    """A regression tree: each split lowers the squared error most, among some of the columns."""
+
+    def __init__(self, depth: int = 6, leaf: int = 2, columns: int | None = None, rng: np.random.Generator | None = None):
+        self.depth, self.leaf, self.columns, self.rng = depth, leaf, columns, rng or np.random.default_rng(0)
+
+    def fit(self, x: np.ndarray, y: np.ndarray, of=np.mean) -> Tree:
+        """``of`` makes a leaf's value from the numbers of its rows' targets."""
+        self.gain, self.nodes = np.zeros(x.shape[1]), []
+        self._grow(x, y, np.arange(len(x)), 0, of)
+        return self
+
+    def _grow(self, x: np.ndarray, y: np.ndarray, rows: np.ndarray, depth: int, of) -> int:
+        at = len(self.nodes)
+        self.nodes.append((-1, 0.0, 0, 0, float(of(y[rows]))))
+        best = self._split(x[rows], y[rows]) if depth < self.depth and len(rows) >= 2 * self.leaf else None
+        if best:
+            gain, j, cut = best
+            self.gain[j] += gain
+            low = x[rows, j] <= cut
+            left, right = self._grow(x, y, rows[low], depth + 1, of), self._grow(x, y, rows[~low], depth + 1, of)
+            self.nodes[at] = (j, cut, left, right, self.nodes[at][4])
+        return at
+
+    def _split(self, x: np.ndarray, y: np.ndarray) -> tuple[float, int, float] | None:
+        n, best = len(y), None
+        picked = np.arange(x.shape[1]) if self.columns is None else np.sort(self.rng.choice(x.shape[1], min(self.columns, x.shape[1]), replace=False))
+        for j in picked.tolist():
+            order = np.argsort(x[:, j], kind="stable")
+            v, total = x[order, j], np.cumsum(y[order])
+            k = np.arange(1, n)
+            ok = (v[1:] > v[:-1]) & (k >= self.leaf) & (n - k >= self.leaf)
+            if not ok.any():
+                continue
+            gain = np.where(ok, total[:-1] ** 2 / k + (total[-1] - total[:-1]) ** 2 / (n - k), -np.inf) - total[-1] ** 2 / n
+            i = int(gain.argmax())
+            if gain[i] > 1e-12 and (best is None or gain[i] > best[0]):
+                best = float(gain[i]), j, float((v[i] + v[i + 1]) / 2)
+        return best
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        out, todo = np.empty(len(x)), [(0, np.arange(len(x)))]
+        while todo:
+            at, rows = todo.pop()
+            j, cut, left, right, value = self.nodes[at]
+            if j < 0:
+                out[rows] = value
+            elif len(rows):
+                low = x[rows, j] <= cut
+                todo += [(left, rows[low]), (right, rows[~low])]
+        return out
+
+
+class RandomForest:
+    """Trees on rows drawn with repetition, each split among the root of the number of columns."""
+
+    def __init__(self, trees: int = 50, depth: int = 6, seed: int = 0):
+        self.trees, self.depth, self.seed = trees, depth, seed
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> RandomForest:
+        rng = np.random.default_rng(self.seed)
+        columns = max(1, int(np.sqrt(x.shape[1])))
+        self.grown = []
+        for _ in range(self.trees):
+            rows = rng.integers(0, len(x), len(x))
+            self.grown.append(Tree(self.depth, columns=columns, rng=rng).fit(x[rows], y[rows].astype(float)))
+        return self
+
+    @property
+    def importance(self) -> np.ndarray:
+        gain = np.sum([t.gain for t in self.grown], axis=0)
+        return gain / max(gain.sum(), 1e-12)
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return np.mean([t.predict(x) for t in self.grown], axis=0)
+
+
+class GradientBoosting:
+    """Small trees one after another, each a step on the log loss of those before."""
+
+    def __init__(self, trees: int = 50, depth: int = 3, rate: float = 0.1):
+        self.trees, self.depth, self.rate = trees, depth, rate
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> GradientBoosting:
+        p = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+        self.start = float(np.log(p / (1 - p)))
+        z, self.grown = np.full(len(y), self.start), []
+        for _ in range(self.trees):
+            left = y - sigmoid(z)
+            # Newton's step of a leaf: of labels 0 and 1 the curvature is |r| (1 - |r|).
+            tree = Tree(self.depth).fit(x, left, lambda r: r.sum() / max((np.abs(r) * (1 - np.abs(r))).sum(), 1e-9))
+            z = z + self.rate * tree.predict(x)
+            self.grown.append(tree)
+        return self
+
+    importance = RandomForest.importance
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return sigmoid(self.start + self.rate * np.sum([t.predict(x) for t in self.grown], axis=0))
+
+
+class LinearSVM:
+    """Squared hinge loss with an l2 penalty, by accelerated gradient steps; scores by a sigmoid of the margin."""
+
+    def __init__(self, C: float = 1.0, steps: int = 300):  # noqa: N803
+        self.C, self.steps = C, steps
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> LinearSVM:
+        a, t = np.c_[x, np.ones(len(x))], 2.0 * y - 1
+        free = np.r_[np.ones(x.shape[1]), 0.0]
+        rate = 1.0 / (1.0 + 2 * self.C * np.linalg.norm(a, 2) ** 2)
+        w, look, k = np.zeros(a.shape[1]), np.zeros(a.shape[1]), 1.0
+        for _ in range(self.steps):
+            short = np.maximum(0, 1 - t * (a @ look))
+            new = look - rate * (free * look - 2 * self.C * (a.T @ (t * short)))
+            after = (1 + np.sqrt(1 + 4 * k * k)) / 2
+            look, w, k = new + (k - 1) / after * (new - w), new, after
+        self.coef, self.bias = w[:-1], w[-1]
+        return self
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return sigmoid(x @ self.coef + self.bias)
+
+
 IMPUTERS = {"mean": MeanImputer, "median": MedianImputer, "svd": SVDImputer, "mice": IterativeImputer, "knn": KNNImputer}
-MODELS = {"lr": LogisticRegression, "random_features": RandomFeatures, "knn": KNNClassifier}
+MODELS = {"lr": LogisticRegression, "random_features": RandomFeatures, "knn": KNNClassifier, "forest": RandomForest, "boosting": GradientBoosting, "svm": LinearSVM}
+
+
+def importance_of(model) -> np.ndarray | None:
+    """A fitted model's weight of each column: coefficients, or shares of the gain; None if it has neither."""
+    if isinstance(model, RandomFeatures):
+        return None
+    return getattr(model, "coef", getattr(model, "importance", None))
 
 
 def rank_auc(y: np.ndarray, s: np.ndarray) -> float:
@@ -193,23 +356,28 @@ def folds_of(y: np.ndarray, folds: int, seed: int) -> np.ndarray:
     return out
 
 
-def _fitted(x: np.ndarray, y: np.ndarray, test: np.ndarray, imputer: str, model: str, params: Mapping) -> np.ndarray:
-    """Predictions for ``test``; imputer and scaler are fitted on the training rows alone."""
+def _fitted(x: np.ndarray, y: np.ndarray, test: np.ndarray, imputer: str, model: str, params: Mapping, seed: int = 0) -> tuple[np.ndarray, object]:
+    """Predictions for ``test`` and the model; imputer and scaler are fitted on the training rows alone."""
     fill = IMPUTERS[imputer]().fit(x)
     a, b = fill.transform(x), fill.transform(test)
     m, d = a.mean(axis=0), a.std(axis=0)
     d[d == 0] = 1
-    return MODELS[model](**params).fit((a - m) / d, y).predict((b - m) / d)
+    own = {"seed": seed} if "seed" in MODELS[model].__init__.__code__.co_varnames and "seed" not in params else {}
+    fitted = MODELS[model](**params, **own).fit((a - m) / d, y)
+    return fitted.predict((b - m) / d), fitted
 
 
-def nested_cv(df: DataFrame, key: str, label: str, variants: Mapping[str, Sequence[str]], grids: Mapping[str, Mapping[str, Sequence]], iterations: int, outer: int, inner: int, imputer: str = "median", seed: int = 2048) -> DataFrame:
-    """(iteration, fold, model, variant, params, sample_idx, y_true, y_pred) by nested cross-validation.
+FITS = "iteration int, fold int, model string, variant string, params string, inner_score double, sample_idx long, y_true int, y_pred double, feature_name string, coef double"
+
+
+def nested_fits(df: DataFrame, key: str, label: str, variants: Mapping[str, Sequence[str]], grids: Mapping[str, Mapping[str, Sequence]], iterations: int, outer: int, inner: int, imputer: str = "median", seed: int = 2048) -> DataFrame:
+    """Rows of predictions (sample_idx, y_true, y_pred) and of weights (feature_name, coef) by nested cross-validation.
 
     ``variants`` names sets of numeric columns, ``grids`` the models and their
     parameters. A task is an iteration's outer fold: it picks the candidate of the
-    best mean inner area, the first on ties, and predicts its test rows. The design
-    matrix is collected once and sent to all tasks; it is meant for labelled
-    cohorts, and ``MAX_CELLS`` bounds it.
+    best mean inner area, the first on ties, and predicts its test rows. A candidate
+    that can't be fitted counts as the worst. The design matrix is collected once and
+    sent to all tasks; it is meant for labelled cohorts, and ``MAX_CELLS`` bounds it.
     """
     spark = df.sparkSession
     columns = list(dict.fromkeys(c for cols in variants.values() for c in cols))
@@ -218,29 +386,53 @@ def nested_cv(df: DataFrame, key: str, label: str, variants: Mapping[str, Sequen
         raise ValueError(f"{n} rows of {len(columns)} features are over the {MAX_CELLS} cells of a broadcast design matrix")
     table = df.select(key, label, *columns).orderBy(key).toPandas()
     shared = spark.sparkContext.broadcast((table[key].to_numpy(), table[label].to_numpy(int), {v: table[list(c)].to_numpy(float) for v, c in variants.items()}))
+    names = {v: list(c) for v, c in variants.items()}
     candidates = [(m, v, dict(zip(g, p, strict=True))) for m, g in grids.items() for v in variants for p in product(*g.values())]
     tasks = spark.range(iterations).select(F.col("id").cast("int").alias("iteration")).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, y, x = shared.value
         it, fold = int(pdf["iteration"].iloc[0]), int(pdf["fold"].iloc[0])
-        split = folds_of(y, outer, seed + it)
+        split = folds_of(y, outer, derived_seed(seed, it, "outer"))
         train, test = split != fold, split == fold
-        parts = folds_of(y[train], inner, (seed + it) * 31 + fold)
-        best, chosen = -1.0, candidates[0]
+        parts = folds_of(y[train], inner, derived_seed(seed, it, fold, "inner"))
+        own_seed = derived_seed(seed, it, fold, "model")
+        best, chosen = -2.0, candidates[0]
         for cand in candidates:
             m, v, p = cand
             own = x[v][train]
-            scores = [rank_auc(y[train][parts == k], _fitted(own[parts != k], y[train][parts != k], own[parts == k], imputer, m, p)) for k in range(inner)]
-            score = float(np.nanmean(scores)) if not np.isnan(scores).all() else -1.0
+            try:
+                scores = [rank_auc(y[train][parts == k], _fitted(own[parts != k], y[train][parts != k], own[parts == k], imputer, m, p, own_seed)[0]) for k in range(inner)]
+                score = float(np.nanmean(scores)) if not np.isnan(scores).all() else -1.0
+            except Exception:  # a candidate that can't be fitted is passed over
+                score = -2.0
             if score > best:
                 best, chosen = score, cand
         m, v, p = chosen
-        pred = _fitted(x[v][train], y[train], x[v][test], imputer, m, p)
-        return pd.DataFrame({"iteration": it, "fold": fold, "model": m, "variant": v, "params": str(sorted(p.items())), "sample_idx": ids[test], "y_true": y[test], "y_pred": pred})
+        pred, model = _fitted(x[v][train], y[train], x[v][test], imputer, m, p, own_seed)
+        base = {"iteration": it, "fold": fold, "model": m, "variant": v, "params": str(sorted(p.items())), "inner_score": best}
+        rows = [pd.DataFrame(base | {"sample_idx": ids[test], "y_true": y[test], "y_pred": pred, "feature_name": None, "coef": np.nan})]
+        if (weights := importance_of(model)) is not None:
+            rows.append(pd.DataFrame(base | {"sample_idx": None, "y_true": None, "y_pred": np.nan, "feature_name": names[v], "coef": weights}))
+        out = [r.astype({"sample_idx": "Int64", "y_true": "Int32"}) for r in rows]
+        return pd.concat([r.astype({"feature_name": "string"}) for r in out]).reindex(columns=[c.split()[0] for c in FITS.split(", ")])
+
+    return tasks.repartition(iterations * outer, "iteration", "fold").groupBy("iteration", "fold").applyInPandas(run, FITS)
 
-    schema = "iteration int, fold int, model string, variant string, params string, sample_idx long, y_true int, y_pred double"
-    return tasks.repartition(iterations * outer, "iteration", "fold").groupBy("iteration", "fold").applyInPandas(run, schema)
+
+def predictions(fits: DataFrame) -> DataFrame:
+    """(iteration, fold, model, variant, params, sample_idx, y_true, y_pred) of ``nested_fits``."""
+    return fits.filter("feature_name IS NULL").drop("feature_name", "coef", "inner_score")
+
+
+def weights(fits: DataFrame) -> DataFrame:
+    """(iteration, fold, model, variant, feature_name, coef) of ``nested_fits``."""
+    return fits.filter("feature_name IS NOT NULL").select("iteration", "fold", "model", "variant", "feature_name", "coef")
+
+
+def nested_cv(df: DataFrame, key: str, label: str, variants: Mapping[str, Sequence[str]], grids: Mapping[str, Mapping[str, Sequence]], iterations: int, outer: int, inner: int, imputer: str = "median", seed: int = 2048) -> DataFrame:
+    """The predictions alone."""
+    return predictions(nested_fits(df, key, label, variants, grids, iterations, outer, inner, imputer, seed))
 
 
 #: Cells of the design matrix that a broadcast may hold (0.8 GB).

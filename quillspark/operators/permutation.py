@@ -1,20 +1,42 @@
 """Permutation test of two models' predictions on the same samples.
 
-Rows have y_true and the two scores s1 and s2, and the cell columns ``by``.
+Rows have y_true and the two scores s1 and s2, a whole-numbered sample, and the
+whole-numbered cell columns ``by``, such as iteration and fold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import auc
+from .models import rank_auc
 
+#: Permutations that a task works on, for one cell.
+BLOCK = 500
+#: Odd factors of sample, permutation and cell columns, and the steps of a
+#: published 64-bit finaliser.
+FACTORS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9, 0xF1357AEA2E62A9C5)
+FINAL = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
 
-def _delta(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Area of s2 less that of s1 by cell; both are ranked in one pass."""
+
+def swapped(sample: np.ndarray, b: int, cell: Sequence[int]) -> np.ndarray:
+    """Whether each sample's scores are swapped in a permutation and cell: the top bit of a hash of all three."""
+    fixed = b * FACTORS[1] + sum(int(c) * f for c, f in zip(cell, FACTORS[2:], strict=False))
+    x = sample.astype(np.uint64) * np.uint64(FACTORS[0]) + np.uint64(fixed & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in FINAL:
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(31))) >> np.uint64(63) == 1
+
+
+def differences(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, difference) of every cell: area of s2 less that of s1, both ranked in one pass."""
     pairs = F.explode(F.array(F.struct(F.lit(1).alias("model"), F.col("s1").alias("y_pred")), F.struct(F.lit(2).alias("model"), F.col("s2").alias("y_pred"))))
     long = rows.withColumn("p", pairs).select(*by, "y_true", "p.model", "p.y_pred")
     area = auc(long, [*by, "model"])
@@ -22,23 +44,59 @@ def _delta(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return area.groupBy(*by).agg(F.sum(sign).alias("difference"))
 
 
-def differences(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, difference) of every cell."""
-    return _delta(rows, by)
+def null_differences(rows: DataFrame, sample: str, by: Sequence[str], permutations: int) -> DataFrame:
+    """(b, d): the mean over cells of each permutation's difference, b from 1; 0 is the observed one.
 
+    A task has one cell, of a fold's samples, and a block of permutations: rows are
+    copied once a block, not once a permutation. A swap is drawn anew in every cell.
+    """
+    blocks = -(-(permutations + 1) // BLOCK)
+    dealt = rows.select(*by, F.col(sample).cast("long").alias("quill_sample"), "y_true", "s1", "s2").withColumn("quill_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-def test(rows: DataFrame, sample: str, by: Sequence[str], permutations: int) -> DataFrame:
-    """One row: observed mean difference, one-sided p, and mean, deviation and 95 % range under the null.
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        *cell, block = key
+        ids, y, one, two = (own[c].to_numpy() for c in ("quill_sample", "y_true", "s1", "s2"))
+        out = []
+        for b in range(block * BLOCK, min((block + 1) * BLOCK, permutations + 1)):
+            swap = swapped(ids, b, cell) if b else np.zeros(len(ids), bool)
+            out.append((b, rank_auc(y, np.where(swap, one, two)) - rank_auc(y, np.where(swap, two, one))))
+        return pd.DataFrame(out, columns=["b", "difference"])
 
-    In each permutation the scores of a sample are swapped if a hash of sample and
-    permutation says so, in all its cells alike.
-    """
-    many = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    swap = (F.col("b") > 0) & (F.substring(F.md5(F.concat_ws("-", F.col(sample).cast("string"), F.col("b").cast("string"))), 1, 1) < "8")
-    swapped = many.select("b", *by, "y_true", F.when(swap, F.col("s2")).otherwise(F.col("s1")).alias("s1"), F.when(swap, F.col("s1")).otherwise(F.col("s2")).alias("s2"))
-    delta = _delta(swapped, ["b", *by]).groupBy("b").agg(F.round(F.avg("difference"), 9).alias("d"))
+    tasks = dealt.groupBy(*by, "quill_block").applyInPandas(run, "b int, difference double")
+    return tasks.groupBy("b").agg(F.round(F.avg("difference"), 9).alias("d"))
+
+
+def test(rows: DataFrame, sample: str, by: Sequence[str], permutations: int = 10_000) -> DataFrame:
+    """One row: observed mean difference, one-sided p, and mean, deviation and 95 % range under the null."""
+    delta = null_differences(rows, sample, by, permutations)
     observed = F.max(F.when(F.col("b") == 0, F.col("d")))
     null = F.when(F.col("b") > 0, F.col("d"))
     stats = delta.agg(observed.alias("observed"), F.collect_list(null).alias("nulls"), F.avg(null).alias("null_mean"), F.stddev_pop(null).alias("null_std"), F.percentile(null, 0.025).alias("low"), F.percentile(null, 0.975).alias("high"))
     hits = F.size(F.filter("nulls", lambda x: x >= F.col("observed")))
     return stats.select("observed", ((F.lit(1.0) + hits) / F.lit(permutations + 1)).alias("p_value"), "null_mean", "null_std", "low", "high")
+
+
+def paired(first: DataFrame, second: DataFrame, by: Sequence[str] = ("iteration", "fold"), sample: str = "sample_idx") -> DataFrame:
+    """(by, sample, y_true, s1, s2) from two tables of predictions, of samples that both have."""
+    other = second.select(*by, sample, F.col("y_pred").alias("s2"))
+    return first.select(*by, sample, "y_true", F.col("y_pred").alias("s1")).join(other, [*by, sample])
+
+
+def stored(store, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of that name in a store (``sources.checkpoints``), made and saved if there is none."""
+    return store.load(name) if store.exists(name) else store.save(make(), name)
+
+
+def all_pairs(store, sets: Mapping[str, Callable[[], DataFrame]], kinds: Mapping[str, str], permutations: int = 10_000, wanted: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """(first, second, observed, …) of each pair of sets of features, in order.
+
+    ``sets`` makes each set's predictions, all with the same seeds; stored ones are
+    used again. Pairs with a set that isn't known, or of kind rfg, are left out.
+    """
+    usable = [name for name in sets if kinds.get(name) != "rfg"]
+    chosen = [p for p in (wanted if wanted is not None else combinations(usable, 2)) if set(p) <= set(usable)]
+    if not chosen:
+        return store.spark.createDataFrame([], "first string, second string, observed double, p_value double, null_mean double, null_std double, low double, high double")
+    tables = {name: stored(store, f"predictions-{name}", sets[name]) for name in dict.fromkeys(n for p in chosen for n in p)}
+    tests = [test(paired(tables[a], tables[b]), "sample_idx", ["iteration", "fold"], permutations).select(F.lit(a).alias("first"), F.lit(b).alias("second"), "*") for a, b in chosen]
+    return reduce(DataFrame.unionByName, tests)

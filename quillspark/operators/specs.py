@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPEC = "feature_name string, specific_subgroups array<string>, description string, instructions string, is_aggregated boolean, aggregated_from array<struct<feature_name:string,specific_subgroups:array<string>>>, status string"
+from . import numbers
+
+#: A source of an aggregate is a name, or a JSON object with feature_name and perhaps
+#: specific_subgroups; JSON files may hold either, which are read as text alike.
+SPEC = "feature_name string, specific_subgroups array<string>, description string, instructions string, is_aggregated boolean, aggregated_from array<string>, status string"
+SOURCE = "feature_name string, specific_subgroups array<string>"
 FIELDS = ("description", "instructions")
 
 
@@ -19,7 +24,9 @@ def flatten(specs: DataFrame) -> DataFrame:
     """
     base = specs.select(F.col("feature_name").alias("source_name"), F.col("specific_subgroups").alias("base_subgroups")).dropDuplicates(["source_name"])
     names = lambda name, groups: F.when(F.size(groups) > 0, F.transform(groups, lambda g: F.concat_ws("_", name, g))).otherwise(F.array(name))
-    sources = specs.filter("is_aggregated").select("feature_name", F.posexplode("aggregated_from").alias("pos", "s")).select("feature_name", "pos", F.col("s.feature_name").alias("source_name"), F.col("s.specific_subgroups").alias("own"))
+    sources = specs.filter("is_aggregated").select("feature_name", F.posexplode("aggregated_from").alias("pos", "entry"))
+    parsed = F.when(F.ltrim("entry").startswith("{"), F.from_json("entry", SOURCE)).otherwise(F.struct(F.col("entry").alias("feature_name"), F.lit(None).cast("array<string>").alias("specific_subgroups")))
+    sources = sources.withColumn("s", parsed).select("feature_name", "pos", F.col("s.feature_name").alias("source_name"), F.col("s.specific_subgroups").alias("own"))
     sources = sources.join(base, "source_name", "left").withColumn("groups", F.coalesce("own", "base_subgroups", F.array().cast("array<string>")))
     sources = sources.withColumn("flat", names(F.col("source_name"), F.col("groups")))
     lists = sources.groupBy("feature_name").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "flat"))), lambda x: x["flat"])).alias("sources"))
@@ -72,13 +79,40 @@ def prune(aggregates: DataFrame, alive: DataFrame) -> DataFrame:
     return kept.filter(F.size("aggregated_from") > 1)
 
 
+def parts(specs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Specs without and with sources; the flag, which then says nothing, is left out."""
+    flag = F.coalesce("is_aggregated", F.lit(False))
+    return specs.filter(~flag).drop("is_aggregated"), specs.filter(flag).drop("is_aggregated")
+
+
+def joined(plain: DataFrame, aggregates: DataFrame) -> DataFrame:
+    """Both parts as one table again, with the flag."""
+    return plain.withColumn("is_aggregated", F.lit(False)).unionByName(aggregates.withColumn("is_aggregated", F.lit(True)), allowMissingColumns=True)
+
+
+def final(merged: DataFrame) -> DataFrame:
+    """What a review leaves: without dropped features and without status."""
+    return merged.filter("status NOT IN ('drop', 'dropped')").drop("status")
+
+
+def without_removed(long: DataFrame, specs: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Values and specs, both by feature_name, without the features of ``removed``."""
+    gone = removed.select("feature_name")
+    return long.join(gone, "feature_name", "left_anti"), specs.join(gone, "feature_name", "left_anti")
+
+
 def chunks(df: DataFrame, order: Sequence[str], chunk_count: int, batch_size: int) -> DataFrame:
     """Equal chunks, the first ones taking the rest, and batches of fixed size in each.
 
-    Chunks are numbered over the whole order, which Spark does in one task; it is
-    meant for the small set of notes that specifications are made from.
+    Rows are numbered over the whole order without one task seeing them all, where
+    its first column is a number: ranges of that are numbered each on its own.
     """
-    whole = Window.orderBy(*order)
-    numbered = df.withColumn("chunk", F.ntile(chunk_count).over(whole) - 1).withColumn("row_idx", F.row_number().over(whole) - 1)
-    inside = F.row_number().over(Window.partitionBy("chunk").orderBy(*order)) - 1
-    return numbered.withColumn("batch", F.floor(inside / F.lit(batch_size)).cast("int"))
+    numbered = numbers.row_numbers(df, order).withColumn("row_idx", F.col("row_number") - 1).drop("row_number")
+    n = df.agg(F.count("*").alias("quill_rows"))
+    numbered = numbered.crossJoin(F.broadcast(n))  # one row
+    size, rest = F.floor(F.col("quill_rows") / chunk_count), F.col("quill_rows") % chunk_count
+    long_rows = rest * (size + 1)
+    chunk = F.when(F.col("row_idx") < long_rows, F.floor(F.col("row_idx") / (size + 1))).otherwise(rest + F.floor((F.col("row_idx") - long_rows) / F.greatest(size, F.lit(1))))
+    start = F.when(F.col("row_idx") < long_rows, chunk * (size + 1)).otherwise(long_rows + (chunk - rest) * size)
+    batch = F.floor((F.col("row_idx") - start) / F.lit(batch_size)).cast("int")
+    return numbered.select(*df.columns, chunk.cast("int").alias("chunk"), F.col("row_idx").cast("int").alias("row_idx"), batch.alias("batch"))

@@ -50,7 +50,7 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int,
 
 
 def vote(neighbours: DataFrame, label: str) -> DataFrame:
-    """(q, vote): the most frequent label among the neighbours, ties by label."""
+    """(q, vote): the most frequent label, of any type, among the neighbours, ties by label."""
     counts = neighbours.groupBy("q", label).agg(F.count("*").alias("n"))
-    best = counts.groupBy("q").agg(F.max(F.struct("n", (-F.col(label)).alias("l"))).alias("b"))
-    return best.select("q", (-F.col("b.l")).alias("vote"))
+    best = counts.groupBy("q").agg(F.min(F.struct((-F.col("n")).alias("less"), F.col(label).alias("label"))).alias("b"))
+    return best.select("q", F.col("b.label").alias("vote"))

@@ -1,6 +1,7 @@
 """Registered queries over the test tables, and their SQL."""
 
-from . import evaluation, features, modelling, relational, textual
+from . import definitions, evaluation, features, modelling, relational, results, storage, textual
 
-QUERIES = {**relational.QUERIES, **textual.QUERIES, **features.QUERIES, **evaluation.QUERIES, **modelling.QUERIES}
-ORACLE_SQL = {**relational.SQL, **textual.SQL, **features.SQL, **evaluation.SQL}
+_MODULES = (relational, textual, features, definitions, evaluation, results, storage, modelling)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in getattr(m, "SQL", {}).items()}

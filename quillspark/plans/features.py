@@ -27,9 +27,9 @@ _SPECS = [
     ("size", ["left", "right"], "Size", "in mm", False, None, None),
     ("smoker", None, "Smoker", "yes or no", False, None, None),
     ("stage", [], "Stage", "roman", None, None, None),
-    ("max_size", None, "Largest", "max", True, [("size", None)], None),
-    ("side_size", None, "One side", "max", True, [("size", ["left"])], None),
-    ("risk", ["high"], "Risk", "count", True, [("smoker", None), ("size", ["right"]), ("stage", None)], None),
+    ("max_size", None, "Largest", "max", True, ["size"], None),
+    ("side_size", None, "One side", "max", True, ['{"feature_name": "size", "specific_subgroups": ["left"]}'], None),
+    ("risk", ["high"], "Risk", "count", True, ["smoker", '{"feature_name": "size", "specific_subgroups": ["right"]}', "stage"], None),
 ]
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import models as N
+from ..operators import reports as R
+from ..sources import checkpoints as K
 from .tables import read
 
 
@@ -38,8 +40,26 @@ def svd_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.nested_cv(_matrix(spark, sf_dir), "vec_id", "y", {"ALL": _VARIANTS["ALL"]}, {"lr": {"C": [1.0]}}, 1, 3, 2, imputer="svd").select("sample_idx", "fold", "y_true", "y_pred")
 
 
+def model_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the chosen models rely on, the most important first: coefficients, or shares of the trees' gain."""
+    grids = {"lr": {"C": [0.1, 1.0], "penalty": ["l1"]}, "forest": {"trees": [10]}, "boosting": {"trees": [10]}, "svm": {"C": [0.1]}}
+    fits = N.nested_fits(_matrix(spark, sf_dir), "vec_id", "y", {"ALL": _VARIANTS["ALL"]}, grids, 1, 3, 2)
+    return R.importances(N.weights(fits))
+
+
+def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many folds each model and variant of two embeddings was chosen; one candidate can't be fitted."""
+    grids = {"lr": {"C": [1.0], "penalty": ["l2"]}, "knn": {"k": [5, 0], "weights": ["distance"]}, "svm": {"C": [0.1]}}
+    return R.chosen(N.nested_cv(_matrix(spark, sf_dir), "vec_id", "y", _VARIANTS, grids, 2, 3, 2), ["model", "variant"])
+
+
 def svd_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.svd_embeddings(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
 
 
-QUERIES = {f.__name__: f for f in (nested_cv, lr_predict, random_features, svd_impute, svd_embed)}
+def svd_embed_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors are decomposed only if they are longer than the table."""
+    return K.reduced_if_wide(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", N.svd_embeddings)
+
+
+QUERIES = {f.__name__: f for f in (nested_cv, lr_predict, random_features, svd_impute, svd_embed, svd_embed_wide, model_weights, model_selection)}

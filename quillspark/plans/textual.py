@@ -95,7 +95,7 @@ SELECT doc_id, count(*) AS n_terms, round(max(w / length), 6) AS top_weight, rou
 FROM raw JOIN (SELECT doc_id, sqrt(sum(w * w)) AS length FROM raw GROUP BY 1) USING (doc_id) GROUP BY 1""")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _words(spark, sf_dir)
-    weights = T.tfidf(T.term_counts(words, "doc_id", F.col("words")), "doc_id", words.count())
+    weights = T.tfidf(T.term_counts(words, "doc_id", F.col("words")), "doc_id", words)
     return weights.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("top_weight"), F.round(F.sum("weight"), 6).alias("total_weight"))
 
 
@@ -122,18 +122,24 @@ def tfidf_weights_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, term, weight) over the most frequent n-grams; rows of length 1."""
     counts = _all_counts(spark, sf_dir)
     kept = counts.join(F.broadcast(T.top_terms(counts, VOCABULARY).select("term")), "term", "left_semi")
-    return T.tfidf(kept, "doc_id", read(spark, sf_dir, "documents").count())
+    return T.tfidf(kept, "doc_id", read(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (ngram_counts_all, vocab_topk_all, tfidf_weights_all)}
+def stemmed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, stems) of the words that are no stop words."""
+    kept = _words(spark, sf_dir).select("doc_id", T.without_stopwords(F.col("words")).alias("kept"))
+    return kept.select("doc_id", F.array_join(T.stemmed(F.col("kept")), " ").alias("stems"))
 
 
-_WRAP = """CASE turn % 4 WHEN 0 THEN concat('Sure. <JSON>{"a": ', turn, '}</JSON> bye') WHEN 1 THEN concat('x ```json', chr(10), '{"a": ', turn, '} ``` y')
- WHEN 2 THEN concat('z ``` [', turn, '] ``` ') ELSE 'no json here' END"""
+QUERIES |= {f.__name__: f for f in (ngram_counts_all, vocab_topk_all, tfidf_weights_all, stemmed_tokens)}
+
+
+_WRAP = """CASE turn % 6 WHEN 0 THEN concat('Sure. <JSON>{"a": ', turn, '}</JSON> bye') WHEN 1 THEN concat('x ```json', chr(10), '{"a": ', turn, '} ``` y')
+ WHEN 2 THEN concat('z ``` [', turn, '] ``` ') WHEN 3 THEN concat('so ```text', chr(10), '{"a": ', turn, '}', chr(10), '```') WHEN 4 THEN concat('a ```python', chr(10), 'x = 1 ``` b ``` {"a": 1} ```') ELSE 'no json here' END"""
 
 
 @query(rf"""SELECT conv_id, turn, coalesce(nullif(trim(regexp_extract(reply, '(?s)<JSON>(.*?)</JSON>', 1)), ''), nullif(trim(regexp_extract(reply, '(?s)```json\s*(.*?)```', 1)), ''),
-  nullif(trim(regexp_extract(reply, '(?s)```\s*([\[{{].*?)```', 1)), '')) AS found FROM (SELECT conv_id, turn, {_WRAP} AS reply FROM conversations)""")
+  nullif(trim(regexp_extract(CASE WHEN contains(reply, '```') THEN substr(reply, strpos(reply, '```') + 3) END, '(?s)^(?:[^\n\[{{][^\n]{{0,18}}\n)?\s*([\[{{].*?)```', 1), ' ' || chr(10)), '')) AS found FROM (SELECT conv_id, turn, {_WRAP} AS reply FROM conversations)""")
 def tagged_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.tagged_json(F.expr(_WRAP)).alias("found"))
 

@@ -6,7 +6,7 @@ import json
 import time
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.preprocess import drop_columns
@@ -38,14 +38,18 @@ def read_generated(spark: SparkSession, path: str, label: str, index: str, notes
 
 
 def read_embeddings_csv(spark: SparkSession, path: str, dims: int) -> DataFrame:
-    """(line_key, embedding) from a CSV without header.
+    """(line_key, embedding) from CSV files without header; the key is the line's number, from 0, over the files by name.
 
-    Lines have no key of their own: the key orders them as the files and their lines
-    are read, and isn't dense. Parquet with a key is the better home for vectors.
+    A file is read by one task, unsplit, so a line's number in it doesn't change with
+    the size of splits. Parquet with a key is the better home for many vectors.
     """
     names = [f"emb_{i}" for i in range(dims)]
-    rows = spark.read.schema(", ".join(f"{n} double" for n in names)).csv(path)
-    return rows.select(F.monotonically_increasing_id().alias("line_key"), F.array(*names).alias("embedding"))
+    rows = spark.read.schema(", ".join(f"{n} double" for n in names)).option("multiLine", True).csv(path)
+    lines = rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.array(*names).alias("embedding"))
+    lines = lines.withColumn("inside", F.row_number().over(Window.partitionBy("file").orderBy("at")))
+    below = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    before = lines.groupBy("file").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    return lines.join(F.broadcast(before), "file").select((F.col("inside") + F.col("before") - 1).cast("long").alias("line_key"), "embedding")
 
 
 def read_all(spark: SparkSession, paths: Mapping[str, tuple[str, Callable[[SparkSession, str], DataFrame]]]) -> dict[str, DataFrame]:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.functions import grades, text
-from quillspark.operators import cohort, extract, folds, metrics, models, permutation, preprocess, specs
+from quillspark.operators import cohort, extract, folds, metrics, models, numbers, permutation, preprocess, specs, vectors
 from quillspark.plans import modelling, textual
 from quillspark.sources import tables
 from quillspark.streaming import incremental
@@ -102,9 +102,54 @@ def test_chunks_give_the_rest_to_the_first(spark):
     assert [r["count"] for r in got] == [4, 3, 3]
 
 
+def test_sources_are_names_or_objects(spark, tmp_path):
+    (tmp_path / "s.json").write_text('[{"feature_name": "size", "specific_subgroups": ["l", "r"]}, {"feature_name": "top", "is_aggregated": true, "aggregated_from": ["size", {"feature_name": "age"}, {"feature_name": "size", "specific_subgroups": ["l"]}]}]')
+    got = {r.feature_name: r for r in specs.flatten(tables.read_specs(spark, str(tmp_path / "s.json"))).collect()}
+    assert got["top"].is_aggregated and got["top"].aggregated_from == ["size_l", "size_r", "age", "size_l"]
+    plain, aggregates = specs.parts(specs.flatten(tables.read_specs(spark, str(tmp_path / "s.json"))))
+    assert plain.count() == 2 and aggregates.count() == 1 and specs.joined(plain, aggregates).filter("is_aggregated").count() == 1
+
+
+def test_row_numbers_over_ranges(spark):
+    rows = [(i * 37 % 1000, i % 3) for i in range(1000)] + [(None, 1), (5, 0)]
+    df = spark.createDataFrame(rows, "v int, g int").repartition(5)
+    got = numbers.row_numbers(df, ["v", "g"]).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert [key(r) for r in sorted(got, key=lambda r: r.row_number)] == sorted(map(key, rows)) and sorted(r.row_number for r in got) == list(range(1, 1003))
+    assert numbers.row_numbers(df.limit(0), ["v"]).count() == 0
+
+
+def test_standardise_of_large_values(spark):
+    rows = [(i, i % 3, 1e9 + 0.1 * i) for i in range(90)] + [(90, 2, None)]
+    got = {(r.i, r.test_fold): r.scaled for r in folds.standardise(spark.createDataFrame(rows, "i int, fold int, x double"), "x", 3).collect()}
+    for t in range(3):
+        x = np.array([v for i, f, v in rows if f != t and v is not None])
+        for i, _, v in rows[:90]:
+            assert abs(got[i, t] - (v - x.mean()) / x.std()) < 1e-4
+
+
+def test_votes_of_string_labels(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (2, "z"), (2, "c")], "q long, label string")
+    assert {r.q: r.vote for r in vectors.vote(df, "label").collect()} == {1: "b", 2: "c"}
+
+
+def test_fences_with_a_language(spark):
+    replies = ["so ```text\n{1}\n```", "```\n[2]```", "``` {3} ```", "```python\nx```{4}```", "```a very long line that is no language\n{5}```", "```{6}\n```"]
+    df = spark.createDataFrame([(r,) for r in replies], "r string")
+    assert [r[0] for r in df.select(text.tagged_json(F.col("r"))).collect()] == ["{1}", "[2]", "{3}", None, None, "{6}"]
+    assert extract.parse_reply('so ```text\n{"a": 1}\n```') == {"a": 1}
+
+
+def test_stems(spark):
+    known = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "troubled": "troubl", "sized": "size", "hopping": "hop", "falling": "fall", "hissing": "hiss", "fizzed": "fizz", "failing": "fail", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "conditional": "condit", "vietnamization": "vietnam", "predication": "predic", "operator": "oper", "feudalism": "feudal", "decisiveness": "decis", "hopefulness": "hope", "formaliti": "formal", "triplicate": "triplic", "electrical": "electr", "goodness": "good", "revival": "reviv", "allowance": "allow", "inference": "infer", "airliner": "airlin", "adjustable": "adjust", "replacement": "replac", "adoption": "adopt", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll", "generalizations": "gener", "oscillators": "oscil"}
+    assert {w: text.stem(w) for w in known} == known and text.stem("é") == "é"
+    df = spark.createDataFrame([(["hopping", None, "ponies"],), (None,)], "w array<string>")
+    assert [r[0] for r in df.select(text.stemmed(F.col("w"))).collect()] == [["hop", None, "poni"], None]
+
+
 def test_flatten_is_idempotent(spark):
     df = spark.createDataFrame([("a", ["x", "y"], "d", "i", False, None, None)], specs.SPEC)
-    once = specs.flatten(df).withColumn("specific_subgroups", F.lit(None).cast("array<string>")).withColumn("aggregated_from", F.lit(None).cast("array<struct<feature_name:string,specific_subgroups:array<string>>>"))
+    once = specs.flatten(df).withColumn("specific_subgroups", F.lit(None).cast("array<string>")).withColumn("aggregated_from", F.lit(None).cast("array<string>"))
     assert sorted(r.feature_name for r in specs.flatten(once).collect()) == ["a_x", "a_y"]
 
 
@@ -147,7 +192,7 @@ def test_csv_versions_and_resume(spark, tmp_path):
 
 
 def test_specs_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("a", ["x"], "d", "i", True, [("b", None)], None)], specs.SPEC)
+    df = spark.createDataFrame([("a", ["x"], "d", "i", True, ["b", '{"feature_name":"c"}'], None)], specs.SPEC)
     tables.write_specs(df, str(tmp_path / "s"))
     assert spark.read.schema(specs.SPEC).json(str(tmp_path / "s")).collect() == df.collect()
 
@@ -173,12 +218,14 @@ def test_model_queries_use_every_row(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     x = np.where((ids[:, None] + np.arange(12)) % 17 != 0, v[:, :12].astype(float), np.nan)
     y = (digit < 5).astype(int)
-    split = models.folds_of(y, 3, 2048)
+    split = models.folds_of(y, 3, folds.derived_seed(2048, 0, "outer"))
     kinds = {"lr_predict": ("median", models.LogisticRegression(1.0)), "random_features": ("median", models.RandomFeatures(50)), "svd_impute": ("svd", models.LogisticRegression(1.0))}
     for name, (imputer, model) in kinds.items():
         got = {r.sample_idx: r for r in modelling.QUERIES[name](spark, str(tmp_path)).collect()}
         assert sorted(got) == ids.tolist()
         for fold in range(3):
+            if name == "random_features":
+                model.seed = folds.derived_seed(2048, 0, fold, "model")
             want = plain_predictions(x, y, split, fold, imputer, model)
             assert [got[i].fold for i in ids[split == fold].tolist()] == [fold] * len(want)
             assert np.allclose([got[i].y_pred for i in ids[split == fold].tolist()], want)
@@ -187,7 +234,9 @@ def test_model_queries_use_every_row(spark, tmp_path):
     assert sorted((r.iteration, r.fold) for r in got) == [(i, f) for i in range(2) for f in range(3)]
     grid = {"lr": [models.LogisticRegression(c, p) for c in (0.1, 1.0) for p in ("l1", "l2")], "random_features": [models.RandomFeatures(30, 1.0)]}
     for r in got:
-        split = models.folds_of(y, 3, 2048 + r.iteration)
+        split = models.folds_of(y, 3, folds.derived_seed(2048, r.iteration, "outer"))
+        for m in grid["random_features"]:
+            m.seed = folds.derived_seed(2048, r.iteration, r.fold, "model")
         own = x[:, : 5 if r.variant == "5" else 12]
         areas = [models.rank_auc(y[split == r.fold], plain_predictions(own, y, split, r.fold, "median", m)) for m in grid[r.model]]
         assert any(abs(r.auc - a) < 1e-9 for a in areas)
