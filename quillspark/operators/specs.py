@@ -102,17 +102,20 @@ def without_removed(long: DataFrame, specs: DataFrame, removed: DataFrame) -> tu
 
 
 def chunks(df: DataFrame, order: Sequence[str], chunk_count: int, batch_size: int) -> DataFrame:
-    """Equal chunks, the first ones taking the rest, and batches of fixed size in each.
+    """``df`` with chunk, row_idx and batch (columns so named are replaced).
+
+    Chunks are of equal size, the first ones taking the rest; batches are of fixed size.
 
     Rows are numbered over the whole order without one task seeing them all, where
     its first column is a number: ranges of that are numbered each on its own.
     """
-    numbered = numbers.row_numbers(df, order).withColumn("row_idx", F.col("row_number") - 1).drop("row_number")
+    numbered = numbers.row_numbers(df, order, "quill_row")
     n = df.agg(F.count("*").alias("quill_rows"))
-    numbered = numbered.crossJoin(F.broadcast(n))  # one row
+    at = F.col("quill_row") - 1
     size, rest = F.floor(F.col("quill_rows") / chunk_count), F.col("quill_rows") % chunk_count
     long_rows = rest * (size + 1)
-    chunk = F.when(F.col("row_idx") < long_rows, F.floor(F.col("row_idx") / (size + 1))).otherwise(rest + F.floor((F.col("row_idx") - long_rows) / F.greatest(size, F.lit(1))))
-    start = F.when(F.col("row_idx") < long_rows, chunk * (size + 1)).otherwise(long_rows + (chunk - rest) * size)
-    batch = F.floor((F.col("row_idx") - start) / F.lit(batch_size)).cast("int")
-    return numbered.select(*df.columns, chunk.cast("int").alias("chunk"), F.col("row_idx").cast("int").alias("row_idx"), batch.alias("batch"))
+    chunk = F.when(at < long_rows, F.floor(at / (size + 1))).otherwise(rest + F.floor((at - long_rows) / F.greatest(size, F.lit(1))))
+    start = F.when(at < long_rows, chunk * (size + 1)).otherwise(long_rows + (chunk - rest) * size)
+    made = {"chunk": chunk.cast("int"), "row_idx": at.cast("int"), "batch": F.floor((at - start) / F.lit(batch_size)).cast("int")}
+    kept = [c for c in df.columns if c not in made]
+    return numbered.crossJoin(F.broadcast(n)).select(*kept, *[v.alias(k) for k, v in made.items()])  # one row
