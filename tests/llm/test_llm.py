@@ -548,6 +548,32 @@ def test_notices_over_lines_and_several_of_a_line():
                 assert (1, name) in names_of(text), (name, k)
 
 
+def test_every_license_of_an_expression_and_its_spellings():
+    assert names_of("Under the Apache License, Version 2.0 or the MIT License, at your choice.") == [(0, "Apache-2.0"), (0, "MIT")]
+    assert names_of("license = MIT OR Apache-2.0") == [(0, "Apache-2.0"), (0, "MIT")] == names_of("license = Apache-2.0 OR MIT")
+    assert names_of("under the GNU General Public License v3.0") == [(0, "GPL-3.0")] == names_of("covered by the GNU GPLv3")
+    assert names_of("the GNU GPL version 2 applies") == [(0, "GPL-2.0")] and names_of("Released under the MIT licence.") == [(0, "MIT")]
+    assert names_of("the GNU Lesser General Public License version 3") == [(0, "LGPL-3.0")] == names_of("SPDX-License-Identifier: LGPL-3.0-or-later")
+    assert names_of("the GNU Affero General Public License version 3") == [(0, "AGPL-3.0")] == names_of("GNU AGPLv3 here")
+    assert names_of("the GNU Library General Public License version 2") == [] == names_of("License: LGPL-2.0")
+    assert names_of("Licensed under CC BY-SA 4.0") == [(0, "CC-BY-SA-4.0")]
+
+
+def test_scans_equal_the_confirmation_of_every_template(spark):
+    """Brute force: each template at each of its telling words, whatever else stands there."""
+    for r in spark.read.parquet(f"{SF}/documents.parquet").filter("text rlike '(?i)licen|apache|gpl|mit|cc|reserved'").collect():
+        low = (r.text or "").lower()
+        want = set()
+        for paragraph in license_scan.paragraphs(low):
+            words = [w for w, _, _ in paragraph]
+            for name, wanted, telling, place in license_scan._notices():
+                told = telling.split()
+                for i in range(len(words) - len(told) + 1):
+                    if words[i : i + len(told)] == told and license_scan.confirm(words, wanted, i, place):
+                        want.add(name)
+        assert {name for _, name, *_ in license_scan.scan_text(r.text)} == want
+
+
 def test_every_document_with_a_planted_notice_is_found(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     notice = F.col("text").rlike("MIT License|Apache License|General Public License|CC BY-NC|All rights reserved")
