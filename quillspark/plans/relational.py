@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import cohort as C
-from .tables import read
+from .tables import read, scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -80,8 +80,6 @@ _NEXT = "SELECT o_custkey, o_orderkey, o_orderdate, lead(o_orderdate) OVER (PART
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.lead("o_orderdate").over(w).alias("next_date"))
 
@@ -209,30 +207,93 @@ def semi_reduced_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduced.groupBy("hadm").agg(F.round(F.avg("l_extendedprice"), 6).alias("mean_price"), F.count("*").alias("n"))
 
 
+# -- the whole feature table: outcomes, demographics, fused vitals, fused labs, comorbidities, flags
+
+#: Labs, each with the line numbers and statistic of its raw readings; the derived ones
+#: are of lines of one return flag and another line number.
+_LAB_NAMES = ("bicarbonate", "creatinine", "hemoglobin", "inr", "platelet_count", "potassium", "wbc_count", "sodium", "ntprobnp", "troponin")
+_FLAG_OF = ("A", "N", "R")
+_MORBID = (
+    "acute_myocardial_infarction peripheral_vascular_disease cerebrovascular_disease dementia chronic_obstructive_pulmonary_disease rheumatoid_disease peptic_ulcer_disease mild_liver_disease "
+    "diabetes diabetes_complications hemiplegia_paraplegia renal_disease cancer moderate_severe_liver_disease metastatic_cancer"
+).split()
+#: Conditions of the flags by version (sizes to 25, and over) and code.
+_DX_FLAGS = {
+    "HT": "(p_size <= 25 AND substr(p_type, 1, 3) IN ('ECO', 'LAR')) OR (p_size > 25 AND (p_type LIKE 'SM%' OR p_type LIKE 'ST%'))",
+    "CAD": "(p_size <= 25 AND p_type LIKE 'PROMO%') OR (p_size > 25 AND p_type LIKE 'MEDIUM%')",
+    "PH": "(p_size <= 25 AND p_type LIKE 'SMALL%') OR (p_size > 25 AND p_type LIKE 'PROMO%')",
+    "AF": "(p_size <= 25 AND p_type LIKE 'STAN%') OR (p_size > 25 AND (p_type LIKE 'ECON%' OR p_type LIKE 'LARGE%'))",
+}
+
+
+def _by_event() -> dict[str, str]:
+    """SQL of everything that is one aggregate over an event's lines, understood by both engines."""
+    out = {}
+    for i, name in enumerate(_LAB_NAMES):
+        how = "max" if i >= 8 else "avg"
+        out[f"{name}_raw"] = f"{how}(CASE WHEN l_linenumber IN ({i % 7 + 1}, {(i + 2) % 7 + 1}) THEN l_quantity END)"
+        out[f"{name}_derived"] = f"{how}(CASE WHEN l_returnflag = '{_FLAG_OF[i % 3]}' AND l_linenumber = {(i + 3) % 7 + 1} THEN l_extendedprice END)"
+    out |= {"icu_heart_rate": "avg(CASE WHEN l_quantity BETWEEN 5 AND 45 THEN l_quantity END)", "icu_systolic_bp": "avg(l_discount * CAST(1000 AS DOUBLE))", "icu_oxygen": "avg(l_tax * CAST(1000 AS DOUBLE))", "icu_temperature": "avg(CAST(36 AS DOUBLE) + l_tax)", "icu_bmi": "max(l_quantity)"}
+    out |= {name: f"max(CASE WHEN p_size % 15 = {i} THEN 1 ELSE 0 END)" for i, name in enumerate(_MORBID)}
+    return out | {name: f"max(CASE WHEN {cond} THEN 1 ELSE 0 END)" for name, cond in _DX_FLAGS.items()}
+
+
+#: Aggregates over a subject's readings, and the first reading's figures, of one visit kind.
+_ED = {
+    "ed_heart_rate": "avg(CASE WHEN event_type = 'view' AND value BETWEEN 20 AND 250 THEN value END)",
+    "ed_systolic_bp": "avg(CASE WHEN event_type = 'purchase' AND value BETWEEN 50 AND 250 THEN value END)",
+    "ed_oxygen": "avg(CASE WHEN event_type = 'view' AND value BETWEEN 50 AND 100 THEN value END)",
+    "ed_temperature": "avg(CASE WHEN event_type = 'error' AND value BETWEEN 30 AND 45 THEN value END)",
+}
+_TRIAGE = {"first_value": "value", "first_temperature": "CASE WHEN value > 45 THEN (value - CAST(32 AS DOUBLE)) * CAST(5 AS DOUBLE) / CAST(9 AS DOUBLE) ELSE value END"}
+_FUSED = {
+    "temperature": "coalesce(ed_temperature, first_temperature, icu_temperature)",
+    "heart_rate": "coalesce(ed_heart_rate, first_value, icu_heart_rate)",
+    "oxygen_saturation": "coalesce(ed_oxygen, first_value, icu_oxygen)",
+    "systolic_bp": "coalesce(ed_systolic_bp, first_value, icu_systolic_bp)",
+    "bmi": "coalesce(nearest_bmi, icu_bmi)",
+}
+_FUSED |= {name: f"coalesce({name}_derived, {name}_raw)" for name in _LAB_NAMES}
+_FINAL = ["subject", "hadm", "within_30_days", "within_1_year", "age", "gender", *[f"round({sql}, 6) AS {name}" for name, sql in _FUSED.items()], *_MORBID, *_DX_FLAGS]
+_LIST = lambda d: ", ".join(f"{sql} AS {name}" for name, sql in d.items())
+
+
 @query(f"""WITH {_COHORT}, out AS (SELECT o_orderkey AS hadm,
   CASE WHEN next_date > o_orderdate AND next_date <= o_orderdate + INTERVAL 30 DAY THEN 1 ELSE 0 END AS within_30_days,
   CASE WHEN next_date > o_orderdate AND next_date <= o_orderdate + INTERVAL 365 DAY THEN 1 ELSE 0 END AS within_1_year FROM ({_NEXT})),
-labs AS ({_LABS}), flags AS ({_FLAGS}),
-near AS (SELECT * FROM (SELECT o_orderkey AS hadm, l_quantity AS nearest,
-  row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(date_diff('day', o_orderdate::DATE, l_shipdate::DATE)), l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity) AS rn {_WINDOWED}) WHERE rn = 1)
-SELECT coh.subject, coh.hadm, within_30_days, within_1_year, age, segment, nearest, sodium, potassium, peak, low, coalesce(peak, low, nearest) AS extreme, promoted, smallish
-FROM coh LEFT JOIN out ON coh.hadm = out.hadm LEFT JOIN near ON coh.hadm = near.hadm LEFT JOIN labs ON coh.hadm = labs.l_orderkey LEFT JOIN flags ON coh.hadm = flags.l_orderkey""")
+facts AS (SELECT l_orderkey AS hadm, {_LIST(_by_event())} FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+near AS (SELECT hadm, CASE WHEN l_quantity * 8.0::DOUBLE BETWEEN 30 AND 300 AND l_quantity * 4.5::DOUBLE BETWEEN 120 AND 220 THEN l_quantity * 8.0::DOUBLE / pow(l_quantity * 4.5::DOUBLE / 100.0::DOUBLE, 2) END AS nearest_bmi FROM (SELECT o_orderkey AS hadm, l_quantity,
+  row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(date_diff('day', o_orderdate::DATE, l_shipdate::DATE)), l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity) AS rn {_WINDOWED}) WHERE rn = 1),
+ed AS (SELECT user_id AS subject, {_LIST(_ED)} FROM events GROUP BY 1),
+triage AS (SELECT user_id AS subject, {_LIST(_TRIAGE)} FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'signup') WHERE rn = 1)
+SELECT {', '.join(_FINAL)} FROM (SELECT *, CASE WHEN segment <> 'MACHINERY' THEN (segment > 'C')::INT END AS gender FROM coh)
+LEFT JOIN out USING (hadm) LEFT JOIN facts USING (hadm) LEFT JOIN near USING (hadm) LEFT JOIN ed USING (subject) LEFT JOIN triage USING (subject)""")
 def structured_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row an index event: outcomes, nearest reading, pivoted and fused measures, flags.
+    """One row an index event, in 40 columns: outcomes, demographics, fused vitals and labs, comorbidities, flags.
 
-    Every fact table is reduced to the cohort below its aggregate.
+    The cohort is written once. Each fact table is reduced to it, by event or by
+    subject, before its rows are shuffled; the lines of an event are read once for
+    the nearest reading, and once for all that is one aggregate over them.
     """
     coh = cohort(spark, sf_dir)
-    ids = coh.select("hadm")
+    path = scratch(spark, "cohort")
+    coh.write.parquet(path)
+    coh = spark.read.schema(coh.schema).parquet(path)
+    ids, subjects = coh.select("hadm"), coh.select("subject")
+    # Any event of a subject may be the next, so outcomes are reduced by subject before the window, by event after it.
+    orders = C.semi_reduce(read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "subject"), subjects, ["subject"])
+    w = Window.partitionBy("subject").orderBy("o_orderdate", "o_orderkey")
+    later = orders.select(F.col("o_orderkey").alias("hadm"), "o_orderdate", F.lead("o_orderdate").over(w).alias("next_date"))
     end, event = F.col("o_orderdate"), F.col("next_date")
-    # The next event of a subject may be any, so outcomes are reduced after the window.
-    out = _outcomes(spark, sf_dir).select(F.col("o_orderkey").alias("hadm"), C.outcome_within(end, event, 30).alias("within_30_days"), C.outcome_within(end, event, 365).alias("within_1_year"))
+    out = C.semi_reduce(later, ids, ["hadm"]).select("hadm", C.outcome_within(end, event, 30).alias("within_30_days"), C.outcome_within(end, event, 365).alias("within_1_year"))
     lines = C.semi_reduce(read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "hadm"), ids, ["hadm"])
-    labs = C.conditional_pivot(lines, ["hadm"], "l_linenumber", "l_quantity", _CODES).select("hadm", F.round("sodium", 6).alias("sodium"), F.round("potassium", 6).alias("potassium"), "peak", "low")
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type")
+    facts = lines.join(part, lines["l_partkey"] == part["p_partkey"]).groupBy("hadm").agg(*[F.expr(sql).alias(name) for name, sql in _by_event().items()])
     ties = [F.col(c).asc() for c in ("moment", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")]
-    near = C.nearest_within(coh.select("hadm", "admitted"), lines.withColumnRenamed("l_shipdate", "moment"), ["hadm"], ["hadm"], "admitted", "moment", 365, 7, ties).select("hadm", F.col("l_quantity").alias("nearest"))
-    part = read(spark, sf_dir, "part")
-    t = F.col("p_type")
-    flags = C.any_flags(lines.join(part, lines["l_partkey"] == part["p_partkey"]), ["hadm"], {"promoted": t.startswith("ECON") | t.startswith("PROMO"), "smallish": F.substring(t, 1, 3).isin("SMA", "MED")})
-    table = C.star(coh, ["hadm"], out, near, labs, flags)
-    return table.select("subject", "hadm", "within_30_days", "within_1_year", "age", "segment", "nearest", "sodium", "potassium", "peak", "low", C.fuse(F.col("peak"), F.col("low"), F.col("nearest")).alias("extreme"), "promoted", "smallish")
+    near = C.nearest_within(coh.select("hadm", "admitted"), lines.withColumnRenamed("l_shipdate", "moment"), ["hadm"], ["hadm"], "admitted", "moment", 365, 7, ties)
+    near = near.select("hadm", C.guarded_ratio(F.col("l_quantity") * F.lit(8.0), F.col("l_quantity") * F.lit(4.5)).alias("nearest_bmi"))
+    events = C.semi_reduce(read(spark, sf_dir, "events").withColumn("subject", F.col("user_id").cast("long")), subjects, ["subject"])
+    ed = events.groupBy("subject").agg(*[F.expr(sql).alias(name) for name, sql in _ED.items()])
+    triage = C.first_by(events.filter("event_type = 'signup'"), ["subject"], [F.col("ts").asc(), F.col("event_id").asc()]).selectExpr("subject", *[f"{sql} AS {name}" for name, sql in _TRIAGE.items()])
+    driver = coh.withColumn("gender", F.when(F.col("segment") != "MACHINERY", (F.col("segment") > "C").cast("int")))
+    return C.star(C.star(driver, ["subject"], ed, triage), ["hadm"], out, facts, near).selectExpr(*_FINAL)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from ..operators import specs as S
 from ..operators import vectors as V
 from ..sources import checkpoints as K
 from ..sources import tables as S_IO
-from .tables import read
+from .tables import read, scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,18 +31,6 @@ def query(sql: str):
     return add
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a query's files in the one that all share; in one process a temporary one will do."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared}/quillspark-plans/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT n_nationkey AS nation, n_name AS name, n_regionkey AS region FROM nation")
 def table_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of the catalog, created and then replaced."""
