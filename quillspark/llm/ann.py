@@ -9,8 +9,10 @@ Distances are Euclidean, in double precision, on the vectors as they are.
 
 Defined results: vectors that are null, empty or zero, or that hold null or
 non-finite components take no part, nor do rows without id; vectors of each length
-are indexed on their own, and a query's neighbours are those of its length; rows that share a query's id are its own; with fewer candidates
-than ``k`` a query gets all of them; an empty table gives an empty result.
+are indexed on their own, and a query's neighbours are those of its length; rows that
+share a query's id are its own, and the least of their vectors of a length is asked;
+other repeated rows are candidates each; with fewer candidates than ``k`` a query gets
+all of them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -210,7 +212,9 @@ def _search(rows: DataFrame, dim: int, k: int) -> DataFrame:
     counts = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
     # A leaf of very many vectors lies in several places, all of which its queries visit.
     places = {leaf: n // PLACE + 1 for leaf, n in counts.items()}
-    asked = rows.filter("is_query").select("id", "v")
+    # The number of tasks is given: a query is little data, and much work.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = rows.filter("is_query").repartition(tasks, "id").groupBy("id").agg(F.min("v").alias("v"))
     sample = [(r["id"], np.array(r["v"])) for r in asked.orderBy(F.xxhash64("id")).limit(CALIBRATION).collect()]
     leaves = _calibrated(index, tree, sample, counts, dim, k)
     enough = 2 * k + 2

@@ -2,14 +2,15 @@
 
 Confirmed toxic texts are the positive examples; a sample of all labelled texts,
 their labels hidden, is the unlabelled set, of which the positives make up the
-class prior. A linear model over the presence of hashed character 5-grams is
-trained in numpy on the class-prior-corrected risk: the negative part of the risk,
-which the unlabelled risk less the prior times the positives' gives, may not fall
-below zero; where it does, its gradient is reversed.
+class prior. A linear model over the presence of hashed words, and of their first
+letters, is trained in numpy on the class-prior-corrected risk: the negative part of
+the risk, which the unlabelled risk less the prior times the positives' gives, may not
+fall below zero; where it does, its gradient is reversed.
 
 Only rows with crc32(doc_id) mod 5 other than 0 teach. Labels, language, source
 and id are no inputs of a score. The fit uses at most ``POSITIVES`` and
-``UNLABELLED`` rows, chosen by a hash of their id; every row is scored.
+``UNLABELLED`` rows, chosen by a hash of their id, and of these as many, in the order
+of a hash, as have ``FIT_BYTES`` of features; every row is scored.
 
 Defined results: a null text is empty and scored as such; rows with a null id or a
 null label teach nothing (held_out is then false); without any positive example
@@ -19,37 +20,35 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces
+from .common import materialise, pieces, release, tidy
 
 #: Rows that the model is fitted on, at most.
 POSITIVES, UNLABELLED = 1_500, 4_000
-GRAM, BITS = 5, 18
+#: Bytes of features of all chosen rows that the driver holds, about.
+FIT_BYTES = 64 << 20
+#: First letters of longer words that are features too.
+FIRST, BITS = (3, 4, 5), 18
 #: Chosen by folds of the teaching rows alone (toxicity_settings.py).
-LEAST_TEXTS, STEPS, RATE, DECAY = 16, 120, 0.05, 3e-4
-_SPACE = np.array([c if chr(c).isalpha() else 0x20 for c in range(0x250)], np.uint32)
+LEAST_TEXTS, STEPS, RATE, DECAY = 24, 300, 0.05, 3e-4
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(text: str | None) -> np.ndarray:
-    """Sorted distinct buckets of the text's character 5-grams, letters alone."""
-    x = np.frombuffer((" " + (text or "").lower() + " ").encode("utf-32-le", "surrogatepass"), "<u4")
-    x = np.where(x < 0x250, _SPACE[np.minimum(x, 0x24F)], x)
-    x = x[np.r_[True, (x[1:] != 0x20) | (x[:-1] != 0x20)]].astype(np.uint64)
-    if len(x) < GRAM:
-        return np.empty(0, np.uint32)
-    h = x[: len(x) - GRAM + 1].copy()
-    for k in range(1, GRAM):
-        h *= np.uint64(0x1F3D5B79)
-        h += x[k : len(x) - GRAM + 1 + k]
-    found = (mix(h) >> np.uint64(64 - BITS)).astype(np.uint32)
-    found.sort()
-    return found[np.r_[True, found[1:] != found[:-1]]]
+    """Sorted distinct buckets of the text's words, lower-cased runs of letters, and of their first letters."""
+    words = set(_WORD.findall((text or "").lower()))
+    found = words.union(*({f"{w[:n]}*" for w in words if len(w) > n} for n in FIRST))
+    buckets = np.fromiter((xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) >> (64 - BITS) for f in found), np.uint32, len(found))
+    buckets.sort()
+    return buckets[np.r_[True, buckets[1:] != buckets[:-1]][: len(buckets)]]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -90,6 +89,17 @@ def train(
     return weights, float(bias)
 
 
+def _chosen(rows: DataFrame, order: Column, most: int, n: int) -> DataFrame:
+    """About the ``most`` first of ``n`` rows by a hash, at most ``most``.
+
+    Hashes over twice the share that is wanted are left out first, so that a task
+    hands on few rows, however many there are.
+    """
+    share = min(1.0, 2.0 * most / max(n, 1))
+    few = rows.filter(order < F.lit(int(-(1 << 63) + share * (1 << 64)))) if share < 1 else rows
+    return few.orderBy(order).limit(most)
+
+
 def fit(df: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray | None, float]:
     """The model, from the teaching rows of ``labels`` (doc_id, toxic) and their texts."""
     teach = labels.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", "toxic")
@@ -97,17 +107,26 @@ def fit(df: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled
     prior = toxic / n if n else 0.0
     if not 0 < prior < 1:
         return None, prior
-    p = teach.filter("toxic = 1").select("doc_id", F.lit(True).alias("positive")).orderBy(F.xxhash64("doc_id")).limit(positives)
-    u = teach.select("doc_id", F.lit(False).alias("positive")).orderBy(F.xxhash64("doc_id", F.lit(7))).limit(unlabelled)
+    p = _chosen(teach.filter("toxic = 1"), F.xxhash64("doc_id"), positives, toxic).select("doc_id", F.lit(True).alias("positive"))
+    u = _chosen(teach, F.xxhash64("doc_id", F.lit(7)), unlabelled, n).select("doc_id", F.lit(False).alias("positive"))
     chosen = p.union(u)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in pieces(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([features(t).tobytes() for t in texts], pa.binary())], ["positive", "features"])
-
-    # At most positives + unlabelled rows, so bounded for the join and the driver.
-    rows = df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("positive", "text").mapInArrow(run, "positive boolean, features binary").collect()
+                found = [features(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(f) * 4 for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], ["turn", "positive", "size", "features"])
+        tidy()
+
+    # At most positives + unlabelled ids, so bounded for the join; rows may repeat them.
+    rows = df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text", F.lit(11)).alias("turn"), "positive", "text")
+    found = rows.mapInArrow(run, "turn long, positive boolean, size long, features binary")
+    held = materialise(found.orderBy("turn").limit(positives + unlabelled), "teaching")
+    sizes = held.select("turn", "size").orderBy("turn").toArrow()
+    fits = np.cumsum(sizes["size"].to_numpy()) <= FIT_BYTES
+    last = sizes["turn"][int(fits.sum()) - 1].as_py() if fits.any() else None
+    rows = held.filter(F.col("turn") <= F.lit(last)).collect() if last is not None else []
+    release(held)
     sets = {k: [np.frombuffer(r["features"], np.uint32) for r in rows if r["positive"] is k] for k in (True, False)}
     if not sets[True] or not sets[False]:
         return None, prior
@@ -128,6 +147,7 @@ def score(df: DataFrame, model: tuple[np.ndarray | None, float]) -> DataFrame:
                     z = np.array([float(weights[features(t)].sum(dtype=np.float64)) + bias for t in texts])
                     got = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        tidy()
 
     return df.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillspark.llm import ann, bpe, common, html_main_text, license_scan, line_dedup, minhash, minhash_dedup, packing, quality_rules, substring_dedup, toxicity
+from quillspark.llm import ann, bpe, common, html_main_text, license_scan, line_dedup, minhash, minhash_dedup, packing, quality_rules, substring_dedup, toxicity, word_table
 from quillspark.llm.queries import QUERIES
 from quillspark.llm.sql import ORACLE_SQL
 
@@ -48,6 +48,35 @@ def test_bpe_equals_the_library(spark, odd, library):
     assert Counter(tuple(r) for r in bpe.digests(docs, PATH).collect()) == texts
 
 
+def test_bpe_of_no_rows_and_of_nothing(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, " \t")], "doc_id long, text string")
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert [tuple(r) for r in bpe.digests(df, PATH).orderBy("doc_id").collect()] == [(i, 0, nothing, nothing) for i in (1, 2, 3)]
+    assert bpe.digests(df.limit(0), PATH).count() == 0 and bpe.encode(df.limit(0), PATH).count() == 0
+    ids = spark.createDataFrame([(1, None), (2, bytearray())], "doc_id long, ids binary")
+    assert [r.decoded for r in bpe.decode(ids, PATH).orderBy("doc_id").collect()] == [None, ""]
+
+
+def test_word_table_against_a_dictionary():
+    rng = np.random.default_rng(12)
+    table, known = word_table.WordTable(), {}
+    for _ in range(60):
+        words = [bytes(rng.integers(97, 101, int(n)).astype(np.uint8)) for n in rng.integers(1, 17, 3000)]
+        buffer = b" ".join(words) + bytes(word_table.LONGEST)
+        sizes = np.array([len(w) for w in words])
+        low, high = word_table.halves(buffer, np.cumsum(sizes + 1) - sizes - 1, sizes)
+        found = table.find(low, high, sizes.astype(np.uint8))
+        assert [f >= 0 for f in found] == [w in known for w in words]
+        new = {w: i for i, w in enumerate(words) if w not in known}
+        ids = [np.array([len(known) + k] * (1 + len(w) % 3), "<u4").tobytes() for k, w in enumerate(new)]
+        one = np.array(list(new.values()), np.int64)
+        table.add(low[one], high[one], sizes[one].astype(np.uint8), *table.place(ids))
+        known.update(zip(new, ids, strict=True))
+        at = table.find(low, high, sizes.astype(np.uint8))
+        assert all(table.ids[table.first[a] : table.first[a] + table.count[a]].tobytes() == known[w] for a, w in zip(at.tolist(), words, strict=True))
+    assert table.n == len(known) and table.bits > word_table.LEAST_BITS
+
+
 def test_bpe_round_trip_and_random_words(spark, library):
     codec = bpe.codec(bpe.read_spec(PATH))
     rng = np.random.default_rng(3)
@@ -273,6 +302,29 @@ def test_substrings_of_odd_rows(odd):
     assert substring_dedup.dedup_substrings(odd.limit(0)).count() == 0
 
 
+def test_substrings_equal_brute_force(spark):
+    """Every stretch of chunks, as its words, in order of id, text hash and number: what came before goes."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.filter("doc_id % 10 = 0").select(F.lit(3).cast("long"), "text")).union(docs.filter("doc_id % 20 = 0").select(F.lit(None).cast("long"), "text"))
+    rows = [tuple(r) for r in docs.select("doc_id", "text", F.xxhash64("text")).collect()]
+    places = {}
+    for i, t, h in rows:
+        words = (t or "").encode().split()
+        ends = substring_dedup.chunk_ends(words)
+        chunks = [tuple(words[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        n = min(substring_dedup.JOINED, len(chunks))
+        for k in range(len(chunks) - n + 1 if n else 0):
+            places.setdefault(tuple(chunks[k : k + n]), set()).add((i is not None, i or 0, h, k))
+    marks = {}
+    for at in places.values():
+        first = min(at)
+        for known, i, h, k in at - {first}:
+            marks.setdefault((i if known else None, h), set()).update(range(k, k + substring_dedup.JOINED))
+    want = Counter((i, substring_dedup.without(t, marks.get((i, h), set()), substring_dedup.MIN_WORDS)[0]) for i, t, h in rows)
+    got = substring_dedup.dedup_substrings(docs.repartition(7)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == want and sum(r.n_removed_words for r in got) > 0
+
+
 def test_insertions_keep_later_borders():
     words = [f"w{i * 7919 % 1009}".encode() for i in range(400)]
     a = {tuple(words[x:y]) for x, y in zip([0, *substring_dedup.chunk_ends(words)], substring_dedup.chunk_ends(words), strict=False)}
@@ -401,6 +453,17 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_of_repeated_rows_and_hot_leaves(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PLACE", 50)
+    rng = np.random.default_rng(21)
+    x = np.r_[np.tile(rng.standard_normal(6), (400, 1)), rng.standard_normal((300, 6))]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (650, x[650].tolist())]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6), F.col("vec_id").isin(0, 650), 10).collect()
+    hot = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == 0)
+    assert [v for _, v, _ in hot][:10] == list(range(1, 11)) and all(d == 0 for *_, d in hot)
+    assert not any(r.vec_id == 650 for r in got if r.query_id == 650)
+
+
 def test_neighbours_of_every_length(spark):
     rng = np.random.default_rng(8)
     x = {5: rng.standard_normal((12, 5)), 8: rng.standard_normal((60, 8)), 3: rng.standard_normal((2, 3)), 4: rng.standard_normal((1, 4))}
@@ -424,6 +487,28 @@ def test_toxicity(spark, odd):
     assert toxicity.classify(odd.limit(0), labels).count() == 0
 
 
+def test_toxicity_of_held_out_rows(spark):
+    """Scores are those of the fitted weights, and hold on rows that taught nothing."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    weights, bias = model = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs, model).join(labels.select("doc_id", "toxic"), "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
+    for r in rows[:300]:
+        z = sum(float(weights[b]) for b in toxicity.features(r.text)) + bias
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-6 and r.predicted == (r.score >= 0.5)
+    held = [r for r in rows if r.held_out]
+    assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == r.held_out for r in rows)
+    hit, said, true = sum(r.predicted and r.toxic for r in held), sum(r.predicted for r in held), sum(r.toxic for r in held)
+    assert hit >= 0.9 * said and hit >= 0.5 * true
+
+
+def test_teaching_rows_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 1 << 12)
+    docs = spark.createDataFrame([(i % 50, f"{'bad' if i % 2 else 'good'} " + " ".join(f"w{i}x{k}" for k in range(100))) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    assert toxicity.classify(docs, labels).count() == 400
+
+
 def test_main_text(spark):
     page = "<html><head><title>t</title><script>var t='</p><p>no'</script></head><body><nav><a>Menu</a></nav><article><h1>Head &amp; line</h1><p><b>One\n two<br><p>Short.<div class='comments'><p>I disagree</p></div></article><footer>f</footer>"
     df = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, None, ""), (4, "u", "<p")], "page_id long, url string, html string")
@@ -590,8 +675,26 @@ def test_pipeline(spark, odd):
         docs, n = out, out.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == n
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, odd.select("doc_id", "text", "lang", "source", "n_chars"), SF).count() >= 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    stages = dict(corpus_pipeline.STAGES)
+    rows = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    rows = rows.union(spark.createDataFrame([(11, " ".join(f"plain{i}" for i in range(40)), None, None, None)], rows.schema))
+    # The long texts repeat themselves; the others are too short.
+    assert {r.doc_id for r in stages["quality_rules"](spark, rows, SF).collect()} == {11}
+    want = lines_kept(rows)
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in stages["line_dedup"](spark, rows, SF).collect()) == Counter((r.doc_id, t, None if t is None else len(t)) for r in rows.collect() for t in [want.get((r.doc_id, r.text))])
+    one = Counter(r.doc_id for r in stages["minhash_dedup"](spark, rows, SF).collect())
+    assert one == Counter([0, 1, 2, 3, 3, 5, 7, 8, 9, 11, None])
+    free = {r.doc_id: r.text for r in stages["substring_dedup"](spark, rows, SF).collect()}
+    # The long text begins anew after 977 * 13 words.
+    assert free[5].startswith(" ".join(LONG.split()[: 977 * 13])) and len(free[5].split()) < 977 * 13 + 20
+    assert len(free[6].split()) < 20 and free[0] is None and free[3] == "one"
+    pieces = stages["best_fit_packing"](spark, rows, SF)
+    assert pieces.filter("piece = 0").count() == rows.count()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, rows.limit(0), SF).count() == 0, name
 
 
 def test_quality_query_equals_its_sql(spark):
