@@ -224,20 +224,23 @@ def derived(*parts: int) -> int:
     return zlib.crc32("/".join(map(str, parts)).encode())
 
 
-def _evolved(packed: DataFrame, room: int, tasks: int) -> DataFrame:
-    """(group, salt, at, bin, offset, fill) of a better packing of each group, from several islands."""
+def _evolved(packed: DataFrame, room: int, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """(group, salt, at, bin, offset, fill) of a better packing of each group, from several islands; and the table it reads."""
     schema = "group long, island int, salt long, at long, length long, few long, full double, bin long, offset long, fill long"
     island = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
-    people = packed.select("group", island, "salt", "at", "length", "bin", F.col("bin").alias("guest"))
+    people, evolved = packed.select("group", island, "salt", "at", "length", "bin", F.col("bin").alias("guest")), None
     for epoch in range(EPOCHS):
+        before = evolved
         # Few bytes but much work: the number of tasks is given, so that they aren't merged.
         dealt = people.repartition(tasks, "group", "island").groupBy("group", "island")
         evolved = materialise(dealt.applyInArrow(_epoch(room, epoch), schema), f"islands-{epoch}")
+        if before is not None:
+            release(before)
         # The elite of each island migrates to the next.
         guests = evolved.select("group", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "salt", "at", F.col("bin").alias("guest"))
         people = evolved.select("group", "island", "salt", "at", "length", "bin").join(guests, ["group", "island", "salt", "at"])
     best = evolved.groupBy("group").agg(F.max_by("island", F.struct(-F.col("few"), "full", -F.col("island"))).alias("island"))
-    return evolved.join(best, ["group", "island"], "left_semi").select("group", "salt", "at", "bin", "offset", "fill")
+    return evolved.join(best, ["group", "island"], "left_semi").select("group", "salt", "at", "bin", "offset", "fill"), evolved
 
 
 def pack(items: DataFrame, room: int) -> DataFrame:
@@ -257,10 +260,13 @@ def pack(items: DataFrame, room: int) -> DataFrame:
         dealt = left.withColumn("group", F.pmod(F.xxhash64("salt", F.lit(turn)), F.lit(groups)))
         tasks = max(1, min(groups, most))
         out = materialise(dealt.repartition(tasks, "group").groupBy("group").applyInArrow(_first(room), schema), f"packed-{turn}")
+        release(left)
         open_groups = out.filter("excess > 0")
         if not open_groups.isEmpty():
-            better = _evolved(open_groups, room, tasks)
-            out = materialise(out.filter("excess = 0").drop("excess").unionByName(open_groups.drop("excess", "bin", "offset", "fill").join(better, ["group", "salt", "at"])), f"placed-{turn}")
+            (better, islands), first = _evolved(open_groups, room, tasks), out
+            best = open_groups.drop("excess", "bin", "offset", "fill").join(better, ["group", "salt", "at"])
+            out = materialise(first.filter("excess = 0").drop("excess").unionByName(best), f"placed-{turn}")
+            release(first, islands)
         # Ids of sequences: the round and the group above, the bin below.
         placed = out.withColumn("sequence_id", F.lit(turn << 60) + F.col("group") * (1 << 24) + F.col("bin"))
         done = F.lit(True) if last else F.col("fill") >= ELITE_FILL * room
