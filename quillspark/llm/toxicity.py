@@ -38,7 +38,7 @@ FIT_BYTES = 64 << 20
 #: First letters of longer words that are features too.
 FIRST, BITS = (3, 4, 5), 18
 #: Chosen by folds of the teaching rows alone (toxicity_settings.py).
-LEAST_TEXTS, STEPS, RATE, DECAY = 24, 300, 0.05, 3e-4
+LEAST_TEXTS, STEPS, RATE, DECAY = 32, 300, 0.05, 3e-4
 _WORD = re.compile(r"[^\W\d_]+")
 
 
