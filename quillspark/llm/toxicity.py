@@ -58,7 +58,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(
     positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least_texts: int = LEAST_TEXTS, steps: int = STEPS, decay: float = DECAY
 ) -> tuple[np.ndarray, float]:
-    """Weights of all buckets, and the bias."""
+    """Weights of all buckets, and the bias.
+
+    Where the gradient is reversed the steps swing to and fro, so the mean of the
+    second half of them counts.
+    """
     texts = positive + unlabelled
     count = np.bincount(np.concatenate(texts), minlength=1 << BITS)
     kept = np.flatnonzero(count >= least_texts)
@@ -71,6 +75,7 @@ def train(
     n_p, n_u = len(positive), len(unlabelled)
     w, bias = np.zeros(len(kept)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    mean_w, mean_bias, first = np.zeros(len(kept)), 0.0, steps // 2
     for step in range(1, steps + 1):
         z = np.bincount(row, w[col], len(texts)) + bias
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -84,9 +89,12 @@ def train(
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w -= move[:-1]
         bias -= move[-1]
+        if step > first:
+            mean_w += w / (steps - first)
+            mean_bias += bias / (steps - first)
     weights = np.zeros(1 << BITS, np.float32)
-    weights[kept] = w
-    return weights, float(bias)
+    weights[kept] = mean_w
+    return weights, float(mean_bias)
 
 
 def _chosen(rows: DataFrame, order: Column, most: int, n: int) -> DataFrame:
