@@ -26,7 +26,8 @@ def in_buckets(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence
     met = F.lit(True)
     for k in keys:
         met = met & inside[k].eqNullSafe(before[k])
-    joined = inside.join(F.broadcast(before), met)  # a row for each bucket
+    # A row for each bucket of each group: Spark broadcasts it if it turns out small.
+    joined = inside.join(before, met)
     return joined.select(*[inside[c] for c in df.columns], (F.col("quill_inside") + F.col("quill_before")).cast("long").alias(name))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +83,26 @@ def final_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.final(D.last_state(_progress(spark, sf_dir)))
 
 
+class _Reader:
+    """A backend that reads the first notes before it proposes a feature of each."""
+
+    def complete(self, prompt: str) -> str:
+        read_so_far = prompt.count("<RESULT>")
+        if read_so_far < 3:
+            return f'<TOOL>{{"name": "get_note", "parameters": {{"index": {read_so_far}}}}}</TOOL>'
+        lengths = [len(x.partition("</RESULT>")[0]) for x in prompt.split("<RESULT>")[1:]]
+        found = [{"feature_name": f"note_{i}", "description": str(n)} for i, n in enumerate(lengths)]
+        return f"<JSON>{json.dumps(found)}</JSON>"
+
+
+@query("SELECT 'note_' || doc_id AS feature_name, length(text)::VARCHAR AS description FROM documents WHERE doc_id < 3")
+def proposed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features proposed by a backend that reads notes by a tool."""
+    notes = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), "text")
+    found, _ = D.propose(notes, _Reader(), "notes", "outcome")
+    return found.select("feature_name", "description")
+
+
 # -- experts' features --------------------------------------------------------------
 
 _PATTERNS = ["3+3", "3+4", "4+3", "4+4", "4+5", "5+5", "null", "2+2", "5+3=8"]

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import extract as X
 from ..operators import preprocess as P
 from ..operators import specs as S
-from .tables import read
+from ..sources import checkpoints as K
+from .tables import read, scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -179,3 +180,33 @@ def validate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT row_idx, greatest(max(value) FILTER (feature_name = 'n_marks'), max(value) FILTER (feature_name = 'licensed')) AS top, count(value) FILTER (feature_name IN ('n_marks', 'first_number')) AS known FROM {_LONG} GROUP BY 1")
 def declarative_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.aggregate_features(_long(spark, sf_dir), {"top": ("max", ["n_marks", "licensed"]), "known": ("count", ["n_marks", "first_number"])})
+
+
+def _judge(name: str, values) -> tuple[str, str]:
+    """A column is removed if nothing is known of it, extracted again if less than half, else it may go on."""
+    known = int(values.notna().sum())
+    decision = "remove" if known == 0 else "reextract" if 2 * known < len(values) else "proceed"
+    return decision, f"{known} of {len(values)}"
+
+
+@query(f"SELECT feature_name, CASE WHEN count(value) = 0 THEN 'remove' WHEN 2 * count(value) < count(*) THEN 'reextract' ELSE 'proceed' END AS decision, count(value) || ' of ' || count(*) AS reasoning FROM {_LONG} GROUP BY 1")
+def validated_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.validated(_long(spark, sf_dir), _judge)
+
+
+def _rounds(notes: DataFrame, todo: list[str], k: int) -> DataFrame:
+    """Values that depend on the round: one feature is never found, one seldom at first, one late, one at once."""
+    late = F.when(F.col("row_idx") % 10 >= 9 - 3 * k, F.lit(float(k)))
+    made = {"never": F.lit(None).cast("double"), "late": late, "seldom": F.when(F.col("row_idx") % 10 >= 6, 1.0), "at_once": F.col("row_idx").cast("double")}
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature_name"), made[n].alias("value")) for n in todo])
+    return notes.select("row_idx", F.explode(pairs).alias("f")).select("row_idx", "f.*")
+
+
+@query("""SELECT doc_id AS row_idx, 'at_once' AS feature_name, doc_id::DOUBLE AS value FROM documents
+UNION ALL SELECT doc_id, 'late', CASE WHEN doc_id % 10 >= 3 THEN 2::DOUBLE END FROM documents""")
+def extraction_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted and validated until nothing is pending: what is never found goes, and what stays bad after three validations."""
+    notes = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"))
+    store = K.Checkpoints(spark, scratch(spark, "loop"))
+    out, _ = X.fixpoint(notes, ["never", "late", "seldom", "at_once"], _rounds, lambda df, k: store.save(df, f"round-{k}"))
+    return out

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators import permutation as P
 from ..operators import reports as R
+from ..sources import checkpoints as K
+from ..sources import tables as T
 from .evaluation import _AUC
-from .tables import SCORED, read, scored
+from .tables import SCORED, read, scored, scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -106,3 +109,19 @@ def chosen_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     area = M.auc(predictions(spark, sf_dir), ["model", "iteration", "fold"])
     best = area.groupBy("iteration", "fold").agg(F.min(F.struct((-F.round("auc", 9)).alias("less"), "model")).alias("b")).select("iteration", "fold", "b.model")
     return _rounded(R.chosen(best, ["model"]), ["percent"])
+
+
+@query(f"{_WITH} SELECT * FROM preds")
+def prediction_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions written once, and taken from the store the second time."""
+    store = K.Checkpoints(spark, scratch(spark, "predictions"))
+    P.stored(store, "predictions", lambda: predictions(spark, sf_dir))
+    return P.stored(store, "predictions", lambda: predictions(spark, sf_dir).limit(0))
+
+
+@query(f"{_WITH} SELECT model, metric, round(mean, 6) AS mean FROM ({_SPREAD.format(long=_unpivoted(R.METRICS, 'folds'))})")
+def result_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result table written as CSV with header, and read back."""
+    path = scratch(spark, "results")
+    T.write_results(R.comprehensive(predictions(spark, sf_dir), ["model"]).filter(F.col("metric").isin(*R.METRICS)), path)
+    return T.read_csv(spark, path).select("model", "metric", F.round("mean", 6).alias("mean"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions import activations as A
 from ..functions import text as T
 from ..operators import cohort as C
 from ..operators import preprocess as P
@@ -250,3 +251,24 @@ def removed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     specs = spark.createDataFrame([("a",), ("b",), ("c",)], "feature_name string")
     kept, left = S.without_removed(long, specs, specs.filter("feature_name = 'b'"))
     return kept.join(left, "feature_name", "left_semi")
+
+
+@query("SELECT c_custkey, c_acctbal AS balance FROM customer")
+def generated_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features written without their notes, and read back by date."""
+    folder = scratch(spark, "generated-sink")
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("balance"), F.expr(_NOTES).alias("note"))
+    S_IO.write_generated(rows, folder, "note", "1126")
+    return S_IO.read_latest(spark, folder, "generated_features", "csv")
+
+
+@query("SELECT event_id, CASE WHEN value - 100 > 0 THEN value - 100 ELSE 0 END AS rectified, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-(value - 100) / 50.0::DOUBLE)), 6) AS squashed FROM events")
+def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("value") - 100
+    return read(spark, sf_dir, "events").select("event_id", A.relu(x).alias("rectified"), F.round(A.sigmoid(x / F.lit(50.0)), 6).alias("squashed"))
+
+
+@query("SELECT vec_id, (unnest(range(64)))::INT AS pos, round(unnest(list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y))))), 6) AS value FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = A.unit(F.col("embedding").cast("array<double>"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(unit).alias("pos", "value")).withColumn("value", F.round("value", 6))

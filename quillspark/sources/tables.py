@@ -95,6 +95,11 @@ def write_results(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_generated(df: DataFrame, folder: str, notes: str, stamp: str | None = None) -> str:
+    """Generated features, without the notes that they are of, as a CSV of the day; returns where."""
+    return write_versioned(drop_columns(df, [notes]), folder, "generated_features", "csv", stamp or time.strftime("%m%d"))
+
+
 def write_summary(spark: SparkSession, values: Mapping, path: str) -> None:
     """A run's settings and figures as one JSON line."""
     spark.createDataFrame([(json.dumps(values, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -231,3 +231,27 @@ def test_settings_are_checked():
 def test_replies_of_a_backend_are_bounded(notes):
     got = extract.extract(notes.limit(1), ["a"], extract.RuleBackend({"b": "x"})).collect()
     assert got[0].value is None and "keys" in got[0].error
+
+
+def test_neighbour_imputer_and_classifier_equal_plain_loops():
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((40, 4))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    got = models.KNNImputer(3).fit(x).transform(x)
+    for i, j in zip(*np.nonzero(np.isnan(x)), strict=True):
+        near = []
+        for k in range(len(x)):
+            both = ~np.isnan(x[k]) & ~np.isnan(x[i])
+            if both.any() and not np.isnan(x[k, j]):
+                near.append((float(((x[k] - x[i])[both] ** 2).sum() * 4 / both.sum()), k))
+        assert abs(got[i, j] - np.mean([x[k, j] for _, k in sorted(near)[:3]])) < 1e-12
+    a, y = rng.standard_normal((30, 3)), rng.integers(0, 2, 30)
+    t = rng.standard_normal((10, 3))
+    for metric, p in (("euclidean", 2), ("manhattan", 1)):
+        for weights in ("uniform", "distance"):
+            got = models.KNNClassifier(5, weights, metric).fit(a, y).predict(t)
+            for row, value in zip(t, got, strict=True):
+                d = (np.abs(a - row) ** p).sum(axis=1) ** (1 / p)
+                near = np.argsort(d, kind="stable")[:5]
+                w = np.ones(5) if weights == "uniform" else 1 / d[near]
+                assert abs(value - (w * y[near]).sum() / w.sum()) < 1e-12
