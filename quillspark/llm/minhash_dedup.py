@@ -17,22 +17,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, mix, pieces, release, rows_of, small, tidy
 from .minhash import DEALT, PART_PAIRS, Dealer, band_keys, linked, registers
+from .word_table import word_hashes
 
 #: With 48 bands of 5 registers a pair of similarity 0.8 shares no key once in 190 million.
 BANDS, ROWS = 48, 5
 _STEP = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit values of a text's word shingles."""
-    found = (text or "").encode().lower().split()
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+def shingles(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit values of each text's word shingles."""
+    return [_shingles(h, words) for h in word_hashes([(t or "").encode().lower() for t in texts])]
+
+
+def _shingles(h: np.ndarray, words: int) -> np.ndarray:
     width = min(words, len(h))
     if not width:
         return h
@@ -52,7 +54,7 @@ def _sketches(df: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in pieces(batch, "text"):
-                sets = [shingles(t, shingle) for t in texts]
+                sets = shingles(texts, shingle)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 some = np.flatnonzero(sizes)
                 regs: list[bytes | None] = [None] * len(sets)
@@ -103,7 +105,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, texts in pieces(batch, "text"):
-                    sets = [shingles(t, shingle) for t in texts]
+                    sets = shingles(texts, shingle)
                     sizes = np.array([len(s) for s in sets], np.int64)
                     some = np.flatnonzero(sizes)
                     if not len(some):

@@ -31,11 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, dealt_by_part, each_part, materialise, mix, pieces, rows_of, tidy
+from .word_table import word_hashes
 
 #: A border falls behind the least of SPAN gear hashes, so a chunk has SPAN words at
 #: most; the hash forgets a word after WINDOW words. Chunks of a stretch.
@@ -50,10 +50,6 @@ DOCUMENTS_OF_PART = 8_000
 _WORD = regex.compile(rb"[^ \t-\r]+")
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
 def _gear(g: np.ndarray) -> np.ndarray:
     """The gear hash behind each word, by the words' hashes: of it and the WINDOW - 1 words before."""
     rolled = g.copy()
@@ -73,20 +69,21 @@ def _ends(g: np.ndarray) -> np.ndarray:
 
 def chunk_ends(words: list[bytes]) -> list[int]:
     """Numbers of words before each border, the end included."""
-    return _ends(_hashes(words)).tolist()
+    return _ends(word_hashes([b" ".join(words)])[0]).tolist()
 
 
-def _digests(words: list[bytes]) -> np.ndarray:
-    """Two digests of the stretch from each chunk on, of JOINED chunks; of all chunks if they are fewer."""
-    g = _hashes(words)
+def _digests(g: np.ndarray) -> np.ndarray:
+    """Two digests of the stretch from each chunk on, of JOINED chunks, by a text's word hashes; of all chunks if they are fewer."""
     ends = _ends(g)
     if not len(ends):
         return np.empty((2, 0), np.int64)
     starts = np.r_[0, ends[:-1]]
-    place = np.arange(len(g)) - np.repeat(starts, ends - starts)
+    place = (np.arange(len(g)) - np.repeat(starts, ends - starts)).astype(np.uint64)
+    words_mixed = mix(g + place * np.uint64(0x9E3779B97F4A7C15))
     out = []
-    for seed in (0, 1):
-        chunks = mix(np.add.reduceat(mix(g + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), seed), starts), seed)
+    # Two sums over a chunk's words, the second weighted by odd numbers that depend on their place.
+    for seed, parts in enumerate((words_mixed, words_mixed * (place * np.uint64(0xD1B54A32D192ED02) + np.uint64(1)))):
+        chunks = mix(np.add.reduceat(parts, starts), seed)
         size = min(JOINED, len(chunks))
         stretch = chunks[: len(chunks) - size + 1].copy()
         for k in range(1, size):
@@ -115,12 +112,16 @@ def _packed(table: np.ndarray, part: np.ndarray, own: bool) -> pa.RecordBatch:
 
 def _first_and_again(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of a table (digest, digest, doc, row, number): the first place of each digest, and (doc, row, number) of all others."""
+    table = table[:, np.argsort(table[0])]
+    same = table[0, 1:] == table[0, :-1]
+    met = np.r_[same, False][: table.shape[1]] | np.r_[False, same][: table.shape[1]]
+    alone, table = table[:, ~met], table[:, met]
     table = table[:, np.lexsort(table[::-1])]
     new = np.r_[True, (table[:2, 1:] != table[:2, :-1]).any(axis=0)][: table.shape[1]]
     firsts = table[:, new]
     its = np.repeat(np.arange(firsts.shape[1]), np.diff(np.r_[np.flatnonzero(new), len(new)]))
     # A repeated row has the very place of its copy; that is no repetition.
-    return firsts, table[2:, (table[2:] != firsts[2:, its]).any(axis=0)]
+    return np.concatenate([alone, firsts], axis=1), table[2:, (table[2:] != firsts[2:, its]).any(axis=0)]
 
 
 def _chunks(parts: int):
@@ -150,9 +151,10 @@ def _chunks(parts: int):
         for batch in batches:
             for part, texts in pieces(batch, "text"):
                 docs, rows = part.column(0).to_pylist(), part.column(1).to_pylist()
-                for doc, row, t in zip(docs, rows, texts, strict=True):
-                    if t:
-                        held.append((_digests(t.encode().split()), _NULL if doc is None else doc, row))
+                hashes = word_hashes([(t or "").encode() for t in texts])
+                for doc, row, g in zip(docs, rows, hashes, strict=True):
+                    if len(g):
+                        held.append((_digests(g), _NULL if doc is None else doc, row))
                         size += held[-1][0].shape[1]
                 if size > HELD_CHUNKS:
                     yield from flush()
@@ -231,11 +233,12 @@ def _rewrite(min_words: int):
             for part, texts in pieces(batch, "text"):
                 marks = part.column(2).to_pylist()
                 new, chunks, removed = [], [], []
-                for t, m in zip(texts, marks, strict=True):
+                hashes = word_hashes([(t or "").encode() if not m else b"" for t, m in zip(texts, marks, strict=True)])
+                for t, m, g in zip(texts, marks, hashes, strict=True):
                     if t is None:
                         got = (None, 0, 0)
                     elif not m:
-                        got = (t, len(chunk_ends(t.encode().split())), 0)
+                        got = (t, len(_ends(g)), 0)
                     else:
                         got = without(t, {k for a, b in np.frombuffer(m, "<i4").reshape(-1, 2).tolist() for k in range(a, b)}, min_words)
                     new.append(got[0])

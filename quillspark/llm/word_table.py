@@ -1,4 +1,4 @@
-"""Ids of many words at once: an open-addressing table in numpy arrays.
+"""Many words at once: their hashes, and an open-addressing table of ids, in numpy arrays.
 
 A word of up to 16 bytes is its own key: two 64-bit halves and its length, so equal
 keys are equal words. Look-ups and insertions work on whole arrays of words.
@@ -7,6 +7,7 @@ keys are equal words. Look-ups and insertions work on whole arrays of words.
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from .common import mix
 
@@ -14,6 +15,7 @@ from .common import mix
 LONGEST = 16
 #: Places at first, and at most, in bits; half of them are filled at most.
 LEAST_BITS, MOST_BITS = 16, 22
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
@@ -23,6 +25,25 @@ def halves(padded: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.nda
     return at[starts] & _MASK[np.minimum(sizes, 8)], at[starts + 8] & _MASK[np.clip(sizes - 8, 0, 8)]
 
 
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text, runs of bytes other than blank and \\t to \\r."""
+    if not texts:
+        return []
+    ends_of_texts = np.cumsum([len(t) + 1 for t in texts])
+    buffer = b" ".join(texts) + b" " + bytes(LONGEST)
+    inside = ~_SPACE[np.frombuffer(buffer, np.uint8, len(buffer) - LONGEST)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edges = np.r_[0, edges]
+    starts, ends = edges[::2], edges[1::2]
+    sizes = ends - starts
+    low, high = halves(buffer, starts, sizes)
+    out = mix(low ^ mix(high, 1) ^ (sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    for i in np.flatnonzero(sizes > LONGEST).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buffer[starts[i] : ends[i]])
+    return np.split(out, np.searchsorted(starts, ends_of_texts)[:-1])
+
+
 class WordTable:
     """For each word known, where its ids lie in ``ids`` and how many they are."""
 

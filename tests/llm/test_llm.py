@@ -57,6 +57,19 @@ def test_bpe_of_no_rows_and_of_nothing(spark):
     assert [r.decoded for r in bpe.decode(ids, PATH).orderBy("doc_id").collect()] == [None, ""]
 
 
+def test_word_hashes_tell_words_apart():
+    rng = np.random.default_rng(13)
+    texts = [bytes(rng.choice(list(b"ab \t\n\r\x0b\x0c\x1c\x85\xa0\x00"), int(n)).astype(np.uint8)) for n in rng.integers(0, 200, 300)]
+    texts += [b"", b" ", b"x" * 16, b"x" * 17, b"x" * 18 + b" y", b"y "]
+    known = {}
+    for text, got in zip(texts, word_table.word_hashes(texts), strict=True):
+        words = text.split()
+        assert len(got) == len(words)
+        for w, h in zip(words, got.tolist(), strict=True):
+            assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known) > 1000
+
+
 def test_word_table_against_a_dictionary():
     rng = np.random.default_rng(12)
     table, known = word_table.WordTable(), {}
