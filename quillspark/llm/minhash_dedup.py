@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, pieces, release, rows_of, small, tidy
+from .common import materialise, mix, pieces, rows_of, small, tidy
 from .minhash import DEALT, PART_PAIRS, Dealer, band_keys, linked, registers
 from .word_table import word_hashes
 
