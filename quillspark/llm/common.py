@@ -17,10 +17,25 @@ from pyspark.sql import functions as F
 #: Broadcast a side only if its counted rows, at so many bytes each once hashed, are
 #: within this bound.
 BROADCAST_BYTES, HASHED_ROW_BYTES = 32 << 20, 64
+#: Rows, and bytes, of an Arrow batch at most.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 #: Edges that a task of the components holds, about.
 TASK_EDGES = 1 << 19
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bounds of an Arrow batch, where they are higher, for rows that hold whole texts.
+
+    The plans that operators return run later, so the setting stays: batches of
+    Spark's default size hold 64 MB of texts, in each task, outside the heap.
+    """
+    conf = spark._jsparkSession.sessionState().conf()
+    if not 0 < conf.arrowMaxRecordsPerBatch() <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if not 0 < conf.arrowMaxBytesPerBatch() <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares; one of our own only where none is set and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialise, mix, pieces, release, rows_of, small, tidy
+from .common import BROADCAST_BYTES, bounded_batches, materialise, mix, pieces, release, rows_of, small, tidy
 from .minhash import DEALT, PART_PAIRS, Dealer, band_keys, filled, least_in_buckets, linked
 
 SHINGLE = 8
@@ -109,6 +109,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """(doc, row, gone): for each document, by id and xxhash64 of its text, the numbers, from 0, of the lines to remove."""
     spark = df.sparkSession
+    bounded_batches(spark)
     docs = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     lines = materialise(_numbered(docs), "lines")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows_of(lines) * BANDS // PART_PAIRS + 1)

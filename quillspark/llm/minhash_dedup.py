@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, pieces, rows_of, small, tidy
+from .common import bounded_batches, materialise, mix, pieces, rows_of, small, tidy
 from .minhash import DEALT, PART_PAIRS, Dealer, band_keys, linked, registers
 from .word_table import word_hashes
 
@@ -94,6 +94,7 @@ def _values(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``df``."""
     spark = df.sparkSession
+    bounded_batches(spark)
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sketches = materialise(_sketches(docs, shingle), "sketches")
     filled = sketches.filter("d1 is not null and id is not null")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import codec, read_spec
-from .common import materialise, pieces, release, rows_of, tidy
+from .common import bounded_batches, materialise, pieces, release, rows_of, tidy
 
 #: Items of a group, about; it bounds a task's work and memory.
 GROUP_ITEMS = 1_500
@@ -46,6 +46,7 @@ ELITE_FILL = 0.998
 
 def cut(df: DataFrame, vocabulary: str, room: int, end_id: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, salt): the items, cut to ``room``."""
+    bounded_batches(df.sparkSession)
     spec = df.sparkSession.sparkContext.broadcast(read_spec(vocabulary))
     end = end_id.to_bytes(4, "little")
 

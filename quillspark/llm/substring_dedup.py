@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, dealt_by_part, each_part, materialise, mix, pieces, rows_of, tidy
+from .common import BROADCAST_BYTES, bounded_batches, dealt_by_part, each_part, materialise, mix, pieces, rows_of, tidy
 from .word_table import word_hashes
 
 #: A border falls behind the least of SPAN gear hashes, so a chunk has SPAN words at
@@ -253,6 +253,7 @@ def _rewrite(min_words: int):
 def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``df`` with ``text`` freed of repeated passages, and n_chunks and n_removed_words (columns so named are replaced)."""
     spark = df.sparkSession
+    bounded_batches(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows_of(df) // DOCUMENTS_OF_PART + 1)
     docs = df.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
     repeated = dealt_by_part(docs.mapInArrow(_chunks(parts), PACKED), parts).mapInArrow(_repeats(parts), PACKED)
