@@ -1,5 +1,11 @@
 """DuckDB SQL for the operators' queries that SQL can express."""
 
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from .secret_scan import BASE, RULES, Rule
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP4 = rf"""
@@ -32,4 +38,54 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLE_SQL = {"op4_quality_rules": OP4}
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents
+), drawn AS (
+  SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS p, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS q,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), cut AS (
+  SELECT *, coalesce(array_to_string(units[1:least(p, q)], ''), '') AS a, coalesce(array_to_string(units[least(p, q) + 1:greatest(p, q)], ''), '') AS b,
+         coalesce(array_to_string(units[greatest(p, q) + 1:], ''), '') AS c
+  FROM drawn
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM cut
+"""
+
+
+def _matches(rules: Sequence[Rule]) -> str:
+    """SQL of (rid, kind, place, s, e): the matches of every rule, by the lengths of what lies between them."""
+    parts = []
+    for i, r in enumerate(rules):
+        p = "'" + r.expression.replace("'", "''") + "'"
+        parts.append(f"""
+  SELECT rid, '{r.kind}' AS kind, {i} AS place, e - length(w) AS s, e FROM (
+    SELECT rid, whole[i] AS w, value[i] AS v, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + list_sum(list_transform(whole[1:i], lambda x: length(x))))::BIGINT AS e
+    FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i
+          FROM (SELECT rid, regexp_extract_all(t, {p}) AS whole, regexp_extract_all(t, {p}, {r.group}) AS value, string_split_regex(t, {p}) AS gaps FROM d)))
+  WHERE length(v) >= {r.least}""")
+    return " UNION ALL ".join(parts)
+
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+m AS ({_matches(RULES)}
+), by_row AS (
+  SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (place < {len(BASE)}) AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans
+  FROM m GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN by_row USING (rid)
+"""
+
+ORACLE_SQL = {"op4_quality_rules": OP4, "op12_fill_in_middle": OP12, "op13_secret_scan": OP13}
