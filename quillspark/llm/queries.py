@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fill_in_middle, html_main_text, license_scan, line_dedup, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity
+from . import ann, bpe, conversation_trie, fill_in_middle, html_main_text, license_scan, line_dedup, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.rebuilt_trie(_read(spark, sf_dir, "conversations"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(_read(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op8_html_main_text": op8_html_main_text,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_secret_scan": op13_secret_scan,
 }

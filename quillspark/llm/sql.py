@@ -38,6 +38,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+OP11 = """
+WITH t AS (
+  SELECT conv_id, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS d, length(coalesce(text, '')) AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base,
+         (xor(4294967295, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+           lambda a, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(a, b)), 4294967295)) % 6)::BIGINT AS h
+  FROM t
+), r AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth, d, chars FROM (
+    SELECT c.conv_id, 0 AS own, t.pos, t.d, t.chars FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+    UNION ALL SELECT c.conv_id, 1, t.pos, t.d, t.chars FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h)
+), p AS (
+  SELECT conv_id, depth, chars, string_agg(d, ',') OVER (PARTITION BY conv_id ORDER BY depth) AS path, max(depth) OVER (PARTITION BY conv_id) AS length FROM r
+  UNION ALL SELECT conv_id, 0, 0, '', coalesce((SELECT max(depth) FROM r WHERE r.conv_id = c.conv_id), 0) FROM c
+), n AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256
+  FROM p GROUP BY path, depth
+), e AS (
+  SELECT n.*, u.path AS up, u.conv_id AS parent_conv_id
+  FROM n LEFT JOIN p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1 LEFT JOIN n AS u ON u.path = p.path AND u.depth = p.depth
+), k AS (
+  SELECT e.*, coalesce(x.m, 0) AS n_children FROM e LEFT JOIN (SELECT up, depth - 1 AS depth, count(*) AS m FROM e WHERE up IS NOT NULL GROUP BY ALL) x ON x.up = e.path AND x.depth = e.depth
+), s AS (
+  SELECT a.path, a.depth, sum((k.n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((k.n_convs - 1) * k.chars)::BIGINT AS saved_tokens
+  FROM k JOIN p AS a ON a.conv_id = k.conv_id AND a.depth <= k.depth GROUP BY ALL
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM k JOIN s USING (path, depth)
+"""
+
 OP12 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
@@ -88,4 +121,4 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN by_row USING (rid)
 """
 
-ORACLE_SQL = {"op4_quality_rules": OP4, "op12_fill_in_middle": OP12, "op13_secret_scan": OP13}
+ORACLE_SQL = {"op4_quality_rules": OP4, "op11_conversation_trie": OP11, "op12_fill_in_middle": OP12, "op13_secret_scan": OP13}
