@@ -46,7 +46,8 @@ class Rule:
 BASE = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", r"[0-9a-f]+", 0, 16),
+    # Runs are as long as they can be, so asking for 16 finds those of [0-9a-f]+ that have them.
+    Rule("hex", r"[0-9a-f]{16,}", 0, 16),
 )
 #: Rules beyond the base: public formats of keys and tokens.
 FORMATS = (
