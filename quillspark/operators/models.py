@@ -1,17 +1,12 @@
-"""Imputers and models for nested cross-validation, in numpy, and the task grid that runs them."""
+"""Imputers and models of one matrix, in numpy, and the decomposition of many vectors."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from itertools import product
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .folds import derived_seed
-
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
@@ -347,98 +342,6 @@ def rank_auc(y: np.ndarray, s: np.ndarray) -> float:
     return float((rank[y == 1].sum() - pos * (pos + 1) / 2) / (pos * neg)) if pos and neg else float("nan")
 
 
-def folds_of(y: np.ndarray, folds: int, seed: int) -> np.ndarray:
-    """Stratified folds, dealt after a seeded shuffle of each class."""
-    rng, out = np.random.default_rng(seed & 0x7FFFFFFF), np.empty(len(y), np.int64)
-    for c in np.unique(y):
-        own = rng.permutation(np.flatnonzero(y == c))
-        out[own] = np.arange(len(own)) % folds
-    return out
-
-
-def _fitted(x: np.ndarray, y: np.ndarray, test: np.ndarray, imputer: str, model: str, params: Mapping, seed: int = 0) -> tuple[np.ndarray, object]:
-    """Predictions for ``test`` and the model; imputer and scaler are fitted on the training rows alone."""
-    fill = IMPUTERS[imputer]().fit(x)
-    a, b = fill.transform(x), fill.transform(test)
-    m, d = a.mean(axis=0), a.std(axis=0)
-    d[d == 0] = 1
-    own = {"seed": seed} if "seed" in MODELS[model].__init__.__code__.co_varnames and "seed" not in params else {}
-    fitted = MODELS[model](**params, **own).fit((a - m) / d, y)
-    return fitted.predict((b - m) / d), fitted
-
-
-FITS = "iteration int, fold int, model string, variant string, params string, inner_score double, sample_idx long, y_true int, y_pred double, feature_name string, coef double"
-
-
-def nested_fits(df: DataFrame, key: str, label: str, variants: Mapping[str, Sequence[str]], grids: Mapping[str, Mapping[str, Sequence]], iterations: int, outer: int, inner: int, imputer: str = "median", seed: int = 2048) -> DataFrame:
-    """Rows of predictions (sample_idx, y_true, y_pred) and of weights (feature_name, coef) by nested cross-validation.
-
-    ``variants`` names sets of numeric columns, ``grids`` the models and their
-    parameters. A task is an iteration's outer fold: it picks the candidate of the
-    best mean inner area, the first on ties, and predicts its test rows. A candidate
-    that can't be fitted counts as the worst. The design matrix is collected once and
-    sent to all tasks; it is meant for labelled cohorts, and ``MAX_CELLS`` bounds it.
-    """
-    spark = df.sparkSession
-    columns = list(dict.fromkeys(c for cols in variants.values() for c in cols))
-    n = df.count()
-    if n * len(columns) > MAX_CELLS:
-        raise ValueError(f"{n} rows of {len(columns)} features are over the {MAX_CELLS} cells of a broadcast design matrix")
-    table = df.select(key, label, *columns).orderBy(key).toPandas()
-    shared = spark.sparkContext.broadcast((table[key].to_numpy(), table[label].to_numpy(int), {v: table[list(c)].to_numpy(float) for v, c in variants.items()}))
-    names = {v: list(c) for v, c in variants.items()}
-    candidates = [(m, v, dict(zip(g, p, strict=True))) for m, g in grids.items() for v in variants for p in product(*g.values())]
-    tasks = spark.range(iterations).select(F.col("id").cast("int").alias("iteration")).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, y, x = shared.value
-        it, fold = int(pdf["iteration"].iloc[0]), int(pdf["fold"].iloc[0])
-        split = folds_of(y, outer, derived_seed(seed, it, "outer"))
-        train, test = split != fold, split == fold
-        parts = folds_of(y[train], inner, derived_seed(seed, it, fold, "inner"))
-        own_seed = derived_seed(seed, it, fold, "model")
-        best, chosen = -2.0, candidates[0]
-        for cand in candidates:
-            m, v, p = cand
-            own = x[v][train]
-            try:
-                scores = [rank_auc(y[train][parts == k], _fitted(own[parts != k], y[train][parts != k], own[parts == k], imputer, m, p, own_seed)[0]) for k in range(inner)]
-                score = float(np.nanmean(scores)) if not np.isnan(scores).all() else -1.0
-            except Exception:  # a candidate that can't be fitted is passed over
-                score = -2.0
-            if score > best:
-                best, chosen = score, cand
-        m, v, p = chosen
-        pred, model = _fitted(x[v][train], y[train], x[v][test], imputer, m, p, own_seed)
-        base = {"iteration": it, "fold": fold, "model": m, "variant": v, "params": str(sorted(p.items())), "inner_score": best}
-        rows = [pd.DataFrame(base | {"sample_idx": ids[test], "y_true": y[test], "y_pred": pred, "feature_name": None, "coef": np.nan})]
-        if (weights := importance_of(model)) is not None:
-            rows.append(pd.DataFrame(base | {"sample_idx": None, "y_true": None, "y_pred": np.nan, "feature_name": names[v], "coef": weights}))
-        out = [r.astype({"sample_idx": "Int64", "y_true": "Int32"}) for r in rows]
-        return pd.concat([r.astype({"feature_name": "string"}) for r in out]).reindex(columns=[c.split()[0] for c in FITS.split(", ")])
-
-    return tasks.repartition(iterations * outer, "iteration", "fold").groupBy("iteration", "fold").applyInPandas(run, FITS)
-
-
-def predictions(fits: DataFrame) -> DataFrame:
-    """(iteration, fold, model, variant, params, sample_idx, y_true, y_pred) of ``nested_fits``."""
-    return fits.filter("feature_name IS NULL").drop("feature_name", "coef", "inner_score")
-
-
-def weights(fits: DataFrame) -> DataFrame:
-    """(iteration, fold, model, variant, feature_name, coef) of ``nested_fits``."""
-    return fits.filter("feature_name IS NOT NULL").select("iteration", "fold", "model", "variant", "feature_name", "coef")
-
-
-def nested_cv(df: DataFrame, key: str, label: str, variants: Mapping[str, Sequence[str]], grids: Mapping[str, Mapping[str, Sequence]], iterations: int, outer: int, inner: int, imputer: str = "median", seed: int = 2048) -> DataFrame:
-    """The predictions alone."""
-    return predictions(nested_fits(df, key, label, variants, grids, iterations, outer, inner, imputer, seed))
-
-
-#: Cells of the design matrix that a broadcast may hold (0.8 GB).
-MAX_CELLS = 100_000_000
-
-
 def svd_embeddings(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
     """(key, embedding): left singular vectors of the row matrix, the largest component of each direction positive.
 

@@ -18,8 +18,12 @@ def trimmed(embedding: Column, dims: int) -> Column:
     return embedding if dims < 0 else F.when(F.size(embedding) > dims, F.slice(embedding, 1, dims)).otherwise(embedding)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, keep: Sequence[str] = ()) -> DataFrame:
-    """(q, v, keep…, d, rank): each query's k nearest other rows by Euclidean distance, ties by key.
+def by_query() -> Window:
+    return Window.partitionBy("q")
+
+
+def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, keep: Sequence[str] = (), metric: str = "euclidean") -> DataFrame:
+    """(q, v, keep…, d, rank): each query's k nearest other rows by Euclidean (or Manhattan) distance, ties by key.
 
     Queries are packed in blocks; each block meets every task's rows once and takes
     along k rows a query, so no pair is a row of its own.
@@ -27,18 +31,19 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int,
     packed = queries.select(F.col(key).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("x"))
     packed = packed.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("q"), F.lit(64))).orderBy("q")) - 1) / QUERY_BLOCK)).withColumn("part", F.pmod(F.xxhash64("q"), F.lit(64)))
     packed = packed.groupBy("part", "block").agg(F.collect_list("q").alias("qs"), F.collect_list("x").alias("xs")).select("qs", "xs")
-    slices = rows.select(F.col(key).cast("long").alias("v"), F.col(vector).cast("array<double>").alias("y"), *keep).withColumn("slice", F.floor(F.monotonically_increasing_id() / 4096))
-    slices = slices.groupBy("slice").agg(F.collect_list(F.struct("v", "y", *keep)).alias("rows")).select("rows")
+    slices = rows.select(F.col(key).cast("long").alias("v"), F.col(vector).cast("array<double>").alias("p"), *keep).withColumn("slice", F.floor(F.monotonically_increasing_id() / 4096))
+    slices = slices.groupBy("slice").agg(F.collect_list(F.struct("v", "p", *keep)).alias("rows")).select("rows")
     types = dict(rows.dtypes)
     schema = "q long, v long, " + "".join(f"{c} {types[c]}, " for c in keep) + "d double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for qs, xs, part in zip(b["qs"], b["xs"], b["rows"], strict=True):
-                ids, y = np.array([r["v"] for r in part]), np.array([np.asarray(r["y"]) for r in part])
+                ids, y = np.array([r["v"] for r in part]), np.array([np.asarray(r["p"]) for r in part])
                 out = []
                 for q, x in zip(qs, xs, strict=True):
-                    d = np.sqrt(((y - np.asarray(x)) ** 2).sum(axis=1))
+                    off = np.abs(y - np.asarray(x))
+                    d = off.sum(axis=1) if metric == "manhattan" else np.sqrt((off**2).sum(axis=1))
                     own = np.flatnonzero(ids != q)
                     for i in own[np.lexsort((ids[own], d[own]))][:k].tolist():
                         out.append((int(q), int(ids[i]), *[part[i][c] for c in keep], float(d[i])))

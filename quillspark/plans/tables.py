@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import folds
+from ..sources import work
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,15 +16,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a query's files in the one that all share; in one process a temporary one will do."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared}/quillspark-plans/{name}-{uuid.uuid4().hex}"
+    """A new folder for a query's files in the one that all share."""
+    return f"{work.shared_folder(spark)}/quillspark-plans/{name}-{uuid.uuid4().hex}"
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark import cloudpickle
 
 from quillspark import config
-from quillspark.operators import definition, expert, extract, models, permutation, reports, specs
+from quillspark.operators import definition, expert, extract, models, nested, permutation, reports, specs
 from quillspark.sources import checkpoints
 
 # The workers can't import this module; its classes travel whole.
@@ -162,10 +162,10 @@ def test_candidates_that_fail_are_passed_over(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((60, 2))
     df = spark.createDataFrame([(i, int(a > 0), float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, y int, a double, b double")
-    fits = models.nested_fits(df, "id", "y", {"ALL": ["a", "b"]}, {"knn": {"k": [0]}, "lr": {"C": [1.0]}}, 1, 3, 2)
-    pred = models.predictions(fits).collect()
+    fits = nested.nested_fits(df, "id", "y", {"ALL": ["a", "b"]}, {"knn": {"k": [0]}, "lr": {"C": [1.0]}}, 1, 3, 2)
+    pred = nested.predictions(fits).collect()
     assert {r.model for r in pred} == {"lr"} and sorted(r.sample_idx for r in pred) == list(range(60))
-    assert [r.feature_name for r in reports.importances(models.weights(fits)).collect()] == ["a", "b"]
+    assert [r.feature_name for r in reports.importances(nested.weights(fits)).collect()] == ["a", "b"]
 
 
 def _cells(n=3):
