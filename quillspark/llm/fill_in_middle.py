@@ -83,7 +83,7 @@ def transform(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tupl
     _checked(sentinels)
     bounded_batches(df.sparkSession)
     keep = tuple(c for c in keep if c not in _MADE)
-    taken = df.select(F.col(key).cast("string").alias("fim_key"), F.col(text).alias("fim_text"), *keep)
+    taken = df.select(F.col(key).cast("string").alias("fim_key"), F.col(text).alias("fim_text"), *[F.col(c).alias(f"fim_{i}") for i, c in enumerate(keep)])
     schema = df.select(*keep).schema
     for name, kind in zip(_MADE, (LongType(), StringType(), LongType(), LongType(), StringType()), strict=True):
         schema = schema.add(name, kind)

@@ -93,7 +93,8 @@ def candidates(df: DataFrame, rules: Sequence[Rule], key: str = "doc_id", text:
     place = {t: n for n, t in enumerate(wanted)}
     terms = [(place[t, rules[i].ignore_case], i, n, len(a)) for i, q in asked.items() for n, a in enumerate(q) for t in a]
     # A row for each trigram of each alternative: the rules' own size bounds it.
-    lookup = F.broadcast(df.sparkSession.createDataFrame(terms, "term int, rule int, alternative int, needed long"))
+    names = ("term", "rule", "alternative", "needed")
+    lookup = F.broadcast(df.sparkSession.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(t, names, strict=True)]) for t in terms]))))
     postings = materialise(index(df, wanted, key, text), "secret-postings")
     met = postings.join(lookup, "term").groupBy(*KEY, "rule", "alternative", "needed").agg(F.count_distinct("term").alias("n"))
     able = met.filter("n = needed").groupBy(*KEY).agg(F.collect_set("rule").alias("s_rules"))

@@ -65,11 +65,12 @@ def _either(parts: list[Part]) -> Part:
     return Part(None, _least(needs) if len(needs) <= MOST else ANY)
 
 
-def _repeated(part: Part, least: int, most: int | None) -> Part:
+def _repeated(part: Part, least: int, most: int | None) -> list[Part]:
+    """What follows on one another when a part is repeated."""
     if least == 0:
-        return Part(part.strings | {""}, ANY) if most == 1 and part.strings is not None else ANYTHING
+        return [Part(part.strings | {""}, ANY) if most == 1 and part.strings is not None else ANYTHING]
     times = min(least, 3)
-    return _sequence([part] * times + ([] if most == times else [ANYTHING]))
+    return [part] * times + ([] if most == times else [ANYTHING])
 
 
 class _Reader:
@@ -93,22 +94,23 @@ class _Reader:
     def sequence(self) -> Part:
         parts = []
         while self.more("|", ")"):
-            parts.append(self.quantified(self.atom()))
+            parts += self.quantified(self.atom())
         return _sequence(parts)
 
-    def quantified(self, part: Part) -> Part:
-        while self.more() and self.p[self.i] in "?*+{":
-            sign = self.take()
-            if sign == "{":
-                end = self.p.index("}", self.i)
-                low, comma, high = self.p[self.i : end].partition(",")
-                self.i = end + 1
-                part = _repeated(part, int(low or 0), int(high) if high else None if comma else int(low))
-            else:
-                part = _repeated(part, int(sign == "+"), 1 if sign == "?" else None)
-            if self.more() and self.p[self.i] in "?+":  # lazy or possessive: the same strings
-                self.take()
-        return part
+    def quantified(self, part: Part) -> list[Part]:
+        if not self.more() or self.p[self.i] not in "?*+{":
+            return [part]
+        sign = self.take()
+        if sign == "{":
+            end = self.p.index("}", self.i)
+            low, comma, high = self.p[self.i : end].partition(",")
+            self.i = end + 1
+            parts = _repeated(part, int(low or 0), int(high) if high else None if comma else int(low))
+        else:
+            parts = _repeated(part, int(sign == "+"), 1 if sign == "?" else None)
+        if self.more() and self.p[self.i] in "?+":  # lazy or possessive: the same strings
+            self.take()
+        return parts
 
     def atom(self) -> Part:
         c = self.take()
