@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -209,3 +209,15 @@ def presence(value: Column) -> Column:
     """1 for Present, 0 for Absent, null for anything else."""
     v = F.lower(F.trim(value))
     return F.when(v == "present", 1).when(v == "absent", 0)
+
+
+def metric(name: Column, known: Mapping[str, str]) -> Column:
+    """The metric's own name by ``known``, whatever the case and signs of the given one; null for one that isn't known."""
+    key = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), key)
+
+
+def file_name(text: Column) -> Column:
+    """A name for files: letters, digits, dot, minus and underscore; never empty."""
+    safe = F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9._-]+", "_"), "^[._]+|[._]+$", "")
+    return F.when(safe == "", "unnamed").otherwise(safe)

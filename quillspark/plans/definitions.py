@@ -69,14 +69,6 @@ def merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.withColumn("instructions", F.coalesce("instructions", F.lit("-")))
 
 
-@query("SELECT * FROM (VALUES ('a', false, NULL::VARCHAR), ('b', false, NULL), ('c', true, 'a,b')) t(feature_name, is_aggregated, sources)")
-def spec_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Specs parted by having sources, and put together again."""
-    specs = spark.createDataFrame([("a", None, None), ("b", False, None), ("c", True, ["a", "b"])], "feature_name string, is_aggregated boolean, aggregated_from array<string>")
-    plain, aggregates = S.parts(specs)
-    return S.joined(plain.drop("aggregated_from"), aggregates).select("feature_name", "is_aggregated", F.array_join("aggregated_from", ",").alias("sources"))
-
-
 @query(f"{_LAST} SELECT chunk, feature_name, description, instructions FROM last WHERE status <> 'dropped'")
 def final_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions without those dropped, and without status."""

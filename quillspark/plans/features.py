@@ -9,6 +9,7 @@ from ..operators import extract as X
 from ..operators import preprocess as P
 from ..operators import specs as S
 from ..sources import checkpoints as K
+from ..sources import tables as T
 from .tables import read, scratch
 
 QUERIES: dict = {}
@@ -24,38 +25,53 @@ def query(sql: str):
     return add
 
 
-_SPECS = [
-    ("size", ["left", "right"], "Size", "in mm", False, None, None),
-    ("smoker", None, "Smoker", "yes or no", False, None, None),
-    ("stage", [], "Stage", "roman", None, None, None),
-    ("max_size", None, "Largest", "max", True, ["size"], None),
-    ("side_size", None, "One side", "max", True, ['{"feature_name": "size", "specific_subgroups": ["left"]}'], None),
-    ("risk", ["high"], "Risk", "count", True, ["smoker", '{"feature_name": "size", "specific_subgroups": ["right"]}', "stage"], None),
-]
+# A specification for each part: a third have subgroups, a quarter are aggregates of the parts before them.
+_SOURCES = """CASE WHEN p_partkey % 8 = 0 THEN array(concat('f', p_partkey - 1), concat('{"feature_name": "f', p_partkey - 2, '", "specific_subgroups": ["left"]}'), concat('f', p_partkey - 3))
+ WHEN p_partkey % 4 = 0 THEN array(concat('f', p_partkey - 1)) END"""
 
 
-def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_SPECS, S.SPEC)
+def specifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = "CASE p_partkey % 3 WHEN 0 THEN array('left', 'right') WHEN 1 THEN CAST(array() AS array<string>) END"
+    flag = "CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false END"
+    return read(spark, sf_dir, "part").selectExpr("concat('f', p_partkey) AS feature_name", f"{groups} AS specific_subgroups", "p_name AS description", "p_brand AS instructions", f"{flag} AS is_aggregated", f"{_SOURCES} AS aggregated_from", "CAST(NULL AS STRING) AS status")
 
 
-@query("""SELECT * FROM (VALUES ('size_left', 'Size', 'in mm', false, NULL::VARCHAR), ('size_right', 'Size', 'in mm', false, NULL), ('smoker', 'Smoker', 'yes or no', false, NULL),
- ('stage', 'Stage', 'roman', false, NULL), ('max_size', 'Largest', 'max', true, 'size_left,size_right'), ('side_size', 'One side', 'max', false, NULL), ('risk_high', 'Risk', 'count', true, 'smoker,size_right,stage'))
- t(feature_name, description, instructions, is_aggregated, sources)""")
-def flatten_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = S.flatten(_specs(spark, sf_dir))
-    return flat.select("feature_name", "description", "instructions", "is_aggregated", F.array_join("aggregated_from", ",").alias("sources"))
+def _expanded(back: int) -> str:
+    """SQL of the flat names of a part so many before."""
+    q = f"(p_partkey - {back})"
+    return f"CASE WHEN {q} % 3 = 0 AND {q} IN (SELECT p_partkey FROM part) THEN ['f' || {q} || '_left', 'f' || {q} || '_right'] ELSE ['f' || {q}] END"
+
 
+#: Specifications of DuckDB: flat, with the list of sources.
+FLAT = f"""flat AS (
+  SELECT p_partkey, 'f' || p_partkey || unnest(CASE WHEN p_partkey % 3 = 0 THEN ['_left', '_right'] ELSE [''] END) AS feature_name, p_name AS description, p_brand AS instructions,
+         CASE WHEN p_partkey % 8 = 0 THEN list_concat(list_concat({_expanded(1)}, ['f' || (p_partkey - 2) || '_left']), {_expanded(3)}) WHEN p_partkey % 4 = 0 AND len({_expanded(1)}) > 1 THEN {_expanded(1)} END AS sources
+  FROM part)"""
 
-_REVIEW = [("size", "drop", None, None), ("smoker", "edited", "Smokes now", None), ("stage", "aligned", "ignored", None), ("bmi", "new", "BMI", "kg/m2"), ("old", "drop", "x", None), ("odd", "unknown", "Odd", None), (None, "new", "nameless", None)]
+
+@query(f"WITH {FLAT} SELECT feature_name, description, instructions, sources IS NOT NULL AS is_aggregated, array_to_string(sources, ',') AS sources FROM flat")
+def flatten_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = S.flatten(specifications(spark, sf_dir))
+    return flat.select("feature_name", "description", "instructions", "is_aggregated", F.array_join("aggregated_from", ",").alias("sources"))
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _specs(spark, sf_dir).select("feature_name", "description", "instructions").filter("feature_name in ('size', 'smoker', 'stage', 'risk')")
-    return S.merge_status(raw, spark.createDataFrame(_REVIEW, "feature_name string, status string, description string, instructions string"))
+    """A review of five sixths of the specifications, with names that aren't known and rows without one."""
+    parts = read(spark, sf_dir, "part")
+    known = parts.filter("p_partkey % 6 <> 4").selectExpr(
+        "CASE WHEN p_partkey % 11 <> 0 THEN concat('f', p_partkey) END AS feature_name",
+        "CASE p_partkey % 6 WHEN 0 THEN 'drop' WHEN 1 THEN 'edited' WHEN 2 THEN 'aligned' WHEN 3 THEN 'new' ELSE 'odd' END AS status",
+        "CASE WHEN p_partkey % 6 <> 3 THEN concat('edited ', p_name) END AS description",
+        "CASE WHEN p_partkey % 6 = 3 THEN 'anew' END AS instructions",
+    )
+    fresh = parts.filter("p_partkey % 7 = 0").selectExpr("concat('g', p_partkey) AS feature_name", "CASE WHEN p_partkey % 14 = 0 THEN 'drop' ELSE 'unknown' END AS status", "p_type AS description", "CAST(NULL AS STRING) AS instructions")
+    return S.merge_status(specifications(spark, sf_dir).select("feature_name", "description", "instructions"), known.union(fresh))
 
 
-_MERGED = """(VALUES ('size', 'Size', 'in mm', 'dropped'), ('smoker', 'Smokes now', 'yes or no', 'edited'), ('stage', 'Stage', 'roman', 'aligned'), ('risk', 'Risk', 'count', 'kept'),
- ('bmi', 'BMI', 'kg/m2', 'new'), ('odd', 'Odd', NULL, 'new')) t(feature_name, description, instructions, status)"""
+_MERGED = """(SELECT 'f' || p_partkey AS feature_name, CASE WHEN r = 1 THEN 'edited ' || p_name ELSE p_name END AS description, CASE WHEN r = 3 THEN 'anew' ELSE p_brand END AS instructions,
+  CASE r WHEN 0 THEN 'dropped' WHEN 1 THEN 'edited' WHEN 2 THEN 'aligned' WHEN 3 THEN 'new' WHEN 5 THEN 'odd' ELSE 'kept' END AS status
+ FROM (SELECT *, CASE WHEN p_partkey % 11 = 0 THEN 4 ELSE p_partkey % 6 END AS r FROM part)
+ UNION ALL SELECT 'g' || p_partkey, p_type, NULL, 'new' FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 14 <> 0)"""
 
 
 @query(f"SELECT * FROM {_MERGED}")
@@ -68,18 +84,48 @@ def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.status_summary(_merged(spark, sf_dir))
 
 
-@query("SELECT 'smoker' AS feature_name, 'description' AS field, 'Smoker' AS old, 'Smokes now' AS new")
+@query("""SELECT 'f' || p_partkey AS feature_name, CASE r WHEN 1 THEN 'description' ELSE 'instructions' END AS field, CASE r WHEN 1 THEN p_name ELSE p_brand END AS old, CASE r WHEN 1 THEN 'edited ' || p_name ELSE 'anew' END AS new
+ FROM (SELECT *, p_partkey % 6 AS r FROM part WHERE p_partkey % 11 <> 0) WHERE r IN (1, 3)""")
 def spec_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.diff(_specs(spark, sf_dir), _merged(spark, sf_dir))
+    return S.diff(specifications(spark, sf_dir), _merged(spark, sf_dir))
 
 
-@query("SELECT 'a' AS feature_name, 'x,z' AS sources")
+@query("""SELECT 'o' || l_orderkey AS feature_name, string_agg('f' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS sources FROM lineitem
+ WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY l_orderkey HAVING count(*) > 1""")
 def prune_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aggregates = spark.createDataFrame([("a", ["x", "y", "z"]), ("b", ["y", "z"]), ("c", ["y"])], "feature_name string, aggregated_from array<string>")
-    alive = spark.createDataFrame([("x",), ("z",)], "feature_name string")
+    """An aggregate for each order, of the parts in it; those of some size are still alive."""
+    lines = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("feature_name"), F.struct("l_linenumber", "l_partkey").alias("s"))
+    aggregates = lines.groupBy("feature_name").agg(F.array_sort(F.collect_list("s")).alias("s")).select("feature_name", F.transform("s", lambda x: F.concat(F.lit("f"), x["l_partkey"])).alias("aggregated_from"))
+    alive = read(spark, sf_dir, "part").filter("p_size > 25").select(F.concat(F.lit("f"), "p_partkey").alias("feature_name"))
     return S.prune(aggregates, alive).select("feature_name", F.array_join("aggregated_from", ",").alias("sources"))
 
 
+@query("SELECT 'f' || l_partkey AS feature_name, count(*) AS n, round(sum(l_quantity), 4) AS total FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY 1")
+def removed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of features that aren't marked for removal; their specs go alike."""
+    values = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("f"), "l_partkey").alias("feature_name"), "l_quantity")
+    specs = read(spark, sf_dir, "part").select(F.concat(F.lit("f"), "p_partkey").alias("feature_name"), "p_size")
+    kept, left = S.without_removed(values, specs, specs.filter("p_size <= 25"))
+    return kept.join(left, "feature_name", "left_semi").groupBy("feature_name").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 4).alias("total"))
+
+
+@query(f"WITH {FLAT} SELECT feature_name, sources IS NOT NULL AS is_aggregated, array_to_string(sources, ',') AS sources FROM flat")
+def spec_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specs parted by having sources, and put together again."""
+    plain, aggregates = S.parts(S.flatten(specifications(spark, sf_dir)))
+    return S.joined(plain.drop("aggregated_from"), aggregates).select("feature_name", "is_aggregated", F.array_join("aggregated_from", ",").alias("sources"))
+
+
+@query("""SELECT 'f' || p_partkey AS feature_name, CASE p_partkey % 3 WHEN 0 THEN 'left,right' WHEN 1 THEN '' END AS subgroups,
+ CASE WHEN p_partkey % 8 = 0 THEN 'f' || (p_partkey - 1) || ';{"feature_name": "f' || (p_partkey - 2) || '", "specific_subgroups": ["left"]};f' || (p_partkey - 3) WHEN p_partkey % 4 = 0 THEN 'f' || (p_partkey - 1) END AS sources FROM part""")
+def specs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specifications written with a time stamp as JSON, and read back."""
+    folder = scratch(spark, "specs")
+    T.write_versioned(specifications(spark, sf_dir), folder, "specs", "json")
+    got = T.read_specs(spark, f"{folder}/specs/*")
+    return got.select("feature_name", F.array_join("specific_subgroups", ",").alias("subgroups"), F.array_join("aggregated_from", ";").alias("sources"))
+
+
 @query("SELECT doc_id, chunk, row_idx, floor((row_number() OVER (PARTITION BY chunk ORDER BY doc_id) - 1) / 20)::INT AS batch FROM (SELECT doc_id, (ntile(7) OVER (ORDER BY doc_id) - 1)::INT AS chunk, (row_number() OVER (ORDER BY doc_id) - 1)::INT AS row_idx FROM documents)")
 def chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.chunks(read(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 7, 20)

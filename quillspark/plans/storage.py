@@ -13,7 +13,6 @@ from ..functions import activations as A
 from ..functions import text as T
 from ..operators import cohort as C
 from ..operators import preprocess as P
-from ..operators import specs as S
 from ..operators import vectors as V
 from ..sources import checkpoints as K
 from ..sources import tables as S_IO
@@ -32,16 +31,13 @@ def query(sql: str):
     return add
 
 
-@query("SELECT n_nationkey AS nation, n_name AS name, n_regionkey AS region FROM nation")
+@query("SELECT o_orderkey AS k, o_totalprice AS price, o_orderpriority AS priority FROM orders")
 def table_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of the catalog, created and then replaced."""
-    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    """A table of the catalog, created and then replaced by one with another column; its files lie in the shared folder."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"))
     name = f"quill_{uuid.uuid4().hex}"
-    # A view of a written table stands for the catalog's, which the warehouse folder may not allow.
-    path = scratch(spark, name)
-    nation.limit(1).write.mode("overwrite").parquet(path)
-    nation.write.mode("overwrite").parquet(path)
-    spark.read.schema(nation.schema).parquet(path).createOrReplaceTempView(name)
+    for rows in (orders.filter("k % 2 = 0").drop("priority"), orders):
+        S_IO.write_table(rows, name, scratch(spark, name))
     return spark.table(name)
 
 
@@ -103,15 +99,6 @@ def versioned_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S_IO.read_latest(spark, folder, "nation", "csv")
 
 
-@query("SELECT * FROM (VALUES ('size', 'l,r', NULL::VARCHAR), ('top', NULL, 'size;{\"feature_name\":\"age\"}')) t(feature_name, subgroups, sources)")
-def specs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch(spark, "specs")
-    rows = [("size", ["l", "r"], None, None, None, None, None), ("top", None, None, None, True, ["size", '{"feature_name":"age"}'], None)]
-    S_IO.write_versioned(spark.createDataFrame(rows, S.SPEC), folder, "specs", "json")
-    got = S_IO.read_specs(spark, f"{folder}/specs/*")
-    return got.select("feature_name", F.array_join("specific_subgroups", ",").alias("subgroups"), F.array_join("aggregated_from", ";").alias("sources"))
-
-
 @query("SELECT vec_id - 0 AS line_key, (unnest(range(3)))::INT AS pos, round(unnest(embedding[1:3])::DOUBLE, 6) AS value FROM embeddings")
 def embedding_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors written in order of their keys, without header, and read back with line numbers."""
@@ -151,59 +138,83 @@ def frame_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.load("nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('0,2', '1,3', 50.0::DOUBLE, false, true)) t(done, todo, percent, removed_early, removed)")
+@query("""SELECT string_agg(chunk::VARCHAR, ',' ORDER BY chunk) FILTER (NOT todo) AS done, string_agg(chunk::VARCHAR, ',' ORDER BY chunk) FILTER (todo) AS todo, round(100.0::DOUBLE * count(*) FILTER (NOT todo) / 16, 2) AS percent,
+ count(*) FILTER (todo) = 0 AS removed_early, true AS removed
+ FROM (SELECT i AS chunk, coalesce(n % 2, 1) = 1 AS todo FROM range(16) t(i) LEFT JOIN (SELECT doc_id % 16 AS chunk, count(DISTINCT source) + max(n_chars) AS n FROM documents GROUP BY 1) d ON d.chunk = i)""")
 def chunk_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of documents, 16 of them, finished if what they hold comes to an even number; the others are finished next."""
     store = K.Checkpoints(spark, scratch(spark, "chunks"))
-    for chunk in (2, 0, 2):
-        store.finish("align", chunk)
-    p = store.progress("align", 4)
-    early = store.clean_up("align", 4)
+    counted = read(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 16).alias("chunk")).agg((F.count_distinct("source") + F.max("n_chars")).alias("n"))
+    for r in counted.filter("n % 2 = 0").orderBy(F.desc("chunk")).collect():  # a row a chunk
+        store.finish("align", r["chunk"])
+    p = store.progress("align", 16)
+    early = store.clean_up("align", 16)
     for chunk in p["left"]:
         store.finish("align", chunk)
-    late = store.clean_up("align", 4) and not store.exists("align-chunks")
-    rows = [(",".join(map(str, p["done"])), ",".join(map(str, p["left"])), p["percent"], early, late)]
+    late = early or store.clean_up("align", 16) and not store.exists("align-chunks")
+    rows = [(",".join(map(str, p["done"])) or None, ",".join(map(str, p["left"])) or None, p["percent"], early, late)]
     return spark.createDataFrame(rows, "done string, todo string, percent double, removed_early boolean, removed boolean")
 
 
-@query("SELECT * FROM (VALUES ('stage', '2', true), ('after', NULL::VARCHAR, false)) t(name, value, found)")
+@query("SELECT * FROM (SELECT 'orders' AS name, count(*)::VARCHAR AS value, true AS found FROM orders UNION ALL SELECT 'last', max(o_orderkey)::VARCHAR, true FROM orders UNION ALL SELECT 'after', NULL, false)")
 def state_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small state, replaced, read, and removed."""
-    store = K.Checkpoints(spark, scratch(spark, "state"))
-    for stage in (1, 2):
-        store.put("main", {"stage": stage})
-    value, there = store.get("main")["stage"], store.exists("main")
+    """How far a table was seen, replaced as it goes on, read, and removed."""
+    store, orders = K.Checkpoints(spark, scratch(spark, "state")), read(spark, sf_dir, "orders")
+    for part in (orders.filter("o_orderkey % 2 = 0"), orders):
+        n, last = part.agg(F.count("*"), F.max("o_orderkey")).first()
+        store.put("main", {"orders": n, "last": last})
+    value, there = store.get("main"), store.exists("main")
     store.remove("main")
-    return spark.createDataFrame([("stage", str(value), there), ("after", None, store.exists("main"))], "name string, value string, found boolean")
+    return spark.createDataFrame([*[(k, str(v), there) for k, v in value.items()], ("after", None, store.exists("main"))], "name string, value string, found boolean")
 
 
-@query("SELECT * FROM (VALUES ('reply', 1), ('tool', 2)) t(kind, n)")
+@query("SELECT role AS kind, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM conversations WHERE turn > 0 GROUP BY 1")
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn logged with the turn before it, in two appends."""
     store = K.Checkpoints(spark, scratch(spark, "audit"))
-    store.log([{"kind": "reply", "key": "0", "prompt": "p", "response": "r"}])
-    store.log([{"kind": "tool", "key": str(k), "prompt": "get_note", "response": "n"} for k in range(2)])
-    return spark.read.parquet(f"{store.folder}/audit").groupBy("kind").agg(F.count("*").cast("int").alias("n"))
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
+    rows = turns.join(before, ["conv_id", "turn"]).select(F.col("role").alias("kind"), F.concat_ws("/", "conv_id", "turn").alias("key"), "prompt", F.col("text").alias("response"))
+    for half in (0, 1):
+        store.log_table(rows.filter(F.pmod(F.xxhash64("key"), F.lit(2)) == half))
+    return spark.read.parquet(f"{store.folder}/audit").groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("response")).alias("n_chars"))
 
 
-@query("SELECT * FROM (VALUES ('rows', '25'), ('seed', '7')) t(name, value)")
+@query("SELECT * FROM (SELECT 'rows' AS name, count(*)::VARCHAR AS value FROM orders UNION ALL SELECT 'customers', count(DISTINCT o_custkey)::VARCHAR FROM orders UNION ALL SELECT 'seed', '7')")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "summary")
-    S_IO.write_summary(spark, {"rows": read(spark, sf_dir, "nation").count(), "seed": 7}, path)
+    rows, customers = read(spark, sf_dir, "orders").agg(F.count("*"), F.count_distinct("o_custkey")).first()
+    S_IO.write_summary(spark, {"rows": rows, "customers": customers, "seed": 7}, path)
     got = json.loads(spark.read.text(path).first()[0])
     return spark.createDataFrame([(k, str(v)) for k, v in got.items()], "name string, value string")
 
 
-@query("SELECT * FROM (VALUES ('AUC-ROC', 'auc'), ('F1 Score', 'f1'), ('auprc', 'average_precision'), ('Acc', 'accuracy'), ('a/b: c?', 'a_b_c'), ('', 'unnamed')) t(given, name)")
+_GIVEN = "CASE o_orderkey % 7 WHEN 0 THEN 'AUC-ROC' WHEN 1 THEN 'F1 Score' WHEN 2 THEN ' auprc' WHEN 3 THEN 'Acc' WHEN 4 THEN 'Average  Precision' WHEN 5 THEN o_orderpriority ELSE concat(o_orderpriority, '/', o_orderkey % 3, ': ?') END"
+_KNOWN = "CASE trim(regexp_replace(lower(trim(given)), '[^a-z0-9]+', '_', 'g'), '_') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in config.METRIC_NAMES.items()) + " END"
+
+
+@query(f"SELECT given, {_KNOWN} AS metric, coalesce(nullif(trim(regexp_replace(given, '[^A-Za-z0-9._-]+', '_', 'g'), '._'), ''), 'unnamed') AS file, count(*) AS n FROM (SELECT {_GIVEN} AS given FROM orders) GROUP BY ALL")
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of metrics and of files."""
-    rows = [(n, config.metric_name(n)) for n in ("AUC-ROC", "F1 Score", "auprc", "Acc")] + [(n, config.safe_name(n)) for n in ("a/b: c?", "")]
-    return spark.createDataFrame(rows, "given string, name string")
+    """Names of metrics, null for what is none, and of files."""
+    given = read(spark, sf_dir, "orders").select(F.expr(_GIVEN).alias("given"))
+    return given.groupBy("given", T.metric(F.col("given"), config.METRIC_NAMES).alias("metric"), T.file_name(F.col("given")).alias("file")).agg(F.count("*").alias("n"))
+
+
+_SETS = {"structured": ("ALL", 0), "nlp": ("5", 5), "nlp ": ("ALL", 64), "rfg": ("x_5", 5), "rfg ": ("x_ALL", 64), "rfg  ": ("y_ALL", 3)}
 
 
-@query("SELECT * FROM (VALUES ('nlp', '5', 7), ('nlp', 'ALL', 10), ('rfg', 'x_5', 7), ('rfg', 'x_ALL', 10), ('rfg', 'y_ALL', 6), ('structured', 'ALL', 2)) t(kind, variant, n_columns)")
+@query(" UNION ALL ".join(f"SELECT '{k.strip()}' AS kind, '{v}' AS variant, {2 + d} AS n_columns, round(sum(vec_id + label + coalesce(list_sum(embedding[1:{d}]::DOUBLE[]), 0)), 3) AS total FROM embeddings" for k, (v, d) in _SETS.items()))
 def feature_set_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of feature sets and their variants: baseline columns before the first components of an embedding."""
-    sets = [config.FeatureSet("s", ("a", "b")), config.FeatureSet("n", ("a", "b"), {"x": 8}, (5, -1)), config.FeatureSet("r", ("a", "b"), {"x": 8, "y": 4}, (5, -1))]
-    return spark.createDataFrame([(s.kind, v, len(c)) for s in sets for v, c in s.variants().items()], "kind string, variant string, n_columns int")
+    """Kinds of feature sets and their variants over a table: structured columns before the first components of each embedding."""
+    rows = read(spark, sf_dir, "embeddings")
+    size = rows.agg(F.max(F.size("embedding"))).first()[0]
+    base = ("vec_id", "label")
+    sets = [config.FeatureSet("s", base), config.FeatureSet("n", base, {"x": size}, (5, -1)), config.FeatureSet("r", base, {"x": size, "y": 3}, (5, -1))]
+    columns = {"vec_id": F.col("vec_id").cast("double"), "label": F.col("label").cast("double")} | {f"{e}_{i}": F.col("embedding")[i].cast("double") for e in "xy" for i in range(size)}
+    each = [(s.kind, v, c) for s in sets for v, c in s.variants().items()]
+    # All variants are summed in one reading, then set out as rows.
+    total = rows.agg(*[F.round(F.sum(sum((columns[c] for c in own), F.lit(0.0))), 3).alias(str(i)) for i, (_, _, own) in enumerate(each)])
+    return total.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("variant"), F.lit(len(c)).alias("n_columns"), F.col(str(i)).alias("total")) for i, (k, v, c) in enumerate(each)])))
 
 
 @query("SELECT vec_id, (unnest(range(5)))::INT AS pos, unnest(list_concat([vec_id::DOUBLE, label::DOUBLE], embedding[1:3]::DOUBLE[])) AS value FROM embeddings")
@@ -244,15 +255,6 @@ def nullable_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.star(orders, ["stay"], read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("stay"), "c_name"))
 
 
-@query("SELECT * FROM (VALUES ('a', 1::DOUBLE), ('c', 3::DOUBLE)) t(feature_name, value)")
-def removed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of features that aren't marked for removal; their specs go alike."""
-    long = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "feature_name string, value double")
-    specs = spark.createDataFrame([("a",), ("b",), ("c",)], "feature_name string")
-    kept, left = S.without_removed(long, specs, specs.filter("feature_name = 'b'"))
-    return kept.join(left, "feature_name", "left_semi")
-
-
 @query("SELECT c_custkey, c_acctbal AS balance FROM customer")
 def generated_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features written without their notes, and read back by date."""

@@ -88,6 +88,10 @@ class Checkpoints:
         """Appends rows (kind, key, prompt, response)."""
         self.spark.createDataFrame([tuple(r[c] for c in ("kind", "key", "prompt", "response")) for r in rows], AUDIT).write.mode("append").parquet(f"{self.folder}/{name}")
 
+    def log_table(self, rows: DataFrame, name: str = "audit") -> None:
+        """Appends the rows of a table (kind, key, prompt, response)."""
+        rows.select("kind", "key", "prompt", "response").write.mode("append").parquet(f"{self.folder}/{name}")
+
 
 # -- embeddings -----------------------------------------------------------------
 

@@ -63,7 +63,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_specs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SPEC).option("multiLine", True).json(path)
+    """Specifications from JSON files: lists, or an object a line, as ``write_specs`` writes them."""
+    first = spark.read.text(path).filter(F.trim("value") != "").first()
+    one_a_line = first is not None and first["value"].strip().startswith("{") and first["value"].strip().endswith("}")
+    return spark.read.schema(SPEC).option("multiLine", not one_a_line).json(path)
 
 
 def write_specs(specs: DataFrame, path: str) -> None:
@@ -85,9 +88,9 @@ def read_latest(spark: SparkSession, folder: str, name: str, fmt: str = "parquet
     return spark.read.format(fmt).options(**({"header": True, "inferSchema": True} if fmt == "csv" else {})).load(f"{folder}/{name}/{latest}")
 
 
-def write_table(df: DataFrame, name: str) -> None:
-    """Creates or replaces a table of the session's catalog."""
-    df.write.mode("overwrite").saveAsTable(name)
+def write_table(df: DataFrame, name: str, path: str | None = None) -> None:
+    """Creates or replaces a table of the session's catalog, its files in the warehouse or at ``path``."""
+    (df.write.option("path", path) if path else df.write).mode("overwrite").saveAsTable(name)
 
 
 def write_results(df: DataFrame, path: str) -> None:
