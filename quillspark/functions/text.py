@@ -176,12 +176,14 @@ def top_terms(counts: DataFrame, size: int) -> DataFrame:
     return counts.groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(size)
 
 
-def tfidf(counts: DataFrame, key: str, documents: DataFrame) -> DataFrame:
+def tfidf(counts: DataFrame, key: str, documents: DataFrame, bounded: bool = False) -> DataFrame:
     """(key, term, weight): tf * (ln((1 + N) / (1 + df)) + 1), each row of Euclidean length 1.
 
-    ``documents`` has the rows that N counts; the count is part of the plan.
+    ``documents`` has the rows that N counts; the count is part of the plan. Where the
+    vocabulary is ``bounded``, its frequencies are broadcast, and counts stay in their places.
     """
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
+    frequency = F.broadcast(frequency) if bounded else frequency
     total = documents.agg(F.count("*").alias("total"))
     raw = counts.join(frequency, "term").crossJoin(F.broadcast(total))  # one row
     raw = raw.withColumn("w", F.col("n") * (F.log((F.lit(1.0) + F.col("total")) / (F.col("df") + F.lit(1.0))) + 1.0))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import grades as G
 from ..functions import text as T
+from ..operators import decompose as D
+from ..sources.work import held
 from .tables import read
 
 QUERIES: dict = {}
@@ -118,11 +120,32 @@ def vocab_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.top_terms(_all_counts(spark, sf_dir), VOCABULARY)
 
 
+def _vocabulary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, term, n) of the most frequent n-grams; the corpus is counted once, into a table."""
+    counts = held(_all_counts(spark, sf_dir), "ngram-counts")
+    top = F.broadcast(T.top_terms(counts, VOCABULARY).select("term"))
+    return held(counts.join(top, "term", "left_semi"), "vocabulary-counts")
+
+
 def tfidf_weights_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, term, weight) over the most frequent n-grams; rows of length 1."""
-    counts = _all_counts(spark, sf_dir)
-    kept = counts.join(F.broadcast(T.top_terms(counts, VOCABULARY).select("term")), "term", "left_semi")
-    return T.tfidf(kept, "doc_id", read(spark, sf_dir, "documents"))
+    return T.tfidf(_vocabulary_counts(spark, sf_dir), "doc_id", read(spark, sf_dir, "documents"), bounded=True)
+
+
+#: Components of the embeddings of documents.
+COMPONENTS = 16
+
+
+def bow_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, embedding): from the notes to left singular vectors of their counts of the most frequent n-grams."""
+    return D.term_embeddings(_vocabulary_counts(spark, sf_dir), "doc_id", "n", read(spark, sf_dir, "documents"), COMPONENTS)
+
+
+def tfidf_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of their weights, decomposed only if the vocabulary is larger than the table."""
+    docs = read(spark, sf_dir, "documents")
+    weights = held(T.tfidf(_vocabulary_counts(spark, sf_dir), "doc_id", docs, bounded=True), "weights")
+    return D.term_embeddings(weights, "doc_id", "weight", docs, COMPONENTS, only_if_wide=True)
 
 
 def stemmed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +154,7 @@ def stemmed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.array_join(T.stemmed(F.col("kept")), " ").alias("stems"))
 
 
-QUERIES |= {f.__name__: f for f in (ngram_counts_all, vocab_topk_all, tfidf_weights_all, stemmed_tokens)}
+QUERIES |= {f.__name__: f for f in (ngram_counts_all, vocab_topk_all, tfidf_weights_all, stemmed_tokens, bow_embedding, tfidf_embedding)}
 
 
 _WRAP = """CASE turn % 6 WHEN 0 THEN concat('Sure. <JSON>{"a": ', turn, '}</JSON> bye') WHEN 1 THEN concat('x ```json', chr(10), '{"a": ', turn, '} ``` y')
