@@ -74,14 +74,34 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: st
     return left.join(right, list(keys)).filter(F.col(moment).between(low, high))
 
 
-def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], row_key: Sequence[str], at: str, moment: str, before_days: int, after_days: int, ties: Sequence[Column]) -> DataFrame:
-    """For each left row the right row nearest in days inside the window.
-
-    The nearest reading is taken even if its value is null.
+def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, moment: str, before_days: int, after_days: int, ties: Sequence[str]) -> DataFrame:
+    """Each left row with the right row nearest in days inside the window, by the earliest moment and then ``ties``; rows without one go.
+
+    The nearest reading is taken even if its value is null. Of a key's readings only
+    the first of each day goes on; one pass over them and the left rows in order of
+    days finds the last day before and the next one after, so a row meets two
+    readings, however many lie in its window. Only where the one before lies on the
+    window's first day, which begins within that day, are that day's readings met.
     """
-    pairs = interval_join(left, right, keys, at, moment, before_days, after_days)
-    distance = F.abs(F.datediff(F.col(moment), F.col(at)))
-    return first_by(pairs, row_key, [distance.asc(), *ties])
+    low, high = F.col(at) - F.expr(f"INTERVAL {before_days} DAYS"), F.col(at) + F.expr(f"INTERVAL {after_days} DAYS")
+    order = [moment, *[c for c in ties if c != moment]]
+    order += [c for c in right.columns if c not in order and c not in keys]
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys)  # as in a join, null meets nothing
+    readings = right.filter(F.col(moment).isNotNull()).filter(known).select(*keys, F.to_date(moment).alias("_day"), F.struct(*order).alias("_r"))
+    rows = left.filter(known).select(*keys, F.to_date(at).alias("_day"), F.struct(*[c for c in left.columns if c not in keys], low.alias("_low"), high.alias("_high")).alias("_l"))
+    days = readings.groupBy(*keys, "_day").agg(F.min("_r").alias("_r"))
+    both = rows.withColumn("_kind", F.lit(1)).unionByName(days.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    down = Window.partitionBy(*keys).orderBy("_day", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(*keys).orderBy(F.desc("_day"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.select("*", F.last("_r", True).over(down).alias("_before"), F.last("_r", True).over(up).alias("_after")).filter("_kind = 1").drop("_kind", "_r", "_day")
+    edge = F.coalesce(F.to_date(F.col("_before")[moment]) == F.to_date("_l._low"), F.lit(False))
+    inner = seen.filter(~edge)
+    outer = seen.filter(edge).withColumns({"_day": F.to_date("_l._low"), "_row": F.monotonically_increasing_id()}).join(readings, [*keys, "_day"])
+    first = F.min(F.when(F.col("_r")[moment] >= F.col("_l._low"), F.col("_r"))).alias("_before")
+    outer = outer.groupBy(*keys, "_row").agg(F.first("_l").alias("_l"), first, F.first("_after").alias("_after")).drop("_row")
+    found = [F.when(F.col(c)[moment].between(F.col("_l._low"), F.col("_l._high")), F.struct(F.abs(F.datediff(F.col(c)[moment], F.col("_l")[at])).alias("d"), F.col(c).alias("r"))) for c in ("_before", "_after")]
+    best = inner.unionByName(outer).withColumn("_b", F.array_min(F.array_compact(F.array(*found)))).filter("_b IS NOT NULL")
+    return best.select(*keys, *[F.col("_l")[c].alias(c) for c in left.columns if c not in keys], *[F.col("_b.r")[c].alias(c) for c in right.columns if c not in keys])
 
 
 def conditional_pivot(fact: DataFrame, keys: Sequence[str], code: str, value: str, columns: Mapping[str, tuple[str, Sequence[int]]]) -> DataFrame:

@@ -2,14 +2,15 @@
 
 A definition is (feature_name, description, instructions). Alignment is a sequential
 fold: batch by batch, a chunk's notes are shown together with the definitions that the
-chunk's earlier batches left. Chunks are independent, one group each.
+chunk's earlier batches left. Chunks are independent; a task reads a chunk's notes in
+order and holds one batch of them.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -141,19 +142,39 @@ def align(notes: DataFrame, features: Sequence[Feature], backend: Backend, done:
     start = [{"feature_name": f["feature_name"], **{x: f.get(x) for x in FIELDS}, "status": "kept"} for f in features]
     names = ["feature_name", *FIELDS, "status"]
 
-    def fold(key: tuple, own: pd.DataFrame, earlier: pd.DataFrame) -> pd.DataFrame:
-        state, first = start, 0
-        if len(earlier):
-            first = int(earlier["batch"].max()) + 1
-            state = earlier[earlier["batch"] == first - 1].sort_values("feature_name")[names].replace({float("nan"): None}).to_dict("records")
-        rows = []
-        for batch, part in own[own["batch"] >= first].sort_values(["batch", "row_idx"]).groupby("batch"):
-            state = align_batch(backend, [t or "" for t in part["text"]], state) or state
-            rows += [(key[0], batch, *[f[x] for x in names]) for f in state]
-        return pd.DataFrame(rows, columns=["chunk", "batch", *names])
-
-    earlier = done if done is not None else notes.sparkSession.createDataFrame([], STATE)
-    new = notes.select("row_idx", "text", "chunk", "batch").groupBy("chunk").cogroup(earlier.groupBy("chunk")).applyInPandas(fold, STATE)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A task's rows, by chunk: the earlier definitions, then its notes by batch, of which one is held."""
+        chunk, batch, state, texts, last = None, None, start, [], -1
+
+        def aligned() -> pd.DataFrame:
+            nonlocal state
+            state = align_batch(backend, texts, state) or state
+            return pd.DataFrame([(chunk, batch, *[f[x] for x in names]) for f in state], columns=["chunk", "batch", *names])
+
+        for part in batches:
+            for r in part.replace({float("nan"): None}).itertuples(index=False):
+                if r.chunk != chunk or r.batch != batch:
+                    if texts:
+                        yield aligned()
+                    if r.chunk != chunk:
+                        state, last = start, -1
+                    chunk, batch, texts = r.chunk, r.batch, []
+                if r.note == 0:
+                    state = [*(state if last >= 0 else []), {x: getattr(r, x) for x in names}]
+                    last = r.batch
+                elif r.batch > last:
+                    texts.append(r.text or "")
+        if texts:
+            yield aligned()
+
+    own = notes.select("chunk", "batch", F.lit(1).alias("note"), "row_idx", "text", *[F.lit(None).cast("string").alias(x) for x in names])
+    if done is not None:
+        ends = done.groupBy("chunk").agg(F.max("batch").alias("batch"))
+        earlier = done.join(ends, ["chunk", "batch"], "left_semi").select("chunk", "batch", F.lit(0).alias("note"), F.lit(None).cast("long").alias("row_idx"), F.lit(None).cast("string").alias("text"), *names)
+        own = own.union(earlier)
+    # A chunk's rows come to one task in the order of the fold; Spark sorts them, on disk if need be.
+    order = ["chunk", F.when(F.col("note") == 0, -1).otherwise(F.col("batch")), "note", "row_idx", "feature_name"]
+    new = own.repartition("chunk").sortWithinPartitions(*order).mapInPandas(fold, STATE)
     return new if done is None else done.select(*new.columns).unionByName(new)
 
 
@@ -175,7 +196,7 @@ def merge(states: DataFrame, backend: Backend, tries: int = MERGE_TRIES) -> Data
     sets: dict[int, list[Feature]] = {}
     for r in rows:
         sets.setdefault(r["chunk"], []).append({x: r[x] for x in ("feature_name", *FIELDS)})
-    prompt = "\n".join(["Merge these sets of features.", *[f"Feature set #{i}: {json.dumps(s)}" for i, s in enumerate(sets.values(), 1)], "Answer with a JSON list."])
+    prompt = "\n".join(["Merge these sets of features.", *[f"Chunk {i}: {json.dumps(s)}" for i, s in enumerate(sets.values(), 1)], "Answer with a JSON list."])
     for k in range(tries):
         try:
             found = as_features(parse_reply(backend.complete(prompt)))

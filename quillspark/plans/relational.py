@@ -145,8 +145,8 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
   row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(date_diff('day', o_orderdate::DATE, l_shipdate::DATE)), l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity) AS rn {_WINDOWED}) WHERE rn = 1""")
 def nearest_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, lines = _readings(spark, sf_dir)
-    ties = [F.col(c).asc() for c in ("moment", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")]
-    return C.nearest_within(orders, lines, ["k"], ["k"], "at", "moment", 365, 7, ties).select("k", "moment", "l_quantity")
+    ties = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    return C.nearest_within(orders, lines, ["k"], "at", "moment", 365, 7, ties).select("k", "moment", "l_quantity")
 
 
 _CODES = {"sodium": ("avg", [1, 2]), "potassium": ("avg", [3]), "peak": ("max", [4, 5]), "low": ("min", [6])}
@@ -289,8 +289,8 @@ def structured_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = C.semi_reduce(read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "hadm"), ids, ["hadm"])
     part = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type")
     facts = lines.join(part, lines["l_partkey"] == part["p_partkey"]).groupBy("hadm").agg(*[F.expr(sql).alias(name) for name, sql in _by_event().items()])
-    ties = [F.col(c).asc() for c in ("moment", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")]
-    near = C.nearest_within(coh.select("hadm", "admitted"), lines.withColumnRenamed("l_shipdate", "moment"), ["hadm"], ["hadm"], "admitted", "moment", 365, 7, ties)
+    ties = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    near = C.nearest_within(coh.select("hadm", "admitted"), lines.withColumnRenamed("l_shipdate", "moment"), ["hadm"], "admitted", "moment", 365, 7, ties)
     near = near.select("hadm", C.guarded_ratio(F.col("l_quantity") * F.lit(8.0), F.col("l_quantity") * F.lit(4.5)).alias("nearest_bmi"))
     events = C.semi_reduce(read(spark, sf_dir, "events").withColumn("subject", F.col("user_id").cast("long")), subjects, ["subject"])
     ed = events.groupBy("subject").agg(*[F.expr(sql).alias(name) for name, sql in _ED.items()])

@@ -83,7 +83,7 @@ def test_chunks_merge_with_tries(spark):
     states = spark.createDataFrame([(1, "a", "A1", "i", "aligned"), (0, "a", "A0", "i", "aligned"), (0, "b", "B", None, "dropped"), (1, "c", "C", None, "new")], "chunk int, feature_name string, description string, instructions string, status string")
     assert sorted((r.feature_name, r.description, r.n_chunks) for r in definition.union_of_chunks(states).collect()) == [("a", "A0", 2), ("c", "C", 1)]
     backend = Script("no", '<JSON>[{"feature_name": "ac"}]</JSON>')
-    assert [r.feature_name for r in definition.merge(states, backend).collect()] == ["ac"] and "Feature set #2" in backend.asked[0]
+    assert [r.feature_name for r in definition.merge(states, backend).collect()] == ["ac"] and "Chunk 1: " in backend.asked[0]
     with pytest.raises(ValueError):
         definition.merge(states, Script(*["no"] * 5))
 

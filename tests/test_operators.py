@@ -35,7 +35,7 @@ def test_window_edges_and_null_nearest(spark):
     right = spark.createDataFrame([(1, at + dt.timedelta(days=d), d) for d in days], "k int, m timestamp_ntz, d int")
     assert sorted(r.d for r in cohort.interval_join(left, right, ["k"], "at", "m", 365, 7).collect()) == [-365, 7]
     bad = spark.createDataFrame([(1, at, "12 kg"), (1, at + dt.timedelta(days=3), "80")], "k int, m timestamp_ntz, v string")
-    got = cohort.nearest_within(left, bad, ["k"], ["k"], "at", "m", 365, 7, [F.col("m").asc()]).select(F.col("v").try_cast("double")).first()
+    got = cohort.nearest_within(left, bad, ["k"], "at", "m", 365, 7, ["m"]).select(F.col("v").try_cast("double")).first()
     assert got[0] is None
 
 
@@ -232,3 +232,19 @@ def test_ngrams_to_five_words_with_all_counts_and_weights(spark, tmp_path):
         weights |= {(i, t): x / length for t, x in raw.items()}
     found = {(r.doc_id, r.term): r.weight for r in textual.QUERIES["tfidf_weights_all"](spark, str(tmp_path)).collect()}
     assert found.keys() == weights.keys() and all(abs(found[k] - x) < 1e-9 for k, x in weights.items())
+
+
+def test_nearest_readings_equal_those_of_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    hour = np.timedelta64(3600, "s")
+    t0 = np.datetime64("2020-01-01T00:00:00")
+    left = [(int(k), i, (t0 + int(h) * hour).item()) for i, (k, h) in enumerate(zip(rng.integers(0, 6, 80), rng.integers(0, 24 * 40, 80), strict=True))] + [(1, 900, None), (None, 901, t0.item())]
+    right = [(int(k), (t0 + int(h) * hour).item(), int(t), None if t == 3 else float(t)) for k, h, t in zip(rng.integers(0, 6, 300), rng.integers(0, 24 * 40, 300), rng.integers(0, 4, 300), strict=True)] + [(2, None, 0, 1.0), (None, t0.item(), 0, 1.0)]
+    a = spark.createDataFrame(left, "k int, i int, at timestamp_ntz")
+    b = spark.createDataFrame(right, "k int, m timestamp_ntz, t int, v double")
+    for before, after in ((5, 2), (0, 0), (1, 0), (0, 3), (100, 100)):
+        pairs = cohort.interval_join(a, b, ["k"], "at", "m", before, after)
+        want = cohort.first_by(pairs, ["i"], [F.abs(F.datediff("m", "at")).asc(), F.col("m").asc(), F.col("t").asc(), F.col("v").asc()])
+        got = cohort.nearest_within(a, b, ["k"], "at", "m", before, after, ["t", "v"])
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 10
