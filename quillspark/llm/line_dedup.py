@@ -35,8 +35,8 @@ SHINGLE = 8
 #: With 25 bands of 4 registers a pair of similarity 0.8 shares no key once in 530,000,
 #: of 0.85 once in 90 million.
 BANDS, ROWS = 25, 4
-#: Characters of lines whose shingles are made at once.
-AT_ONCE = 1 << 17
+#: Characters of lines whose shingles are made at once, and lines whose sketches are.
+AT_ONCE, LINES_AT_ONCE = 1 << 17, 4096
 WORDS_LINE = r"[^ \t-\r]"
 
 
@@ -87,8 +87,10 @@ def _deal(parts: int):
         for batch in batches:
             for _, texts in pieces(batch, "text", 1 << 19):
                 found = {line: low for t in texts if t for line in t.split("\n") if len(low := line.lower()) >= SHINGLE and not line.isspace()}
-                if found:
-                    yield from dealer.add(band_keys(sketches(list(found.values())), BANDS), _line_ids(list(found)))
+                lines, low = list(found), list(found.values())
+                for i in range(0, len(lines), LINES_AT_ONCE):
+                    some = slice(i, i + LINES_AT_ONCE)
+                    yield from dealer.add(band_keys(sketches(low[some]), BANDS), _line_ids(lines[some]))
         yield from dealer.flush()
         tidy()
 

@@ -35,6 +35,8 @@ BLOCK_MEMBERS, BLOCK_VALUES = 2_000, 400_000
 #: Members of a key, and their values, that are few enough to be packed in one row;
 #: values that are compared at once.
 SMALL_MEMBERS, SMALL_VALUES, AT_ONCE = 256, 30_000, 1 << 19
+#: Registers that are filled at once: a register takes some 60 bytes meanwhile.
+SLAB = 1 << 18
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -67,7 +69,12 @@ def registers(values: np.ndarray, sizes: np.ndarray, buckets: int) -> np.ndarray
 
 
 def filled(least: np.ndarray, buckets: int) -> np.ndarray:
-    """Registers from the least values of buckets: empty ones borrow, and all are compressed."""
+    """Registers from the least values of buckets: empty ones borrow, and all are compressed, some sets at a time."""
+    step = max(SLAB // buckets, 1) * buckets
+    return np.concatenate([_filled(least[i : i + step], buckets) for i in range(0, len(least), step)]) if len(least) else np.empty((0, buckets), np.uint16)
+
+
+def _filled(least: np.ndarray, buckets: int) -> np.ndarray:
     order, place = _orders(buckets)
     full = least.copy()
     empty = np.flatnonzero(least == _EMPTY)
