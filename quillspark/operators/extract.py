@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import FENCED
+from . import paid
 
 #: Rounds of the loop; validations after which a feature isn't extracted again; tries of a call.
 MAX_ROUNDS, MAX_VALIDATIONS, TRIES = 6, 3, 3
@@ -77,6 +78,35 @@ def call(backend: Backend, prompt: str, wanted: Sequence[str] | None = None, tri
     return None, error
 
 
+def exactly(wanted: Sequence[str]) -> Callable[[str], dict]:
+    """What reads a reply's object, and raises ValueError if it hasn't exactly the wanted keys."""
+
+    def read(reply: str) -> dict:
+        got = parse_reply(reply)
+        if set(got) != set(wanted):
+            raise ValueError(f"keys {sorted(got)} instead of {sorted(wanted)}")
+        return got
+
+    return read
+
+
+def extract_logged(notes: DataFrame, features: Sequence[str], backend: Backend, folder: str, instructions: str = "", **how) -> DataFrame:
+    """The same as ``extract`` by calls that are paid for once (``paid.replies``, which takes ``how``)."""
+    names = list(features)
+    prompt = F.concat(F.lit(f"{instructions}\n{json.dumps(names)}\n<NOTE>"), F.coalesce("text", F.lit("")), F.lit("</NOTE>"))
+    got = paid.replies(notes.select("row_idx", prompt.alias("prompt")), "prompt", backend.complete, folder, exactly(names), **how)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, reply, error in zip(b["row_idx"], b["reply"], b["error"], strict=True):
+                found = parse_reply(reply) if reply is not None else {}
+                rows += [(i, n, float(v) if isinstance(v := found.get(n), (int, float)) else None, error) for n in names]
+            yield pd.DataFrame(rows, columns=["row_idx", "feature_name", "value", "error"])
+
+    return got.select("row_idx", "reply", "error").mapInPandas(run, "row_idx long, feature_name string, value double, error string")
+
+
 def extract(notes: DataFrame, features: Sequence[str], backend: Backend, instructions: str = "") -> DataFrame:
     """(row_idx, feature_name, value, error) for each note (row_idx, text) and feature, by the backend."""
     names = list(features)

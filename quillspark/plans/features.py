@@ -206,6 +206,21 @@ def extract_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(spark, sf_dir)
 
 
+_BACKEND = {"first_number": r"(\d+)", "licensed": "icense", "shout": "[A-Z]{3,}!"}
+
+
+@query(r"""SELECT doc_id AS row_idx, unnest(['first_number', 'licensed', 'shout']) AS feature_name,
+ unnest([nullif(regexp_extract(t, '[0-9]+'), '')::DOUBLE, CASE WHEN contains(t, 'icense') THEN 1.0::DOUBLE END, CASE WHEN regexp_matches(t, '[A-Z]{3,}!') THEN 1.0::DOUBLE END]) AS value
+ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
+def extract_paid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features by calls of a backend, a bounded number in flight, each reply logged; the second run finds them all."""
+    notes = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), "text")
+    folder, names = scratch(spark, "replies"), list(_BACKEND)
+    half = notes.filter("row_idx % 2 = 0")
+    X.extract_logged(half, names, X.RuleBackend(_BACKEND), folder, wait=0.0)
+    return X.extract_logged(notes, names, X.RuleBackend(_BACKEND), folder, wait=0.0).drop("error")
+
+
 @query(f"SELECT row_idx, max(value) FILTER (feature_name = 'first_number') AS first_number, max(value) FILTER (feature_name = 'licensed') AS licensed, max(value) FILTER (feature_name = 'n_marks') AS n_marks FROM {_LONG} GROUP BY 1")
 def extract_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.wide(_long(spark, sf_dir), ["first_number", "licensed", "n_marks"])

@@ -136,10 +136,14 @@ def embed_in_parts(store: Checkpoints, name: str, notes: DataFrame, embedder: Em
     goes on where it ended, and keys that a finished part lacks are made at last.
     """
     path = f"{store.folder}/{name}"
-    mine = F.pmod(F.xxhash64(key), F.lit(parts))
-    for part in store.progress(name, parts)["left"]:
-        embed(notes.filter(mine == part), embedder, key, text, dims, wait=wait).write.mode("overwrite").parquet(f"{path}/part={part}")
-        store.finish(name, part)
+    left = store.progress(name, parts)["left"]
+    if left:  # the notes are read once, and each part then from its own folder
+        dealt, mine = f"{path}-notes-{time.time_ns()}", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+        notes.select(key, text, mine.alias("quill_part")).filter(F.col("quill_part").isin(left)).write.partitionBy("quill_part").parquet(dealt)
+        own = store.spark.read.schema(notes.select(key, text, F.lit(0).alias("quill_part")).schema).parquet(dealt)
+        for part in left:
+            embed(own.filter(F.col("quill_part") == part), embedder, key, text, dims, wait=wait).write.mode("overwrite").parquet(f"{path}/part={part}")
+            store.finish(name, part)
     made = store.spark.read.option("basePath", path).parquet(path).drop("part")
     new = notes.join(made.select(key), key, "left_anti")
     return made.unionByName(embed(new, embedder, key, text, dims, wait=wait))
