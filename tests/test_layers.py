@@ -200,6 +200,29 @@ def test_permutations_equal_plain_numpy(spark):
     assert permutation.test(df, "sample_idx", ["iteration", "fold"], 200).first()["p_value"] < 0.01
 
 
+@pytest.mark.parametrize("step", [3, 64, 1000])
+def test_runs_of_scores_put_together_equal_whole_ranks(monkeypatch, step):
+    monkeypatch.setattr(permutation, "CHUNK", 7)
+    rng = np.random.default_rng(0)
+    y, one, two, ids = rng.integers(0, 2, 400), rng.integers(0, 30, 400) / 30, rng.integers(0, 30, 400) / 30, np.arange(400)
+    order = np.argsort(np.r_[one, two], kind="stable")
+    score, positive, second, sample = np.r_[one, two][order], np.r_[y, y][order] == 1, np.arange(800)[order] >= 400, np.r_[ids, ids][order]
+
+    def run(first, last):
+        sweep = permutation.Sweep(20, (1, 2))
+        for i in range(first, last, step):
+            cut = slice(i, min(i + step, last))
+            sweep.add(score[cut], positive[cut], second[cut], sample[cut])
+        return sweep.total()
+
+    middle = int(np.searchsorted(score, 0.5))
+    u1, u2, p1, n1, (p, n, *_) = permutation.after(run(0, middle), run(middle, 800))
+    for b in range(21):
+        swap = permutation.swapped(ids, b, (1, 2)) if b else np.zeros(400, bool)
+        want = [models.rank_auc(y, np.where(swap, two, one)), models.rank_auc(y, np.where(swap, one, two))]
+        assert np.allclose([u1[b] / (p1[b] * n1[b]), u2[b] / ((p - p1[b]) * (n - n1[b]))], want)
+
+
 def test_pairs_use_stored_predictions_and_skip_others(spark, tmp_path):
     store = checkpoints.Checkpoints(spark, str(tmp_path))
     rows = _cells()
