@@ -21,7 +21,8 @@ if one of its names is such a word, or begins or ends with one; the latter is no
 than a hint, and is passed over if the page has no region without such elements.
 
 Defined results: a null or empty html gives an empty text; broken or unclosed
-markup is read as far as it goes; repeated rows give repeated results; an empty
+markup is read as far as it goes, in time that grows with its length; elements over
+DEEPEST deep count for the last one that isn't; repeated rows give repeated results; an empty
 table gives an empty result.
 """
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -58,7 +60,11 @@ HINTS = frozenset(
 NO_HINTS = frozenset("has no with without post entry article content story main text body".split())
 ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"})
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+#: What a tag begins with; what ends it, or hides its end.
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r"""[>"']""")
+#: Elements within one another that are told apart; what lies deeper counts for the last of them.
+DEEPEST = 512
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -97,14 +103,65 @@ def _matter(name: str, attributes: str, inside: list[str]) -> int:
     return found
 
 
+class Tags:
+    """The tags of a page, by one scan that never goes back: a page that is broken takes no longer than another.
+
+    A tag ends at the first > outside quotes, else at the first >. Where a chain of
+    quotes leads is noted for each quote in it, so none is followed twice.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in ">\"'"}
+        self.known: dict[int, int] = {}
+
+    def _end(self, at: int) -> int:
+        passed, end = [], -1
+        while (m := _STOP.search(self.page, at)) is not None:
+            q = m.start()
+            if m[0] == ">" or q in self.known:
+                end = self.known.get(q, q)
+                break
+            passed.append(q)
+            if q >= self.last[m[0]]:
+                break
+            at = self.page.index(m[0], q + 1) + 1
+        self.known.update(dict.fromkeys(passed, end))
+        return end
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Where the next tag begins and ends, whether it closes, its name and attributes (no name: a comment or the like)."""
+        while (start := self.page.find("<", at)) >= 0:
+            if self.page.startswith("<!--", start):
+                end = self.page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(self.page), "", "", ""
+            if start > self.last[">"]:
+                return None
+            if self.page[start + 1 : start + 2] in ("!", "?"):
+                return start, self.page.index(">", start) + 1, "", "", ""
+            if m := _NAME.match(self.page, start + 1):
+                end = self._end(m.end())
+                end = end if end >= 0 else self.page.index(">", start)
+                return start, end + 1, m[1], m[2].lower(), self.page[m.end() : end]
+            at = start + 1
+        return None
+
+    def after(self, name: str, at: int) -> int:
+        """Behind the end tag of an element whose content is no markup, or the page's end."""
+        m = re.compile(rf"</{name}\b", re.I).search(self.page, at)
+        end = self.page.find(">", m.end()) if m and m.end() <= self.last[">"] else -1
+        return end + 1 if end >= 0 else len(self.page)
+
+
 def lines(page: str) -> tuple[list[Line], list[Element]]:
     """The lines of a page that may be text, and its elements; the page itself is element 0."""
     out: list[Line] = []
     elements = [Element("", 0, 0)]
     stack: list[tuple[str, int, int]] = []
+    opened: Counter[str] = Counter()
+    deeper: Counter[str] = Counter()
     buffer: list[str] = []
     linked: list[str] = []
-    at, n = 0, len(page)
+    tags, at, n = Tags(page), 0, len(page)
     skipping = inside = links = 0
     heading = False
 
@@ -116,21 +173,19 @@ def lines(page: str) -> tuple[list[Line], list[Element]]:
         linked.clear()
 
     while at < n:
-        m = _TAG.search(page, at)
+        tag = tags.next(at)
         if not skipping:
-            buffer.append(page[at : m.start() if m else n])
+            buffer.append(page[at : tag[0] if tag else n])
             if links:
                 linked.append(buffer[-1])
-        if not m:
+        if not tag:
             break
-        at = m.end()
-        closing, name, attributes = m[1] or m[4], (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
+        _, at, closing, name, attributes = tag
         if not name:
             continue
         if name in RAW:
             if not closing and not attributes.rstrip().endswith("/"):
-                stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else n
+                at = tags.after(name, at)
             continue
         if name == "a":
             links = 0 if closing else 1
@@ -139,16 +194,22 @@ def lines(page: str) -> tuple[list[Line], list[Element]]:
             heading = name in HEADINGS and not closing
         if name not in NESTING:
             continue
-        if not closing:
-            matter = _matter(name, attributes, [x[0] for x in stack])
+        if not closing and len(stack) >= DEEPEST:
+            deeper[name] += 1
+        elif not closing:
+            matter = _matter(name, attributes, [x for x in CONTENT if opened[x]])
             stack.append((name, matter == 2, inside))
+            opened[name] += 1
             skipping += matter == 2
             hinted = elements[inside].hinted or (len(elements) if matter == 1 else 0)
             elements.append(Element(name, inside, hinted))
             inside = len(elements) - 1
-        elif any(x[0] == name for x in stack):
+        elif deeper[name]:
+            deeper[name] -= 1
+        elif opened[name]:
             while True:
                 last, never, before = stack.pop()
+                opened[last] -= 1
                 skipping -= never
                 inside = before
                 if last == name:
@@ -242,7 +303,13 @@ def choose(found: list[Line], elements: list[Element]) -> list[int]:
 def main_text(page: str | None) -> str:
     """The main text, its blocks in page order joined by line feeds."""
     found, elements = lines(page or "")
-    plain = [x for x in found if not elements[x.element].hinted]
+    # A hint doesn't count for what has a region of its own within an article.
+    held: dict[int, list[int]] = {}
+    for x in found:
+        if h := elements[x.element].hinted:
+            held.setdefault(h, []).append(len(x.text) - x.linked)
+    text = {h for h, sizes in held.items() if regions(sizes) and any(elements[e].name in CONTENT for e in _around(h, elements))}
+    plain = [x for x in found if not (h := elements[x.element].hinted) or h in text]
     if not regions([len(x.text) - x.linked for x in plain]) and regions([len(x.text) - x.linked for x in found]):
         plain = found
     return "\n".join(plain[i].text for i in choose(plain, elements))
