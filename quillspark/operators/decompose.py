@@ -162,6 +162,14 @@ def embeddings(rows: DataFrame, key: str, terms: int, dims: int, seed: int = 0,
     return rows.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, embedding array<double>")
 
 
+def vector_embeddings(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
+    """(key, embedding): the same of vectors of one length, as rows over their components; a null vector counts as zeros."""
+    cells = F.coalesce(F.col(vector).cast("array<double>"), F.array().cast("array<double>"))
+    size = df.agg(F.max(F.size(vector))).first()[0] or 0
+    places = F.when(F.size(cells) > 0, F.sequence(F.lit(0), F.size(cells) - 1)).otherwise(F.array().cast("array<int>"))
+    return embeddings(held(df.select(key, places.alias("at"), cells.alias("w")), "vector-rows"), key, max(size, 0), dims)
+
+
 def term_embeddings(weights: DataFrame, key: str, value: str, keys: DataFrame, dims: int, seed: int = 0, only_if_wide: bool = False) -> DataFrame:
     """(key, embedding) of rows (key, term, value) for each of the ``keys``.
 

@@ -1,11 +1,8 @@
-"""Imputers and models of one matrix, in numpy, and the decomposition of many vectors."""
+"""Imputers and models of one matrix, in numpy."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -340,35 +337,3 @@ def rank_auc(y: np.ndarray, s: np.ndarray) -> float:
     rank = (np.searchsorted(order, s, "left") + np.searchsorted(order, s, "right") + 1) / 2
     pos, neg = (y == 1).sum(), (y == 0).sum()
     return float((rank[y == 1].sum() - pos * (pos + 1) / 2) / (pos * neg)) if pos and neg else float("nan")
-
-
-def svd_embeddings(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
-    """(key, embedding): left singular vectors of the row matrix, the largest component of each direction positive.
-
-    The Gram matrix of the columns is summed in partitions and decomposed on the
-    driver; its side is the vectors' length. Rows never leave their partitions.
-    """
-    rows = df.select(F.col(key), F.col(vector).cast("array<double>").alias("v"))
-
-    def gram(batches):
-        total = None
-        for b in batches:
-            if len(b):
-                x = np.stack([np.asarray(v) for v in b["v"]])
-                total = x.T @ x if total is None else total + x.T @ x
-        if total is not None:
-            yield pd.DataFrame({"i": np.arange(len(total)), "g": list(total)})
-
-    summed = rows.select("v").mapInPandas(gram, "i long, g array<double>").groupBy("i").agg(F.collect_list("g").alias("gs"))
-    g = np.array([np.sum(np.array([list(x) for x in r["gs"]]), axis=0) for r in summed.orderBy("i").collect()])
-    value, w = np.linalg.eigh(g)
-    order = np.argsort(-value)[: min(dims, len(value))]
-    value, w = value[order], w[:, order]
-    w = w * np.where(w[np.abs(w).argmax(axis=0), np.arange(w.shape[1])] < 0, -1, 1)
-    back = w / np.sqrt(np.maximum(value, 1e-12))
-
-    def project(batches):
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "embedding": [list(np.asarray(v) @ back) for v in b["v"]]})
-
-    return rows.mapInPandas(project, f"{key} long, embedding array<double>")

@@ -37,9 +37,16 @@ def numeric(c: Column) -> Column:
     return finite(c.try_cast("double"))
 
 
-def categories(df: DataFrame, column: str) -> list:
-    """Sorted distinct values; one value a category reaches the driver."""
-    return [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+#: Categories that a column may have: each becomes a column.
+MOST_CATEGORIES = 10_000
+
+
+def categories(df: DataFrame, column: str, most: int = MOST_CATEGORIES) -> list:
+    """Sorted distinct values, which reach the driver; raises ValueError if there are more than ``most``."""
+    found = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"column {column} has over {most} categories")
+    return found
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence, keep: Sequence[str]) -> DataFrame:

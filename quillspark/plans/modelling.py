@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import decompose as D
 from ..operators import metrics as M
-from ..operators import models as N
 from ..operators import nested as V
 from ..operators import reports as R
 from ..sources import checkpoints as K
@@ -55,12 +55,12 @@ def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def svd_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.svd_embeddings(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
+    return D.vector_embeddings(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
 
 
 def svd_embed_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors are decomposed only if they are longer than the table."""
-    return K.reduced_if_wide(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", N.svd_embeddings)
+    return K.reduced_if_wide(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", D.vector_embeddings)
 
 
 QUERIES = {f.__name__: f for f in (nested_cv, lr_predict, random_features, svd_impute, svd_embed, svd_embed_wide, model_weights, model_selection)}

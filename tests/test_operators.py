@@ -5,10 +5,11 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import grades, text
-from quillspark.operators import cohort, extract, folds, metrics, models, numbers, permutation, preprocess, specs, vectors
+from quillspark.operators import cohort, decompose, extract, folds, metrics, models, numbers, permutation, preprocess, specs, vectors
 from quillspark.plans import modelling, textual
 from quillspark.sources import tables
 from quillspark.streaming import incremental
@@ -71,6 +72,11 @@ def test_strict_cardinality_and_missing(spark):
     assert preprocess.high_cardinality(df) == ["b"] and preprocess.mostly_missing(df) == ["c"]
 
 
+def test_categories_are_bounded(spark):
+    with pytest.raises(ValueError, match="over 3 categories"):
+        preprocess.categories(spark.range(5), "id", most=3)
+
+
 def test_one_hot_drops_the_first_and_zeroes_nulls(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None)], "k int, c string")
     got = preprocess.one_hot(df, "c", preprocess.categories(df, "c"), ["k"])
@@ -116,6 +122,12 @@ def test_row_numbers_over_ranges(spark):
     got = numbers.row_numbers(df, ["v", "g"]).collect()
     key = lambda r: (r[0] is not None, r[0] or 0, r[1])
     assert [key(r) for r in sorted(got, key=lambda r: r.row_number)] == sorted(map(key, rows)) and sorted(r.row_number for r in got) == list(range(1, 1003))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # several tasks
+    texts = df.selectExpr("CAST(v AS STRING) AS t", "v", "g")
+    got = numbers.row_numbers(texts, ["t", "v", "g"]).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.t for r in sorted(got, key=lambda r: r.row_number)] == sorted((r.t for r in texts.collect()), key=lambda t: (t is not None, t)) and sorted(r.row_number for r in got) == list(range(1, len(rows) + 1))
+    assert numbers.row_numbers(texts.limit(0), ["t"]).count() == 0
     assert numbers.row_numbers(df.limit(0), ["v"]).count() == 0
 
 
@@ -174,7 +186,7 @@ def test_imputers_leave_known_cells():
 def test_svd_embeddings_span_the_left_singular_vectors(spark):
     x = np.random.default_rng(1).random((40, 6))
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
-    got = np.array([r.embedding for r in models.svd_embeddings(df, "id", "v", 3).orderBy("id").collect()])
+    got = np.array([r.embedding for r in decompose.vector_embeddings(df, "id", "v", 3).orderBy("id").collect()])
     u = np.linalg.svd(x, full_matrices=False)[0][:, :3]
     assert np.allclose(got @ got.T, u @ u.T, atol=1e-8)
 
