@@ -27,16 +27,18 @@ ROUNDS, TOLERANCE = 60, 1e-9
 
 @dataclass(frozen=True)
 class Scale:
-    """What fills missing cells and scales columns, and the training rows and positive ones it was made from."""
+    """What fills missing cells and scales columns, and the training rows and positive ones it was made from, and how many of the rows know each column."""
 
     fill: np.ndarray
     mean: np.ndarray
     deviation: np.ndarray
     rows: int
     positive: int = 0
+    known: np.ndarray | None = None
 
     def of(self, columns: np.ndarray) -> Scale:
-        return replace(self, fill=self.fill[columns], mean=self.mean[columns], deviation=self.deviation[columns])
+        known = None if self.known is None else self.known[columns]
+        return replace(self, fill=self.fill[columns], mean=self.mean[columns], deviation=self.deviation[columns], known=known)
 
     def filled(self, x: np.ndarray) -> np.ndarray:
         return np.where(np.isnan(x), self.fill, x)
@@ -90,7 +92,7 @@ def completed(rows: DataFrame, scales: dict[Split, Scale], folds: int, columns:
     What a row's missing cells should be follows from its known ones and the
     directions alone, so a round is one scan, for all splits; nothing is kept by row.
     """
-    found = {s: Completed(*(getattr(c := scale.of(columns), f) for f in ("fill", "mean", "deviation", "rows", "positive"))) for s, scale in scales.items()}
+    found = {s: Completed(**vars(scale.of(columns))) for s, scale in scales.items()}
     moving = list(found)
     for _ in range(rounds + 1):
         sums = scans.totals(rows, [Products(s, folds, columns, found[s]) for s in moving])
@@ -111,6 +113,96 @@ def completed(rows: DataFrame, scales: dict[Split, Scale], folds: int, columns:
     return found
 
 
+@dataclass(frozen=True)
+class Chained(Scale):
+    """Missing cells by regressions on the other columns, one after another."""
+
+    steps: tuple[tuple[int, np.ndarray, np.ndarray], ...] = ()
+
+    def of(self, columns: np.ndarray) -> Chained:
+        return self  # made of a variant's own columns
+
+    def filled(self, x: np.ndarray) -> np.ndarray:
+        gone, full = np.isnan(x), super().filled(x)
+        for j, others, w in self.steps:
+            rows = np.flatnonzero(gone[:, j])
+            full[rows, j] = full[rows][:, others] @ w[:-1] + w[-1]
+        return full
+
+
+@dataclass(frozen=True)
+class KnownProducts:
+    """Products of the filled columns and one more of ones, over a split's training rows that know column ``j``."""
+
+    split: Split
+    folds: int
+    columns: np.ndarray
+    scale: Scale
+    j: int
+
+    @property
+    def size(self) -> int:
+        return (len(self.columns) + 1) ** 2
+
+    def add(self, total: np.ndarray, batch: Batch) -> None:
+        x = batch.x[batch.training(self.split, self.folds)][:, self.columns]
+        x = x[~np.isnan(x[:, self.j])]
+        a = np.c_[self.scale.filled(x), np.ones(len(x))]
+        total += (a.T @ a).ravel()
+
+
+def regressed(products: np.ndarray, j: int, others: np.ndarray, ridge: float, bayesian: bool) -> np.ndarray:
+    """Weights of column j on the others and a bias, by a ridge of given strength or of one that follows from the data."""
+    at = np.r_[others, len(products) - 1]
+    gram, moment, square, n = products[np.ix_(at, at)], products[at, j], products[j, j], products[-1, -1]
+    if not bayesian:
+        return np.linalg.solve(gram + ridge * np.eye(len(at)), moment)
+    value, vector = np.linalg.eigh(gram)
+    value, noise, prior = np.maximum(value, 0), 1.0 / max(square / n - (products[-1, j] / n) ** 2, 1e-12), 1.0
+    for _ in range(30):
+        w = vector @ ((noise / (prior + noise * value)) * (vector.T @ moment))
+        known = (noise * value / (prior + noise * value)).sum()
+        before = prior, noise
+        prior = known / max(w @ w, 1e-12)
+        noise = max(n - known, 1e-9) / max(square - 2 * w @ moment + w @ gram @ w, 1e-12)
+        if np.allclose(before, (prior, noise), rtol=1e-4):
+            break
+    return w
+
+
+def chained(rows: DataFrame, scales: dict[Split, Scale], folds: int, columns: np.ndarray, rounds: int = 5, ridge: float = 1e-3, bayesian: bool = False, nearest: int | None = None) -> dict[Split, Chained]:
+    """Scales that fill cells by chained regressions: a few rounds over the columns that lack cells, a scan for each, for all splits at once.
+
+    With ``nearest``, a column is regressed on those alone that correlate most with it
+    once missing cells are at their means.
+    """
+    found = {s: Chained(**vars(scale.of(columns))) for s, scale in scales.items()}
+    p = len(columns)
+    others = {(s, j): np.delete(np.arange(p), j) for s in found for j in range(p)}
+    if nearest is not None and nearest < p - 1:
+        for s, total in zip(found, scans.totals(rows, [Products(s, folds, columns, found[s]) for s in found]), strict=True):
+            n = max(found[s].rows, 1)
+            around = total[p:].reshape(p, p) - np.outer(total[:p], total[:p]) / n
+            size = np.sqrt(np.maximum(np.diag(around), 0.0))
+            for j in range(p):
+                own = others[s, j]
+                near = np.abs(around[own, j]) / np.where(size[own] > 0, size[own], np.inf)
+                others[s, j] = np.sort(own[np.argsort(-near, kind="stable")[:nearest]])
+    for _ in range(rounds):
+        for j in range(p):
+            open_ = [s for s in found if 0 < found[s].known[j] < found[s].rows]
+            for s, total in zip(open_, scans.totals(rows, [KnownProducts(s, folds, columns, found[s], j) for s in open_]), strict=True):
+                w = regressed(total.reshape(p + 1, p + 1), j, others[s, j], ridge, bayesian)
+                found[s] = replace(found[s], steps=(*found[s].steps, (j, others[s, j], w)))
+    for s, total in zip(list(found), scans.totals(rows, [Products(s, folds, columns, found[s]) for s in found]), strict=True):
+        n = max(found[s].rows, 1)
+        mean = total[:p] / n
+        deviation = np.sqrt(np.maximum(np.diag(total[p:].reshape(p, p)) / n - mean**2, 0.0))
+        deviation[deviation <= 1e-9 * np.maximum(np.abs(mean), 1.0)] = 1.0
+        found[s] = replace(found[s], mean=mean, deviation=deviation)
+    return found
+
+
 @dataclass(frozen=True)
 class Projection:
     """Columns made of the scaled ones: rectified ("relu") or waves ("cos") along fixed directions."""

@@ -71,7 +71,7 @@ def prepared(rows: DataFrame, splits: Sequence[Split], folds: int, columns: int,
     spread = (square + gone * (fill - centre) ** 2) / np.maximum(n[:, None], 1) - mean_off**2
     scale = np.sqrt(np.maximum(spread, 0.0))
     scale[scale <= 1e-12 * np.maximum(np.abs(centre), 1.0)] = 1.0
-    return {s: fits.Scale(fill[i], centre + mean_off[i], scale[i], int(n[i]), int(positive[i])) for i, s in enumerate(splits)}
+    return {s: fits.Scale(fill[i], centre + mean_off[i], scale[i], int(n[i]), int(positive[i]), count[i]) for i, s in enumerate(splits)}
 
 
 def fitted(rows: DataFrame, made: Sequence[fits.Fit]) -> None:
@@ -156,7 +156,7 @@ def nested_fits(df: DataFrame, key: str, label: str, variants: Mapping[str, Sequ
     """Rows of predictions (sample_idx, y_true, y_pred) and of weights (feature_name, coef) by nested cross-validation.
 
     ``variants`` names sets of numeric columns, ``grids`` the models and their
-    parameters. In each iteration and outer fold the candidate of the best mean inner
+    parameters; ``imputer`` is mean, median, svd, mice or mice_bayesian. In each iteration and outer fold the candidate of the best mean inner
     area wins, the first on ties; one that can't be fitted counts as the worst. It is
     fitted again on all rows outside the fold, whose rows it then predicts.
     """
@@ -170,6 +170,8 @@ def nested_fits(df: DataFrame, key: str, label: str, variants: Mapping[str, Sequ
     plain = prepared(rows, splits, outer, len(columns), "median" if imputer == "median" else "mean")
     if imputer == "svd":
         scales = {v: fits.completed(rows, plain, outer, place[v]) for v in variants}
+    elif imputer in ("mice", "mice_bayesian"):
+        scales = {v: fits.chained(rows, plain, outer, place[v], bayesian=imputer == "mice_bayesian") for v in variants}
     elif imputer in ("mean", "median"):
         scales = dict.fromkeys(variants, plain)
     else:

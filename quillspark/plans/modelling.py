@@ -41,6 +41,11 @@ def svd_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.nested_cv(_matrix(spark, sf_dir), "vec_id", "y", {"ALL": _VARIANTS["ALL"]}, {"lr": {"C": [1.0]}}, 1, 3, 2, imputer="svd").select("sample_idx", "fold", "y_true", "y_pred")
 
 
+def mice_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells filled by chained regressions, a scan for each column and round."""
+    return V.nested_cv(_matrix(spark, sf_dir), "vec_id", "y", {"5": _VARIANTS["5"]}, {"lr": {"C": [1.0]}}, 1, 3, 2, imputer="mice").select("sample_idx", "fold", "y_true", "y_pred")
+
+
 def model_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the chosen models rely on, the most important first: coefficients, or shares of the trees' gain."""
     grids = {"lr": {"C": [0.1, 1.0], "penalty": ["l1"]}, "forest": {"trees": [10]}, "boosting": {"trees": [10]}, "svm": {"C": [0.1]}}
@@ -50,7 +55,7 @@ def model_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many folds each model and variant of two embeddings was chosen; one candidate can't be fitted."""
-    grids = {"lr": {"C": [1.0], "penalty": ["l2"]}, "knn": {"k": [5, 0], "weights": ["distance"]}, "svm": {"C": [0.1]}}
+    grids = {"lr": {"C": [1.0], "penalty": ["l2"]}, "knn": {"k": [5, 0], "weights": ["distance"]}, "svm": {"C": [0.1]}, "rbf_svm": {"C": [1.0], "features": [64]}}
     return R.chosen(V.nested_cv(_matrix(spark, sf_dir), "vec_id", "y", _VARIANTS, grids, 2, 3, 2), ["model", "variant"])
 
 
@@ -63,4 +68,4 @@ def svd_embed_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.reduced_if_wide(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", D.vector_embeddings)
 
 
-QUERIES = {f.__name__: f for f in (nested_cv, lr_predict, random_features, svd_impute, svd_embed, svd_embed_wide, model_weights, model_selection)}
+QUERIES = {f.__name__: f for f in (nested_cv, lr_predict, random_features, svd_impute, mice_impute, svd_embed, svd_embed_wide, model_weights, model_selection)}

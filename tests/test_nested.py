@@ -206,6 +206,17 @@ def test_directions_fill_cells_as_a_whole_decomposition_does(spark):
     assert np.allclose(got.mean, got.filled(x[own]).mean(axis=0)) and np.allclose(got.deviation, got.filled(x[own]).std(axis=0), atol=1e-4)
 
 
+@pytest.mark.parametrize("how", [{}, {"bayesian": True}, {"nearest": 2}])
+def test_chained_regressions_equal_those_of_a_matrix(data, rows, member, how):
+    x = data[0]
+    got = fits.chained(rows, nested.prepared(rows, SPLITS[5:7], 3, 5, "mean"), 3, np.arange(5), rounds=2, **how)
+    for s in SPLITS[5:7]:
+        plain = models.IterativeImputer(rounds=2, **how).fit(x[member[s]])
+        want = plain.transform(x)
+        assert np.allclose(got[s].filled(x), want, rtol=1e-5, atol=1e-6)
+        assert np.allclose(got[s].mean, want[member[s]].mean(axis=0)) and np.allclose(got[s].deviation, want[member[s]].std(axis=0), rtol=1e-4)
+
+
 def test_areas_over_tasks(spark):
     rng = np.random.default_rng(3)
     rows = [(int(f), int(y), float(s)) for f in range(3) for y, s in zip(rng.integers(0, 2, 500), rng.integers(0, 40, 500), strict=True)] + [(3, 1, 0.5), (3, 1, 0.7)]
@@ -266,4 +277,4 @@ def test_what_cannot_be_fitted(frame):
         with pytest.raises(ValueError, match="no candidate"):
             nested.nested_cv(frame, "id", "y", {"A": COLUMNS}, grids, 1, 2, 2)
     with pytest.raises(ValueError, match="imputer"):
-        nested.nested_cv(frame, "id", "y", {"A": COLUMNS}, {"lr": {"C": [1.0]}}, 1, 2, 2, imputer="mice")
+        nested.nested_cv(frame, "id", "y", {"A": COLUMNS}, {"lr": {"C": [1.0]}}, 1, 2, 2, imputer="nothing")
