@@ -16,11 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import similar
 from .extract import Backend, parse_reply
 from .specs import FIELDS
 
 #: Notes shown at once; tries of a batch and of a merge; rounds of a conversation with tools.
 BATCH, TRIES, MERGE_TRIES, ROUNDS = 10, 3, 5, 100
+#: Definitions that a merge is shown at most.
+MOST_SHOWN = 5_000
 DEFINITION = "feature_name string, description string, instructions string"
 STATE = f"chunk int, batch int, {DEFINITION}, status string"
 _CALL = re.compile(r"<TOOL>(.*?)</TOOL>", re.S)
@@ -190,9 +193,24 @@ def union_of_chunks(states: DataFrame) -> DataFrame:
     return kept.groupBy("feature_name").agg(F.min_by(F.struct(*FIELDS), "chunk").alias("f"), F.count("*").alias("n_chunks")).select("feature_name", "f.*", "n_chunks")
 
 
+def union_of_similar(states: DataFrame, percent: int = similar.PERCENT) -> DataFrame:
+    """One definition for each cluster of similar names that chunks kept: that of the lowest chunk, and by how many chunks and names."""
+    kept = states.filter("status <> 'dropped'")
+    own = kept.join(similar.clusters(kept, "feature_name", percent), "feature_name")
+    first = F.min_by(F.struct("feature_name", *FIELDS), F.struct("chunk", "feature_name")).alias("f")
+    found = own.groupBy("cluster").agg(first, F.count_distinct("chunk").alias("n_chunks"), F.count_distinct("feature_name").alias("n_names"))
+    return found.select("f.*", "n_chunks", "n_names")
+
+
 def merge(states: DataFrame, backend: Backend, tries: int = MERGE_TRIES) -> DataFrame:
-    """The definitions that the backend makes of all chunks' (few, and shown to it as a whole)."""
-    rows = states.filter("status <> 'dropped'").orderBy("chunk", "feature_name").select("chunk", "feature_name", *FIELDS).collect()
+    """The definitions that the backend makes of all chunks', which it is shown as a whole.
+
+    What chunks define alike is one definition before it is shown; over MOST_SHOWN are
+    more than a prompt can hold, and raise ValueError.
+    """
+    rows = union_of_similar(states).join(states.select("chunk", "feature_name"), "feature_name").groupBy("feature_name", *FIELDS).agg(F.min("chunk").alias("chunk")).orderBy("chunk", "feature_name").limit(MOST_SHOWN + 1).collect()
+    if len(rows) > MOST_SHOWN:
+        raise ValueError(f"over {MOST_SHOWN} definitions to merge")
     sets: dict[int, list[Feature]] = {}
     for r in rows:
         sets.setdefault(r["chunk"], []).append({x: r[x] for x in ("feature_name", *FIELDS)})

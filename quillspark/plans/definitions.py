@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import grades as G
 from ..operators import definition as D
 from ..operators import expert as E
+from ..operators import similar as N
 from ..operators import specs as S
 from .tables import read
 
@@ -69,6 +70,20 @@ def merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.withColumn("instructions", F.coalesce("instructions", F.lit("-")))
 
 
+_NAME = "concat_ws(' ', p_brand, p_type, CASE WHEN p_size > 40 THEN 'large' WHEN p_size < 10 THEN 'small' END)"
+_PERCENT = 75
+
+
+@query(f"""WITH RECURSIVE names AS (SELECT DISTINCT {_NAME} AS name FROM part),
+sets AS (SELECT name, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w <> ''))) AS words FROM names),
+links AS (SELECT a.name AS a, b.name AS b FROM sets a, sets b WHERE a.name <> b.name AND 100 * len(list_intersect(a.words, b.words)) >= {_PERCENT} * (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words)))),
+reach AS (SELECT name AS a, name AS b FROM names UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT a AS feature_name, min(b) AS cluster FROM reach GROUP BY 1""")
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts, with the first of those that similar names link them with."""
+    return N.clusters(read(spark, sf_dir, "part").selectExpr(f"{_NAME} AS feature_name"), percent=_PERCENT)
+
+
 @query(f"{_LAST} SELECT chunk, feature_name, description, instructions FROM last WHERE status <> 'dropped'")
 def final_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions without those dropped, and without status."""
