@@ -714,7 +714,8 @@ def test_quality_query_equals_its_sql(spark):
     import duckdb
 
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     for name, sql in ORACLE_SQL.items():
         want = c.sql(sql).to_arrow_table().to_pylist()
         got = [r.asDict() for r in QUERIES[name](spark, SF).collect()]
