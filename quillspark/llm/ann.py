@@ -238,7 +238,9 @@ def _search(rows: DataFrame, dim: int, k: int) -> DataFrame:
         yield from held.rows()
 
     plan = asked.mapInArrow(visit, "leaf long, place int, queries binary, places binary")
-    joined = plan.join(_placed(index, places), ["leaf", "place"]).select("leaf", "queries", "places", "ids", "vectors")
+    # A query's row becomes one for each leaf that it visits, which Spark's estimate of
+    # the plan's size leaves out: without the hint it is broadcast through the driver.
+    joined = plan.hint("merge").join(_placed(index, places).hint("merge"), ["leaf", "place"]).select("leaf", "queries", "places", "ids", "vectors")
     answers = joined.mapInArrow(answer, "query_id long, vec_id long, score double, leaf long")
     return _top(answers, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
