@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
+from quillspark.operators import vectors
 
 
 def grams(words, most):
@@ -48,3 +49,15 @@ def test_most_frequent_terms_with_ties(spark):
     for size in (1, 7, 150, 100_000):
         assert text.top_terms(df.select("words"), 4, size) == ranked[:size]
     assert text.top_terms(df.select("words").limit(0), 4, 5) == []
+
+
+def test_neighbours_are_chosen_by_products_and_measured_exactly():
+    rng = np.random.default_rng(9)
+    y = np.r_[rng.standard_normal((400, 8)) + 1e3, np.tile(rng.standard_normal(8) + 1e3, (30, 1))]
+    ids = rng.permutation(len(y)).astype(np.int64)
+    for metric in ("euclidean", "manhattan"):
+        for i, near, d in vectors._chosen(y[:50], y, ids[:50], ids, 5, metric):
+            off = np.abs(y - y[i])
+            all_d = off.sum(axis=1) if metric == "manhattan" else np.sqrt((off**2).sum(axis=1))
+            want = [j for j in np.lexsort((ids, all_d)) if ids[j] != ids[i]][:5]
+            assert near.tolist() == want and d.tolist() == all_d[want].tolist()
