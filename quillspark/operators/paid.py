@@ -26,6 +26,8 @@ from ..sources.work import held
 
 #: File systems whose open files keep what was flushed to them; elsewhere a reply is a file.
 FLUSHED = ("local", "hdfs")
+#: Tasks at most, each of which works on its buckets one after another, and rows of a batch that become Python objects at once.
+TASKS, ROWS = 16, 64
 
 
 class ReplyLog:
@@ -96,19 +98,21 @@ def asked(call: Callable[[str], str], accept: Callable[[str], object] | None, pr
     return None, error
 
 
-def replies(df: DataFrame, prompt: str, call: Callable[[str], str], folder: str, accept: Callable[[str], object] | None = None, in_flight: int = 8, rate: float | None = None, tries: int = 3, wait: float = 1.0, buckets: int = 16) -> DataFrame:
+def replies(df: DataFrame, prompt: str, call: Callable[[str], str], folder: str, accept: Callable[[str], object] | None = None, in_flight: int = 8, rate: float | None = None, tries: int = 3, wait: float = 1.0, buckets: int = 512) -> DataFrame:
     """``df`` with columns reply and error for its column ``prompt``; a null prompt gets null for both.
 
     ``folder`` is one that the driver and all executors share. ``accept`` raises if a
     reply won't do. At most ``in_flight`` calls a task run at once, and all tasks
-    together make about ``rate`` calls a second. Equal prompts are asked once.
+    together make about ``rate`` calls a second. Equal prompts are asked once. A task
+    holds the log of one bucket at a time; a folder is always used with the same ``buckets``.
     """
+    tasks = min(buckets, TASKS)
     key = F.sha2(F.col(prompt), 256)
     each = df.filter(F.col(prompt).isNotNull()).select(key.alias("key"), F.col(prompt).alias("prompt")).dropDuplicates(["key"])
-    dealt = each.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket").sortWithinPartitions("bucket", "key")
+    dealt = each.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).repartition(tasks, "bucket").sortWithinPartitions("bucket", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, log, known, bucket = TokenBucket(rate / buckets if rate else None), None, {}, None
+        tokens, log, known, bucket = TokenBucket(rate / tasks if rate else None), None, {}, None
         waiting: deque[tuple[str, Future]] = deque()
 
         def one(k: str, text: str, own: ReplyLog) -> tuple[str | None, str | None]:
@@ -124,7 +128,7 @@ def replies(df: DataFrame, prompt: str, call: Callable[[str], str], folder: str,
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([reply], pa.string()), pa.array([error], pa.string())], ["key", "reply", "error"])
 
         with ThreadPoolExecutor(in_flight) as pool:
-            for b in batches:
+            for b in (b.slice(start, ROWS) for b in batches for start in range(0, b.num_rows, ROWS)):
                 for k, text, at in zip(*[c.to_pylist() for c in b.columns], strict=True):
                     if at != bucket:
                         yield from taken(0)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import vectors
+from quillspark.operators import paid, vectors
 
 
 def grams(words, most):
@@ -61,3 +61,12 @@ def test_neighbours_are_chosen_by_products_and_measured_exactly():
             all_d = off.sum(axis=1) if metric == "manhattan" else np.sqrt((off**2).sum(axis=1))
             want = [j for j in np.lexsort((ids, all_d)) if ids[j] != ids[i]][:5]
             assert near.tolist() == want and d.tolist() == all_d[want].tolist()
+
+
+def test_a_task_holds_the_replies_of_few_prompts(spark, tmp_path):
+    asked = spark.range(400).selectExpr("concat('p', id) AS q")
+    for _ in range(2):
+        got = paid.replies(asked, "q", str.upper, str(tmp_path), wait=0.0)
+        assert {(r.q, r.reply) for r in got.collect()} == {(f"p{i}", f"P{i}") for i in range(400)}
+    held = [len(paid.ReplyLog(str(tmp_path), int(p.name.partition("=")[2])).read()) for p in tmp_path.iterdir()]
+    assert sum(held) == 400 and max(held) <= 10
