@@ -10,18 +10,23 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import held, shared_folder
 from . import similar
 from .extract import Backend, parse_reply
 from .specs import FIELDS
 
 #: Notes shown at once; tries of a batch and of a merge; rounds of a conversation with tools.
 BATCH, TRIES, MERGE_TRIES, ROUNDS = 10, 3, 5, 100
+#: Batches of a chunk that one task folds.
+ROUND = 2_000
 #: Definitions that a merge is shown at most.
 MOST_SHOWN = 5_000
 DEFINITION = "feature_name string, description string, instructions string"
@@ -141,7 +146,29 @@ def align(notes: DataFrame, features: Sequence[Feature], backend: Backend, done:
     ``notes`` has row_idx, text, chunk and batch (``specs.chunks``). A batch without
     a usable reply leaves the definitions as they are. ``done`` is such a result of
     an earlier run: a chunk goes on behind its last batch there.
+
+    Chunks of over ROUND batches are folded in rounds, each by a task of its own that
+    goes on behind the last one's definitions, so what a task reads is bounded; these
+    rounds run while the plan is built.
     """
+    if (notes.agg(F.max("batch")).first()[0] or 0) < ROUND:
+        return _aligned(notes, features, backend, done)
+    path = f"{shared_folder(notes.sparkSession)}/quillspark-work/rounds-{uuid.uuid4().hex}"
+    dealt = notes.select("chunk", "batch", "row_idx", "text", F.floor(F.col("batch") / ROUND).cast("int").alias("round"))
+    dealt.write.partitionBy("round").parquet(path)
+    own = notes.sparkSession.read.schema(dealt.schema).parquet(path)
+    parts, state = [], done
+    for k in sorted(r["round"] for r in own.select("round").distinct().collect()):  # as many as the largest chunk needs
+        new = held(_aligned(own.filter(F.col("round") == k).drop("round"), features, backend, state, anew=True), "aligned")
+        parts.append(new)
+        both = new if state is None else state.select(*new.columns).unionByName(new)
+        state = held(both.join(both.groupBy("chunk").agg(F.max("batch").alias("batch")), ["chunk", "batch"], "left_semi").select(*new.columns), "states")
+    made = reduce(DataFrame.unionByName, parts)
+    return made if done is None else done.select(*made.columns).unionByName(made)
+
+
+def _aligned(notes: DataFrame, features: Sequence[Feature], backend: Backend, done: DataFrame | None, anew: bool = False) -> DataFrame:
+    """The same in one round; with ``anew``, without the rows of ``done``."""
     start = [{"feature_name": f["feature_name"], **{x: f.get(x) for x in FIELDS}, "status": "kept"} for f in features]
     names = ["feature_name", *FIELDS, "status"]
 
@@ -178,7 +205,7 @@ def align(notes: DataFrame, features: Sequence[Feature], backend: Backend, done:
     # A chunk's rows come to one task in the order of the fold; Spark sorts them, on disk if need be.
     order = ["chunk", F.when(F.col("note") == 0, -1).otherwise(F.col("batch")), "note", "row_idx", "feature_name"]
     new = own.repartition("chunk").sortWithinPartitions(*order).mapInPandas(fold, STATE)
-    return new if done is None else done.select(*new.columns).unionByName(new)
+    return new if done is None or anew else done.select(*new.columns).unionByName(new)
 
 
 def last_state(progress: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import paid, vectors
+from quillspark.operators import definition, paid, vectors
 
 
 def grams(words, most):
@@ -70,3 +70,17 @@ def test_a_task_holds_the_replies_of_few_prompts(spark, tmp_path):
         assert {(r.q, r.reply) for r in got.collect()} == {(f"p{i}", f"P{i}") for i in range(400)}
     held = [len(paid.ReplyLog(str(tmp_path), int(p.name.partition("=")[2])).read()) for p in tmp_path.iterdir()]
     assert sum(held) == 400 and max(held) <= 10
+
+
+def test_chunks_are_folded_in_rounds(spark, monkeypatch):
+    notes = spark.createDataFrame([(i, "ab"[i % 2] * (i % 7), i % 3, i // 6) for i in range(90)], "row_idx long, text string, chunk int, batch int")
+    start, aligner = [{"feature_name": "a", "description": "a"}, {"feature_name": "b", "description": "b"}], definition.KeywordAligner({"a": "aa", "b": "bbb"}, 1, {"c": "aaaa"}, 1)
+    early = definition.align(notes.filter("batch < 4"), start, aligner)
+    want = sorted(map(str, definition.align(notes, start, aligner).collect()))
+    calls = []
+    once = definition._aligned
+    monkeypatch.setattr(definition, "_aligned", lambda own, *a, **k: calls.append(own.select("batch").distinct().count()) or once(own, *a, **k))
+    monkeypatch.setattr(definition, "ROUND", 3)
+    assert sorted(map(str, definition.align(notes, start, aligner).collect())) == want
+    assert calls == [3] * 5
+    assert sorted(map(str, definition.align(notes, start, aligner, early).collect())) == want
