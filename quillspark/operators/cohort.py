@@ -77,11 +77,12 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: st
 def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, moment: str, before_days: int, after_days: int, ties: Sequence[str]) -> DataFrame:
     """Each left row with the right row nearest in days inside the window, by the earliest moment and then ``ties``; rows without one go.
 
-    The nearest reading is taken even if its value is null. Of a key's readings only
-    the first of each day goes on; one pass over them and the left rows in order of
-    days finds the last day before, the same and the next one, so a row meets three
-    readings, however many lie in its window. Only where one of them lies on the
-    window's first day, which begins within that day, are that day's readings met.
+    The nearest reading is taken even if its value is null. One sort by key and day
+    holds the left rows and the readings; of a key's readings the first of each day
+    counts, and windows in that same order find the last day before and the next two
+    from the same day on, so a row meets three readings, however many lie in its
+    window. Only where one of them lies on the window's first day, and the window
+    begins within that day, are that day's readings met.
     """
     low, high = F.col(at) - F.expr(f"INTERVAL {before_days} DAYS"), F.col(at) + F.expr(f"INTERVAL {after_days} DAYS")
     order = [moment, *[c for c in ties if c != moment]]
@@ -89,18 +90,18 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], at: s
     known = " AND ".join(f"{k} IS NOT NULL" for k in keys)  # as in a join, null meets nothing
     readings = right.filter(F.col(moment).isNotNull()).filter(known).select(*keys, F.to_date(moment).alias("_day"), F.struct(*order).alias("_r"))
     rows = left.filter(known).select(*keys, F.to_date(at).alias("_day"), F.struct(*[c for c in left.columns if c not in keys], low.alias("_low"), high.alias("_high")).alias("_l"))
-    days = readings.groupBy(*keys, "_day").agg(F.min("_r").alias("_r"))
-    both = rows.withColumn("_kind", F.lit(0)).unionByName(days.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
-    down = Window.partitionBy(*keys).orderBy("_day", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(*keys).orderBy(F.desc("_day"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    same = F.max("_r").over(Window.partitionBy(*keys, "_day")).alias("_same")
-    seen = both.select("*", F.last("_r", True).over(down).alias("_before"), same, F.last("_r", True).over(up).alias("_after")).filter("_kind = 0").drop("_kind", "_r", "_day")
+    both = rows.unionByName(readings, allowMissingColumns=True).withColumn("_kind", F.col("_r").isNotNull())
+    key = Window.partitionBy(*keys).orderBy("_day", "_kind", "_r")
+    again = F.lag(F.when(F.col("_kind"), F.col("_day"))).over(key).eqNullSafe(F.col("_day"))  # the row before it is a reading of that day
+    first = both.select("*", F.when(F.col("_kind") & ~again, F.col("_r")).alias("_first"))
+    near = [F.last("_first", True).over(key.rowsBetween(Window.unboundedPreceding, 0)).alias("_before"), *[F.expr(f"lead(_first, {n}) IGNORE NULLS").over(key).alias(c) for n, c in ((1, "_same"), (2, "_after"))]]
+    seen = first.select("*", *near).filter("NOT _kind").drop("_kind", "_first", "_r", "_day")
     low_day = F.to_date("_l._low")
-    edge = F.coalesce(F.to_date(F.col("_before")[moment]) == low_day, F.lit(False)) | F.coalesce(F.to_date(F.col("_same")[moment]) == low_day, F.lit(False))
-    inner = seen.filter(~edge).withColumn("_edge", F.lit(None).cast(days.schema["_r"].dataType))
+    edge = F.coalesce((F.col("_l._low") > low_day) & (F.coalesce(F.to_date(F.col("_before")[moment]) == low_day, F.lit(False)) | F.coalesce(F.to_date(F.col("_same")[moment]) == low_day, F.lit(False))), F.lit(False))
+    inner = seen.filter(~edge).withColumn("_edge", F.lit(None).cast(readings.schema["_r"].dataType))
     outer = seen.filter(edge).withColumns({"_day": low_day, "_row": F.monotonically_increasing_id()}).join(readings, [*keys, "_day"])
-    first = F.min(F.when(F.col("_r")[moment] >= F.col("_l._low"), F.col("_r"))).alias("_edge")
-    outer = outer.groupBy(*keys, "_row").agg(*[F.first(c).alias(c) for c in ("_l", "_before", "_same", "_after")], first).drop("_row")
+    least = F.min(F.when(F.col("_r")[moment] >= F.col("_l._low"), F.col("_r"))).alias("_edge")
+    outer = outer.groupBy(*keys, "_row").agg(*[F.first(c).alias(c) for c in ("_l", "_before", "_same", "_after")], least).drop("_row")
     found = [F.when(F.col(c)[moment].between(F.col("_l._low"), F.col("_l._high")), F.struct(F.abs(F.datediff(F.col(c)[moment], F.col("_l")[at])).alias("d"), F.col(c).alias("r"))) for c in ("_before", "_same", "_after", "_edge")]
     best = inner.unionByName(outer).withColumn("_b", F.array_min(F.array_compact(F.array(*found)))).filter("_b IS NOT NULL")
     return best.select(*keys, *[F.col("_l")[c].alias(c) for c in left.columns if c not in keys], *[F.col("_b.r")[c].alias(c) for c in right.columns if c not in keys])

@@ -1,6 +1,8 @@
 """Small hand-made cases, one for each quirk."""
 
+import contextlib
 import datetime as dt
+import io
 import math
 from collections import Counter
 
@@ -260,3 +262,15 @@ def test_nearest_readings_equal_those_of_all_pairs(spark):
         got = cohort.nearest_within(a, b, ["k"], "at", "m", before, after, ["t", "v"])
         assert got.columns == want.columns
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 0
+
+
+def test_a_nearest_reading_is_found_by_one_sort(spark):
+    t0 = dt.datetime(2020, 1, 1)
+    left = spark.createDataFrame([(1, t0 + dt.timedelta(days=3)), (1, t0 + dt.timedelta(days=3)), (1, t0), (2, t0)], "k int, at timestamp_ntz")
+    right = spark.createDataFrame([(1, t0 + dt.timedelta(days=d, hours=h), h) for d in (1, 2, 4) for h in (5, 2, 2)], "k int, m timestamp_ntz, h int")
+    near = cohort.nearest_within(left, right, ["k"], "at", "m", 10, 10, ["h"])
+    with contextlib.redirect_stdout(io.StringIO()) as said:
+        near.explain()
+    branch = said.getvalue().split("\n   +- ")[0]  # rows with no reading on their window's first day
+    assert branch.count("Sort [") == 1 == branch.count("Exchange hashpartitioning") and "SortAggregate" not in branch
+    assert sorted((r.at, r.m) for r in near.collect()) == [(t0, t0 + dt.timedelta(days=1, hours=2)), *[(t0 + dt.timedelta(days=3), t0 + dt.timedelta(days=2, hours=2))] * 2]
