@@ -657,6 +657,39 @@ def test_every_license_of_an_expression_and_its_spellings():
     assert names_of("Licensed under CC BY-SA 4.0") == [(0, "CC-BY-SA-4.0")]
 
 
+def test_every_template_is_tried_by_compression_and_the_ranking_decides(monkeypatch):
+    seen = []
+    asked = license_scan.ranking
+    monkeypatch.setattr(license_scan, "ranking", lambda block: seen.append(asked(block)) or seen[-1])
+    longest = {name: max((text for text, _ in notices), key=len) for name, notices in license_scan.TEMPLATES.items()}
+    families = ("BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "BSL-1.0")
+    for name in families:
+        assert names_of(f"Copyright 2020\n\n{longest[name]}\nand more") == [(2, name)]
+    assert names_of("we thank the license committee for a permission") == []  # no telling words, tried all the same
+    assert len(seen) > len(families) and all(r.keys() == license_scan.TEMPLATES.keys() and list(r.values()) == sorted(r.values(), reverse=True) for r in seen)
+    monkeypatch.setattr(license_scan, "ranking", lambda block: dict.fromkeys(license_scan.TEMPLATES, 0))
+    assert any(names_of(longest[name]) != [(0, name)] for name in families)
+
+
+def test_telling_words_hold_what_blocks_are_cut_around():
+    for name, _, telling, _ in license_scan._notices():
+        assert any(w in license_scan._ANCHORS for w in telling.split()), (name, telling)
+        assert any(m in telling for m in license_scan._MENTIONS) or license_scan._OTHERS.search(telling), (name, telling)
+    rng = np.random.default_rng(7)
+    words = [str(w) for w in rng.choice(["license", "mit", "or", "apache", "w", "x"], 4000)]
+    stretches = list(license_scan.blocks(words))
+    assert [i for i, w in enumerate(words) if w in license_scan._ANCHORS and sum(a <= i < b for a, b in stretches) != 1] == []
+
+
+def test_later_versions_identifiers_and_short_forms():
+    later = "it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version."
+    assert names_of(later) == [(0, "GPL-2.0")] and names_of(later.replace("version 2", "version 3").replace("GNU General", "GNU Lesser General")) == [(0, "LGPL-3.0")]
+    for text, name in (("Licensed under Apache License 2.0", "Apache-2.0"), ("License: MIT", "MIT"), ("Mozilla Public License 2.0", "MPL-2.0"), ("Boost Software License - Version 1.0", "BSL-1.0"), ("under the zlib license", "Zlib"), ("GPL-2.0 OR MIT", "MIT"), ("2.0 OR MIT", "MIT")):
+        assert names_of(text) == [(0, name)], text
+    for name in license_scan.TEMPLATES.keys() - {"all-rights-reserved"}:
+        assert names_of(f"// SPDX-License-Identifier: {name}") == [(0, name)], name
+
+
 def test_scans_equal_the_confirmation_of_every_template(spark):
     """Brute force: each template at each of its telling words, whatever else stands there."""
     for r in spark.read.parquet(f"{SF}/documents.parquet").filter("text rlike '(?i)licen|apache|gpl|mit|cc|reserved'").collect():
