@@ -99,29 +99,59 @@ def scores(rows: DataFrame, made: Sequence[fits.Fit], folds: int) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i, np.int32)), pa.array(batch.row[own]), pa.array(keys[own]), pa.array(batch.y[own]), pa.array(p)], ["fit", "row", "sample_idx", "y_true", "y_pred"])
 
     out = rows.mapInArrow(run, "fit int, row long, sample_idx long, y_true int, y_pred double")
-    for i, f in enumerate(made):
-        if isinstance(f, fits.Neighbours) and not f.failed:
-            out = out.union(_neighbours(rows, f, folds).select(F.lit(i).alias("fit"), "row", "sample_idx", "y_true", "y_pred"))
-    return out
-
-
-def _neighbours(rows: DataFrame, f: fits.Neighbours, folds: int) -> DataFrame:
-    """The votes of the training rows nearest to each judged row, in the split's scale."""
-    s, scale = f.split, f.scale.of(f.columns)
-    at = s.iteration * folds + s.fold
-    judged = F.get("outer", F.lit(s.iteration)) == s.fold
-    training = ~judged
-    if s.part >= 0:
-        judged, training = ~judged & (F.get("inner", F.lit(at)) == s.part), ~judged & (F.get("inner", F.lit(at)) != s.part)
-    cells = [((F.when(F.isnan(F.get("x", F.lit(int(j)))), float(scale.fill[k])).otherwise(F.get("x", F.lit(int(j)))) - float(scale.mean[k])) / float(scale.deviation[k])) for k, j in enumerate(f.columns)]
-    own = rows.select("row", "y", "sample_idx", judged.alias("judged"), training.alias("training"), F.array(*cells).alias("v"))
-    near = vectors.nearest(own.filter("judged"), own.filter("training"), "row", "v", f.k, keep=["y"], metric=f.metric)
-    weight = F.lit(1.0)
-    if f.weights == "distance":  # where a neighbour is at no distance, only such ones vote
-        zero = F.min("d").over(vectors.by_query()) == 0
-        weight = F.when(zero, (F.col("d") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.col("d")))
-    votes = near.withColumn("w", weight).groupBy(F.col("q").alias("row")).agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("y_pred"))
-    return own.filter("judged").join(votes, "row").select("row", "sample_idx", F.col("y").alias("y_true"), "y_pred")
+    voting = {i: f for i, f in enumerate(made) if isinstance(f, fits.Neighbours) and not f.failed}
+    return out.union(_neighbours(rows, voting, folds)) if voting else out
+
+
+def _neighbours(rows: DataFrame, made: Mapping[int, fits.Neighbours], folds: int) -> DataFrame:
+    """(fit, row, sample_idx, y_true, y_pred): the votes of the training rows nearest to each judged row, in the split's scale.
+
+    Packs of all rows meet each other once, and serve all fits then; a row is looked at
+    by each fit that it is judged by, and emitted with its k nearest of a part of the rows.
+    """
+    n = rows.count()
+    parts = vectors.parts_of(n, n)
+    cells = rows.select("row", "y", "x", "outer", "inner", "sample_idx")
+    schema = "fit int, row long, sample_idx long, y_true int, near array<struct<d double, v long, y int>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, dict[int, tuple[vectors.Nearest, np.ndarray, np.ndarray]]] = {}
+        last, training = None, {}
+        for b in batches:
+            for rn, r, qn, q in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3), strict=True):
+                if rn != last:
+                    last, training = rn, {}
+                    for batch in scans.batches_of(iter([vectors.opened(r)])):
+                        for i, f in made.items():
+                            own = batch.training(f.split, folds)
+                            training[i] = f.inputs.of(batch.x[own]), batch.row[own], batch.y[own].astype(np.int64)
+                if qn not in asked:
+                    asked[qn], pack = {}, vectors.opened(q)
+                    for batch in scans.batches_of(iter([pack])):
+                        for i, f in made.items():
+                            own = np.flatnonzero(batch.judged(f.split, folds))
+                            near = vectors.Nearest(f.inputs.of(batch.x[own]), batch.row[own], f.k, f.metric)
+                            asked[qn][i] = near, pack.column(5).to_numpy()[own], batch.y[own]
+                for i, (near, *_) in asked[qn].items():
+                    near.meet(*training[i])
+        for found in asked.values():
+            for i, (near, key, y) in found.items():
+                at = near.found()
+                n = np.bincount(at[0], minlength=len(key))
+                values = pa.StructArray.from_arrays([pa.array(near.d[at]), pa.array(near.v[at]), pa.array(near.carried[at], pa.int32())], ["d", "v", "y"])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), values)
+                out = pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(near.queries), pa.array(key), pa.array(y), lists], ["fit", "row", "sample_idx", "y_true", "near"])
+                yield out.filter(pa.array(n > 0))
+
+    found = vectors.meetings(cells, cells, parts).mapInArrow(run, schema)
+    if parts[1] > 1:
+        k = F.element_at(F.create_map(*[F.lit(v) for i, f in made.items() for v in (i, f.k)]), F.col("fit"))
+        found = found.groupBy("fit", "row", "sample_idx", "y_true").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near")).withColumn("near", F.slice("near", F.lit(1), k))
+    by_distance = F.col("fit").isin([i for i, f in made.items() if f.weights == "distance"])
+    zero = F.get("near", F.lit(0))["d"] == 0  # where a neighbour is at no distance, only such ones vote
+    votes = F.transform("near", lambda e: F.struct(e["y"].alias("y"), F.when(~by_distance, 1.0).when(zero, (e["d"] == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), e["d"])).alias("w")))
+    won, of = (F.aggregate(F.transform("votes", part), F.lit(0.0), lambda a, b: a + b) for part in (lambda e: e["w"] * e["y"], lambda e: e["w"]))
+    return found.withColumn("votes", votes).select("fit", "row", "sample_idx", "y_true", (won / of).alias("y_pred"))
 
 
 def areas(pred: DataFrame) -> dict[int, float]:

@@ -161,10 +161,15 @@ def medians(design: DataFrame, splits: Sequence[Split], folds: int, columns: Seq
             bits = np.packbits(np.stack([b.training(s, folds) for s in splits], axis=1), axis=1)
             for j in columns:
                 known = np.flatnonzero(~np.isnan(b.x[:, j]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(known), j, np.int32)), pa.array(b.x[known, j]), pa.array([bits[k].tobytes() for k in known.tolist()], pa.binary())], ["c", "v", "m"])
+                ends = np.arange(len(known) + 1, dtype=np.int32) * bits.shape[1]
+                member = pa.Array.from_buffers(pa.binary(), len(known), [None, pa.py_buffer(ends), pa.py_buffer(bits[known])])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(known), j, np.int32)), pa.array(b.x[known, j]), member], ["c", "v", "m"])
 
     def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        m = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+        _, ends, data = b.column(2).buffers()
+        start = np.frombuffer(ends, np.int32)[b.column(2).offset]
+        width = -(-len(splits) // 8)
+        m = np.frombuffer(data, np.uint8)[start : start + b.num_rows * width].reshape(b.num_rows, width)
         return b.column(0).to_numpy(), b.column(1).to_numpy(), np.unpackbits(m, axis=1, count=len(splits))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
