@@ -4,6 +4,9 @@ import numpy as np
 import pytest
 
 from quillspark.operators import fits, nested, scans, vectors
+from quillspark.plans import evaluation
+
+SF = "/root/testdata/sf0.001"
 
 
 def odd_vectors(rng, n=300):
@@ -61,3 +64,9 @@ def test_all_neighbour_fits_are_served_by_one_meeting(spark, monkeypatch):
         first = sorted(training, key=lambda i: (d[i], i))[: f.k]
         w = [1.0 if f.weights == "uniform" else 1 / d[i] for i in first]
         assert r.y_pred == pytest.approx(sum(a * held[i].y for a, i in zip(w, first, strict=True)) / sum(w)) and r.row not in training
+
+
+def test_every_row_asks_for_its_neighbours(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    found = evaluation.knn_neighbours(spark, SF).groupBy("q").count().collect()
+    assert {r.q for r in found} == {r.vec_id for r in rows.select("vec_id").collect()} and {r["count"] for r in found} == {5}
