@@ -81,3 +81,20 @@ def test_from_notes_to_embeddings(spark):
     u = np.linalg.svd(a, full_matrices=False)[0][:, :k]
     found = rows_of(got)[:, :k]
     assert len(col) == textual.VOCABULARY and np.allclose(found @ found.T, u @ u.T, atol=1e-3)
+
+
+@pytest.mark.parametrize("terms", [30, 400])
+def test_weights_are_decomposed_whatever_the_size(spark, monkeypatch, terms):
+    """With fewer terms than documents, and with more."""
+    monkeypatch.setattr(textual, "VOCABULARY", terms)
+    docs = [r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").orderBy("doc_id").collect()]
+    cells = textual.tfidf_weights_all(spark, SF).collect()
+    col = {t: i for i, t in enumerate(sorted({r.term for r in cells}))}
+    a = np.zeros((len(docs), len(col)))
+    for r in cells:
+        a[docs.index(r.doc_id), col[r.term]] = r.weight
+    u, s, _ = np.linalg.svd(a, full_matrices=False)
+    k = next(i for i in range(textual.COMPONENTS, 0, -1) if s[i - 1] > 1.02 * s[i])  # a gap, so that the space is one
+    got = rows_of(textual.tfidf_embedding(spark, SF).withColumnRenamed("doc_id", "k"))
+    assert len(docs) == 200 and len(col) == terms and got.shape == (200, textual.COMPONENTS)
+    assert np.allclose(got[:, :k] @ got[:, :k].T, u[:, :k] @ u[:, :k].T, atol=1e-3)
